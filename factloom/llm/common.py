@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +65,7 @@ def held_out(id_col: str) -> F.Column:
 def slices(batch: pa.RecordBatch, text_col: str):
     """Consecutive parts of a batch with at most SLICE_ROWS rows and, but for one row, SLICE_BYTES bytes of text."""
     column = batch.column(batch.schema.get_field_index(text_col))
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = used = 0
     for i, size in enumerate(sizes):
         if i > start and (i - start >= SLICE_ROWS or used + size > SLICE_BYTES):
