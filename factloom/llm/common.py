@@ -57,6 +57,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_col: str) -> F.Column:
     """Whether crc32 of the id's decimal text falls into fold 0; null ids are held out, so nothing is learned from them."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))

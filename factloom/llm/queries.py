@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, packing, tokenfiles
+from . import bpe, fingerprints, langid, packing, simhash, tokenfiles
 
 QUERIES = {
     "op4_byte_bpe": bpe.query,
+    "op5_simhash": simhash.query,
     "op6_packing": packing.query,
     "op7_token_files": tokenfiles.query,
     "op8_language_id": langid.query,
