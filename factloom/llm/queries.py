@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, packing, simhash, tokenfiles
+from . import bpe, fingerprints, langid, packing, secrets, simhash, tokenfiles, warc
 
 QUERIES = {
+    "op2_secrets": secrets.query,
+    "op3_warc": warc.query,
     "op4_byte_bpe": bpe.query,
     "op5_simhash": simhash.query,
     "op6_packing": packing.query,
@@ -13,4 +15,4 @@ QUERIES = {
     "op10_fingerprints": fingerprints.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE}
