@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, packing, secrets, simhash, tokenfiles, warc
+from . import bpe, fingerprints, langid, media, packing, secrets, simhash, tokenfiles, warc
 
 QUERIES = {
     "op2_secrets": secrets.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_packing": packing.query,
     "op7_token_files": tokenfiles.query,
     "op8_language_id": langid.query,
+    "op9_media": media.query,
     "op10_fingerprints": fingerprints.query,
 }
 
