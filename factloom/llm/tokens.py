@@ -1,10 +1,10 @@
-"""Byte-level BPE ids by the tokenizers library, with a bounded memory of words and matches.
+"""Byte-level BPE ids by the tokenizers library, with a bounded memory of words.
 
-A space that follows a non-blank character always starts a new match of the
-vocabulary's split pattern: no alternative has a blank after a non-blank. So a text may be
-cut there. A blank that stands between blanks (or a blank and the end) belongs to a longer
-run; such texts go whole to the library. Words of plain characters are cut further into
-the pattern's matches, which the library encodes once and the worker remembers.
+A space that follows a non-blank character always starts a new match of the vocabulary's split
+pattern: no alternative has a blank after a non-blank. So a text may be cut there, and each
+word encoded by itself. A blank that stands between blanks (or a blank and the end)
+belongs to a longer run; such texts go whole to the library. Words that a worker does not remember are
+encoded many at a time, as one text: each then starts at the one token that begins with a space.
 """
 
 from __future__ import annotations
@@ -12,15 +12,23 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Entries of either memory; a full one becomes the old generation and a new one starts. About 150 MB for both.
-MEMORY = 250_000
+#: Entries of a memory; a full one becomes the old generation and a new one starts. About 150 MB.
+MEMORY = 300_000
 #: Longer words are not remembered.
 WORD_CHARS = 40
+#: Words encoded as one text.
+JOINED = 1000
+
+#: Characters after a word's letters; none is a letter or a digit.
+MARKS = ".,;:!?|%*&$#@()[]\"'-\n"
+#: The vocabulary writes bytes as characters: printable ones of Latin-1 as they are, others from 256 on.
+BYTES = {b: 256 + i for i, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))}
 
 RUN = re.compile(r"\s (?:\s|$)")
 #: For words of these characters, MATCH cuts as public_tokenizers.PATTERN does.
@@ -41,6 +49,10 @@ class Memory(dict):
             self[key] = found
         return found
 
+    def lacking(self, keys: set) -> set:
+        old = self.old
+        return {x for x in keys if x not in self and x not in old}
+
     def trim(self) -> None:
         if len(self) > self.size:
             self.old = dict(self)
@@ -49,10 +61,9 @@ class Memory(dict):
 
 def words_of(text: str) -> list[str] | None:
     """The text cut at single spaces, each with the space before it; None if a run of blanks forbids that."""
-    if RUN.search(text):
+    if "\0" in text or RUN.search(text):
         return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    return text.replace(" ", "\0 ").split("\0")
 
 
 class Encoder:
@@ -62,33 +73,61 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.library.encode_special_tokens = True
-        self.words, self.matches = Memory(), Memory()
+        self.words = Memory()
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[v for k, v in vocabulary.items() if k[0] == "Ġ"]] = True
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def letters(self, word: str) -> bytes:
+        """Ids of a space and letters, one match of the split pattern: the library's model is asked directly."""
+        mapped = "Ġ" + word[1:] if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+        return array("I", [x.id for x in self.library.model.tokenize(mapped)]).tobytes()
+
+    def fresh(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words as words_of() cuts them. Letters and the marks after them are different matches."""
+        known, out, cut, rest = self.words, {}, [], []
+        for word in words:
+            head = word.rstrip(MARKS)
+            if not head[1:].isalpha() or head[0] != " ":
+                rest.append(word)
+            elif head == word:
+                out[word] = self.letters(word)
+            else:
+                cut.append((word, head, word[len(head) :]))
+        tails = {x[2] for x in cut}
+        rest += [x for x in tails if known[x] is None and x not in words]
+        joined = [x for x in rest if len(x) > 1 and x[0] == " " and not x[1].isspace()]
+        alone = list(set(rest).difference(joined))
+        out.update(zip(alone, self.plain(alone), strict=True))
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, starts = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
+            out.update(zip(part, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
+        for word, head, tail in cut:
+            first = out.get(head) or known[head]
+            if first is None:
+                first = out[head] = self.letters(head)
+            out[word] = first + (out.get(tail) or known[tail])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [words_of(x) for x in texts]
-        known, matches = self.words, self.matches
-        missing = [x for x in set().union(*[x for x in cuts if x]) if known[x] is None]
-        parts = [MATCH.findall(x) if PLAIN.fullmatch(x) else [x] for x in missing]
-        unseen = [x for x in set().union(*parts) if matches[x] is None]
-        fresh = dict(zip(unseen, self.plain(unseen), strict=True))
-        matches.update((k, v) for k, v in fresh.items() if len(k) <= WORD_CHARS)
-        extra = {}
-        for word, part in zip(missing, parts, strict=True):
-            ids = b"".join([fresh[x] if x in fresh else matches[x] for x in part])
-            (known if len(word) <= WORD_CHARS else extra)[word] = ids
+        known = self.words
+        known.trim()
+        fresh = self.fresh(known.lacking(set().union(*filter(None, cuts))))
+        long = [x for x in fresh if len(x) > WORD_CHARS]
+        known.update(fresh)
         whole = [i for i, x in enumerate(cuts) if x is None]
         rest = dict(zip(whole, self.plain([texts[i] for i in whole]), strict=True))
-        if extra:
-            out = [rest[i] if x is None else b"".join([extra[y] if y in extra else known[y] for y in x]) for i, x in enumerate(cuts)]
-        else:
-            get = known.__getitem__
-            out = [rest[i] if x is None else b"".join(map(get, x)) for i, x in enumerate(cuts)]
-        known.trim()
-        matches.trim()
+        get = known.__getitem__
+        out = [rest[i] if x is None else b"".join(map(get, x)) for i, x in enumerate(cuts)]
+        for x in long:
+            del known[x]
         return out
 
 
