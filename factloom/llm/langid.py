@@ -150,9 +150,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     return common.map_texts(docs, text_col, make, FIELDS, keep)
 
 
-def keep_known(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rejects documents whose language can't be told: those without a letter."""
-    return common.keep_texts(docs, text_col, lambda: lambda texts: [bool(LETTER.search(x)) for x in texts])
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rejects documents whose language can't be told."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        return lambda texts: [x != UNKNOWN for x in mixtures(shared.value, texts)[0]]
+
+    return common.keep_texts(docs, text_col, make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, media, packing, secrets, simhash, tokenfiles, warc
+from . import bpe, fingerprints, langid, media, packing, secrets, simhash, tokenfiles, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_secrets": secrets.query,
     "op3_warc": warc.query,
     "op4_byte_bpe": bpe.query,
