@@ -86,7 +86,7 @@ def attribute(value: str) -> str | None:
     return next((k for k, triggers in tx.ATTRIBUTES.items() if any(f" {x} " in padded for x in triggers)), None)
 
 
-CLOSED = re.compile(tx.CLOSED_WINDOW[4:], re.I | re.S)
+CLOSED = re.compile(tx.CLOSED_WINDOW.removeprefix("(?is)"), re.I | re.S)
 
 
 def edge_type(new: dict, old: dict) -> str:

@@ -265,7 +265,7 @@ def reader_items(hits: DataFrame) -> DataFrame:
     return hits.groupBy("session_id").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("items"))
 
 
-def keyword_context(claims: DataFrame, query: Column) -> Column:
+def keyword_context(query: Column) -> Column:
     """Share of the query's words that a claim's text has."""
     words = F.array_distinct(tx.tokens(query))
     return F.size(F.array_intersect(words, tx.tokens(F.col("text")))) / F.greatest(F.size(words), F.lit(1))
