@@ -144,7 +144,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", keep: tuple[str, ...
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(*columns)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blob):
     """Little-endian count and 32-bit floats; null for a damaged blob."""
     import numpy as np
@@ -158,7 +158,7 @@ def decode_vector(blob):
     return pd.Series([one(x) for x in blob])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(vector):
     import numpy as np
     import pandas as pd
@@ -169,7 +169,7 @@ def encode_vector(vector):
 def hash_embedder(size: int = 64):
     """A deterministic stand-in for an embedding model: words in signed buckets, unit length."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(text):
         import re
         import zlib
