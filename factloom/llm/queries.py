@@ -17,4 +17,4 @@ QUERIES = {
     "op10_fingerprints": fingerprints.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.oracle_sql(), "op3_warc": warc.ORACLE}

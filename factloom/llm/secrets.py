@@ -177,3 +177,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = as_text(F.filter("spans", lambda x: x["kind"].isin(*BASE)))
     return found.select("doc_id", *map(count, BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The query in DuckDB's SQL, without ledger: every text is scanned."""
+    parts = []
+    for no, r in enumerate(rules):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT doc_id, {no} AS no, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, {p}, 0) AS m,"
+            f" regexp_extract_all(t, {p}, {r.group}) AS c, regexp_split_to_array(t, {p}) AS g FROM d"
+        )
+    found = " UNION ALL ".join(parts)
+    base = ", ".join(f"'{k}'" for k in BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (
+  SELECT doc_id, no, kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS a, length(m[i]) AS n
+  FROM i WHERE length(c[i]) >= least),
+l AS (SELECT *, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM s)
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY a, no) FILTER (kind IN ({base})), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY a, no), '') AS spans
+FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id
+"""
