@@ -117,7 +117,8 @@ def as_text(spans: Column) -> Column:
 def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The kept columns of each version with the spans of its content."""
     named = versions.select(*keep, blob(F.col(text_col)).alias("blob"))
-    return named.join(by_blob(ledger, rules), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    found = common.written(by_blob(ledger, rules), "blob-findings")  # read from files, so a blob of very many paths can be split in the join
+    return named.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
 def merged(spans: Column) -> Column:
@@ -153,7 +154,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
     """
     spans, key = common.free_name(docs, "spans"), common.free_name(docs, "blob")
     ledger = update(docs, None, rules, text_col)
-    found = by_blob(ledger, rules).select(F.col("blob").alias(key), F.col("spans").alias(spans))
+    found = common.written(by_blob(ledger, rules), "blob-findings").select(F.col("blob").alias(key), F.col("spans").alias(spans))
     rows = docs.withColumn(key, blob(F.col(text_col))).join(found, key, "left")
     out = {text_col: F.when(F.col(spans).isNotNull(), masked(F.col(text_col), F.col(spans))).otherwise(F.col(text_col))}
     names = []
