@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.functions import text as tx
-from factloom.operators import facts, memory, rank, views
+from factloom.operators import context, facts, memory, rank, views
 from factloom.sources import tables as src
 from factloom.streaming import stream
 
@@ -619,3 +619,83 @@ def l1_stream_windows(spark, sf):
     """The stream's plan over the batch; the streaming run is tested against it."""
     rows = stream.event_windows(src.table(spark, sf, "events"))
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- doors ---
+
+
+@query(f"""WITH {T}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, turn_id) AS rn FROM turns)
+SELECT session_id, string_agg(text, ' ' ORDER BY rn DESC) AS query FROM r WHERE rn <= 5 GROUP BY session_id""")
+def n9_working_context(spark, sf):
+    claims = src.claims(spark, sf).limit(0)
+    return context.working_context(claims, src.turns(spark, sf)).select("session_id", "query")
+
+
+@query()
+def n10_query_door(spark, sf):
+    claims = src.claims(spark, sf).withColumn("status", F.lit("active")).withColumn("session_id", F.replace("session_id", F.lit("s"), F.lit("")))
+    found = context.answer(claims, src.turns(spark, sf), "how many times did u12 login", NOW).hits
+    return found.select("session_id", "kind", "id", F.round("score", 6).alias("score"), "quarantined", "durability")
+
+
+@query(f"""WITH {V}, t AS (SELECT 'tu_' || event_id AS turn_id, 'Said ' || event_type || ' ' || CAST(floor(value) AS BIGINT) AS text FROM events)
+SELECT claim_id, CASE WHEN strpos(t.text, v.value) > 0 THEN v.value END AS quote, superseded_by AS replaced_by FROM validity v JOIN t ON t.turn_id = v.source_turn_id""")
+def n14_explain(spark, sf):
+    rows, edges = validity(spark, sf)
+    turns = src.claims(spark, sf).select(F.col("source_turn_id").alias("turn_id"), F.concat_ws(" ", F.lit("Said"), "predicate", "value").alias("text"), F.lit("user").alias("speaker"))
+    return context.explained(rows, turns, edges).select("claim_id", "quote", "replaced_by")
+
+
+@query(f"""WITH {V} SELECT first_id AS origin, string_agg(value || ' [' || status || ']', chr(10) ORDER BY created_ts, claim_id) AS chain
+FROM (SELECT *, first_value(claim_id) OVER (PARTITION BY session_id, subject, predicate ORDER BY created_ts, claim_id) AS first_id FROM validity) GROUP BY first_id""")
+def d13_chains(spark, sf):
+    rows, edges = validity(spark, sf)
+    return context.chain_text(views.trace(rows, edges, checkpoint))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS sentence_id, list('cl_' || l_partkey ORDER BY l_linenumber) AS ids FROM lineitem GROUP BY l_orderkey),
+b AS (SELECT DISTINCT sentence_id FROM (SELECT sentence_id, unnest(ids) AS c FROM s) WHERE substr(c, 4)::BIGINT % 10 = 0)
+SELECT sentence_id, sentence_id NOT IN (FROM b) AS accepted FROM s""")
+def n13_citations(spark, sf):
+    lines = src.table(spark, sf, "lineitem")
+    s = lines.groupBy(F.col("l_orderkey").alias("sentence_id")).agg(F.collect_list(F.concat(F.lit("cl_"), "l_partkey")).alias("source_claim_ids"))
+    known = src.table(spark, sf, "part").filter("p_partkey % 10 != 0").select(F.concat(F.lit("cl_"), "p_partkey").alias("claim_id"))
+    good, bad = context.cited_sentences(s, known)
+    return good.select("sentence_id", F.lit(True).alias("accepted")).unionByName(bad.select("sentence_id", F.lit(False).alias("accepted")))
+
+
+@query("SELECT term, max(imp) AS importance FROM (SELECT DISTINCT p_partkey, (p_partkey % 97) / 97.0 AS imp, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS term FROM part) WHERE length(term) > 1 GROUP BY term ORDER BY importance DESC, term LIMIT 24")
+def n24_conditioning(spark, sf):
+    p = src.table(spark, sf, "part")
+    return context.conditioning_terms(p.select(((F.col("p_partkey") % 97) / 97.0).alias("importance"), F.concat_ws(" ", "p_name", "p_type").alias("text")))
+
+
+@query()
+def n25_discover_tools(spark, sf):
+    c = src.table(spark, sf, "customer").limit(20)
+    facts_known = c.select(F.lit(0.5).alias("importance"), F.col("c_mktsegment").alias("text"))
+    return context.discover_tools(registry(spark, sf), TOOL_ASK, facts_known).select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def j15_expanded(spark, sf):
+    claims = src.claims(spark, sf).withColumn("status", F.lit("active"))
+    return context.expanded(claims, CLAIM_ASK).select("claim_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def j17_fallback(spark, sf):
+    claims = src.claims(spark, sf).withColumn("status", F.lit("active")).withColumn("session_id", F.replace("session_id", F.lit("s"), F.lit("")))
+    found = context.with_fallback(rank.facts(claims, CLAIM_ASK), rank.episodes(src.turns(spark, sf), ASK))
+    return found.select("session_id", "kind", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {V} SELECT predicate, count(*) AS n, string_agg(claim_id, ',' ORDER BY created_ts, claim_id) AS ids FROM validity WHERE status = 'active' GROUP BY predicate")
+def c17_by_predicate(spark, sf):
+    rows = views.active(validity(spark, sf)[0]).groupBy("predicate").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("created_ts", "claim_id"))).alias("m"))
+    return rows.select("predicate", "n", F.array_join(F.transform("m", lambda x: x["claim_id"]), ",").alias("ids"))
+
+
+@query(f"WITH {C} SELECT claim_id FROM claims WHERE predicate IN ('click', 'view')")
+def b6_branch(spark, sf):
+    return context.branch(src.claims(spark, sf), {"browsing": ("click", "view")}, "browsing").select("claim_id")
