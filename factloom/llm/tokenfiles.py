@@ -30,7 +30,7 @@ OPTIONS = {
     "orc.row.index.stride": "1000",
     "orc.create.index": "true",
     "orc.stripe.size": str(16 << 20),
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 FILE_SCHEMA = T.StructType(
@@ -64,47 +64,50 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     source.mapInArrow(run, FILE_SCHEMA).write.options(**OPTIONS).orc(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids of written files. Only a count for each file is gathered to place the files."""
+def file_starts(rows: DataFrame) -> np.ndarray:
+    """Tokens before each file. Only a count for each file is gathered."""
+    totals = {x.file_no: x.total for x in rows.groupBy("file_no").agg(F.sum("n_tokens").alias("total")).collect()}
+    sizes = np.zeros(max(totals, default=-1) + 1, np.int64)
+    for k, v in totals.items():
+        sizes[k] = v
+    return np.cumsum(sizes) - sizes
+
+
+def map_files(spark: SparkSession, path: str, field: T.StructField, compute, where=None) -> DataFrame:
+    """doc_id, start, n_tokens of written files and a field that compute(ids as a list array) gives."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
-    totals = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("total")).collect()  # a row for each file
-    base, sums = 0, {}
-    for x in sorted(totals):
-        sums[x.file_no] = base
-        base += x.total
-    bases = np.zeros(max(sums, default=0) + 1, np.int64)
-    for k, v in sums.items():
-        bases[k] = v
+    starts = file_starts(rows)
+    schema = T.StructType([FILE_SCHEMA["doc_id"], T.StructField("start", T.LongType()), FILE_SCHEMA["n_tokens"], field])
 
-    @F.pandas_udf("long")
-    def file_base(file_no):
-        import pandas as pd
+    def run(batches):
+        for batch in batches:
+            doc, file_no, start, size, ids = batch.columns
+            yield pa.RecordBatch.from_arrays([doc, pa.array(starts[file_no.to_numpy()] + start.to_numpy()), size, compute(ids)], names=schema.names)
 
-        return pd.Series(bases[file_no.to_numpy()])
+    return (rows if where is None else rows.filter(where)).mapInArrow(run, schema)
 
-    return rows.select("doc_id", (file_base("file_no") + F.col("file_start")).alias("start"), "n_tokens", "ids")
 
+def read(spark: SparkSession, path: str, where=None) -> DataFrame:
+    """doc_id, start, n_tokens, ids of written files; a condition on doc_id reaches the ORC reader's statistics and Bloom filters."""
+    return map_files(spark, path, FILE_SCHEMA["ids"], lambda ids: ids, where)
 
-def checksums(stored: DataFrame) -> DataFrame:
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids as they come from the files."""
-    schema = T.StructType([*stored.schema.fields[:3], T.StructField("ids_crc32", T.LongType())])
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(3)
-            flat, ends = np.ascontiguousarray(ids.values.to_numpy(), "<i4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=schema.names)
+    def crc(ids: pa.ListArray) -> pa.Array:
+        flat, ends = np.ascontiguousarray(ids.values.to_numpy(), "<i4"), ids.offsets.to_numpy()
+        return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
 
-    return stored.mapInArrow(run, schema)
+    return map_files(spark, path, T.StructField("ids_crc32", T.LongType()), crc)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The rows of some documents; the filter reaches the ORC reader's statistics and Bloom filters."""
-    return read(spark, path).filter(F.col("doc_id").isin(doc_ids))
+    """The rows of some documents."""
+    return read(spark, path, F.col("doc_id").isin(doc_ids))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "tokens")
     write(common.table(spark, sf_dir, "documents"), path)
-    return checksums(read(spark, path))
+    return checksums(spark, path)

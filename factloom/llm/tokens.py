@@ -18,8 +18,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Entries of a memory; a full one becomes the old generation and a new one starts. About 150 MB.
-MEMORY = 300_000
+#: Entries of a memory; a full one becomes the old generation and a new one starts. About 200 MB.
+MEMORY = 500_000
 #: Longer words are not remembered.
 WORD_CHARS = 40
 #: Words encoded as one text.
@@ -73,6 +73,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.library.encode_special_tokens = True
+        self.tokenize = self.library.model.tokenize
         self.words = Memory()
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -85,7 +86,7 @@ class Encoder:
     def letters(self, word: str) -> bytes:
         """Ids of a space and letters, one match of the split pattern: the library's model is asked directly."""
         mapped = "Ġ" + word[1:] if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
-        return array("I", [x.id for x in self.library.model.tokenize(mapped)]).tobytes()
+        return array("I", [x.id for x in self.tokenize(mapped)]).tobytes()
 
     def fresh(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words as words_of() cuts them. Letters and the marks after them are different matches."""
