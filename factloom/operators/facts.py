@@ -86,6 +86,7 @@ def attribute(value: str) -> str | None:
     return next((k for k, triggers in tx.ATTRIBUTES.items() if any(f" {x} " in padded for x in triggers)), None)
 
 
+NOISE, QUANTITY = frozenset(tx.NOISE), frozenset(tx.QUANTITIES)
 CLOSED = re.compile(tx.CLOSED_WINDOW.removeprefix("(?is)"), re.I | re.S)
 
 
@@ -100,30 +101,27 @@ def edge_type(new: dict, old: dict) -> str:
 
 def match(new: dict, held: list[dict], single: bool) -> dict | None:
     """The earlier claim that a new one answers. held: newest first."""
-    norm = new["value"].strip().lower()
-    others = [x for x in held if x["source_turn_id"] != new["source_turn_id"] and x["value"].strip().lower() != norm]
+    norm, turn = new["value"].strip().lower(), new["source_turn_id"]
+    others = (x for x in held if x["source_turn_id"] != turn and x["value"].strip().lower() != norm)
     if single:
-        if others:
-            return others[0]
-    slot = attribute(new["value"])
+        return next(others, None)
+    others = list(others)
+    slot = attribute(new["value"]) if others else None
     if slot and not CLOSED.search(new["value"]):
         for x in others:
             if attribute(x["value"]) == slot and not CLOSED.search(x["value"]):
                 return x
-    if single:
-        return None
-    noise, quantity = set(tx.NOISE), set(tx.QUANTITIES)
-    content = set(words(new["value"])) - noise
-
-    def plain(tokens: set) -> set:
-        return {x for x in tokens if x not in quantity and not x.isdigit()}
-
+    content = set(words(new["value"])) - NOISE
+    plain = {x for x in content if x not in QUANTITY and not x.isdigit()}
     best, most = None, 0.0
     for x in others:
-        before = set(words(x["value"])) - noise
+        if "content" not in x:
+            x["content"] = set(words(x["value"])) - NOISE
+            x["plain"] = {y for y in x["content"] if y not in QUANTITY and not y.isdigit()}
+        before = x["content"]
         if not content or not before:
             continue
-        if plain(content) and plain(content) == plain(before) and content != before:
+        if plain and plain == x["plain"] and content != before:
             return x
         shared = len(content & before)
         score = shared / len(content | before)
@@ -132,18 +130,23 @@ def match(new: dict, held: list[dict], single: bool) -> dict | None:
     return best
 
 
+def decide(new: dict, held: list[dict], single: bool) -> dict | None:
+    """The decision on a slot's next claim; held, newest first, becomes what is held after it."""
+    old, out = match(new, held, single), None
+    if old is not None:
+        kind = edge_type(new, old)
+        blocked = kind in ("user_correction", "contradicts") and new["source_trust"] + model.TRUST_MARGIN < old["source_trust"]
+        out = {"old_claim_id": old["claim_id"], "new_claim_id": new["claim_id"], "edge_type": "blocked" if blocked else kind, "created_ts": new["created_ts"]}
+        if not blocked and kind != "contradicts":
+            held.remove(old)
+    held.insert(0, new)
+    return out
+
+
 def fold_slot(rows: list[dict], single: bool) -> tuple[list[dict], list[dict]]:
-    """Decisions for a slot's claims in order: an event for each claim that answers an earlier one."""
-    held, out = [], []
-    for new in rows:
-        old = match(new, held, single)
-        if old is not None:
-            kind = edge_type(new, old)
-            blocked = kind in ("user_correction", "contradicts") and new["source_trust"] + model.TRUST_MARGIN < old["source_trust"]
-            out.append({"old_claim_id": old["claim_id"], "new_claim_id": new["claim_id"], "edge_type": "blocked" if blocked else kind, "created_ts": new["created_ts"]})
-            if not blocked and kind != "contradicts":
-                held.remove(old)
-        held.insert(0, new)
+    """What a slot holds after its claims in order, and a decision for each claim that answers an earlier one."""
+    held: list[dict] = []
+    out = [x for x in (decide(new, held, single) for new in rows) if x]
     return held, out
 
 
@@ -151,17 +154,33 @@ DECIDED = "session_id string, subject string, predicate string, old_claim_id str
 
 
 def supersede(claims: DataFrame, single_valued: tuple[str, ...] = ()) -> DataFrame:
-    """Edges of all slots (blocked ones are for the audit). Order decides within a slot, so a slot is folded in one task; slots are many, and the key holds the session."""
+    """Edges of all slots (blocked ones are for the audit).
 
-    def fold(key, pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values(["created_ts", "claim_id"]).to_dict("records")
-        found = fold_slot(rows, key[2] in single_valued)[1]
-        return pd.DataFrame([dict(zip(SLOT, key, strict=True), **x) for x in found], columns=["session_id", "subject", "predicate", "old_claim_id", "new_claim_id", "edge_type", "created_ts"])
-
-    triples = claims.filter(F.col("subject").isNotNull() & F.col("predicate").isNotNull() & F.col("value").isNotNull())
-    return triples.select(*SLOT, "claim_id", "value", "source_turn_id", "speaker", "source_trust", "created_ts").groupBy(*SLOT).applyInPandas(fold, DECIDED)
+    Order decides within a slot. Slots are dealt out by key and sorted, and each task streams through its slots; it holds the
+    claims that the current slot still holds, nothing more.
+    """
+    columns = [*SLOT, "claim_id", "value", "source_turn_id", "speaker", "source_trust", "created_ts"]
+    triples = claims.filter(F.col("subject").isNotNull() & F.col("predicate").isNotNull() & F.col("value").isNotNull()).select(*columns)
+    dealt = triples.repartition(*SLOT).sortWithinPartitions(*SLOT, "created_ts", "claim_id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+        names = [*SLOT, "old_claim_id", "new_claim_id", "edge_type", "created_ts"]
+        for batch in batches:
+            out: list[dict] = []
+            for new in batch.to_pylist():
+                own = tuple(new[c] for c in SLOT)
+                if own != key:
+                    key, held = own, []
+                found = decide(new, held, own[2] in single_valued)
+                if found:
+                    out.append(dict(zip(SLOT, own, strict=True), **found))
+            schema = pa.schema([(c, pa.int64() if c == "created_ts" else pa.string()) for c in names])
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return dealt.mapInArrow(run, DECIDED)
 
 
 def with_status(claims: DataFrame, edges: DataFrame) -> DataFrame:
