@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from itertools import chain
 from typing import NamedTuple
 
@@ -61,16 +62,16 @@ class Words(NamedTuple):
 
 
 def hashed(words: list[str]) -> Words:
-    bucket, grams, sizes = [], [], []
+    bucket, grams, sizes = array("i"), array("i"), array("i")
     crc = zlib.crc32
     for w in words:
         raw = w.encode()
         bucket.append(crc(raw) % WORD_BUCKETS)
         w = f"<{w}>"
         own = [crc(w[i : i + 3].encode()) % GRAM_BUCKETS for i in range(len(w) - 2)]
-        grams += own
+        grams.extend(own)
         sizes.append(len(own))
-    return Words(np.array(bucket, np.int64), np.array(grams, np.int64), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
+    return Words(np.array(bucket, np.int32), np.array(grams, np.int32), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
 
 
 def words_of(text: str) -> list[str]:
@@ -304,36 +305,27 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOCHS
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(None, 0.0, float(np.log(share / (1 - share))))
     rng, p = np.random.default_rng(seed), fresh_parameters(seed)
-    lists = [words_of(x) for x in texts]
-    names = sorted(set().union(*lists))
-    number = {x: i for i, x in enumerate(names)}
-    words = hashed(names)
-    flat = np.fromiter((number[x] for own in lists for x in own), np.int64)
-    lengths = np.array([len(x) for x in lists], np.int64)
+    number: dict[str, int] = {}
+    parts = [np.array([number.setdefault(w, len(number)) for w in words_of(x)], np.int32) for x in texts]
+    flat, lengths = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+    words = hashed(list(number))
     doc, start, size = windows(lengths)
     if not len(doc):
         return Model(None, 0.0, float(np.log(share / (1 - share))))
 
-    # documents that have each word bucket or trigram bucket, by label
-    docs_of = np.repeat(np.arange(len(lists)), lengths)
-    pairs = np.unique(docs_of * len(names) + flat)
-    pair_doc, pair_word = pairs // len(names), pairs % len(names)
-
-    def document_counts(docs, keys, n):
-        both = np.unique(docs * n + keys)
-        toxic = labels[both // n] > 0
-        key = both % n
-        return log_odds(np.bincount(key[toxic], minlength=n), np.bincount(key[~toxic], minlength=n), n_toxic, len(labels) - n_toxic)
-
-    p["words"][:, 0] = document_counts(pair_doc, words.bucket[pair_word], WORD_BUCKETS)
-    sizes = np.diff(words.firsts)
-    of_pairs = subset(words, pair_word)
-    p["grams"][:, 0] = document_counts(np.repeat(pair_doc, sizes[pair_word]), of_pairs.grams, GRAM_BUCKETS)
+    # documents that have each word bucket or trigram bucket, by label; one document after another, so no list of all pairs is held
+    with_word, with_gram = np.zeros((2, WORD_BUCKETS)), np.zeros((2, GRAM_BUCKETS))
+    for own, label in zip(parts, labels, strict=True):
+        used = np.unique(own)
+        with_word[int(label), np.unique(words.bucket[used])] += 1
+        with_gram[int(label), np.unique(subset(words, used).grams)] += 1
+    p["words"][:, 0] = log_odds(with_word[1], with_word[0], n_toxic, len(labels) - n_toxic)
+    p["grams"][:, 0] = log_odds(with_gram[1], with_gram[0], n_toxic, len(labels) - n_toxic)
 
     weight = np.where(labels > 0, share / n_toxic, (1 - share) / (len(labels) - n_toxic)) * len(labels)
     first = p["words"][words.bucket[flat], 0]
     steps = np.arange(WINDOW)[:, None]
-    at_all = np.minimum(steps, size - 1) + start
+    at_all = (np.minimum(steps, size - 1) + start).astype(np.int32)
     rank = first[at_all].max(axis=0)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     count, per_epoch = 0, (n_toxic + (HARD + RANDOM) * (len(labels) - n_toxic)) / BATCH
@@ -344,7 +336,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOCHS
         order = np.lexsort((-rank, doc))
         turn = np.arange(len(order)) - np.searchsorted(doc[order], doc[order], "left")
         toxic = labels[doc[order]] > 0
-        drawn = rng.random(len(order)) < RANDOM / np.maximum(1, np.bincount(doc, minlength=len(lists))[doc[order]])
+        drawn = rng.random(len(order)) < RANDOM / np.maximum(1, np.bincount(doc, minlength=len(labels))[doc[order]])
         chosen = order[np.where(toxic, turn < 1, (turn < HARD) | drawn)]
         rng.shuffle(chosen)
         for i in range(0, len(chosen), BATCH):
@@ -358,7 +350,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOCHS
                 m += 0.1 * (v - m)
                 s += 0.001 * (v * v - s)
                 p[k] -= RATE * (EMBEDDING_RATE if k in ("words", "grams") else 1) * (1 - epoch / epochs) * (m / (1 - 0.9**count)) / (np.sqrt(s / (1 - 0.999**count)) + 1e-8)
-    best = np.full(len(lists), LOWEST)
+    best = np.full(len(labels), LOWEST)
     np.maximum.at(best, doc, all_logits(p, words, flat, lengths))
     slope, offset = calibrated(best, labels, weight)
     return Model(p, slope, offset)
@@ -366,7 +358,11 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOCHS
 
 def all_logits(p: dict[str, np.ndarray], words: Words, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     scorer = Scorer(p)
-    scorer.rows = (inputs(p, words) @ scorer.x + scorer.c).astype(np.float32)
+    n = len(words.bucket)
+    scorer.rows = np.empty((n, 6 * HIDDEN), np.float32)
+    for i in range(0, n, 1 << 14):
+        some = np.arange(i, min(n, i + (1 << 14)))
+        scorer.rows[some] = inputs(p, subset(words, some)) @ scorer.x + scorer.c
     return scorer.window_logits(flat, lengths)[1]
 
 
