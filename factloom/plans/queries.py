@@ -539,7 +539,7 @@ N6 = "e AS (SELECT DISTINCT l_orderkey AS t, 's' || l_suppkey AS x FROM lineitem
 
 
 def supplier_claims(spark, sf):
-    return src.table(spark, sf, "lineitem").filter("l_orderkey % 10 = 3").select(F.col("l_orderkey").alias("source_turn_id"), F.concat(F.lit("s"), "l_suppkey").alias("entity_key"))
+    return src.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source_turn_id"), F.concat(F.lit("s"), "l_suppkey").alias("entity_key"))
 
 
 @query(f"WITH {N6} SELECT * FROM n")
