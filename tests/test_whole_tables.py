@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from factloom.plans.queries import QUERIES
+from factloom.operators import context
+from factloom.plans.queries import QUERIES, TOOL_ASK, registry
 
 
 def saved(spark, tmp_path, name, rows, schema):
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
 
 
 def test_entity_graph_has_every_order(spark, tmp_path):
@@ -23,3 +24,13 @@ def test_entity_graph_has_every_order(spark, tmp_path):
     for hop in (1, 2):
         hops |= {b: hop for a, b in pairs if hops.get(a) == hop - 1 and b not in hops}
     assert sorted(map(tuple, QUERIES["n6_hops"](spark, str(tmp_path)).select("entity", "hop").collect())) == sorted(hops.items())
+
+
+def test_every_customer_conditions_discovery(spark, tmp_path):
+    saved(spark, tmp_path, "customer", [(i, "plain" if i < 40 else "walnut") for i in range(60)], "c_custkey long, c_mktsegment string")
+    parts = [(1, "plain shelf", "b", "t"), (2, "walnut shelf", "b", "t"), (3, "walnut walnut", "b", "t"), (4, "oak", "b", "t")]
+    saved(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_brand string, p_type string")
+    known = spark.createDataFrame([(0.5, "plain"), (0.5, "walnut")], "importance double, text string")
+    want = context.discover_tools(registry(spark, str(tmp_path)), TOOL_ASK, known).collect()
+    got = QUERIES["n25_discover_tools"](spark, str(tmp_path)).collect()
+    assert [(r.id, r.score) for r in got] == [(r.id, round(r.score, 6)) for r in want]
