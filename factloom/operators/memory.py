@@ -253,10 +253,18 @@ def forget(store: dict[str, DataFrame], targets: DataFrame, now: int) -> dict[st
     return out
 
 
-def anomalies(new: DataFrame, reference: DataFrame, least: float = 0.15) -> DataFrame:
-    """New vectors whose best cosine with their group's references is low. References are few in each group by construction (the newest 100)."""
-    both = new.join(reference.select("group", F.col("embedding").alias("other")), "group")
-    return both.groupBy("group", "id").agg(F.round(F.max(tx.cosine(F.col("embedding"), F.col("other"))), 6).alias("best")).withColumn("anomalous", F.col("best") < least)
+def anomalies(new: DataFrame, reference: DataFrame, least: float = 0.15, most: int = 100) -> DataFrame:
+    """New vectors whose best cosine with the newest references of their group is low; without references nothing can be judged.
+
+    The newest are those of the highest ids. A vector is no reference of itself, so one more than needed is held for each group.
+    """
+    w = Window.partitionBy("group").orderBy(F.desc("id"))
+    held = reference.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most + 1)
+    held = held.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("rn", F.col("id").alias("ref"), "embedding"))).alias("held"))
+    rows = new.join(F.broadcast(held), "group", "left")
+    others = F.slice(F.filter("held", lambda x: x["ref"] != F.col("id")), 1, most)
+    best = F.round(F.array_max(F.transform(others, lambda x: tx.cosine(F.col("embedding"), x["embedding"]))), 6)
+    return rows.select("group", "id", best.alias("best")).withColumn("anomalous", F.coalesce(F.col("best") < least, F.lit(False)))
 
 
 def reader_items(hits: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections import defaultdict
 
 from factloom.operators import context
@@ -34,3 +36,21 @@ def test_every_customer_conditions_discovery(spark, tmp_path):
     want = context.discover_tools(registry(spark, str(tmp_path)), TOOL_ASK, known).collect()
     got = QUERIES["n25_discover_tools"](spark, str(tmp_path)).collect()
     assert [(r.id, r.score) for r in got] == [(r.id, round(r.score, 6)) for r in want]
+
+
+def test_every_vector_is_scored_against_the_newest_of_its_group(spark, tmp_path):
+    pick = random.Random(1)
+    rows = [(i, 0 if i < 130 else 1, [pick.uniform(-1, 1) for _ in range(3)]) for i in range(140)] + [(140, 2, [1.0, 0.0, 0.0])]
+    rows += [(200, 3, [1.0, 0.0, 0.0]), (201, 3, [0.0, 1.0, 0.0])]
+    saved(spark, tmp_path, "embeddings", rows, "vec_id long, label int, embedding array<double>")
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    want = {}
+    for i, group, v in rows:
+        others = sorted((r for r in rows if r[1] == group and r[0] != i), reverse=True)[:100]
+        best = max((round(cosine(v, r[2]), 6) for r in others), default=None)
+        want[i] = (best, best is not None and best < 0.15)
+    got = {r.id: (r.best, r.anomalous) for r in QUERIES["n17_anomalies"](spark, str(tmp_path)).collect()}
+    assert got == want and got[140] == (None, False) and got[200] == (0.0, True)
