@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.functions import text as tx
-from factloom.operators import rank, views
+from factloom.operators import memory, rank, views
 
 # Word lists of tool hooks and of query expansion.
 SKIPPED_TOOLS = ("Read", "Glob", "Grep", "LS", "LSP", "TaskCreate", "TaskGet", "TaskList", "TaskUpdate", "TaskStop", "TaskOutput", "Monitor", "AskUserQuestion", "WebSearch", "WebFetch")
@@ -28,13 +28,18 @@ class Answer(NamedTuple):
     served: DataFrame
 
 
-def working_context(claims: DataFrame, turns: DataFrame, recent: int = 5) -> DataFrame:
-    """The latest turns of each session as one text, and its salient entities in order."""
+def working_context(claims: DataFrame, turns: DataFrame, now: int, recent: int = 5, k: int = 50, budget: int = 2000) -> DataFrame:
+    """The latest turns of each session as one text, their entities in order, and the facts and turns that the text retrieves, packed into the budget."""
     w = Window.partitionBy("session_id").orderBy(F.desc("ts"), "turn_id")
     last = turns.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= recent)
-    said = last.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("rn"), "text"))), lambda x: x["text"]), " ").alias("query"))
-    names = claims.groupBy("session_id").agg(F.array_sort(F.collect_set("subject")).alias("entities"))
-    return said.join(names, "session_id", "left")
+    names = F.flatten(F.collect_list(F.transform(tx.entities(F.coalesce("text", F.lit(""))), lambda x: F.lower(x["entity"]))))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("rn"), "text"))), lambda x: x["text"]), " ")
+    said = last.groupBy("session_id").agg(text.alias("query"), F.array_sort(F.array_distinct(names)).alias("entities"))
+    asks = said.filter(F.trim("query") != "").select("session_id", "query")
+    fused = rank.fuse_memory(rank.asked_facts(claims, asks, now), rank.asked_episodes(turns, asks), k)
+    texts = claims.select("session_id", F.lit("fact").alias("kind"), F.col("claim_id").alias("id"), "text").unionByName(turns.select("session_id", F.lit("turn").alias("kind"), F.col("turn_id").alias("id"), "text"))
+    packed = memory.packed_context(fused.join(texts, ["session_id", "kind", "id"]), budget)
+    return said.join(packed, "session_id", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
 
 
 def expanded(claims: DataFrame, query: str, k: int = 20, subjects: int = 3) -> DataFrame:

@@ -187,7 +187,8 @@ def around(turns: DataFrame, ids: DataFrame, k: int = 2) -> DataFrame:
 def packed_context(hits: DataFrame, budget: int = 2000) -> DataFrame:
     """Hits of each session best first, skipping those that don't fit. Skipping depends on what was taken, so it is a fold over the sorted array, in the engine."""
     cost = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("int")
-    item = F.struct((-F.col("score")).alias("order"), F.col("id").alias("id"), cost.alias("cost"))
+    kind = [F.col("kind")] if "kind" in hits.columns else []
+    item = F.struct((-F.col("score")).alias("order"), *kind, F.col("id").alias("id"), cost.alias("cost"))
     rows = hits.groupBy("session_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("ids"))
 

@@ -107,8 +107,53 @@ def facts(claims: DataFrame, query: str, include_superseded: bool = False, scope
     return ranked.filter(~F.col("demoted")) if "demoted" in ranked.columns else ranked
 
 
+def asked_bm25(docs: DataFrame, asks: DataFrame, key: str) -> DataFrame:
+    """docs with a score against their session's own query (session_id, query). Queries are rows here, so words are joined, not columns."""
+    words = docs.withColumn("__t", tx.tokens(F.coalesce(F.col("text"), F.lit("")))).select("session_id", key, F.size("__t").cast("double").alias("__dl"), "__t")
+    figures = words.groupBy("session_id").agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"))
+    asked = asks.select("session_id", F.explode(tx.tokens(F.col("query"))).alias("token")).groupBy("session_id", "token").agg(F.count("*").alias("__qc"))
+    tf = words.select("session_id", key, "__dl", F.explode("__t").alias("token")).groupBy("session_id", key, "__dl", "token").agg(F.count("*").alias("__tf"))
+    hit = tf.join(asked, ["session_id", "token"]).withColumn("__df", F.count("*").over(Window.partitionBy("session_id", "token"))).join(figures, "session_id")
+    idf = F.ln((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5) + 1.0)
+    norm = F.col("__tf") + model.BM25_K1 * (1.0 - model.BM25_B + model.BM25_B * F.col("__dl") / F.col("__avg"))
+    score = hit.groupBy("session_id", key).agg(F.round(F.sum(F.col("__qc") * idf * F.col("__tf") * (model.BM25_K1 + 1.0) / norm), 12).alias("bm25"))
+    return docs.join(score, ["session_id", key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+
+
+def asked_episodes(turns: DataFrame, asks: DataFrame) -> DataFrame:
+    """`episodes` with a query for each session."""
+    raw = F.array_distinct(F.concat(F.split(F.lower("query"), r"\s+"), tx.tokens(F.col("query"))))
+    rows = asked_bm25(turns, asks, "turn_id").join(asks.select("session_id", raw.alias("__raw")), "session_id")
+    rows = rows.withColumn("entity", F.arrays_overlap(tx.tokens(F.col("text")), "__raw").cast("double")).withColumn("recency", F.col("ts").cast("double"))
+    return fused(rows, {c: w for c, w in model.EPISODE_WEIGHTS.items() if c != "semantic"}, "session_id", ["ts", "turn_id"])
+
+
+def asked_facts(claims: DataFrame, asks: DataFrame, now: int) -> DataFrame:
+    """`facts` with a query for each session, which also tells whether the past counts, its window of time and its predicates."""
+    window = F.udf(lambda q: temporal_scope(q, now), "struct<since:long,until:long>")
+    names = F.flatten(F.array(*[F.when(tx.contains_any(F.lower("query"), w), tx.words_in(f)).otherwise(F.array().cast("array<string>")) for w, f, _ in tx.QUERY_FAMILIES]))
+    told = asks.select(
+        "session_id", F.split(F.lower("query"), r"\s+").alias("__words"), tx.history_intent(F.col("query")).alias("__past"), window("query").alias("__scope"), names.alias("__names"),
+        F.when(tx.query_type(F.col("query")).isin("knowledge_update", "temporal"), 3.0).otherwise(1.0).alias("__times"),
+    )
+    rows = claims.join(told, "session_id").filter(F.col("status").isin(*model.SERVABLE) | F.col("__past"))
+    rows = asked_bm25(rows, asks, "claim_id")
+    rows = rows.withColumn("entity", F.forall(F.split(F.coalesce(F.col("subject"), F.lit("")), "_"), lambda x: F.array_contains("__words", x)).cast("double"))
+    recency = F.coalesce(*[F.col(c) for c in ("event_ts", "valid_from_ts", "created_ts") if c in claims.columns])
+    count = Window.partitionBy("session_id", F.coalesce(F.col("subject"), F.lit("")), F.coalesce(F.col("predicate"), F.lit("")))
+    rows = rows.withColumn("temporal", recency.cast("double")).withColumn("trust", F.col("source_trust")).withColumn("frequency", F.count("*").over(count).cast("double"))
+    rows = rows.withColumn("scope", F.coalesce(recency.between(F.col("__scope.since"), F.col("__scope.until")), F.lit(False)).cast("double"))
+    rows = rows.withColumn("predicate_match", F.coalesce(F.array_contains("__names", F.col("predicate")), F.lit(False)).cast("double"))
+    weights = {c: F.lit(w) for c, w in model.WEIGHTS.items() if c not in ("semantic", "scope", "predicate") and c in rows.columns}
+    weights["temporal"] = weights["temporal"] * F.col("__times")
+    weights["scope"] = F.when(F.col("__scope").isNotNull(), model.WEIGHTS["scope"]).otherwise(0.0)
+    weights["predicate_match"] = F.when(F.size("__names") > 0, model.WEIGHTS["predicate"]).otherwise(0.0)
+    ranked = fused(rows, weights, "session_id", ["created_ts", "claim_id"])
+    return ranked.filter(~F.col("demoted")) if "demoted" in ranked.columns else ranked
+
+
 def fuse_memory(facts_ranked: DataFrame, episodes_ranked: DataFrame, per_session: int | None = None) -> DataFrame:
-    """Facts and turns of each session in one order; of each kind's ranking, position counts, facts slightly more."""
+    """Facts and turns of each session in one order; of each kind's ranking, position counts, facts slightly more. The most for a session are cut after fusing."""
     f = facts_ranked.select("session_id", F.lit("fact").alias("kind"), F.col("claim_id").alias("id"), "score", F.col("claim_id").alias("tie"))
     e = episodes_ranked.select("session_id", F.lit("turn").alias("kind"), F.col("turn_id").alias("id"), "score", F.col("turn_id").alias("tie"))
     w = Window.partitionBy("session_id", "kind").orderBy(F.desc("score"), "tie")
@@ -116,7 +161,8 @@ def fuse_memory(facts_ranked: DataFrame, episodes_ranked: DataFrame, per_session
     if per_session:
         both = both.filter(F.col("rank") <= per_session)
     weight = F.when(F.col("kind") == "fact", model.FACT_WEIGHT).otherwise(model.EPISODE_WEIGHT)
-    return both.select("session_id", "kind", "id", F.round(weight / (model.RRF_K + F.col("rank")), 12).alias("score"))
+    both = both.select("session_id", "kind", "id", F.round(weight / (model.RRF_K + F.col("rank")), 12).alias("score"))
+    return top(both, per_session, [F.desc("score"), "kind", "id"], "session_id").drop("rn") if per_session else both
 
 
 def across(hits: DataFrame, top_k: int = model.TOP_K, reserved: int = model.PER_SESSION_K, most: int = model.MOST_ACROSS) -> DataFrame:

@@ -488,16 +488,18 @@ def j11_hybrid(spark, sf):
     return rank.top(rows, 20, [F.desc("score"), "claim_id"], "session_id").select("session_id", "claim_id", F.col("rn").cast("long").alias("place"))
 
 
+def session_claims(spark, sf):
+    return src.claims(spark, sf).withColumn("status", F.lit("active")).withColumn("session_id", F.replace("session_id", F.lit("s"), F.lit("")))
+
+
 def hits(spark, sf):
-    claims = src.claims(spark, sf).withColumn("status", F.lit("active")).withColumn("session_id", F.replace("session_id", F.lit("s"), F.lit("")))
-    return rank.fuse_memory(rank.facts(claims, CLAIM_ASK), rank.episodes(src.turns(spark, sf), ASK), 5)
+    return rank.fuse_memory(rank.facts(session_claims(spark, sf), CLAIM_ASK), rank.episodes(src.turns(spark, sf), ASK), 5)
 
 
 @query(f"""WITH {EPISODES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn_id) AS rk FROM ep)
 SELECT session_id, 'turn' AS kind, turn_id AS id, round(0.9 / (60 + rk), 6) AS score FROM r WHERE rk <= 5""")
 def j13_fused_episodes(spark, sf):
-    empty = src.claims(spark, sf).limit(0).select("session_id", "claim_id", F.lit(0.0).alias("score"))
-    rows = rank.fuse_memory(empty, rank.episodes(src.turns(spark, sf), ASK), 5)
+    rows = rank.fuse_memory(rank.facts(session_claims(spark, sf), ASK), rank.episodes(src.turns(spark, sf), ASK), model.TOP_K)
     return rows.withColumn("score", F.round("score", 6))
 
 
@@ -627,8 +629,8 @@ def l1_stream_windows(spark, sf):
 @query(f"""WITH {T}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, turn_id) AS rn FROM turns)
 SELECT session_id, string_agg(text, ' ' ORDER BY rn DESC) AS query FROM r WHERE rn <= 5 GROUP BY session_id""")
 def n9_working_context(spark, sf):
-    claims = src.claims(spark, sf).limit(0)
-    return context.working_context(claims, src.turns(spark, sf)).select("session_id", "query")
+    rows = context.working_context(session_claims(spark, sf), src.turns(spark, sf), NOW)
+    return rows.select("session_id", "query", F.array_join("entities", ",").alias("entities"), "used", F.array_join("ids", ",").alias("ids"))
 
 
 @query()

@@ -6,7 +6,7 @@ import math
 import random
 from collections import defaultdict
 
-from factloom.operators import context
+from factloom.operators import context, rank
 from factloom.plans.queries import QUERIES, TOOL_ASK, registry
 
 
@@ -54,3 +54,33 @@ def test_every_vector_is_scored_against_the_newest_of_its_group(spark, tmp_path)
         want[i] = (best, best is not None and best < 0.15)
     got = {r.id: (r.best, r.anomalous) for r in QUERIES["n17_anomalies"](spark, str(tmp_path)).collect()}
     assert got == want and got[140] == (None, False) and got[200] == (0.0, True)
+
+
+CLAIMS = "claim_id string, session_id string, subject string, predicate string, value string, text string, source_turn_id string, status string, confidence double, source_trust double, valid_from_ts long, created_ts long"
+
+
+def test_working_context_retrieves_and_packs_as_each_sessions_own_query(spark):
+    claims = spark.createDataFrame([(f"c{s}{i}", f"s{s}", "berlin" if i % 3 else "tea", "user_fact", f"v{i}", f"berlin fact v{i} like tea" if i % 2 else f"v{i} other", "t", "superseded" if i == 4 else "active", i / 10, 1.0 - i / 20, i, i) for s in (1, 2) for i in range(8)], CLAIMS)
+    said = {"s1": ["I live in Berlin", "my tea is cold", "updated fact v3"], "s2": ["before it was Munich", "plain words v4", " "], "s3": [" "]}
+    turns = spark.createDataFrame([(f"t{s}{i}", s, x, i) for s, xs in said.items() for i, x in enumerate(xs)], "turn_id string, session_id string, text string, ts long")
+    got = {r.session_id: r for r in context.working_context(claims, turns, 10, k=9, budget=20).collect()}
+    for s in ("s1", "s2"):
+        ask, one, own = " ".join(said[s]), claims.filter(f"session_id = '{s}'"), turns.filter(f"session_id = '{s}'")
+        families = ("user_fact", "user_preference") if s == "s1" else ()
+        fused = rank.fuse_memory(rank.facts(one, ask, s == "s2", None, families), rank.episodes(own, ask)).collect()
+        text = {r.claim_id: r.text for r in one.collect()} | {r.turn_id: r.text for r in own.collect()}
+        used, ids = 0, []
+        for h in sorted(fused, key=lambda h: (-h.score, h.kind, h.id))[:9]:
+            cost = max(1, len(text[h.id]) // 4)
+            if used + cost <= 20:
+                used, ids = used + cost, [*ids, h.id]
+        assert (got[s].used, got[s].ids) == (used, ids) and ids
+    assert got["s1"].entities == ["berlin"] and (got["s3"].used, got["s3"].ids) == (0, [])
+
+
+def test_fusion_cuts_after_both_kinds_meet(spark):
+    f = spark.createDataFrame([("s", f"c{i:02}", -float(i)) for i in range(12)], "session_id string, claim_id string, score double")
+    e = spark.createDataFrame([("s", f"t{i:02}", -float(i)) for i in range(12)], "session_id string, turn_id string, score double")
+    both = [(1.0 / (60 + i), "fact", f"c{i - 1:02}") for i in range(1, 13)] + [(0.9 / (60 + i), "turn", f"t{i - 1:02}") for i in range(1, 13)]
+    want = {x[2] for x in sorted(both, key=lambda x: (-round(x[0], 12), *x[1:]))[:10]}
+    assert {r.id for r in rank.fuse_memory(f, e, 10).collect()} == want and {x[0] for x in want} == {"c", "t"}
