@@ -171,16 +171,59 @@ def digest(claims: DataFrame, top: int = 3) -> DataFrame:
     return ranked.groupBy("session_id").agg(facts.alias("facts"), F.sum(F.when(F.col("rn") > top, 1).otherwise(0)).alias("remaining"))
 
 
-def profile(claims: DataFrame, volatility: DataFrame, budget: int = 500, cut: float = 0.8) -> DataFrame:
-    """Lines of each subject by tier until the tier's first line that doesn't fit: stable and important, evolving, preferences, volatile.
+PROFILE = "subject string, tier int, text string, claim_ids array<string>, cost int, used int"
 
-    A line costs four tokens a word. As a tier stops at its first overflow, running sums decide; nothing is folded.
+
+def profile(claims: DataFrame, edges: DataFrame, events: DataFrame, budget: int = 500, cut: float = 0.8) -> DataFrame:
+    """Lines of each subject under a budget, four tokens a word: stable and important claims, evolving ones with what they replaced, preferences, life events, volatile ones with their changes.
+
+    A tier ends at its first line that doesn't fit and the next goes on with what is left; a claim is told once. Both depend on
+    the lines before, so a subject's lines are folded in one task. Changes are counted for each subject and predicate, an edge once
+    for either end. events: `memory.bursts`.
     """
-    labelled = active(claims).join(volatility.select("predicate", "label"), "predicate", "left").withColumn("label", F.coalesce("label", F.lit("stable")))
-    tier = F.when((F.col("label") == "stable") & (F.col("importance") >= cut), 1).when(F.col("label") == "evolving", 2).when(F.col("predicate") == "user_preference", 3).when(F.col("label") == "volatile", 5)
-    rows = labelled.withColumn("tier", tier).filter("tier is not null").withColumn("cost", 4 * F.size(F.split(F.trim("text"), r"\s+")))
-    w = Window.partitionBy("subject").orderBy("tier", F.desc("importance"), "created_ts", "claim_id")
-    return rows.withColumn("used", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= budget)
+    slots = claims.select("claim_id", "subject", "predicate", "value")
+    changes = edges.select(F.explode(F.array("old_claim_id", "new_claim_id")).alias("claim_id")).join(slots, "claim_id").groupBy("subject", "predicate").agg(F.count("*").alias("changes"))
+    last = edges.groupBy(F.col("new_claim_id").alias("claim_id")).agg(F.max_by("old_claim_id", F.struct("created_ts", "old_claim_id")).alias("old"))
+    before = last.join(slots.select(F.col("claim_id").alias("old"), F.col("value").alias("before")), "old").select("claim_id", "before")
+    rows = active(claims).join(changes, ["subject", "predicate"], "left").join(before, "claim_id", "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
+    label = volatility_label(F.col("changes"))
+    plain = F.concat(F.lit("["), F.col("predicate"), F.lit("] "), F.col("value"))
+    tiers = F.array(
+        F.when((label == "stable") & (F.col("importance") >= cut), F.struct(F.lit(1).alias("tier"), plain.alias("text"))),
+        F.when(label == "evolving", F.struct(F.lit(2).alias("tier"), F.concat(plain, F.coalesce(F.concat(F.lit(" (previously: "), F.col("before"), F.lit(")")), F.lit(""))).alias("text"))),
+        F.when(F.col("predicate") == "user_preference", F.struct(F.lit(3).alias("tier"), plain.alias("text"))),
+        F.when(label == "volatile", F.struct(F.lit(5).alias("tier"), F.concat(plain, F.lit(" (changed "), F.col("changes").cast("string"), F.lit(" times)")).alias("text"))),
+    )
+    lines = rows.select("subject", F.explode(F.array_compact(tiers)).alias("x"), F.col("importance").cast("double").alias("weight"), "created_ts", "claim_id", F.array("claim_id").alias("claim_ids"))
+    lines = lines.select("subject", "x.tier", "x.text", "weight", "created_ts", "claim_id", "claim_ids")
+    told = F.explode("claim_ids").alias("claim_id")
+    first = events.select("subject", "start_ts", told).join(slots.drop("subject"), "claim_id").join(claims.select("claim_id", "created_ts"), "claim_id")
+    first = first.groupBy("subject", "start_ts", "predicate").agg(F.min_by("value", F.struct("created_ts", "claim_id")).alias("value"))
+    changed = first.groupBy("subject", "start_ts").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("predicate", "value"))), lambda x: F.concat(x["predicate"], F.lit(" -> "), x["value"])), ", ").alias("changed"))
+    day = F.date_format(F.date_from_unix_date((F.floor(F.col("start_ts") / model.DAY_NS)).cast("int")), "yyyy-MM-dd")
+    life = events.join(changed, ["subject", "start_ts"]).join(active(claims).select("subject").distinct(), "subject", "left_semi").select(
+        "subject", F.lit(4).alias("tier"), F.concat(F.lit("[life_event] Changes on "), day, F.lit(": "), F.col("changed")).alias("text"),
+        F.col("significance").alias("weight"), F.col("start_ts").alias("created_ts"), F.lit("").alias("claim_id"), "claim_ids",
+    )
+
+    def fold(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["tier", "weight", "created_ts", "claim_id"], ascending=[True, False, True, True])
+        out, used, told, ended = [], 0, set(), 0
+        for tier, text, ids in zip(pdf["tier"], pdf["text"], pdf["claim_ids"], strict=True):
+            if tier == ended or (tier != 4 and ids[0] in told):
+                continue
+            cost = 4 * len(text.split())
+            if used + cost > budget:
+                ended = tier
+                continue
+            used += cost
+            told.update(ids)
+            out.append((key[0], tier, text, list(ids), cost, used))
+        return pd.DataFrame(out, columns=["subject", "tier", "text", "claim_ids", "cost", "used"])
+
+    return lines.unionByName(life).groupBy("subject").applyInPandas(fold, PROFILE)
 
 
 def stats(claims: DataFrame) -> DataFrame:

@@ -521,7 +521,8 @@ def n1_digest(spark, sf):
 @query()
 def n2_profile(spark, sf):
     rows, edges = validity(spark, sf)
-    return views.profile(rows.withColumn("importance", F.col("confidence")), views.predicate_volatility(rows, edges), 60).select("subject", "claim_id", "tier", "used")
+    lines = views.profile(rows.withColumn("importance", F.col("confidence")), edges, memory.bursts(views.active(rows)), 60)
+    return lines.select("subject", "tier", "text", F.array_join("claim_ids", ",").alias("claim_ids"), "used")
 
 
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN n{i} > 0 AND n{i} = greatest({', '.join(f'n{j}' for j in range(6))}) THEN '{k}'" for i, k in enumerate(tx.EVENT_SIGNALS)) + " END AS kind FROM (SELECT doc_id, "

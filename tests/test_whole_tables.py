@@ -6,7 +6,7 @@ import math
 import random
 from collections import defaultdict
 
-from factloom.operators import context, rank
+from factloom.operators import context, rank, views
 from factloom.plans.queries import QUERIES, TOOL_ASK, registry
 
 
@@ -84,3 +84,25 @@ def test_fusion_cuts_after_both_kinds_meet(spark):
     both = [(1.0 / (60 + i), "fact", f"c{i - 1:02}") for i in range(1, 13)] + [(0.9 / (60 + i), "turn", f"t{i - 1:02}") for i in range(1, 13)]
     want = {x[2] for x in sorted(both, key=lambda x: (-round(x[0], 12), *x[1:]))[:10]}
     assert {r.id for r in rank.fuse_memory(f, e, 10).collect()} == want and {x[0] for x in want} == {"c", "t"}
+
+
+def test_profile_as_a_plain_loop(spark):
+    long = " ".join(["word"] * 9)
+    claims = [("a1", "job", "cook", 0.9, "active", 1), ("a2", "home", long, 0.85, "active", 2), ("a3", "car", "red", 0.82, "active", 3), ("b1", "city", "Rome", 0.3, "superseded", 1), ("b2", "city", "Bern", 0.4, "active", 4),
+              ("p1", "user_preference", "tea", 0.5, "active", 5), ("v3", "mood", "calm", 0.7, "active", 8), ("v2", "mood", "sad", 0.1, "superseded", 7), ("v1", "mood", "glad", 0.1, "superseded", 6)]
+    df = spark.createDataFrame([(i, "u", *x) for i, *x in claims], "claim_id string, subject string, predicate string, value string, importance double, status string, created_ts long")
+    edges = spark.createDataFrame([("b1", "b2", 4), ("v1", "v2", 7), ("v2", "v3", 8)], "old_claim_id string, new_claim_id string, created_ts long")
+    events = spark.createDataFrame([("u", 3, 5, ["a3", "p1"], 0.5)], "subject string, start_ts long, end_ts long, claim_ids array<string>, significance double")
+    tiers = {1: [("[job] cook", ["a1"]), (f"[home] {long}", ["a2"]), ("[car] red", ["a3"])], 2: [("[city] Bern (previously: Rome)", ["b2"])], 3: [("[user_preference] tea", ["p1"])],
+             4: [("[life_event] Changes on 1970-01-01: car -> red, user_preference -> tea", ["a3", "p1"])], 5: [("[mood] calm (changed 4 times)", ["v3"])]}
+    for budget in (20, 40, 60, 100, 500):
+        want, used = [], 0
+        for tier, lines in tiers.items():
+            for text, ids in lines:
+                cost = 4 * len(text.split())
+                if used + cost > budget:
+                    break
+                used += cost
+                want.append((tier, text, ids, used))
+        got = views.profile(df, edges, events, budget).collect()
+        assert sorted((r.tier, r.text, r.claim_ids, r.used) for r in got) == sorted(want)
