@@ -5,15 +5,16 @@ word enters as the embedding of its hash beside the mean embedding of the hashes
 gated recurrent unit reads the window each way, attention pools its states, and a logistic unit scores the
 window. A document's score is that of its highest window, calibrated on the training documents.
 
-Training: at most about SAMPLE_POSITIVE and SAMPLE_NEGATIVE labelled documents (by a hash of the id; the only bound,
-a parameter), never from the held-out fold. Labels belong to documents, so windows are chosen in
-rounds: of a toxic document the one the network takes to be most toxic, of others the most toxic and some more. The first
-choice is by the words' log-odds, which also start one dimension of the embeddings. Weights bring the sample back to
-the share of toxic documents among the labelled ones.
+Training: at most about SAMPLE_POSITIVE and SAMPLE_NEGATIVE labelled documents of SAMPLE_BYTES in all (by a hash of the id;
+parameters, the only bounds), never from the held-out fold; of texts with one id, the least. Labels belong to documents, so windows
+are chosen in rounds: of a toxic document the one the network takes to be most toxic, of others the most toxic and some more. The
+first choice is by the words' log-odds, which also start one dimension of the embeddings. Against learning documents by heart, each
+document is left out of its words' counts, embeddings move by how many documents have them, and some words of a
+window are dropped. Weights bring the sample back to the share of toxic documents among the labelled ones.
 
 Scoring goes over all windows of whole texts, in one narrow stage; the broadcast model has a fixed size. A text
-without words, null ones too, has the score of the lowest logit. Rows labelled twice count as toxic
-if any label says so; null labels are left out. Without labels of both kinds every score is the share of toxic ones (0 if
+without words, null ones too, has the score of the lowest logit; of windows with equal logits either is the highest, and of words
+equally toxic the first window is learned from. Rows labelled twice count as toxic if any label says so; null labels are left out. Without labels of both kinds every score is the share of toxic ones (0 if
 none). Repeated rows get equal scores, empty tables an empty result. Other columns aren't read.
 """
 
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 from . import common
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1200, 2400
+#: Bytes of text that the sample may have; documents beyond it, in the order of the ids' hashes, are left out.
+SAMPLE_BYTES = 32 << 20
 WINDOW, STRIDE = 24, 16
 WORD_BUCKETS = GRAM_BUCKETS = 1 << 14
 WORD_SIZE = GRAM_SIZE = 8
@@ -41,8 +44,10 @@ HIDDEN, ATTENTION = 8, 8
 EPOCHS, BATCH, RATE = 8, 256, 0.01
 #: A small sample is gone over more often, for so many batches in all.
 LEAST_BATCHES = 300
-#: Factor of the embeddings' rate; words and trigrams in fewer documents start without log-odds.
-EMBEDDING_RATE, SEEN = 1.0, 1
+#: Documents, besides its own, that a word's or trigram's embedding needs to move at half the rate: those of fewer tell documents apart, not labels.
+SHRINK = 50_000.0
+#: Spread of the embeddings at the start, and share of a window's words left out while learning.
+SPREAD, DROPPED = 0.1, 0.1
 #: Windows of a document without toxic label that an epoch learns from: the most toxic ones and others.
 HARD, RANDOM = 3, 2
 LOWEST = -12.0
@@ -98,7 +103,7 @@ def fresh_parameters(seed: int = SEED) -> dict[str, np.ndarray]:
     def normal(*shape, scale):
         return rng.normal(0, scale, shape).astype(np.float32)
 
-    p = {"words": normal(WORD_BUCKETS, WORD_SIZE, scale=0.1), "grams": normal(GRAM_BUCKETS, GRAM_SIZE, scale=0.1)}
+    p = {"words": normal(WORD_BUCKETS, WORD_SIZE, scale=SPREAD), "grams": normal(GRAM_BUCKETS, GRAM_SIZE, scale=SPREAD)}
     for way in "fb":
         p["x" + way] = normal(size, 3 * HIDDEN, scale=size**-0.5)
         p["c" + way] = np.zeros(3 * HIDDEN, np.float32)
@@ -290,11 +295,17 @@ class Scorer:
         return best
 
 
+def besides(count: np.ndarray) -> np.ndarray:
+    """Documents other than the one at hand: a count less its own."""
+    return np.maximum(count - 1, 0)
+
+
 def log_odds(toxic: np.ndarray, others: np.ndarray, n_toxic: float, n_others: float) -> np.ndarray:
-    """Shrunk towards 0 where few documents have it, 0 where fewer than SEEN do (else a document's own rare words tell its label), and scaled to about one."""
+    """Shrunk towards 0 where few documents have it and scaled to about one. Each count is less one, else a document's own rare words tell its label."""
+    toxic, others = besides(toxic), besides(others)
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((others + 0.5) / (n_others + 1))
     seen = toxic + others
-    return np.where(seen < SEEN, 0, np.clip(odds * seen / (seen + 4), -4, 4) / 4)
+    return np.where(seen < 1, 0, np.clip(odds * seen / (seen + 4), -4, 4) / 4)
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -322,6 +333,9 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOCHS
     p["words"][:, 0] = log_odds(with_word[1], with_word[0], n_toxic, len(labels) - n_toxic)
     p["grams"][:, 0] = log_odds(with_gram[1], with_gram[0], n_toxic, len(labels) - n_toxic)
 
+    pace = {"words": with_word, "grams": with_gram}
+    pace = {k: (besides(v.sum(axis=0)) / (besides(v.sum(axis=0)) + SHRINK)).astype(np.float32)[:, None] for k, v in pace.items()}
+
     weight = np.where(labels > 0, share / n_toxic, (1 - share) / (len(labels) - n_toxic)) * len(labels)
     first = p["words"][words.bucket[flat], 0]
     steps = np.arange(WINDOW)[:, None]
@@ -342,6 +356,8 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOCHS
         for i in range(0, len(chosen), BATCH):
             part = chosen[i : i + BATCH]
             mask = (steps < size[part])[:, :, None].astype(np.float32)
+            mask[rng.random(mask.shape) < DROPPED] = 0  # at least one word stays, below
+            mask[0] = np.maximum(mask[0], mask.sum(axis=0) == 0)
             w = np.where(labels[doc[part]] > 0, weight[doc[part]], weight[doc[part]] / (HARD + RANDOM)).astype(np.float32)
             g = gradients(p, words, flat[at_all[:, part]], mask, labels[doc[part]], w)
             count += 1
@@ -349,7 +365,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = EPOCHS
                 m, s = moments[k]
                 m += 0.1 * (v - m)
                 s += 0.001 * (v * v - s)
-                p[k] -= RATE * (EMBEDDING_RATE if k in ("words", "grams") else 1) * (1 - epoch / epochs) * (m / (1 - 0.9**count)) / (np.sqrt(s / (1 - 0.999**count)) + 1e-8)
+                p[k] -= RATE * pace.get(k, 1) * (1 - epoch / epochs) * (m / (1 - 0.9**count)) / (np.sqrt(s / (1 - 0.999**count)) + 1e-8)
     best = np.full(len(labels), LOWEST)
     np.maximum.at(best, doc, all_logits(p, words, flat, lengths))
     slope, offset = calibrated(best, labels, weight)
@@ -378,6 +394,16 @@ def calibrated(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     return max(float(b[0]), 1e-3), float(b[1])
 
 
+def within(sizes: list[tuple], most: int) -> list:
+    """Ids in order whose sizes add up to at most so much; one that would go beyond it is passed over."""
+    kept, used = [], 0
+    for name, size in sizes:
+        if used + size <= most:
+            kept.append(name)
+            used += size
+    return kept
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on a bounded sample; the driver holds that sample and the network."""
     known = labels.filter(F.col(label_col).isNotNull() & ~common.held_out(id_col))
@@ -390,8 +416,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     limit = F.when(F.col("label") == 1, space * SAMPLE_POSITIVE // max(toxic, SAMPLE_POSITIVE)).otherwise(space * SAMPLE_NEGATIVE // max(total - toxic, SAMPLE_NEGATIVE))
     sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(space)) < limit)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # bounded by the sample's size
-    found = rows.orderBy("id", "text").collect()
-    return fit([x.text or "" for x in found], np.array([x.label for x in found]), toxic / total)
+    texts = common.written(rows.groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "toxicity-sample")
+    sizes = texts.select("id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id").collect()  # a row for each sampled document
+    found = texts.filter(F.col("id").isin(within(sizes, SAMPLE_BYTES))).orderBy("id").collect()
+    return fit([x.text for x in found], np.array([x.label for x in found]), toxic / total)
 
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]

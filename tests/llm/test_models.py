@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +16,6 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_held_out_is_the_named_fold(spark):
-    import zlib
-
     got = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", common.held_out("doc_id").alias("h")).collect()
     assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
@@ -109,6 +111,104 @@ def test_network_finds_toxic_documents():
     assert np.allclose(forgot([texts[450] * 50]), toxicity.Scorer(model.parameters)([texts[450] * 50]), atol=1e-4)
 
 
+def slow_logit(p, text):
+    """The highest logit of a text's windows: one window, one word, one state at a time, in plain Python."""
+
+    def dot(x, m):
+        return [sum(a * row[j] for a, row in zip(x, m, strict=True)) for j in range(len(m[0]))]
+
+    def logistic(x):
+        return 1 / (1 + math.exp(-x))
+
+    q = {k: v.astype(float).tolist() for k, v in p.items()}
+    words, best = re.findall(r"\w+", text.lower()), toxicity.LOWEST
+    n, h = len(words), toxicity.HIDDEN
+    starts = [0] if 0 < n <= 24 else list(range(0, n - 24 + 16, 16)) if n else []
+    for start in starts:
+        own = words[start : start + 24]
+        x = []
+        for w in own:
+            grams = [zlib.crc32(f"<{w}>"[i : i + 3].encode()) % toxicity.GRAM_BUCKETS for i in range(len(w))]
+            mean = [sum(q["grams"][g][j] for g in grams) / len(grams) for j in range(toxicity.GRAM_SIZE)]
+            x.append(q["words"][zlib.crc32(w.encode()) % toxicity.WORD_BUCKETS] + mean)
+        ways = []
+        for way, order in (("f", range(len(own))), ("b", range(len(own) - 1, -1, -1))):
+            state, states = [0.0] * h, [[]] * len(own)
+            for t in order:
+                a = [u + v for u, v in zip(dot(x[t], q["x" + way]), q["c" + way], strict=True)]
+                g = dot(state, q["u" + way])
+                z, r = [logistic(a[i] + g[i]) for i in range(h)], [logistic(a[h + i] + g[h + i]) for i in range(h)]
+                c = [math.tanh(a[2 * h + i] + r[i] * g[2 * h + i]) for i in range(h)]
+                state = [(1 - z[i]) * c[i] + z[i] * state[i] for i in range(h)]
+                states[t] = state
+            ways.append(states)
+        joint = [a + b for a, b in zip(*ways, strict=True)]
+        score = [sum(math.tanh(u + v) * k for u, v, k in zip(dot(s, q["a"]), q["d"], q["v"], strict=True)) for s in joint]
+        share = [math.exp(v - max(score)) for v in score]
+        pooled = [sum(k * s[i] for k, s in zip(share, joint, strict=True)) / sum(share) for i in range(2 * h)]
+        best = max(best, sum(u * v for u, v in zip(pooled, q["w"], strict=True)) + q["o"][0])
+    return best
+
+
+def trained():
+    texts, labels = sample(240)
+    return toxicity.fit(texts, labels, 0.25, epochs=2)
+
+
+def test_scores_are_those_of_a_plain_network():
+    texts = ["", "one", "you idiot scum " * 3, " ".join(sample(6)[0]), "Ärger über 漢字 " * 20, "w1 " * 24, "w1 " * 25, "w2 idiot " * 33]
+    model = trained()
+    want = [slow_logit(model.parameters, x) for x in texts]
+    assert np.allclose(toxicity.Scorer(model.parameters)(texts), want, atol=2e-3)
+
+
+def test_toxicity_query_is_brute_force(spark, tmp_path, monkeypatch):
+    """The registered query on a whole small table, each score held against the plain network with the model that it trains."""
+    texts, labels = sample(60)
+    docs = spark.createDataFrame([*enumerate(texts), (1000, None), (1001, "")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(x)) for i, x in enumerate(labels)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(toxicity, "LEAST_BATCHES", 5)
+    models = []
+    own = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a: models.append(own(*a)) or models[-1])
+    got = {r.doc_id: r for r in toxicity.query(spark, str(tmp_path)).collect()}
+    model, texts = models[0], [*texts, None, ""]
+    assert len(got) == len(texts)
+    for i, text in zip([*range(60), 1000, 1001], texts, strict=True):
+        want = 1 / (1 + math.exp(-(model.slope * slow_logit(model.parameters, text or "") + model.offset)))
+        assert got[i].score == pytest.approx(want, abs=1e-3) and got[i].predicted == (got[i].score >= 0.5)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_training_holds_a_bounded_number_of_bytes(spark, monkeypatch):
+    assert toxicity.within([("a", 5), ("b", 9), ("c", 3)], 8) == ["a", "c"]
+    texts, labels = sample(40)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] * 3 + [(3, "zzz")], "doc_id long, text string")
+    table = spark.createDataFrame([(i, int(x)) for i, x in enumerate(labels)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, share: seen.append(texts))
+    toxicity.train(docs, table)
+    assert len(seen[0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    toxicity.train(docs, table)
+    assert 0 < sum(len(x) for x in seen[1]) <= 4000
+
+
+def test_few_labels_still_find_toxic_documents(spark):
+    docs, labels = (common.table(spark, SF, x) for x in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = toxicity.scored(docs, model, ["doc_id"]).join(labels, "doc_id").filter(common.held_out("doc_id")).toPandas()
+    caught = rows[rows.toxic == 1].predicted
+    assert caught.sum() >= 4 and rows[rows.toxic == 0].predicted.sum() <= 4  # two of the six are of languages with five toxic documents in all
+
+
+def test_a_very_long_text():
+    model, text = trained(), " ".join(sample(8)[0]) * 400
+    whole = toxicity.Scorer(model.parameters)([text])[0]
+    assert whole == pytest.approx(slow_logit(model.parameters, text[: len(text) // 200]), abs=0.5) and len(text) > 1_000_000
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b", 0.5), (2, None, 0.5), (None, "", 0.5), (1, "a b", 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None)], "doc_id long, toxic int")
