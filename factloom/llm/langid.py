@@ -5,11 +5,13 @@ about SAMPLE_DOCS whole labelled documents of it (chosen by a hash of the id, so
 every run). A document is a mixture: expectation-maximisation estimates the languages'
 proportions from the likelihoods of its trigrams. The nested sets of its 1, 2, ... most
 probable languages are then fitted again, and the set with the best log-likelihood less a penalty for
-each further language is taken. The predicted language has the largest proportion in that
+each further language is taken. Sets grow until no document's penalised likelihood can rise: none is above that of each trigram
+under its best language. The predicted language has the largest proportion in that
 set; the score is that proportion.
 
 A text that is null or has no letter is `und` with score 0, and so is every text if nothing
-is labelled. Ties go to the language first in the alphabet. Repeated rows give equal values.
+is labelled. Ties go to the language first in the alphabet. Repeated rows give equal values; very long texts are handled
+whole, an empty table gives an empty result, and other columns of any name aren't read.
 The model is a table of languages x BUCKETS floats, whatever the input's size.
 """
 
@@ -31,7 +33,6 @@ SAMPLE_DOCS = 1000
 BUCKETS = 1 << 15
 SMOOTHING = 0.2
 ROUNDS = 12
-MOST_LANGUAGES = 4
 #: Log-likelihood that each further language must add, times the log of the number of trigrams.
 PENALTY = 2.0
 UNKNOWN = "und"
@@ -120,7 +121,9 @@ def mixtures(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.
     order = np.argsort(-share, axis=1, kind="stable")
     best = np.full(len(rows), -np.inf)
     final, count = np.zeros_like(share), np.zeros(len(rows), np.int64)
-    for m in range(1, min(k, MOST_LANGUAGES) + 1):
+    for m in range(1, k + 1):
+        if (fixed - PENALTY * (m - 1) * np.log(np.maximum(total, 2)) <= best).all():
+            break
         start = np.full_like(share, 1e-12)
         np.put_along_axis(start, order[:, :m], np.maximum(np.take_along_axis(share, order[:, :m], axis=1), 1e-3), axis=1)
         start /= start.sum(axis=1, keepdims=True)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -37,12 +39,90 @@ def test_mixture_shares():
     assert score[0] > 0.99 and 0.5 < score[2] < 0.75 and score[3] == 0 and score[0] == score[5]
 
 
+def slow_grams(text):
+    x, out = f" {' '.join(text.lower().split())} ", []
+    for i in range(len(x) - 2):
+        h = (ord(x[i]) * 0x9E3779B1 + ord(x[i + 1]) * 0x85EBCA77 + ord(x[i + 2]) * 0xC2B2AE3D) & 0xFFFFFFFF
+        out.append(((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 17)
+    return out
+
+
+def slow_mixture(model, text):
+    """Expectation-maximisation of one document, trigram by trigram: the predicted language, its share and the set's size."""
+    k = len(model.languages)
+    if not k or not any(unicodedata.category(c)[0] == "L" for c in text):
+        return "und", 0.0, 0
+    logs = [[float(v) for v in model.log_p[g]] for g in slow_grams(text)]
+    ps = [[math.exp(v - max(row)) for v in row] for row in logs]
+
+    def fit(share, rounds):
+        for _ in range(rounds):
+            total = [0.0] * k
+            for p in ps:
+                whole = sum(a * b for a, b in zip(p, share, strict=True))
+                total = [t + a * b / whole for t, a, b in zip(total, p, share, strict=True)]
+            share = [t / len(ps) for t in total]
+        return share, sum(max(row) + math.log(sum(a * b for a, b in zip(p, share, strict=True))) for row, p in zip(logs, ps, strict=True))
+
+    first, _ = fit([1 / k] * k, langid.ROUNDS)
+    order, best = sorted(range(k), key=lambda i: -first[i]), None
+    for m in range(1, k + 1):
+        start = [1e-12] * k
+        for i in order[:m]:
+            start[i] = max(first[i], 1e-3)
+        share, likelihood = fit([x / sum(start) for x in start], 0 if m == 1 else langid.ROUNDS // 3)
+        likelihood -= langid.PENALTY * (m - 1) * math.log(max(len(ps), 2))
+        if best is None or likelihood > best[0]:
+            best = likelihood, share, m
+    pick = max(range(k), key=lambda i: best[1][i])
+    return model.languages[pick], best[1][pick], best[2]
+
+
+LANGUAGES = {"en": "the cat and the dog sat on that mat with some hats", "de": "der hund und die katze sitzen auf einem dach", "fr": "le chat est sur la table avec du pain", "es": "el perro come una manzana en la mesa", "it": "il gatto mangia gli spaghetti nella cucina", "nl": "het meisje speelt met haar vriendje buiten"}
+
+
+def learned():
+    table = np.full((langid.BUCKETS, len(LANGUAGES)), langid.SMOOTHING)
+    for k, x in enumerate(LANGUAGES.values()):
+        table[:, k] += np.bincount(langid.grams([f"{x} " * 20])[0], minlength=langid.BUCKETS)
+    return langid.Model(list(LANGUAGES), np.log(table / table.sum(axis=0)).astype(np.float32))
+
+
+def test_mixtures_are_those_of_a_plain_loop():
+    model, rng = learned(), random.Random(3)
+    texts = [f"{x} " * 3 for x in LANGUAGES.values()] + ["", "12 34", "é", "the katze", "Ω σας ΣΑΣ"]
+    texts += [" ".join(rng.choice(list(LANGUAGES.values())) for _ in range(n)) for n in (2, 3, 5, 8, 13)] + [" ".join(f"{x} " * 9 for x in LANGUAGES.values())]
+    lang, score, n = langid.mixtures(model, texts)
+    want = [slow_mixture(model, x) for x in texts]
+    assert lang == [x[0] for x in want] and n.tolist() == [x[2] for x in want]
+    assert score == pytest.approx([x[1] for x in want], abs=1e-3)
+    assert max(n) > 4  # no fixed number of languages
+
+
+def test_language_query_is_brute_force(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(LANGUAGES[lang].split(), k=rng.randint(3, 30))), lang) for i, lang in enumerate(list(LANGUAGES) * 6)] + [(100, None, "en"), (101, "...", "en"), (102, "the der le", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = {k: np.full(langid.BUCKETS, langid.SMOOTHING) for k in sorted(LANGUAGES)}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5 and lang:
+            for g in slow_grams(text or ""):
+                counts[lang][g] += 1
+    model = langid.Model(list(counts), np.log(np.stack([c / c.sum() for c in counts.values()], axis=1)).astype(np.float32))
+    got = {r.doc_id: r for r in langid.query(spark, str(tmp_path)).collect()}
+    for i, text, _ in rows:
+        lang, score, n = slow_mixture(model, text or "")
+        assert (got[i].lang_pred, got[i].n_languages) == (lang, n) and got[i].score == pytest.approx(score, abs=1e-3)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_language_odd_rows(spark):
     docs = spark.createDataFrame([(1, "the cat", "en", "x"), (2, None, "en", "x"), (3, "...", None, "x"), (None, "die katze", "de", "x"), (4, "die katze " * 30000, "de", "x")], "doc_id long, text string, lang string, score string")
     model = langid.train(docs)
     got = {r.doc_id: r for r in langid.predict(docs, model, ["doc_id"]).collect()}
     assert len(got) == 5 and got[2].lang_pred == got[3].lang_pred == "und"
-    assert {r.doc_id for r in langid.keep_known(docs, model).collect()} == {1, 4, None} or model.languages == []
+    assert model.languages == ["de", "en"] and got[1].lang_pred == "en" and got[4].lang_pred == "de"
+    assert {r.doc_id for r in langid.keep_known(docs, model).collect()} == {1, 4, None}
     none = langid.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.predict(docs, none, ["doc_id"]).collect()} == {"und"}
     assert langid.predict(docs.limit(0), model, ["doc_id"]).count() == 0
