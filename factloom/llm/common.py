@@ -46,6 +46,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads start from files, not from lineage."""
     path = scratch(df.sparkSession, name)

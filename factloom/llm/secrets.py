@@ -8,7 +8,11 @@ versions hold it; findings are then joined back to all paths.
 A rule is a pattern and a least length of one of its groups. Matches are leftmost and don't
 overlap within a rule; spans count code points, their end is exclusive. Positions come from
 cutting the text at the matches: the lengths of the parts between and of the matches add
-up to them.
+up to them, in time linear in the text and its matches.
+
+A kept ledger lives at a path that the caller names and keeps: extend() reads it, scans what it lacks and
+appends that. A ledger row is true whatever became of the rest of its batch, for it names its content; so a batch
+that a lost job left in part, or twice, does no harm.
 
 Null text: empty. Repeated rows: a row each. Extra columns pass through redacted() and aren't read
 otherwise. Empty tables give empty results. Texts may be of any length.
@@ -54,6 +58,34 @@ def blob(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+#: Members of an array that are folded at once; appending to an array copies it, so longer ones are folded block by block.
+BLOCK = 128
+
+
+def let(value: Column, use) -> Column:
+    """use(value), the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def before(values: Column, start: Column, step, kind: str = "bigint") -> Column:
+    """For each member, the associative step over those before it: a running sum or maximum, in time that is linear but for BLOCK."""
+
+    def run(part: Column, at: Column) -> Column:
+        state = F.struct(at.cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        grown = F.aggregate(part, state, lambda s, x: F.struct(step(s["at"], x).cast(kind).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+        return grown["out"]
+
+    def blocks(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda x: F.aggregate(x, start.cast(kind), lambda s, y: step(s, y).cast(kind)))
+        return let(run(totals, start), lambda heads: F.flatten(F.transform(parts, lambda x, i: run(x, F.get(heads, i)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), joined)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """The spans of a rule in a text that isn't null."""
     pattern = F.lit(rule.pattern)
@@ -61,23 +93,16 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     counted = matches if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     pieces = F.transform(
         F.arrays_zip(matches.alias("m"), counted.alias("c"), F.split(text, rule.pattern, -1).alias("gap")),
-        lambda x: F.struct(F.length(x["gap"]).cast("bigint").alias("gap"), F.length(x["m"]).cast("bigint").alias("size"), F.length(x["c"]).alias("counted")),
+        lambda x: F.struct(F.length(x["gap"]).cast("bigint").alias("gap"), F.coalesce(F.length(x["m"]), F.lit(0)).cast("bigint").alias("size"), F.length(x["c"]).alias("counted")),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def step(state, x):
-        begin = state["at"] + x["gap"]
-        stop = begin + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind_no"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
-        spans = F.when(x["counted"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(stop.alias("at"), spans.cast(SPANS).alias("spans"))
+    def spans(p: Column) -> Column:
+        at = before(F.transform(p, lambda x: x["gap"] + x["size"]), F.lit(0), lambda s, x: s + x)
+        placed = F.transform(F.arrays_zip(p.alias("p"), at.alias("at")), lambda x: F.struct((x["at"] + x["p"]["gap"]).alias("start"), x["p"]["size"].alias("size"), x["p"]["counted"].alias("counted")))
+        kept = F.filter(placed, lambda x: x["counted"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind_no"), F.lit(rule.kind).alias("kind"), (x["start"] + x["size"]).alias("stop")))
 
-    found = F.aggregate(pieces, start, step, lambda state: state["spans"])
-    return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(SPANS))
-
-
-def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], f"blob string, rule string, spans {SPANS}")
+    return F.when(text.rlike(rule.hint), let(pieces, spans).cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
@@ -104,10 +129,28 @@ def update(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
     return new if ledger is None else ledger.unionByName(new)
 
 
+LEDGER = f"blob string, rule string, spans {SPANS}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept at a path, empty if there is none yet."""
+    return spark.read.schema(LEDGER).parquet(path) if common.exists(spark, path) else spark.createDataFrame([], LEDGER)
+
+
+def extend(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Scans the pairs of blob and rule version that the ledger at the path lacks, appends them, and returns it."""
+    spark = versions.sparkSession
+    new = scan(unseen(versions, read_ledger(spark, path) if common.exists(spark, path) else None, rules, text_col), rules)
+    new.write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
 def by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob, spans of the given rule versions by start and kind, for blobs that have any."""
     current = ledger.filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-    return current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # a row that was written twice gives the same spans twice
+    rows = F.transform(F.collect_set(F.struct("rule", "spans")), lambda x: x["spans"])
+    return current.groupBy("blob").agg(F.array_sort(F.flatten(rows)).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
@@ -122,29 +165,36 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tup
 
 
 def merged(spans: Column) -> Column:
-    """Spans sorted by start as parts of the text that don't overlap."""
-    part = "array<struct<start:bigint,stop:bigint>>"
+    """Spans sorted by start as parts of the text that don't overlap: start, and stop of the part's longest reach."""
+
+    def cut(own: Column) -> Column:
+        reach = before(F.transform(own, lambda x: x["stop"]), F.lit(-1), F.greatest)
+        # a span that starts before the reach of those before it goes on with their part
+        opens = F.filter(F.arrays_zip(own.alias("x"), reach.alias("reach")), lambda x: x["x"]["start"] >= x["reach"])
+        last = F.aggregate(own, F.lit(-1).cast("bigint"), lambda s, x: F.greatest(s, x["stop"]))
 
-    def step(parts, x):
-        last = F.element_at(parts, -1)
-        grown = F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))
-        return F.when((F.size(parts) > 0) & (F.try_element_at(parts, F.lit(-1))["stop"] > x["start"]), grown.cast(part)).otherwise(F.concat(parts, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop")))).cast(part))
+        def parts(o: Column) -> Column:
+            return F.transform(o, lambda x, i: F.struct(x["x"]["start"].alias("start"), F.coalesce(F.get(o, i + 1)["reach"], last).alias("stop")))
 
-    return F.aggregate(spans, F.array().cast(part), step)
+        return let(opens, parts)
+
+    return let(spans, cut)
 
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by the mask."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The text with each span, or run of overlapping spans, replaced by the mask. In UTF-32 a code point's place is found without a search."""
+
+    def keep(parts: Column) -> Column:
+        starts = F.concat(F.transform(parts, lambda x: x["start"]), F.array(F.length(text).cast("bigint")))
+        stops = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(parts, lambda x: x["stop"]))
 
-    def step(state, x):
-        between = F.substring(text, (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
-        return F.struct(x["stop"].alias("at"), F.concat(state["parts"], F.array(between, F.lit(mask))).cast("array<string>").alias("parts"))
+        def pieces(wide: Column) -> Column:
+            between = lambda x: F.decode(F.substring(wide, (4 * x["a"] + 1).cast("int"), (4 * (x["b"] - x["a"])).cast("int")), "UTF-32")
+            return F.array_join(F.transform(F.arrays_zip(stops.alias("a"), starts.alias("b")), between), mask)
 
-    def finish(state):
-        return F.concat(F.array_join(state["parts"], ""), F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
+        return let(F.encode(text, "UTF-32"), pieces)
 
-    return F.aggregate(merged(spans), start, step, finish)
+    return let(merged(spans), keep)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -170,8 +220,15 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    found = findings(docs, update(docs), ["doc_id"])
+    """The documents' history in two steps over one kept ledger: the paths of the first half of the ids under the base rules, then all
+    paths under all rules, which scans unseen contents whole and seen ones for the added rules alone. The ledger is
+    new at each call, so that neither result nor cost depends on what ran before."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = common.scratch(spark, "blob-ledger")
+    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("m")).first().m
+    if middle is not None:
+        extend(docs.filter(F.col("doc_id") <= middle), path, tuple(r for r in RULES if r.kind in BASE))
+    found = findings(docs, extend(docs, path), ["doc_id"])
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")

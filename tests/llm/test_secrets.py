@@ -73,6 +73,55 @@ def test_masking(spark):
     assert rows[10].text == "😀😀 [SECRET] 😀 [SECRET]"
 
 
+def test_a_kept_ledger_is_scanned_once(spark, tmp_path, monkeypatch):
+    df, path = frame(spark), str(tmp_path / "ledger")
+    scanned = []
+    own = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda todo, rules: scanned.append({(r.blob, k) for r in todo.collect() for k in r.todo}) or own(todo, rules))
+    secrets.extend(df.filter("doc_id < 6"), path, secrets.RULES[:3])
+    whole = secrets.extend(df, path)
+    assert scanned[0] and scanned[1] and not scanned[0] & scanned[1]
+    again = secrets.extend(df, path)
+    assert scanned[2] == set() and again.count() == whole.count() == len(scanned[0] | scanned[1])
+    once = secrets.findings(df, secrets.update(df), ["doc_id"])
+    key = lambda x: sorted(map(str, x.collect()))
+    assert key(secrets.findings(df, again, ["doc_id"])) == key(once)
+    again.write.mode("append").parquet(str(tmp_path / "twice"))  # a batch written twice
+    again.write.mode("append").parquet(str(tmp_path / "twice"))
+    assert key(secrets.findings(df, secrets.read_ledger(spark, str(tmp_path / "twice")), ["doc_id"])) == key(once)
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    def took(n):
+        text = " x ".join(f"token={i:08d}ü AKIA{'Z' * 16}{i:08d}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = secrets.redacted(df).first()
+        assert row.text == " x ".join(["[SECRET]ü [SECRET]"] * n)
+        spans = secrets.findings(df, secrets.update(df), ["doc_id"]).first().spans
+        assert [(x.start, x.stop) for x in spans if x.kind != "hex"] == sorted((a, b) for a, _, k, b in slow(text) if k != "hex")
+        return time.time() - began
+
+    took(300)
+    few = took(4000)
+    assert took(16000) < 8 * few + 4
+
+
+def test_overlapping_spans_are_one_mask(spark):
+    texts = ["token=" + "ab12" * 10 + " end", "secret=AKIA" + "Q" * 20 + "x", "a token=abcdef/" + "0" * 30 + "password=zzzzzz", "x" * 3_000_000 + " token=abcdefgh ü"]
+    got = [r.text for r in secrets.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for text, own in zip(texts, got, strict=True):
+        hidden, at, want = sorted((a, b) for a, _, _, b in slow(text)), 0, ""
+        while hidden:
+            a, b = hidden.pop(0)
+            while hidden and hidden[0][0] < b:
+                b = max(b, hidden.pop(0)[1])
+            want, at = want + text[at:a] + "[SECRET]", b
+        assert own == want + text[at:]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.findings(df, secrets.update(df), ["doc_id"]).count() == 0
