@@ -7,11 +7,12 @@ decided by pairs: a token sequence is the encoding of its bytes exactly if each
 neighbours are the encoding of their joint bytes (no merge across a boundary can
 precede one that the pair alone would show). Inside the window and outside it this holds already, so
 two pairs at the window's edges prove the whole. Pieces of a text are never joined by
-merges, so the text's ids are the concatenation of theirs. Decoding looks up each id's
-bytes and concatenates upwards; all steps are associative, so any tree gives the same.
+merges, so the text's ids are the concatenation of theirs. Decoding is the same tree: leaves of LEAF_IDS
+ids are looked up, and halves concatenated upwards; all steps are associative, so any tree gives the same.
 
 Null text: empty, no ids. Texts of any length; memory is bounded by a slice of texts
-and the worker's memories. Repeated rows give equal values; an empty table an empty result.
+and the worker's memories, which hold words and pieces of at most WORD_CHARS characters. Repeated rows give equal
+values; an empty table an empty result. Other columns of any name aren't read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from . import common
 from .tokens import MATCH, PLAIN, WORD_CHARS, Memory, words_of
 
 LEAF = 8
+#: Ids that decoding joins at once, below the tree.
+LEAF_IDS = 256
 #: Remembered pairs of neighbours.
 PAIRS = 1 << 18
 
@@ -116,17 +119,24 @@ class TreeCodec:
         words = words_of(text) if self.default_pattern else None
         if words is None:
             return self.word(text)
-        known = self.words
+        known, long = self.words, []
         for x in set(words):
             if known[x] is None:
                 known[x] = self.word(x)
+                if len(x) > WORD_CHARS:
+                    long.append(x)
         out = list(chain.from_iterable(map(known.__getitem__, words)))
+        for x in long:
+            del known[x]
         known.trim()
         self.pieces.trim()
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        parts = [b"".join(map(self.token.__getitem__, ids[i : i + LEAF_IDS])) for i in range(0, len(ids), LEAF_IDS)]
+        while len(parts) > 1:  # a level of the tree: neighbours concatenated
+            parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
 
 @functools.lru_cache(maxsize=2)

@@ -54,6 +54,70 @@ def test_tree_codec_equals_tiktoken():
         assert own.decode(ids) == x.encode()
 
 
+def test_memories_hold_short_words_only():
+    own = bpe.TreeCodec()
+    for i in range(40):
+        text = f"{i}" + "xyz" * 7000
+        assert own.encode(text) == OTHER.encode_ordinary(text)
+    assert max(map(len, own.words), default=0) <= tokens.WORD_CHARS and max(map(len, own.pieces), default=0) <= tokens.WORD_CHARS
+    library = tokens.Encoder()
+    library.encode(["word " + "y" * 50_000])
+    assert max(map(len, library.words), default=0) <= tokens.WORD_CHARS
+
+
+def test_decoding_is_a_tree(monkeypatch):
+    own = bpe.TreeCodec()
+    ids = own.encode("word ü 漢 " * 700)
+    whole = own.decode(ids)
+    for leaf in (1, 2, 3, 1 << 20):
+        monkeypatch.setattr(bpe, "LEAF_IDS", leaf)
+        assert own.decode(ids) == whole == ("word ü 漢 " * 700).encode()
+    assert own.decode([]) == b""
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{i}ü" for i in range(3000)]
+    text = " ".join(rng.choices(words, k=300_000))
+    df = spark.createDataFrame([(1, text), (2, "z" * 200_000), (3, "a")], "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.round_trip(df).collect()}
+    packs, want = packing.packed(df).collect(), {i: OTHER.encode_ordinary(t) for i, t in ((1, text), (2, "z" * 200_000), (3, "a"))}
+    for i, ids in want.items():
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256((text, "z" * 200_000, "a")[i - 1].encode()).hexdigest()
+        whole = np.array([*ids, 0], "<u4")
+        pieces = sorted((r.start, r.length, r.ids_crc32) for r in packs if r.doc_id == i)
+        assert [x[2] for x in pieces] == [zlib.crc32(whole[a : a + n].tobytes()) for a, n, _ in pieces] and sum(x[1] for x in pieces) == len(whole)
+
+
+def test_token_files_split_shared_ids(spark, tmp_path):
+    """A third of the rows without id, a third with one id: ranges still hold about equal shares."""
+    rows = [(None, f"t{i % 50} a") for i in range(400)] + [(7, f"u{i % 9} b c") for i in range(400)] + [(i, f"v{i}") for i in range(10, 410)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = str(tmp_path / "orc")
+    tokenfiles.write(df, path)
+    sizes = [r["count"] for r in spark.read.orc(path).groupBy("file_no").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 1200 / 4
+    got, at = tokenfiles.read(spark, path).orderBy("start").collect(), 0
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += r.n_tokens
+    assert sorted(len(r.ids) for r in got) == sorted(len(ids_of(t)) + 1 for _, t in rows)
+
+
+def test_tiers_take_their_own_documents(monkeypatch):
+    """A window is opened by its own tier; what fills it comes from no longer tier."""
+    lengths = [600, 300, 150, 100, 40, 20, 10, 700, 5, 3]
+    sequences = packing.pack(lengths)
+    for s in sequences:
+        total = sum(n for _, _, n in s)
+        if total == 1024:
+            assert s[0][2] > 512
+    opened = [s[0][0] for s in sequences]
+    assert opened[0] == 7 and opened[1] == 0
+
+
 def test_any_tree_gives_the_same():
     own, rng = bpe.TreeCodec(), random.Random(1)
     for _ in range(150):
