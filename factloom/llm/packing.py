@@ -1,9 +1,9 @@
 """Packing: hierarchical multi-length packing of token ids into training sequences.
 
 Tiers are the powers of two up to the longest context. A document longer than that gives
-full sequences first; what remains is routed to the largest tier that it fills at least
-half. Each tier is packed best-fit by remaining gap; gaps of long windows are filled
-from shorter tiers, at last by a cut piece. What is left at the end of a group is cut into
+full sequences first; what remains is routed to the tier that it fills at least
+half. Tiers are packed one after another, longest first: a window is opened by the longest document of its tier, its gap is
+filled best-fit from the tiers below, at last by a cut piece, whose rest is routed anew. What is left at the end of a group is cut into
 powers of two, largest first, so that no sequence needs padding.
 
 Groups are consecutive runs of documents of one input split with about GROUP_TOKENS ids:
@@ -53,7 +53,12 @@ def pack(lengths: list[int], longest: int = LONGEST, shortest: int = SHORTEST) -
     """Sequences of pieces (document, start, length); every id of every document is in exactly one."""
     sizes = tiers(longest, shortest)
     done: list[list[tuple[int, int, int]]] = []
-    waiting: dict[int, list[tuple[int, int, int]]] = {t: [] for t in sizes}  # by tier: (length, document, start)
+    waiting: dict[int, list[tuple[int, int, int]]] = {t: [] for t in sizes}  # by tier: (length, document, start), shortest first
+
+    def tier(length: int) -> int:
+        """The smallest context that holds it: it fills more than half of that, or it is of the smallest one."""
+        return next((t for t in reversed(sizes) if t >= length), longest)
+
     for doc, n in enumerate(lengths):
         full = n // longest
         done += [[(doc, k * longest, longest)] for k in range(full)]
@@ -61,28 +66,31 @@ def pack(lengths: list[int], longest: int = LONGEST, shortest: int = SHORTEST) -
             if rest in waiting:
                 done.append([(doc, full * longest, rest)])
             else:
-                fits = next((t for t in reversed(sizes) if t >= rest), longest)
-                waiting[fits].append((rest, doc, full * longest))
-    pool = sorted(x for t in sizes for x in waiting[t])  # shortest first; a tier is a stretch of it
-    while pool:
-        length, doc, start = pool.pop()
-        size = next((t for t in reversed(sizes) if t >= length), longest)
-        pieces, gap = [(doc, start, length)], size - length
-        while gap and pool:
-            k = bisect.bisect_right(pool, (gap, 1 << 62, 0))
-            if k:  # the longest that fits, from this tier or a shorter one
-                length, doc, start = pool.pop(k - 1)
-                pieces.append((doc, start, length))
-                gap -= length
-            else:  # none fits: a cut of the shortest fills the gap
-                length, doc, start = pool.pop(0)
-                pieces.append((doc, start, gap))
-                bisect.insort(pool, (length - gap, doc, start + gap))
-                gap = 0
-        if gap:  # the last of the group: cut into tiers
-            done += split_last(pieces, size - gap)
-        else:
-            done.append(pieces)
+                waiting[tier(rest)].append((rest, doc, full * longest))
+    for own in waiting.values():
+        own.sort()
+    for size in sizes:  # windows of a tier are opened by its own documents, longest first
+        while waiting[size]:
+            length, doc, start = waiting[size].pop()
+            pieces, gap = [(doc, start, length)], size - length
+            while gap:
+                # the longest document that fits, from the largest tier that has one
+                at, k = next(((t, k) for t in sizes if t <= size and waiting[t] and (k := bisect.bisect_right(waiting[t], (gap, 1 << 62, 0)))), (0, 0))
+                if k:
+                    length, doc, start = waiting[at].pop(k - 1)
+                    pieces.append((doc, start, length))
+                    gap -= length
+                elif least := next((t for t in reversed(sizes) if waiting[t]), 0):  # none fits: a cut of the shortest fills the gap, the rest goes to its tier
+                    length, doc, start = waiting[least].pop(0)
+                    pieces.append((doc, start, gap))
+                    bisect.insort(waiting[tier(length - gap)], (length - gap, doc, start + gap))
+                    gap = 0
+                else:
+                    break
+            if gap:  # the last of the group: cut into tiers
+                done += split_last(pieces, size - gap)
+            else:
+                done.append(pieces)
     return done
 
 
