@@ -59,8 +59,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of stored input for a task that shuffles it.
+PARTITION_BYTES = 64 << 20
+
+
+def partitions(df: DataFrame) -> int:
+    """Tasks to deal df's rows to: by the size of the files that it reads, at least spark.sql.shuffle.partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size > 1 << 60 else max(least, -(-size // PARTITION_BYTES))  # beyond that the size is unknown
 
 
 def free_name(df: DataFrame, base: str) -> str:

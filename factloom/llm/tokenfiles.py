@@ -1,6 +1,6 @@
 """Token-id files: ORC with integer run-length encoding, row indexes and Bloom filters.
 
-Rows go into the files in ascending document id (ties by text, null ids first), one ORC
+Rows go into the files in ascending document id (ties by a hash of the text, null ids first), one ORC
 file a range of ids; every row carries its start inside its file, and a reader adds the
 token counts of the files before. A reader that wants one document prunes files and
 stripes by their minimum and maximum, and row groups by the Bloom filter on doc_id; one
@@ -46,9 +46,10 @@ def id_array(encoded: list[bytes]) -> pa.Array:
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> None:
     """Writes one ORC file for each range of ids. The texts, not the longer ids, are shuffled."""
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    source = source.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # ids that very many rows share, or lack, are split by the texts' hashes, and equal texts by where they were read
+    source = source.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    source = source.repartitionByRange(common.partitions(docs), "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
     source = source.select("doc_id", F.spark_partition_id().alias("file_no"), "text")
 
     def run(batches):

@@ -8,8 +8,11 @@ which the reader recomputes as it goes.
 
 Of records with equal payloads of at least REVISIT bytes the one with the least page id is the response and
 the others are revisits without payload that name it. Equal payloads are found by
-digest: the table of repeated digests comes from a pre-aggregated grouping of narrow rows, and is joined to
-narrow rows, never to payloads of one hot group.
+digest: the table of repeated digests comes from a pre-aggregated grouping of narrow rows and is written, so that where
+it is too large to broadcast, a digest of very many payload rows can still be split in the join.
+
+Control characters of a url, line breaks among them, are percent-encoded in the header, so that no url can end or
+add a header field; the url is read back in that form.
 
 Null payload: empty. Repeated rows with one page id give a record each; the first of equal rows is the response
 only if its id is the least, so copies with that id are all responses. Null page ids sort after
@@ -20,6 +23,7 @@ columns aren't read.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +49,15 @@ SCHEMA = T.StructType(
 )
 
 
+CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
+
+def safe(url: str) -> str:
+    return CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def header(kind: str, page_id: int | None, url: str, size: int, digest: str, refers_to: int | None, payload_bytes: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {safe(url)}"]
     lines += ["Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {payload_bytes}"]
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -128,7 +139,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     chunks are dealt by record; one record's chunks pass through a task one by one.
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
-    rows = rows.repartition(common.partitions(spark), "record_id").sortWithinPartitions("record_id", "chunk_no")
+    rows = rows.repartition(common.partitions(rows), "record_id").sortWithinPartitions("record_id", "chunk_no")
 
     def number(text: str | None) -> int | None:
         digits = (text or "").removeprefix("<urn:page:").removesuffix(">")

@@ -30,6 +30,26 @@ def test_round_trip(spark, tmp_path, chunk):
     assert max(len(r.data) for r in spark.read.parquet(path).filter("chunk_no > 0").collect()) <= chunk + 4
 
 
+def test_odd_urls(spark, tmp_path):
+    urls = {1: "http://a\r\nb", 2: "x\r\nWARC-Type: revisit\r\n\r\n", 3: " ", 4: "no colon", 5: ": a: b", 6: "\x00\x7f\t", 7: "http://ü/漢?q=1", 8: "%0D%0A", 9: None}
+    rows = [(k, u, f"body {k}") for k, u in urls.items()]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: r for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    for k, u, body in rows:
+        assert got[k].url == "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in u or "")
+        assert (got[k].record_type, got[k].payload_digest) == ("response", hashlib.sha256(body.encode()).hexdigest())
+
+
+def test_a_long_payload_is_streamed(spark, tmp_path):
+    body = "é<p>word</p>" * 400_000
+    warc.write(spark.createDataFrame([(1, "u", body), (2, "v", body), (3, "w", "x")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    chunks = spark.read.parquet(str(tmp_path / "w"))
+    assert chunks.filter("payload_in_chunk > 0").count() == -(-len(body.encode()) // warc.CHUNK) + 1
+    got = {r.page_id: tuple(r) for r in warc.read(spark, str(tmp_path / "w")).drop("url").collect()}
+    digest = hashlib.sha256(body.encode()).hexdigest()
+    assert got[1] == (1, len(body.encode()), digest, "response", None) and got[2] == (2, len(body.encode()), digest, "revisit", 1)
+
+
 def test_archive_is_plain_warc(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write(pages(spark), path, 50)
