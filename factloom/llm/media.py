@@ -11,7 +11,8 @@ Shots: frames' histograms of BINS bins are compared to the one before; a cut is
 and SPREAD standard deviations of the clip's differences so far that are no cuts, and above LEAST. Each shot is a clip row with start
 and end in seconds at RATE frames a second.
 
-Null text: empty, stored as one row of blanks. Any length: frames bound what is held, a payload apart. Equal texts
+Null text: empty, stored as one row of blanks. Any length: what is computed is held for AT_ONCE frames, besides the payload, its
+images and its file, each about the text's size. Equal texts
 give equal files. Empty tables give empty results; other columns aren't read.
 """
 
@@ -31,6 +32,8 @@ from . import common
 
 WIDTH, ROWS = 192, 8
 RATE = 25
+#: Frames coded or decoded at once.
+AT_ONCE = 512
 BINS = 32
 SPREAD, LEAST = 3.0, 0.35
 PAD = b" "
@@ -67,7 +70,16 @@ def frame_header(width: int, rows: int) -> bytes:
 
 
 def encode_frames(samples: np.ndarray, frame_rows: list[int]) -> list[bytes]:
-    """JPEG images of consecutive frames; samples has a row of WIDTH for each row of each frame."""
+    """JPEG images of consecutive frames; samples has a row of WIDTH for each row of each frame. No frame depends on another."""
+    out, at = [], 0
+    for i in range(0, len(frame_rows), AT_ONCE):
+        part = frame_rows[i : i + AT_ONCE]
+        out += encode_some(samples[at : at + sum(part)], part)
+        at += sum(part)
+    return out
+
+
+def encode_some(samples: np.ndarray, frame_rows: list[int]) -> list[bytes]:
     prediction = np.empty(samples.shape, np.int16)
     prediction[:, 1:] = samples[:, :-1]
     prediction[1:, 0] = samples[:-1, 0]
@@ -139,7 +151,12 @@ def parse_frame(image: bytes) -> tuple[int, int, bytes]:
 
 
 def decode_frames(images: list[bytes]) -> list[np.ndarray]:
-    """Samples of each image, all decoded in step: the k-th symbol of every frame at once."""
+    """Samples of each image."""
+    return [x for i in range(0, len(images), AT_ONCE) for x in decode_some(images[i : i + AT_ONCE])]
+
+
+def decode_some(images: list[bytes]) -> list[np.ndarray]:
+    """Images decoded in step: the k-th symbol of every frame at once."""
     parsed = [parse_frame(x) for x in images]
     if not parsed:
         return []
@@ -239,8 +256,12 @@ def encode_clips(payloads: list[bytes]) -> list[bytes]:
 
 def shots(frames: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
     """First frames of the shots, and the differences of neighbouring histograms."""
-    histograms = np.array([np.bincount(x.ravel() >> 3, minlength=BINS) / x.size for x in frames])
-    change = np.abs(np.diff(histograms, axis=0)).sum(axis=1) / 2
+    change, last = np.zeros(max(len(frames) - 1, 0)), np.zeros(BINS)
+    for k, x in enumerate(frames):
+        own = np.bincount(x.ravel() >> 3, minlength=BINS) / x.size
+        if k:
+            change[k - 1] = np.abs(own - last).sum() / 2
+        last = own
     starts, n, total, squares = [0], 0, 0.0, 0.0
     for k, x in enumerate(change.tolist()):
         mean = total / n if n else 0.0
@@ -319,11 +340,15 @@ def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """What the stored bytes hold: digests of the samples read back and of the file, and a feature of frames, shots, mean level and mean change."""
 
     def row(data, frames, rate):
-        payload = b"".join(x.tobytes() for x in frames)
+        digest, size, total = hashlib.sha256(), 0, 0
+        for x in frames:
+            digest.update(x)
+            size, total = size + x.size, total + int(x.sum(dtype=np.int64))
+        tail = frames[-1].tobytes()[-16:]  # a frame has a row of samples at least
         starts, change = shots(frames)
-        level = np.frombuffer(payload, np.uint8).mean()
+        level = total / size
         feature = f"frames={len(frames)};shots={len(starts)};level={level:.4f};change={change.mean() if len(change) else 0:.4f}"
-        yield len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature
+        yield size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature
 
     return decoded(media, id_col, DIGEST_FIELDS, row)
 

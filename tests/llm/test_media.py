@@ -52,6 +52,35 @@ def test_clips_of_all_sizes_decode_together():
     assert [b"".join(x.tobytes() for x in frames) for frames, _ in got] == data
 
 
+def test_frames_of_any_number_at_once_give_the_same(monkeypatch):
+    data = payloads()
+    want = media.encode_clips(data)
+    for n in (1, 2, 3):
+        monkeypatch.setattr(media, "AT_ONCE", n)
+        assert media.encode_clips(data) == want
+        assert [b"".join(x.tobytes() for x in f) for f, _ in media.decode_clips(want)] == data
+
+
+def test_memory_of_a_very_long_text():
+    """Some ten times the text, not a hundred."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from factloom.llm import media
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = "".join(chr(97 + i * i % 23) for i in range(1000)) * 30_000
+data = media.encode_clips([media.payload_of(text)])
+for frames, rate in media.decode_clips(data):
+    got = b"".join(x.tobytes() for x in frames)
+assert got.rstrip() == text.encode()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 600, grown
+
+
 def test_shots():
     a, b = np.full((8, 192), 10, np.uint8), np.full((8, 192), 200, np.uint8)
     assert media.shots([a, a, b, b, b, a])[0] == [0, 2, 5]
