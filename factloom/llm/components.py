@@ -1,7 +1,9 @@
 """Connected components of links, by alternating large-star and small-star steps on DataFrames.
 
 Each round is written to the shared folder, so lineage stays short and a lost executor
-costs no more than a round. Only two numbers a round reach the driver.
+costs no more than a round. Only two numbers a round reach the driver. The least neighbours are
+written too before they are joined to the links: both sides of the join are then plain reads, and where a node has
+very many links, its side can be split.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ def labels(links: DataFrame, name: str = "components") -> DataFrame:
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = common.written(large.distinct(), name)
+        least = common.written(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").select("b", "m").filter("b != m").withColumnRenamed("b", "a").unionByName(least)
         edges = common.written(tidy(small.select(F.col("a"), F.col("m").alias("b"))), name)
         after = state(edges)

@@ -12,10 +12,14 @@ bits. Comparing every pair of table rows would be quadratic, so rows first meet
 cut into k blocks, two linked fingerprints agree on at least k - DISTANCE of them, and each choice of
 so many blocks is a key (complete, not approximate). k grows with the number of fingerprints.
 
-A key with more than HOT fingerprints isn't joined with itself. Its members are linked by stars
+A key with more than HOT fingerprints isn't joined with itself. Its members meet at stars
 instead: two fingerprints differ in at most 4 bits exactly if some value is within 2 bits of
-both, so each member gives the 2081 values within 2 bits, and those that share a value are
-linked to the least of them. That is linear in the group's size and loses no link's component.
+both, so each member gives the 2081 values within 2 bits, and those that share a value meet
+the least of them. That is linear in the group's size and loses no link's component. Cells of pivot distances
+can't split such a key: its members are near each other, so most fall into one cell or into neighbouring ones, whose
+rows would have to meet all the same.
+
+Pairs that meet, at keys or at stars, go through one test: the pivot table, then the bits.
 
 Null text: no words. Null ids take part; a component's id is its smallest id that isn't null. Repeated rows get
 equal results. Other columns aren't read by components() and pass through deduplicated(). Empty tables give
@@ -118,22 +122,34 @@ def links(distinct: DataFrame, hot: int = HOT, pivots: int = PIVOTS) -> DataFram
         stars = around.join(centres, "value").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct()
         keyed = keyed.join(heavy, ["choice", "key"], "left_anti")
 
+    # a pair that agrees on more blocks shares several keys; it is taken at its first choice only
     a, b = keyed.alias("a"), keyed.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    within = F.col("a.fp") < F.col("b.fp")
-    for x in range((pivots + 7) // 8):
-        p, q = F.col(f"a.pivots{x}"), F.col(f"b.pivots{x}")
-        for i in range(8 if x < pivots // 8 else pivots % 8):
-            part = F.lit(255).cast("long")
-            own, other = F.shiftright(p, 8 * i).bitwiseAND(part), F.shiftright(q, 8 * i).bitwiseAND(part)
-            within = within & F.abs(own - other).__le__(DISTANCE)
-    within = within & (F.bit_count(differ) <= DISTANCE)
-    # a pair that agrees on more blocks shares several keys; it is taken at its first choice only
     first = F.array_position(F.array(*[differ.bitwiseAND(F.lit(signed(sum(masks[i] for i in c)))) == 0 for c in choices]), True) - 1
-    same_key = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key"))
-    met = a.join(b, same_key & within & (first == F.col("a.choice"))) if stars is None else a.join(b, same_key & within)
-    found = met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    return found if stars is None else found.unionByName(stars)
+    met = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+    if stars is None:
+        met = met & (first == F.col("a.choice"))
+    names = [f"pivots{x}" for x in range(-(-pivots // 8))]
+    found = a.join(b, met & near_by_pivots([F.col(f"a.{x}") for x in names], [F.col(f"b.{x}") for x in names], pivots) & verified(F.col("a.fp"), F.col("b.fp")))
+    found = found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    if stars is None:
+        return found
+    table = [pivot_table(F.col(x), pivots) for x in ("a", "b")]
+    return found.unionByName(stars.filter(near_by_pivots(*table, pivots) & verified(F.col("a"), F.col("b"))))
+
+
+def near_by_pivots(own: list[Column], other: list[Column], pivots: int = PIVOTS) -> Column:
+    """Whether no distance to a reference differs by more than DISTANCE: what the table leaves."""
+    kept = F.lit(True)
+    for x, (p, q) in enumerate(zip(own, other, strict=True)):
+        for i in range(min(8, pivots - 8 * x)):
+            a, b = (F.shiftright(y, 8 * i).bitwiseAND(F.lit(255).cast("long")) for y in (p, q))
+            kept = kept & (F.abs(a - b) <= DISTANCE)
+    return kept
+
+
+def verified(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
 
 
 def component_table(fingerprints: DataFrame, hot: int = HOT) -> DataFrame:
@@ -142,7 +158,7 @@ def component_table(fingerprints: DataFrame, hot: int = HOT) -> DataFrame:
     roots = graph.labels(links(classes.select("fp"), hot), "simhash-links")
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = common.written(rooted, "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = common.written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-roots")  # so a giant root can be split in the join
     return rooted.join(least, "root").select("fp", "root", "component_id")
 
 

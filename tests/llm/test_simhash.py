@@ -59,6 +59,38 @@ def test_links_connect_what_brute_force_does(spark, hot):
     assert [roots.get(v, v) for v in values] == expected
 
 
+def test_what_the_pivot_table_discards(spark):
+    """Of pairs that share a key, the table discards most that are no links, and never a link."""
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(3000):
+        a = rng.getrandbits(64)
+        far = rng.getrandbits(43) << 21  # the same lowest 21 bits, as two of six blocks ask
+        pairs.append((simhash.signed(a), simhash.signed(a ^ far), False))
+        pairs.append((simhash.signed(a), simhash.signed(near(rng, a, 1)[0]), True))
+    df = spark.createDataFrame(pairs, "a long, b long, planted boolean")
+    kept = simhash.near_by_pivots(simhash.pivot_table(F.col("a")), simhash.pivot_table(F.col("b")))
+    rows = df.select("a", "b", "planted", kept.alias("kept"), simhash.verified(F.col("a"), F.col("b")).alias("link")).collect()
+    for r in rows:
+        assert r.link == (bin((r.a ^ r.b) % (1 << 64)).count("1") <= 4)
+        assert r.kept or not r.link
+    others = [r for r in rows if not r.planted and not r.link]
+    discarded = sum(not r.kept for r in others) / len(others)
+    assert len(others) > 2900 and discarded > 0.95
+
+
+def test_a_hub_of_links_has_one_root(spark):
+    links = spark.range(1, 3000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    found = components.labels(links)
+    assert found.count() == 3000 and {r.root for r in found.collect()} == {0}
+
+
+def test_a_very_long_text():
+    text = "one two Three four five six seven " * 60_000
+    assert simhash.fingerprint(text) % (1 << 64) == simhash.fingerprint("one two three four five six seven " * 60_000) % (1 << 64)
+    assert simhash.fingerprint(text[:700]) % (1 << 64) == slow_fingerprint(text[:700])
+
+
 def corpus(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
