@@ -111,26 +111,6 @@ def temporal_bin(ns: Column) -> Column:
     return F.concat(F.year(day), F.lit("-Q"), F.quarter(day))
 
 
-def value_words(value: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.trim(value)), r"[\s,;/]+"), lambda x: x != ""))
-
-
-def content_tokens(value: Column) -> Column:
-    return F.array_except(tokens(value), words_in(NOISE))
-
-
-def attribute_of(value: Column) -> Column:
-    padded = F.concat(F.lit(" "), F.array_join(tokens(value), " "), F.lit(" "))
-    found = F.lit(None).cast("string")
-    for name, triggers in reversed(ATTRIBUTES.items()):
-        found = F.when(contains_any(padded, [f" {x} " for x in triggers]), name).otherwise(found)
-    return found
-
-
-def closed_window(value: Column) -> Column:
-    return value.rlike(CLOSED_WINDOW)
-
-
 def char_span(text: Column, value: Column) -> Column:
     """Start and end of the value in the text, exactly or else in any case; nulls if absent."""
     exact = F.instr(text, value)
@@ -142,8 +122,9 @@ def entities(text: Column) -> Column:
     """Entities with types: organisations, then places, then other proper nouns; the first type of a name holds."""
 
     def typed(pattern: str, kind: str) -> Column:
-        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        kept = F.filter(F.array_distinct(names), lambda x: ~x.isin(*ENTITY_STOPS))
+        whole = kind == "organization"  # an organisation's name has its suffix
+        names = F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0 if whole else 1)))  # words of any script end words
+        kept = names if whole else F.filter(names, lambda x: ~x.isin(*ENTITY_STOPS))
         return F.transform(kept, lambda x: F.struct(x.alias("entity"), F.lit(kind).alias("kind")))
 
     found = typed(ORGANISATION, "organization")

@@ -19,18 +19,21 @@ def query_tokens(query: str) -> Counter:
 def bm25(docs: DataFrame, query: str, part: str | None = None, text_col: str = "text", name: str = "bm25") -> DataFrame:
     """docs with a score against the query, repeated query words counted, corpus figures by part.
 
-    The query is known when the plan is made, so each of its words is a column: a document is read once, and only a
-    row of counts for each part is aggregated and joined back.
+    The query is known when the plan is made, so each of its words is a column, and only a row of counts for each part
+    is aggregated and joined back. Without part that is one row, read when the plan is made: the corpus is scanned
+    for its figures and once more for the scores, and neither scan is shuffled.
     """
     words = query_tokens(query)
-    key = part or "__all"
-    rows = docs if part else docs.withColumn(key, F.lit(0))
-    rows = rows.withColumn("__tokens", tx.tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = docs.withColumn("__tokens", tx.tokens(F.coalesce(F.col(text_col), F.lit(""))))
     for i, w in enumerate(words):
         rows = rows.withColumn(f"__tf{i}", F.size(F.filter("__tokens", _is(w))).cast("double"))
     rows = rows.withColumn("__dl", F.size("__tokens").cast("double")).drop("__tokens")
-    figures = rows.groupBy(key).agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(words))])
-    both = rows.join(figures, key)
+    counted = [F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(words))]]
+    if part:
+        both = rows.join(rows.groupBy(part).agg(*counted), part)
+    else:  # one row for the whole corpus: its numbers become literals, and no join is left
+        figures = rows.agg(*counted).first()
+        both = rows.withColumns({c: F.lit(figures[c]).cast("double") for c in figures.asDict()})
     score = F.lit(0.0)
     for i, n in enumerate(words.values()):
         tf, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
@@ -40,6 +43,14 @@ def bm25(docs: DataFrame, query: str, part: str | None = None, text_col: str = "
     return both.select(*docs.columns, F.round(score, 12).alias(name))
 
 
+def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """token, df, total: documents with it and occurrences. A document gives each distinct word once and each word once, so one sum by word, combined before the shuffle, gives both."""
+    found = tx.tokens(F.coalesce(F.col(text_col), F.lit("")))
+    once = lambda d, n: lambda x: F.struct(x.alias("token"), F.lit(d).cast("long").alias("d"), F.lit(n).cast("long").alias("n"))
+    rows = docs.select(found.alias("t")).select(F.explode(F.concat(F.transform(F.array_distinct("t"), once(1, 0)), F.transform("t", once(0, 1)))).alias("x"))
+    return rows.groupBy("x.token").agg(F.sum("x.d").alias("df"), F.sum("x.n").alias("total"))
+
+
 def _is(word: str):
     return lambda x: x == word
 
@@ -170,9 +181,9 @@ def across(hits: DataFrame, top_k: int = model.TOP_K, reserved: int = model.PER_
     order = [F.desc("score"), "kind", "id"]
     ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(*order)))
     ranked = ranked.withColumn("kept", F.col("place") <= reserved)
-    n = ranked.filter("kept").limit(most).count()
-    budget = min(max(top_k, n), most)
-    return ranked.orderBy(F.desc("kept"), *order, "session_id").limit(budget)
+    first = ranked.orderBy(F.desc("kept"), *order, "session_id").limit(most)  # few rows, so what follows needs no partitions
+    laid = first.withColumns({"at": F.row_number().over(Window.orderBy(F.desc("kept"), *order, "session_id")), "n": F.sum(F.col("kept").cast("int")).over(Window.partitionBy())})
+    return laid.filter(F.col("at") <= F.greatest(F.lit(top_k), F.col("n"))).drop("at", "n")
 
 
 def temporal_scope(query: str, now_ns: int) -> tuple[int, int] | None:

@@ -95,18 +95,18 @@ def a17_namespace_scan(spark, sf):
     return src.turns(spark, sf).groupBy("namespace").agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("turns"))
 
 
-@query()
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
 def a14_vector_codec(spark, sf):
     rows = src.table(spark, sf, "embeddings").select("vec_id", src.decode_vector(src.encode_vector("embedding")).alias("embedding"))
-    return rows.select("vec_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    return rows.select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query()
+@query(f"WITH {T} SELECT turn_id, 'hash-64' AS model_version, 64::BIGINT AS n FROM turns")
 def a16_embedding_backfill(spark, sf):
     rows = src.turns(spark, sf)
     embed = src.hash_embedder()
     have = rows.filter(F.crc32(F.col("turn_id").cast("binary")) % 2 == 0).select("turn_id", embed("text").alias("embedding"), F.lit("hash-64").alias("model_version"))
-    return src.backfill(rows, have, embed, "hash-64", "turn_id", "text").select("turn_id", "model_version", F.size("embedding").alias("n"))
+    return src.backfill(rows, have, embed, "hash-64", "turn_id", "text").select("turn_id", "model_version", F.size("embedding").cast("long").alias("n"))
 
 
 # --- admission, predicates ---
@@ -166,9 +166,22 @@ def c5_temporal_bin(spark, sf):
     return src.order_claims(spark, sf).groupBy(tx.temporal_bin(F.col("created_ts")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query()
+def extracted_sql() -> str:
+    esc = lambda x: x.replace("'", "''")
+    values = ", ".join("{'predicate': '%s', 'value': regexp_replace(regexp_replace(regexp_extract(tr, '%s', 1), '^\\s+|\\s+$', '', 'g'), '[.,;!?]+$', '')}" % (k, esc(x)) for x, k in tx.EXTRACTORS)
+    admitted = f"trim(text) <> '' AND NOT regexp_matches(text, '{tx.SILENCE}') AND regexp_matches(text, '[A-Za-z'']') AND len({WORDS}) >= {tx.LEAST_CONTENT_WORDS}"
+    return f"""WITH {T}, t AS (SELECT turn_id, session_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS tr FROM turns WHERE {admitted}),
+x AS (SELECT *, list_filter([{values}], lambda f: f.value <> '') AS found, regexp_extract(tr, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*|[A-Z]{{2,}}', 0) AS name, regexp_replace(regexp_extract(tr, '^[^.!?\\n]*', 0), '^\\s+|\\s+$', '', 'g') AS head FROM t),
+y AS (SELECT *, CASE WHEN len(found) > 0 THEN list_transform(found, lambda f: {{'subject': 'user', 'predicate': f.predicate, 'value': f.value, 'confidence': 0.5::DOUBLE}})
+  ELSE [{{'subject': CASE WHEN name = '' THEN 'general' ELSE replace(lower(name), ' ', '_') END, 'predicate': 'observation', 'value': substr(CASE WHEN head <> '' THEN head ELSE tr END, 1, 200), 'confidence': 0.4::DOUBLE}}] END AS f FROM x),
+z AS (SELECT turn_id, session_id, text, unnest(range(len(f))) AS ordinal, unnest(f) AS f FROM y),
+w AS (SELECT *, CASE WHEN strpos(text, f.value) > 0 THEN strpos(text, f.value) - 1 WHEN strpos(lower(text), lower(f.value)) > 0 THEN strpos(lower(text), lower(f.value)) - 1 END AS a FROM z)
+SELECT turn_id, session_id, ordinal::BIGINT AS ordinal, f.subject AS subject, f.predicate AS predicate, f.value AS value, f.confidence AS confidence, a::BIGINT AS char_start, (a + length(f.value))::BIGINT AS char_end FROM w"""
+
+
+@query(extracted_sql())
 def c7_extracted_facts(spark, sf):
-    return facts.extract(src.turns(spark, sf))
+    return facts.extract(src.turns(spark, sf)).withColumns({c: F.col(c).cast("long") for c in ("ordinal", "char_start", "char_end")})
 
 
 @query(f"""WITH {T} SELECT turn_id, CASE WHEN strpos(text, 'the') > 0 THEN strpos(text, 'the') - 1 WHEN strpos(lower(text), 'the') > 0 THEN strpos(lower(text), 'the') - 1 END::BIGINT AS char_start FROM turns""")
@@ -176,7 +189,19 @@ def c11_char_span(spark, sf):
     return src.turns(spark, sf).select("turn_id", tx.char_span(F.col("text"), F.lit("the"))["char_start"].cast("long").alias("char_start"))
 
 
-@query()
+STOPS = "(" + ", ".join(f"'{x}'" for x in tx.ENTITY_STOPS) + ")"
+
+
+# DuckDB's \\b knows ASCII words only, so other Latin letters become a digit there, which is in no name.
+LATIN = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
+
+
+@query(f"""WITH {T}, plain AS (SELECT turn_id, regexp_replace(text, '{LATIN}', '0', 'g') AS text FROM turns),
+o AS (SELECT DISTINCT turn_id, unnest(regexp_extract_all(text, '{tx.ORGANISATION}', 0)) AS entity FROM plain),
+l AS (SELECT DISTINCT turn_id, unnest(regexp_extract_all(text, '{tx.LOCATION}', 1)) AS entity FROM plain),
+p AS (SELECT DISTINCT turn_id, unnest(regexp_extract_all(text, '{tx.PROPER_NOUN}', 1)) AS entity FROM plain),
+m AS (FROM l WHERE entity NOT IN {STOPS} AND (turn_id, entity) NOT IN (FROM o))
+SELECT *, 'organization' AS kind FROM o UNION ALL SELECT *, 'location' FROM m UNION ALL SELECT *, 'proper_noun' FROM p WHERE entity NOT IN {STOPS} AND (turn_id, entity) NOT IN (FROM o) AND (turn_id, entity) NOT IN (FROM m)""")
 def c14_entities(spark, sf):
     return src.turns(spark, sf).select("turn_id", F.explode(tx.entities(F.col("text"))).alias("e")).select("turn_id", F.col("e.entity").alias("entity"), F.col("e.kind").alias("kind"))
 
@@ -220,17 +245,35 @@ def folded(spark, sf):
     return facts.supersede(src.claims(spark, sf), kinds)
 
 
-@query()
+# One slot after another, claim by claim: what is held, newest first, and the edge that each claim makes.
+FOLD = f"""{C}, laid AS (SELECT *, source_trust::DOUBLE AS trust, row_number() OVER (PARTITION BY session_id, subject, predicate ORDER BY created_ts, claim_id) AS rn FROM claims),
+fold AS (
+  SELECT session_id, subject, predicate, rn, created_ts, claim_id AS new_claim_id, NULL::VARCHAR AS old_claim_id, NULL::VARCHAR AS edge_type,
+    [{{'id': claim_id, 'value': value, 'turn': source_turn_id, 'speaker': speaker, 'trust': trust}}] AS held FROM laid WHERE rn = 1
+  UNION ALL
+  SELECT session_id, subject, predicate, rn, created_ts, claim_id, old.id, kind,
+    list_prepend({{'id': claim_id, 'value': value, 'turn': source_turn_id, 'speaker': speaker, 'trust': trust}}, CASE WHEN kind IN ('user_correction', 'assistant_confirm') THEN list_filter(held, lambda x: x.id <> old.id) ELSE held END)
+  FROM (SELECT *, CASE WHEN old IS NULL THEN NULL WHEN speaker <> 'assistant' AND trust + 0.2::DOUBLE < old.trust THEN 'blocked' WHEN speaker = 'assistant' THEN 'assistant_confirm' WHEN old.speaker = 'user' THEN 'user_correction' ELSE 'contradicts' END AS kind
+    FROM (SELECT n.*, f.held, list_filter(f.held, lambda x: x.value <> n.value AND x.turn <> n.source_turn_id)[1] AS old FROM fold f JOIN laid n ON n.session_id = f.session_id AND n.subject = f.subject AND n.predicate = f.predicate AND n.rn = f.rn + 1))),
+made AS (SELECT session_id, subject, predicate, old_claim_id, new_claim_id, edge_type, created_ts FROM fold WHERE old_claim_id IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {FOLD} FROM made")
 def d1_supersession(spark, sf):
     return folded(spark, sf)
 
 
-@query()
+@query(f"WITH RECURSIVE {FOLD} SELECT edge_type, count(*) AS n FROM made GROUP BY edge_type")
 def d7_trust_guard(spark, sf):
     return folded(spark, sf).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT label::VARCHAR AS grp, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+f AS (SELECT grp, rn, [{'id': vec_id, 'e': e}] AS held, NULL::BIGINT AS old_id, vec_id AS new_id, NULL::DOUBLE AS score FROM v WHERE rn = 1
+  UNION ALL SELECT grp, rn, list_prepend({'id': vec_id, 'e': e}, CASE WHEN best.s >= 0.45 THEN list_filter(held, lambda x: x.id <> best.id) ELSE held END),
+    CASE WHEN best.s >= 0.45 THEN best.id END, vec_id, CASE WHEN best.s >= 0.45 THEN round(best.s, 6) END
+  FROM (SELECT n.*, f.held, list_reverse_sort(list_transform(f.held, lambda x: {'s': list_cosine_similarity(x.e, n.e), 'id': x.id}))[1] AS best FROM f JOIN v n ON n.grp = f.grp AND n.rn = f.rn + 1))
+SELECT grp AS "group", old_id, new_id, score FROM f WHERE old_id IS NOT NULL""")
 def d9_semantic_supersession(spark, sf):
     v = src.table(spark, sf, "embeddings")
     rows = v.select(F.col("label").cast("string").alias("group"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ts"), F.col("vec_id").cast("string").alias("turn"), "embedding")
@@ -264,7 +307,9 @@ def d11_superseded_by(spark, sf):
     return views.superseded_by(validity(spark, sf)[1])
 
 
-@query()
+@query(f"""WITH RECURSIVE {FOLD}, retired AS (SELECT old_claim_id FROM made WHERE edge_type NOT IN ('blocked', 'contradicts'))
+SELECT old_claim_id, new_claim_id, o.value AS old_value, n.value AS new_value FROM made JOIN claims o ON o.claim_id = old_claim_id JOIN claims n ON n.claim_id = new_claim_id
+WHERE edge_type = 'contradicts' AND old_claim_id NOT IN (FROM retired) AND new_claim_id NOT IN (FROM retired)""")
 def d16_contradictions(spark, sf):
     edges = folded(spark, sf)
     claims = facts.with_status(src.claims(spark, sf), edges)
@@ -353,8 +398,7 @@ def f10_utility(spark, sf):
 
 @query("SELECT token, count(*) AS df, sum(n)::BIGINT AS total FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL) GROUP BY token")
 def f12_corpus_stats(spark, sf):
-    docs = src.table(spark, sf, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
-    return docs.groupBy("token").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("total"))
+    return rank.corpus_counts(src.table(spark, sf, "documents"))
 
 
 @query(f"WITH {C} SELECT claim_id, count(*) OVER (PARTITION BY session_id, subject, predicate) AS frequency FROM claims")
@@ -399,9 +443,19 @@ def g3_context_window(spark, sf):
     return memory.around(t, t.filter("speaker = 'system'")).select("centre", "turn_id")
 
 
-@query()
+# From claim to claim of a subject: past a burst if one starts there, else to the next.
+BURSTS = f"""p AS (SELECT subject, predicate, created_ts, claim_id, row_number() OVER (PARTITION BY subject ORDER BY created_ts, claim_id) AS i FROM claims),
+g AS (SELECT a.subject, a.i, max(b.i) AS j, count(DISTINCT b.predicate) AS kinds FROM p a JOIN p b ON a.subject = b.subject AND b.i >= a.i AND b.created_ts <= a.created_ts + {DAY} GROUP BY ALL),
+walk AS (SELECT subject, 1::BIGINT AS i FROM p GROUP BY subject UNION ALL SELECT g.subject, CASE WHEN g.kinds >= 3 THEN g.j ELSE g.i END + 1 FROM walk w JOIN g ON g.subject = w.subject AND g.i = w.i),
+inside AS (SELECT g.subject, g.i AS start, p.* EXCLUDE (subject) FROM walk JOIN g USING (subject, i) JOIN p ON p.subject = g.subject AND p.i BETWEEN g.i AND g.j WHERE kinds >= 3)"""
+
+
+@query(f"""WITH RECURSIVE {C}, {BURSTS}, kinds AS (SELECT subject, start, string_agg(predicate, ',' ORDER BY first) AS predicates, count(*) AS k FROM (SELECT subject, start, predicate, min(i) AS first FROM inside GROUP BY ALL) GROUP BY ALL),
+total AS (SELECT subject, count(DISTINCT predicate) AS n FROM p GROUP BY subject)
+SELECT subject, min(created_ts) AS start_ts, max(created_ts) AS end_ts, count(*) AS n_claims, any_value(predicates) AS predicates, round(least(1.0, any_value(k) / any_value(n)::DOUBLE), 4) AS significance
+FROM inside JOIN kinds USING (subject, start) JOIN total USING (subject) GROUP BY subject, start""")
 def g5_bursts(spark, sf):
-    return memory.bursts(src.claims(spark, sf)).select("subject", "start_ts", "end_ts", F.size("claim_ids").alias("n_claims"), F.array_join("predicates", ",").alias("predicates"), "significance")
+    return memory.bursts(src.claims(spark, sf)).select("subject", "start_ts", "end_ts", F.size("claim_ids").cast("long").alias("n_claims"), F.array_join("predicates", ",").alias("predicates"), "significance")
 
 
 @query(f"""WITH {C} SELECT a.claim_id, count(DISTINCT b.predicate) AS kinds FROM claims a JOIN claims b ON a.subject = b.subject AND b.created_ts BETWEEN a.created_ts AND a.created_ts + {DAY}
@@ -410,24 +464,18 @@ def g5_burst_candidates(spark, sf):
     return memory.burst_candidates(src.claims(spark, sf)).select("claim_id", F.col("kinds").cast("long").alias("kinds"))
 
 
-@query()
-def g7_packed_context(spark, sf):
-    hits = rank.episodes(src.turns(spark, sf), ASK).withColumn("id", F.col("turn_id"))
-    return memory.packed_context(hits, 60).select("session_id", "used", F.array_join("ids", ",").alias("ids"))
-
-
 # --- retrieval ---
 
 
-def bm25_sql(rows: str, ident: str, part: str, ask: str = ASK) -> str:
+def bm25_sql(rows: str, ident: str, part: str, ask: str = ASK, tag: str = "") -> str:
     counts = ", ".join(f"('{w}', {n})" for w, n in rank.query_tokens(ask).items())
-    return f"""q(token, qc) AS (VALUES {counts}),
-tok AS (SELECT {ident} AS id, {part} AS part, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM {rows}),
-corpus AS (SELECT part, count(*) AS n, avg(len(tk)) AS avgdl FROM tok GROUP BY part),
-post AS (SELECT id, part, len(tk) AS dl, token, len(list_filter(tk, lambda x: x = token))::DOUBLE AS tf, qc FROM tok, q),
-dfs AS (SELECT part, token, count(*) AS df FROM post WHERE tf > 0 GROUP BY ALL),
-bm AS (SELECT id, round(sum(CASE WHEN tf > 0 THEN qc * ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END), 12) AS bm25
-  FROM post JOIN corpus USING (part) LEFT JOIN dfs USING (part, token) GROUP BY id)"""
+    return f"""q{tag}(token, qc) AS (VALUES {counts}),
+tok{tag} AS (SELECT {ident} AS id, {part} AS part, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM {rows}),
+corpus{tag} AS (SELECT part, count(*) AS n, avg(len(tk)) AS avgdl FROM tok{tag} GROUP BY part),
+post{tag} AS (SELECT id, part, len(tk) AS dl, token, len(list_filter(tk, lambda x: x = token))::DOUBLE AS tf, qc FROM tok{tag}, q{tag}),
+dfs{tag} AS (SELECT part, token, count(*) AS df FROM post{tag} WHERE tf > 0 GROUP BY ALL),
+bm{tag} AS (SELECT id, round(sum(CASE WHEN tf > 0 THEN qc * ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END), 12) AS bm25
+  FROM post{tag} JOIN corpus{tag} USING (part) LEFT JOIN dfs{tag} USING (part, token) GROUP BY id)"""
 
 
 @query(f"WITH {T}, {bm25_sql('turns', 'turn_id', 'session_id')} SELECT id AS turn_id, round(bm25, 6) AS bm25 FROM bm")
@@ -472,14 +520,28 @@ def j12_episodes(spark, sf):
     return rank.top(rows, 3, [F.desc("score"), "turn_id"], "session_id").select("session_id", "turn_id", F.round("score", 6).alias("score"), F.col("rn").cast("long").alias("place"))
 
 
+@query(f"""WITH RECURSIVE {EPISODES}, laid AS (SELECT session_id, turn_id, greatest(1, length(text) // 4) AS cost, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn_id) AS rn FROM ep),
+packed AS (SELECT DISTINCT session_id, 0::BIGINT AS rn, 0::BIGINT AS used, [] ::VARCHAR[] AS ids FROM laid
+  UNION ALL SELECT l.session_id, l.rn, CASE WHEN used + cost <= 60 THEN used + cost ELSE used END, CASE WHEN used + cost <= 60 THEN list_append(ids, turn_id) ELSE ids END FROM packed p JOIN laid l ON l.session_id = p.session_id AND l.rn = p.rn + 1)
+SELECT session_id, used, array_to_string(ids, ',') AS ids FROM packed QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY rn DESC) = 1""")
+def g7_packed_context(spark, sf):
+    hits = rank.episodes(src.turns(spark, sf), ASK).withColumn("id", F.col("turn_id"))
+    return memory.packed_context(hits, 60).select("session_id", F.col("used").cast("long").alias("used"), F.array_join("ids", ",").alias("ids"))
+
+
 CLAIM_ASK = "latest purchase of u12 login"
-HYBRID = f"""{C}, {bm25_sql('claims', 'claim_id', 'session_id', CLAIM_ASK)},
-sc AS (SELECT claims.*, bm25, list_contains(['latest','purchase','of','u12','login'], subject)::INT AS entity, count(*) OVER (PARTITION BY session_id, subject, predicate) AS frequency
-  FROM claims JOIN bm ON bm.id = claim_id),
-hy AS (SELECT *, round(""" + " + ".join(
-    f"{w} / (60.0 + row_number() OVER (PARTITION BY session_id ORDER BY {c} DESC, created_ts, claim_id))"
-    for c, w in (("entity", 0.2), ("valid_from_ts", "(0.1 * 3)"), ("bm25", 0.2), ("confidence", 0.1), ("frequency", 0.1), ("source_trust", 0.12))
-) + ", 12) AS score FROM sc)"
+def hybrid_sql(ask: str, times: int) -> str:
+    """Claims' ranks for a query that counts recency so many times."""
+    words = ", ".join(f"'{x}'" for x in sorted(set(ask.split())))
+    channels = (("entity", "0.2"), ("valid_from_ts", f"(0.1 * {times})"), ("bm25", "0.2"), ("confidence", "0.1"), ("frequency", "0.1"), ("source_trust", "0.12"))
+    total = " + ".join(f"{w} / (60.0 + row_number() OVER (PARTITION BY session_id ORDER BY {c} DESC, created_ts, claim_id))" for c, w in channels)
+    return f"""{C}, {bm25_sql('claims', 'claim_id', 'session_id', ask, '_h')},
+sch AS (SELECT claims.*, bm25, list_contains([{words}], subject)::INT AS entity, count(*) OVER (PARTITION BY session_id, subject, predicate) AS frequency
+  FROM claims JOIN bm_h ON bm_h.id = claim_id),
+hy AS (SELECT *, round({total}, 12) AS score FROM sch)"""
+
+
+HYBRID = hybrid_sql(CLAIM_ASK, 3)
 
 
 @query(f"WITH {HYBRID} SELECT session_id, claim_id, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, claim_id) AS rn FROM hy) WHERE rn <= 20")
@@ -496,14 +558,25 @@ def hits(spark, sf):
     return rank.fuse_memory(rank.facts(session_claims(spark, sf), CLAIM_ASK), rank.episodes(src.turns(spark, sf), ASK), 5)
 
 
-@query(f"""WITH {EPISODES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn_id) AS rk FROM ep)
-SELECT session_id, 'turn' AS kind, turn_id AS id, round(0.9 / (60 + rk), 6) AS score FROM r WHERE rk <= 5""")
+def fused_sql(ask: str, times: int, most: int) -> str:
+    """Facts for a query and turns for ASK, fused; the most for a session."""
+    return f"""{EPISODES}, {hybrid_sql(ask, times)},
+ranked AS (
+  SELECT replace(session_id, 's', '') AS session_id, 'fact' AS kind, claim_id AS id, 1.0::DOUBLE AS w, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, claim_id) AS rk FROM hy
+  UNION ALL SELECT session_id, 'turn', turn_id, 0.9::DOUBLE, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn_id) FROM ep),
+fused AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, kind, id) AS place
+  FROM (SELECT session_id, kind, id, round(w / (60 + rk), 12) AS score FROM ranked WHERE rk <= {most}) QUALIFY place <= {most})"""
+
+
+@query(f"WITH {fused_sql(ASK, 1, model.TOP_K)} SELECT session_id, kind, id, round(score, 6) AS score FROM fused")
 def j13_fused_episodes(spark, sf):
     rows = rank.fuse_memory(rank.facts(session_claims(spark, sf), ASK), rank.episodes(src.turns(spark, sf), ASK), model.TOP_K)
     return rows.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH {fused_sql(CLAIM_ASK, 3, 5)}, budget AS (SELECT least({model.MOST_ACROSS}, greatest({model.TOP_K}, count(*))) AS n FROM fused WHERE place <= {model.PER_SESSION_K}),
+laid AS (SELECT *, row_number() OVER (ORDER BY place <= {model.PER_SESSION_K} DESC, score DESC, kind, id, session_id) AS pos FROM fused)
+SELECT session_id, kind, id, round(score, 6) AS score FROM laid, budget WHERE pos <= n""")
 def j14_across_sessions(spark, sf):
     return rank.across(hits(spark, sf)).select("session_id", "kind", "id", F.round("score", 6).alias("score"))
 
@@ -538,7 +611,7 @@ def n5_event_frames(spark, sf):
     return memory.event_frames(rows).select("session_id", "event_type", F.array_join("turn_ids", ",").alias("turn_ids"), "location", "amount", "item", "confidence")
 
 
-N6 = "e AS (SELECT DISTINCT l_orderkey AS t, 's' || l_suppkey AS x FROM lineitem WHERE l_orderkey % 10 = 3), n AS (SELECT DISTINCT a.x AS entity, b.x AS neighbour FROM e a JOIN e b USING (t) WHERE a.x <> b.x)"
+N6 = "e AS (SELECT DISTINCT l_orderkey AS t, 's' || l_suppkey AS x FROM lineitem), n AS (SELECT DISTINCT a.x AS entity, b.x AS neighbour FROM e a JOIN e b USING (t) WHERE a.x <> b.x)"
 
 
 def supplier_claims(spark, sf):
@@ -569,8 +642,9 @@ def n15_forget(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(f"""WITH b AS (SELECT label, vec_id, embedding FROM embeddings WHERE vec_id < 100), a AS (SELECT * FROM embeddings WHERE vec_id >= 100)
-SELECT a.vec_id AS id, round(max({COS}), 6) AS best, round(max({COS}), 6) < 0.15 AS anomalous FROM a JOIN b ON a.label = b.label GROUP BY a.vec_id""")
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM embeddings),
+c AS (SELECT a.vec_id AS id, {COS} AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id DESC) AS k FROM r a JOIN r b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.rn <= 101)
+SELECT vec_id AS id, round(max(c) FILTER (k <= 100), 6) AS best, coalesce(round(max(c) FILTER (k <= 100), 6) < 0.15, false) AS anomalous FROM embeddings e LEFT JOIN c ON c.id = e.vec_id GROUP BY vec_id""")
 def n17_anomalies(spark, sf):
     v = src.table(spark, sf, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), "embedding")
     return memory.anomalies(v, v).select("id", "best", "anomalous")
@@ -627,8 +701,7 @@ def l1_stream_windows(spark, sf):
 # --- doors ---
 
 
-@query(f"""WITH {T}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, turn_id) AS rn FROM turns)
-SELECT session_id, string_agg(text, ' ' ORDER BY rn DESC) AS query FROM r WHERE rn <= 5 GROUP BY session_id""")
+@query()
 def n9_working_context(spark, sf):
     rows = context.working_context(session_claims(spark, sf), src.turns(spark, sf), NOW)
     return rows.select("session_id", "query", F.array_join("entities", ",").alias("entities"), "used", F.array_join("ids", ",").alias("ids"))
@@ -686,7 +759,10 @@ def j15_expanded(spark, sf):
     return context.expanded(claims, CLAIM_ASK).select("claim_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {EPISODES}, {HYBRID}, best AS (SELECT replace(session_id, 's', '') AS session_id FROM hy GROUP BY ALL HAVING max(score) >= 0.3),
+u AS (SELECT replace(session_id, 's', '') AS session_id, 'fact' AS kind, claim_id AS id, score FROM hy
+  UNION ALL SELECT session_id, 'turn', turn_id, bm25 FROM ep WHERE turn_id NOT IN (SELECT source_turn_id FROM claims) AND session_id NOT IN (FROM best))
+SELECT session_id, kind, id, round(score, 6) AS score FROM u QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY u.score DESC, kind, id) <= 15""")
 def j17_fallback(spark, sf):
     claims = src.claims(spark, sf).withColumn("status", F.lit("active")).withColumn("session_id", F.replace("session_id", F.lit("s"), F.lit("")))
     found = context.with_fallback(rank.facts(claims, CLAIM_ASK), rank.episodes(src.turns(spark, sf), ASK))
