@@ -138,16 +138,22 @@ def hook_keywords(text: Column) -> Column:
     return F.array_join(F.slice(first, 1, 5), " ")
 
 
+CLAIM = "struct<subject:string,predicate:string,value:string,confidence:double>"
+# The keys that replies are usually wrapped in, in the order in which they are looked for.
+WRAPPERS = ("claims", "extracted_claims", "items", "list", "data")
+
+
 def parsed_claims(raw: Column) -> Column:
-    """Claims of a model's JSON reply: a list, an object that holds one under any key, or a single claim; anything else gives none."""
-    one = "struct<subject:string,predicate:string,value:string,confidence:double>"
+    """Claims of a model's JSON reply: a list, an object that holds one under a usual key or under its only key, or a single claim; anything else gives none."""
     parsed = F.try_parse_json(raw)
-    listed = F.try_variant_get(parsed, "$", f"array<{one}>")
-    held = F.coalesce(*[F.try_variant_get(parsed, f"$.{k}", f"array<{one}>") for k in ("claims", "facts", "items", "results")])
-    single = F.try_variant_get(parsed, "$", one)
-    found = F.coalesce(listed, held, F.when(single["value"].isNotNull(), F.array(single)))
+    listed = F.try_variant_get(parsed, "$", f"array<{CLAIM}>")
+    members = F.from_json(raw, "map<string,string>")
+    wrapped = [F.try_variant_get(parsed, f"$.{k}", f"array<{CLAIM}>") for k in WRAPPERS]
+    only = F.when(F.size(members) == 1, F.try_variant_get(F.try_parse_json(F.get(F.map_values(members), 0)), "$", f"array<{CLAIM}>"))
+    single = F.try_variant_get(parsed, "$", CLAIM)
+    found = F.coalesce(listed, *wrapped, only, F.when(single["value"].isNotNull(), F.array(single)))
     good = lambda x: (F.trim(x["subject"]) != "") & (F.trim(x["predicate"]) != "") & (F.trim(x["value"]) != "") & F.coalesce(x["confidence"].between(0, 1), F.lit(True))
-    return F.filter(F.coalesce(found, F.array().cast(f"array<{one}>")), good)
+    return F.filter(F.coalesce(found, F.array().cast(f"array<{CLAIM}>")), good)
 
 
 def branch(claims: DataFrame, slots: dict[str, tuple[str, ...]], name: str | None) -> DataFrame:

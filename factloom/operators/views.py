@@ -71,21 +71,43 @@ def superseded_by(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("old_claim_id").alias("claim_id")).agg(F.max_by("new_claim_id", F.struct("created_ts", "new_claim_id")).alias("superseded_by"))
 
 
-def lineage(edges: DataFrame, checkpoint=lambda df: df, rounds: int = 20) -> DataFrame:
+def lineage(edges: DataFrame, checkpoint=lambda df: df) -> DataFrame:
     """claim_id, origin, depth: the oldest claim that each one goes back to and how many steps away it is.
 
-    Pointer doubling: a round doubles the steps that each pointer spans, so chains of n claims take log2 n rounds.
+    Pointer doubling: a round doubles the steps that each pointer spans, so chains of n claims take log2 n rounds. Edges that
+    lead in a circle have no oldest claim: a circle is cut before its least claim, which is then the origin of all its claims and of
+    the chains that hang on it.
     """
     w = Window.partitionBy("new_claim_id").orderBy(F.desc("created_ts"), F.desc("old_claim_id"))
     parent = edges.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(F.col("new_claim_id").alias("claim_id"), F.col("old_claim_id").alias("up"), F.lit(1).cast("long").alias("steps"))
-    at = checkpoint(parent)
-    for _ in range(rounds):
+    first = checkpoint(parent)
+    most = first.count()  # no chain is longer
+    at, span = first, 1
+    while True:
         above = at.select(F.col("claim_id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
         grown = checkpoint(at.join(above, "up", "left").select("claim_id", F.coalesce("further", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")))
         if grown.filter("moved").isEmpty():
+            return at.select("claim_id", F.col("up").alias("origin"), F.col("steps").alias("depth"))
+        at, span = grown.drop("moved"), 2 * span
+        if span > most:
             break
-        at = grown.drop("moved")
-    return at.select("claim_id", F.col("up").alias("origin"), F.col("steps").alias("depth"))
+    # pointers that still move after that many steps go round in circles: cut each circle at its least claim and walk again
+    circle = grown.filter("moved").select(F.col("up").alias("claim_id")).distinct()
+    ring = first.join(circle, "claim_id", "left_semi")
+    names = checkpoint(_least_around(ring, checkpoint))
+    cut = names.filter("claim_id = least").select("claim_id")
+    return lineage(first.join(cut, "claim_id", "left_anti").select(F.col("up").alias("old_claim_id"), F.col("claim_id").alias("new_claim_id"), F.lit(0).cast("long").alias("created_ts")), checkpoint)
+
+
+def _least_around(ring: DataFrame, checkpoint) -> DataFrame:
+    """claim_id, least: the least claim of each circle (claim_id, up), by doubling the stretch that a claim looks over."""
+    at = ring.select("claim_id", "up", F.least("claim_id", "up").alias("least"))
+    most, span = ring.count(), 1
+    while span < most:
+        above = at.select(F.col("claim_id").alias("up"), F.col("up").alias("further"), F.col("least").alias("other"))
+        at = checkpoint(at.join(above, "up").select("claim_id", F.col("further").alias("up"), F.least("least", "other").alias("least")))
+        span *= 2
+    return at.select("claim_id", "least")
 
 
 def trace(claims: DataFrame, edges: DataFrame, checkpoint=lambda df: df) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.functions import text as tx
-from factloom.operators import context, facts, memory, rank, views
+from factloom.operators import context, facts, frames, memory, rank, views
 from factloom.sources import tables as src
 from factloom.streaming import stream
 
@@ -598,17 +598,20 @@ def n2_profile(spark, sf):
     return lines.select("subject", "tier", "text", F.array_join("claim_ids", ",").alias("claim_ids"), "used")
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN n{i} > 0 AND n{i} = greatest({', '.join(f'n{j}' for j in range(6))}) THEN '{k}'" for i, k in enumerate(tx.EVENT_SIGNALS)) + " END AS kind FROM (SELECT doc_id, "
-       + ", ".join(" + ".join(f"contains(lower(text), '{s}')::INT" for s in v) + f" AS n{i}" for i, v in enumerate(tx.EVENT_SIGNALS.values())) + " FROM documents)")
+EVENT_KIND = "CASE " + " ".join(f"WHEN n{i} > 0 AND n{i} = greatest({', '.join(f'n{j}' for j in range(6))}) THEN '{k}'" for i, k in enumerate(tx.EVENT_SIGNALS)) + " END"
+EVENT_COUNTS = ", ".join(" + ".join(f"contains(lower(value), '{s}')::INT" for s in v) + f" AS n{i}" for i, v in enumerate(tx.EVENT_SIGNALS.values()))
+
+
+@query(f"WITH {src.STORIES_SQL} SELECT turn_id, {EVENT_KIND} AS kind FROM (SELECT turn_id, {EVENT_COUNTS} FROM stories)")
 def n3_event_types(spark, sf):
-    return src.table(spark, sf, "documents").select("doc_id", tx.event_type(F.col("text")).alias("kind"))
+    return src.stories(spark, sf).select("turn_id", tx.event_type(F.col("value")).alias("kind"))
 
 
 @query()
 def n5_event_frames(spark, sf):
-    t = memory.turn_index(src.turns(spark, sf))
-    rows = t.select("session_id", "turn_id", "turn_index", F.col("turn_id").alias("claim_id"), F.col("text").alias("value"), F.lit("user").alias("entity"), F.lit(0.5).alias("confidence"))
-    return memory.event_frames(rows).select("session_id", "event_type", F.array_join("turn_ids", ",").alias("turn_ids"), "location", "amount", "item", "confidence")
+    """Held against a plain loop over sessions in tests/test_frames.py: the groups are connected components."""
+    rows = frames.event_frames(src.stories(spark, sf))
+    return rows.select("session_id", "event_type", F.array_join("turn_ids", ",").alias("turn_ids"), "location", "time_expr", "amount", "item", "confidence", F.array_join("participants", ",").alias("participants"), F.array_join("missing", ",").alias("missing"))
 
 
 N6 = "e AS (SELECT DISTINCT l_orderkey AS t, 's' || l_suppkey AS x FROM lineitem), n AS (SELECT DISTINCT a.x AS entity, b.x AS neighbour FROM e a JOIN e b USING (t) WHERE a.x <> b.x)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,31 @@ ORDER_CLAIMS_SQL = """order_claims AS (
   FROM orders)"""
 
 
+#: What an order says as a turn, by its number: an event of each type and plain talk. {n}: a number, {k}: the order's priority.
+STORIES = (
+    "bought a walnut desk number {n} from Target for ${n}", "the walnut desk number {n} was paid at Costco on Monday", "drove to Denver on a long trip of {n} hours",
+    "studied physics at Harvard in {n} weeks", 'watched a movie called "Blue River {n}" by night', "booked a dentist appointment for March at 10:{n}", "went to Walmart near Boston", "nothing of note {k}",
+)
+
+
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as turns of their customers, each with one claim and a topic as its entity."""
+    o = table(spark, sf_dir, "orders")
+    n, kind = (F.col("o_orderkey") % 50 + 10).cast("string"), F.col("o_orderkey") % 8
+    said = F.element_at(F.array(*[F.lit(x) for x in STORIES]), (kind + 1).cast("int"))
+    said = F.replace(F.replace(said, F.lit("{n}"), n), F.lit("{k}"), F.col("o_orderpriority"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    entity = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("topic"), F.col("o_orderkey") % 11)).otherwise("user")
+    return o.select(
+        F.concat(F.lit("s"), "o_custkey").alias("session_id"), F.concat(F.lit("tu_"), "o_orderkey").alias("turn_id"), place.cast("long").alias("turn_index"),
+        F.concat(F.lit("cl_"), "o_orderkey").alias("claim_id"), said.alias("value"), entity.alias("entity"), ((F.col("o_orderkey") % 10 + 1) / 10.0).alias("confidence"),
+    )
+
+
+STORIES_SQL = "stories AS (SELECT 's' || o_custkey AS session_id, 'tu_' || o_orderkey AS turn_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS turn_index, 'cl_' || o_orderkey AS claim_id, replace(replace([" + ", ".join("'" + x.replace("'", "''") + "'" for x in STORIES) + """][o_orderkey % 8 + 1],
+    '{n}', CAST(o_orderkey % 50 + 10 AS VARCHAR)), '{k}', o_orderpriority) AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'topic' || (o_orderkey % 11) ELSE 'user' END AS entity, (o_orderkey % 10 + 1) / 10.0 AS confidence FROM orders)"""
+
+
 def document_turns(docs: DataFrame) -> DataFrame:
     """Benchmark documents (id, user_id, timestamp, context, messages, content) as turns: the messages, or else the content, each after the context."""
     said = F.when(F.size("messages") > 0, F.col("messages")).otherwise(F.array(F.struct(F.lit("user").alias("role"), F.col("content").alias("content"))))
@@ -199,5 +224,8 @@ def backfill(rows: DataFrame, vectors: DataFrame, embed, version: str, id_col: s
 
 
 def validated_append(existing: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """New rows whose key isn't taken, and those that are refused."""
-    return new.join(existing.select(key), key, "left_anti"), new.join(existing.select(key), key, "left_semi")
+    """New rows with a key of their own, and those that are refused: their key is taken, missing, or another row of the batch has it too."""
+    taken = existing.select(F.col(key).alias("__key")).union(new.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)).distinct()
+    marked = new.join(taken.withColumn("__taken", F.lit(True)), F.col(key) == F.col("__key"), "left")
+    refused = F.col(key).isNull() | F.coalesce("__taken", F.lit(False))
+    return tuple(marked.filter(x).select(*new.columns) for x in (~refused, refused))

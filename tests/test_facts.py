@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, memory, views
+from factloom.operators import facts, frames, memory, views
+from factloom.plans.queries import checkpoint
+from factloom.sources import tables
 
 SCHEMA = "session_id string, subject string, predicate string, claim_id string, value string, source_turn_id string, speaker string, source_trust double, created_ts long"
 
@@ -81,6 +83,33 @@ def test_lineage(spark):
     assert got == {**{f"c{i}": ("c0", i) for i in range(1, 10)}, "y": ("x", 1)}
 
 
+@pytest.mark.parametrize("loop", [["a", "b"], list("bcdea")])
+def test_lineage_cuts_circles(spark, loop):
+    ring = [(x, y, 1) for x, y in zip(loop, [*loop[1:], loop[0]], strict=True)]
+    tail = [(loop[0], "t1", 5), ("t1", "t2", 6)]
+    edges = spark.createDataFrame(ring + tail + [("x", "y", 1)], "old_claim_id string, new_claim_id string, created_ts long")
+    up = {new: old for old, new, _ in ring + tail + [("x", "y", 1)] if new != min(loop)}
+    want = {}
+    for claim in up:
+        at, steps = claim, 0
+        while at in up:
+            at, steps = up[at], steps + 1
+        want[claim] = (at, steps)
+    assert {r.claim_id: (r.origin, r.depth) for r in views.lineage(edges, checkpoint).collect()} == want
+
+
+def test_long_chains_have_no_cap(spark):
+    edges = spark.range(0, 300).selectExpr("cast(id as string) as old_claim_id", "cast(id + 1 as string) as new_claim_id", "id as created_ts")
+    last = views.lineage(edges, checkpoint).filter("claim_id = '300'").first()
+    assert (last.origin, last.depth) == ("0", 300)
+
+
+def test_append_refuses_taken_doubled_and_missing_keys(spark):
+    old, new = spark.createDataFrame([("a", 1)], "id string, n long"), spark.createDataFrame([("a", 2), ("b", 3), ("b", 4), ("c", 5), (None, 6)], "id string, n long")
+    good, bad = tables.validated_append(old, new, "id")
+    assert [r.n for r in good.collect()] == [5] and sorted(r.n for r in bad.collect()) == [2, 3, 4, 6] and good.columns == new.columns
+
+
 def test_validation_and_insert(spark):
     schema = "claim_id string, subject string, predicate string, value string, text string, confidence double, char_start int, char_end int, turn_length int, created_ts long, valid_from_ts long, source_type string, speaker string"
     data = [("a", "My Dog", "user_fact", "barks", None, 0.5, 0, 3, 10, None, None, "conversation", "user"), ("b", "x", "", "v", None, 0.5, None, None, 9, None, None, "browser", "user"),
@@ -149,7 +178,7 @@ def test_forget_leaves_nothing(spark):
 def test_event_frames(spark):
     said = ["bought a Sony camera from Walmart", "the Sony camera cost $500", "nothing at all", "studied physics at Harvard in 3 weeks"]
     df = spark.createDataFrame([("s", f"t{i}", i, f"c{i}", v, "user", 0.5 + i / 10) for i, v in enumerate(said)], "session_id string, turn_id string, turn_index long, claim_id string, value string, entity string, confidence double")
-    got = {r.event_type: r for r in memory.event_frames(df).collect()}
+    got = {r.event_type: r for r in frames.event_frames(df).collect()}
     buy = got["purchase_redemption"]
     assert buy.claim_ids == ["c0", "c1"] and buy.item == "a Sony camera" and buy.amount == "$500" and buy.location == "Walmart" and buy.confidence == 0.5
     assert got["education_milestone"].item == "physics" and got["education_milestone"].time_expr == "3 week"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
+from factloom.operators import context
 
 
 def one(spark, expr, *values):
@@ -63,3 +64,18 @@ def test_subject_span_and_event(spark):
     assert tuple(one(spark, tx.char_span, "Hello World", "world")) == (6, 11)
     assert one(spark, tx.char_span, "Hello", "x").char_start is None
     assert one(spark, tx.event_type, "bought a camera at checkout") == "purchase_redemption" and one(spark, tx.event_type, "nothing") is None
+
+
+def test_an_organisation_is_one_entity(spark):
+    text = "I met Acme Widgets Inc in Paris, not The University; Åke saw Bern and éAn"
+    got = [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(tx.entities(F.col("t")).alias("e")).first().e]
+    assert got == [("Acme Widgets Inc", "organization"), ("The University", "organization"), ("Paris", "location"), ("Bern", "proper_noun")]
+
+
+def test_replies_in_any_wrapper(spark):
+    one = '{"subject": "u", "predicate": "p", "value": "v", "confidence": 0.5}'
+    good = [f"[{one}]", f'{{"claims": [{one}]}}', f'{{"data": [{one}]}}', f'{{"anything": [{one}]}}', one, f'{{"claims": [{one}], "entities": []}}']
+    bad = ["{}", "[]", "nonsense", '{"claims": 3}', f'{{"x": [{one}], "y": 1}}', '[{"subject": " ", "predicate": "p", "value": "v"}]', "3", None]
+    df = spark.createDataFrame([(x,) for x in good + bad], "raw string")
+    got = [len(r.c) for r in df.select(context.parsed_claims(F.col("raw")).alias("c")).collect()]
+    assert got == [1] * len(good) + [0] * len(bad)
