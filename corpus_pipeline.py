@@ -3,6 +3,11 @@
 STAGES lists (name, function) in order; each function takes (spark, docs, sf_dir), and what it returns
 is written as Parquet and read again as the next one's docs. All but the last return the columns of
 documents. run() applies them to the documents table.
+
+Rows may be odd in any column; the stages say what that gives. A null or letterless text is rejected by the first stage, one
+without words among the learned ones is not toxic by itself. Rows of equal id and text are one document after the third
+stage; rows without id count as documents and stay only where no member of their group has one. Very long texts are handled
+whole. Columns beyond those of documents, of any name, pass through the first four stages. An empty table gives no rows.
 """
 
 from __future__ import annotations
