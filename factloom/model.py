@@ -33,6 +33,17 @@ WEIGHTS = {
     "semantic": 0.5, "entity": 0.2, "temporal": 0.1, "bm25": 0.2, "scope": 0.3, "predicate": 0.2,
     "confidence": 0.1, "frequency": 0.1, "importance": 0.15, "usage": 0.1, "trust": 0.12,
 }
+
+
+def weights_from(text: str | None) -> dict[str, float]:
+    """Weights of a setting such as "0.5,0.2,0.1,0.2": for semantic, entity, temporal and the further ones in their order; fewer than three numbers, or none, leave all as they are."""
+    try:
+        given = [float(x) for x in (text or "").split(",")]
+    except ValueError:
+        return dict(WEIGHTS)
+    return {k: given[i] if i < len(given) else w for i, (k, w) in enumerate(WEIGHTS.items())} if len(given) >= 3 else dict(WEIGHTS)
+
+
 EPISODE_WEIGHTS = {"semantic": 0.5, "bm25": 0.25, "entity": 0.15, "recency": 0.1}
 FACT_WEIGHT, EPISODE_WEIGHT = 1.0, 0.9
 BM25_K1, BM25_B = 1.2, 0.75

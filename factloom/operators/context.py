@@ -74,12 +74,61 @@ def answer(claims: DataFrame, turns: DataFrame, query: str, now: int, top_k: int
     scope = rank.temporal_scope(query, now)
     fused = rank.fuse_memory(rank.facts(claims, query, past, scope, families), rank.episodes(turns, query), max(k, model.PER_SESSION_K))
     hits = rank.across(fused, k)
-    trust = claims.select(F.col("claim_id").alias("id"), "source_trust")
-    hits = hits.join(trust, "id", "left").withColumn("quarantined", F.coalesce(F.col("source_trust") < model.QUARANTINE, F.lit(False)))
-    text = claims.select(F.col("claim_id").alias("id"), "text").unionByName(turns.select(F.col("turn_id").alias("id"), "text"))
-    hits = hits.join(text, "id", "left").withColumn("durability", tx.durability(F.coalesce("text", F.lit(""))))
-    served = hits.filter("kind = 'fact'").select("session_id", F.col("id").alias("claim_id"), F.lit(query).alias("query"), F.lit(now).alias("served_ts"))
-    return Answer(hits, served)
+    said = [c for c in ("value",) if c in claims.columns]
+    known = claims.select(F.col("claim_id").alias("id"), "source_trust", "text", F.col(said[0] if said else "text").alias("__cost"))
+    known = known.unionByName(turns.select(F.col("turn_id").alias("id"), F.lit(None).cast("double").alias("source_trust"), "text", F.col("text").alias("__cost")))
+    rows = known.join(F.broadcast(hits.withColumn("norm", F.round(F.col("score") / F.max("score").over(Window.partitionBy()), 4))), "id")  # at most MOST_ACROSS hits
+    rows = rows.withColumn("quarantined", F.coalesce(F.col("source_trust") < model.QUARANTINE, F.lit(False)))
+    rows = rows.withColumn("durability", tx.durability(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length(F.coalesce("__cost", F.lit(""))) / 4)).cast("long")).drop("__cost")
+    served = rows.filter("kind = 'fact'").select("session_id", F.col("id").alias("claim_id"), F.lit(query).alias("query"), F.lit(now).alias("served_ts"))
+    return Answer(rows, served)
+
+
+def token_report(hits: DataFrame) -> DataFrame:
+    """Tokens of what was served, by kind and in all."""
+    return hits.agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == "fact", F.col("tokens"))), F.lit(0)).alias("fact_tokens"), F.coalesce(F.sum(F.when(F.col("kind") == "turn", F.col("tokens"))), F.lit(0)).alias("episode_tokens"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.count("*").alias("served_items"),
+    )
+
+
+# What a reader is told by the query's type.
+HINTS = {
+    "assistant_recall": "Answer based on what the assistant previously said, recommended, or did.",
+    "preference": "State the user's preference directly. If preferences changed, use the most recent.",
+    "temporal": "Pay attention to dates and time ordering in the facts.",
+    "knowledge_update": "Facts may have changed over time. Answer based on the most recent active version.",
+    "fact_recall": "Answer directly from the retrieved facts.",
+}
+
+
+def reader_hint(query: str) -> str:
+    lower = query.lower()
+    kinds = [k for words, _, k in tx.QUERY_FAMILIES if any(x in lower for x in words)]
+    return HINTS[kinds[-1] if kinds else "fact_recall"]
+
+
+def briefing(store: dict[str, DataFrame], session: str, now: int, query: str = "", vocabulary: tuple[str, ...] = (), k: int = 10) -> dict[str, DataFrame]:
+    """What a client needs when a session starts, as DataFrames of that session: world state, digest, entity links, bursts, contradictions,
+    and, with a query, hits with their trust and why they hold.
+
+    store: turns, claims (with importance and source_trust), edges; metadata with entity keys is optional.
+    """
+    turns, claims = (store[x].filter(F.col("session_id") == session) for x in ("turns", "claims"))
+    edges = store["edges"].join(claims.select(F.col("claim_id").alias("new_claim_id")), "new_claim_id", "left_semi")
+    out = {
+        "world_state": views.world_state(claims, vocabulary), "digest": views.digest(claims, edges), "life_events": served_events(memory.bursts(views.active(claims))),
+        "contradictions": views.contradictions(edges, claims),
+    }
+    if "metadata" in store:
+        keyed = claims.select("claim_id", "source_turn_id").join(store["metadata"].select("claim_id", "entity_key"), "claim_id")
+        out["entity_links"] = memory.neighbours(keyed)
+    if query.strip():
+        found = answer(claims, turns, query, now, k)
+        facts = found.hits.filter("kind = 'fact'").select(F.col("id").alias("claim_id"))
+        out |= {"hits": found.hits, "served": found.served, "why": explained(claims.join(facts, "claim_id", "left_semi"), turns, edges)}
+    return out
 
 
 def explained(claims: DataFrame, turns: DataFrame, edges: DataFrame) -> DataFrame:

@@ -62,6 +62,26 @@ def within_hops(edges: DataFrame, start: DataFrame, hops: int, checkpoint=lambda
     return reached
 
 
+def neighbour_claims(edges: DataFrame, claims: DataFrame) -> DataFrame:
+    """entity, claim_id: claims of each entity's neighbours."""
+    return edges.join(claims.select(F.col("entity_key").alias("neighbour"), "claim_id"), "neighbour").select("entity", "claim_id").distinct()
+
+
+def entity_path(edges: DataFrame, start: str, end: str, most: int = 5, checkpoint=lambda df: df) -> list[str] | None:
+    """A shortest path between two entities, of equal ones the first in order; None beyond so many steps. The walk holds one way to each entity that it reached."""
+    spark = edges.sparkSession
+    front = spark.createDataFrame([(start, [start])], "entity string, path array<string>")
+    reached = front
+    for _ in range(most + 1):
+        hit = reached.filter(F.col("entity") == end).first()
+        if hit:
+            return list(hit.path)
+        step = edges.join(front, "entity").select(F.col("neighbour").alias("entity"), F.concat("path", F.array("neighbour")).alias("path"))
+        front = checkpoint(step.join(reached.select("entity"), "entity", "left_anti").groupBy("entity").agg(F.min("path").alias("path")))
+        reached = checkpoint(reached.unionByName(front))
+    return None
+
+
 def turn_index(turns: DataFrame) -> DataFrame:
     return turns.withColumn("turn_index", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "turn_id")) - 1)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -55,13 +56,86 @@ def _is(word: str):
     return lambda x: x == word
 
 
-def fused(rows: DataFrame, channels: dict[str, float], part: str | None, order: list[str], name: str = "score", k: int = model.RRF_K) -> DataFrame:
-    """Reciprocal rank fusion. A rank is ordinal: equal scores keep the order of the given columns. All ranks share one partitioning."""
-    total = F.lit(0.0)
+def fused(rows: DataFrame, channels: dict[str, float], part: str, order: list[str], name: str = "score", k: int = model.RRF_K, explain: str | None = None) -> DataFrame:
+    """Reciprocal rank fusion. A rank is ordinal: equal scores keep the order of the given columns. All ranks share one partitioning.
+    explain names a column for a map of what each channel adds."""
+    total, shares = F.lit(0.0), []
     for c, weight in channels.items():
-        w = (Window.partitionBy(part) if part else Window.partitionBy(F.lit(0))).orderBy(F.desc(c), *order)
-        total = total + weight / (float(k) + F.row_number().over(w))
-    return rows.withColumn(name, F.round(total, 12))
+        share = weight / (float(k) + F.row_number().over(Window.partitionBy(part).orderBy(F.desc(c), *order)))
+        shares += [F.lit(c), share]
+        total = total + share
+    out = rows.withColumn(name, F.round(total, 12))
+    return out.withColumn(explain, F.create_map(*shares)) if explain else out
+
+
+def fused_top(rows: DataFrame, channels: dict[str, float], order: list[str], k: int, name: str = "score", fuse: int = model.RRF_K) -> DataFrame:
+    """The k best of a whole table by rank fusion, without ranking the table in one place.
+
+    A row beyond place n of every channel scores at most the sum of weights / (fuse + n + 1), and the first k rows of the weightiest
+    channel score at least its weight / (fuse + k); n is the least number that makes the first less than the second, so the best are among
+    the channels' first n rows, which a distributed top-n gives. A row that isn't among a channel's first n has its place there
+    counted over the table, in one pass.
+    """
+    n = max(k, math.ceil(sum(channels.values()) / max(channels.values()) * (fuse + k)) - fuse)
+    ids = None
+    for c in channels:
+        own = rows.orderBy(F.desc(c), *order).limit(n).select(*order)
+        ids = own if ids is None else ids.unionByName(own)
+    found = rows.join(F.broadcast(ids.distinct()), order)  # at most n rows a channel
+    held = [r.asDict() for r in found.select(*order, *channels).collect()]
+
+    def before(c: str, row: dict):
+        """Whether a row of the table comes before this one in a channel."""
+        ahead = F.col(c) > F.lit(row[c])
+        same = F.col(c) == F.lit(row[c])
+        for o in order:
+            ahead, same = ahead | (same & (F.col(o) < F.lit(row[o]))), same & (F.col(o) == F.lit(row[o]))
+        return F.count_if(ahead)
+
+    places: list[dict] = [{} for _ in held]
+    for c in channels:
+        ranked = sorted(range(len(held)), key=lambda i: tuple(held[i][o] for o in order))
+        ranked.sort(key=lambda i: held[i][c], reverse=True)
+        for place, i in enumerate(ranked[:n], 1):
+            places[i][c] = place
+    asked = [(i, c) for i in range(len(held)) for c in channels if c not in places[i]]
+    if asked:
+        counts = rows.agg(*[before(c, held[i]).alias(f"n{x}") for x, (i, c) in enumerate(asked)]).first()
+        for x, (i, c) in enumerate(asked):
+            places[i][c] = counts[x] + 1
+    scores = [round(sum(w / (float(fuse) + places[i][c]) for c, w in channels.items()), 12) for i in range(len(held))]
+    best = sorted(range(len(held)), key=lambda i: (-scores[i], *(held[i][o] for o in order)))[:k]
+    kept = rows.sparkSession.createDataFrame([(*(held[i][o] for o in order), float(scores[i])) for i in best], ", ".join(f"`{o}` {rows.schema[o].dataType.simpleString()}" for o in order) + f", `{name}` double")
+    return rows.join(F.broadcast(kept), order).orderBy(F.desc(name), *order)
+
+
+def reranked(hits: DataFrame, query: str, scorer, k: int, text_col: str = "text", order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The first k hits in the order of a scorer, (query, texts) -> scores, the others after them as they were. Where the scorer fails, nothing changes."""
+    first = hits.orderBy(F.desc("score"), *order).limit(k).collect()  # k rows
+    try:
+        given = [float(x) for x in scorer(query, [r[text_col] for r in first])]
+    except Exception:  # noqa: BLE001 -- a scorer is any callable, and the ranking stands without it
+        return hits.withColumn("rerank", F.lit(None).cast("double"))
+    fields = ", ".join(f"`{o}` {hits.schema[o].dataType.simpleString()}" for o in order)
+    told = hits.sparkSession.createDataFrame([(*(r[o] for o in order), x) for r, x in zip(first, given, strict=True)], f"{fields}, rerank double")
+    return hits.join(F.broadcast(told), list(order), "left").orderBy(F.desc_nulls_last("rerank"), F.desc("score"), *order)
+
+
+def postings(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """An index: token, key, tf and dl for each distinct word of each document, to be written once and sorted by token."""
+    words = docs.select(F.col(key), tx.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).select(key, F.size("t").cast("double").alias("dl"), F.explode("t").alias("token"))
+    return words.groupBy("token", key, "dl").agg(F.count("*").cast("double").alias("tf"))
+
+
+def search_postings(index: DataFrame, query: str, key: str, n_docs: int, average: float) -> DataFrame:
+    """BM25 of the documents that have a word of the query. Only those words' postings are read: the filter reaches the files."""
+    counts = query_tokens(query)
+    rows = index.filter(F.col("token").isin(*counts))
+    df = rows.groupBy("token").agg(F.count("*").cast("double").alias("df"))  # a row for each word asked
+    times = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("token"))
+    idf = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    norm = F.col("tf") + model.BM25_K1 * (1.0 - model.BM25_B + model.BM25_B * F.col("dl") / average)
+    return rows.join(F.broadcast(df), "token").groupBy(key).agg(F.round(F.sum(times * idf * F.col("tf") * (model.BM25_K1 + 1.0) / norm), 12).alias("bm25"))
 
 
 def top(rows: DataFrame, k: int, order: list, part: str | None = None) -> DataFrame:
@@ -87,7 +161,7 @@ def episodes(turns: DataFrame, query: str, semantic: str | None = None) -> DataF
     return fused(rows, weights, "session_id", ["ts", "turn_id"])
 
 
-def facts(claims: DataFrame, query: str, include_superseded: bool = False, scope: tuple[int, int] | None = None, families: tuple[str, ...] = (), semantic: str | None = None, part: str = "session_id") -> DataFrame:
+def facts(claims: DataFrame, query: str, include_superseded: bool = False, scope: tuple[int, int] | None = None, families: tuple[str, ...] = (), semantic: str | None = None, part: str = "session_id", weights_of: dict[str, float] = model.WEIGHTS, explain: str | None = None) -> DataFrame:
     """Claims of each session by eleven channels; ranks are taken over all candidates, demoted ones are dropped after.
 
     Channels without a signal for this query are left out of the plan, so they cost no sort.
@@ -101,20 +175,20 @@ def facts(claims: DataFrame, query: str, include_superseded: bool = False, scope
     rows = rows.withColumn("temporal", recency.cast("double")).withColumn("trust", F.col("source_trust"))
     count = Window.partitionBy(part, F.coalesce(F.col("subject"), F.lit("")), F.coalesce(F.col("predicate"), F.lit("")))
     rows = rows.withColumn("frequency", F.count("*").over(count).cast("double"))
-    weights = {c: w for c, w in model.WEIGHTS.items() if c in ("entity", "temporal", "bm25", "confidence", "frequency", "importance", "usage", "trust") and (c in rows.columns)}
+    weights = {c: w for c, w in weights_of.items() if c in ("entity", "temporal", "bm25", "confidence", "frequency", "importance", "usage", "trust") and (c in rows.columns)}
     kind = max((i for i, (w, _, _) in enumerate(tx.QUERY_FAMILIES) if any(x in query.lower() for x in w)), default=None)
     if kind is not None and tx.QUERY_FAMILIES[kind][2] in ("knowledge_update", "temporal"):
         weights["temporal"] *= 3
     if scope:
         rows = rows.withColumn("scope", recency.between(*scope).cast("double"))
-        weights["scope"] = model.WEIGHTS["scope"]
+        weights["scope"] = weights_of["scope"]
     if families:
         rows = rows.withColumn("predicate_match", F.col("predicate").isin(*families).cast("double"))
-        weights["predicate_match"] = model.WEIGHTS["predicate"]
+        weights["predicate_match"] = weights_of["predicate"]
     if semantic:
         rows = rows.withColumn("semantic", F.coalesce(F.col(semantic), F.lit(0.0)))
-        weights["semantic"] = model.WEIGHTS["semantic"]
-    ranked = fused(rows, weights, part, ["created_ts", "claim_id"])
+        weights["semantic"] = weights_of["semantic"]
+    ranked = fused(rows, weights, part, ["created_ts", "claim_id"], explain=explain)
     return ranked.filter(~F.col("demoted")) if "demoted" in ranked.columns else ranked
 
 
@@ -224,5 +298,4 @@ def tools(registry: DataFrame, query: str, memory: str = "", k: int = 10, memory
     if memory:
         rows = bm25(rows, memory, None, "document", "memory_bm25")
         weights["memory_bm25"] = 0.3 * memory_weight
-    # scores above zero are few; the rest need no place in a total order, only a rank after them
-    return fused(rows, weights, None, ["id"]).orderBy(F.desc("score"), "id").limit(k)
+    return fused_top(rows, weights, ["id"], k)

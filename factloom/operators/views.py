@@ -185,12 +185,67 @@ def demoted(claims: DataFrame, groups: DataFrame) -> DataFrame:
     return claims.join(groups.select("subject", "predicate", "value", "canonical"), ["subject", "predicate", "value"]).filter("claim_id != canonical")
 
 
-def digest(claims: DataFrame, top: int = 3) -> DataFrame:
-    """By session: the most important facts, and how many others there are."""
+def digest(claims: DataFrame, edges: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """By session: the most important facts; updates, which are other active facts that replaced something, newest edge first; and how many facts are left."""
     w = Window.partitionBy("session_id").orderBy(F.desc("importance"), "created_ts", "claim_id")
     ranked = active(claims).withColumn("rn", F.row_number().over(w))
-    facts = F.sort_array(F.collect_list(F.when(F.col("rn") <= top, F.struct("rn", "claim_id", "text"))))
-    return ranked.groupBy("session_id").agg(facts.alias("facts"), F.sum(F.when(F.col("rn") > top, 1).otherwise(0)).alias("remaining"))
+    if edges is None:
+        ranked = ranked.withColumn("edge_ts", F.lit(None).cast("long"))
+    else:
+        last = edges.groupBy(F.col("new_claim_id").alias("claim_id")).agg(F.max("created_ts").alias("edge_ts"))
+        ranked = ranked.join(last, "claim_id", "left")
+    key, updated = F.col("rn") <= top, F.col("edge_ts").isNotNull()
+    facts = F.sort_array(F.collect_list(F.when(key, F.struct("rn", "claim_id", "text"))))
+    updates = F.transform(F.sort_array(F.collect_list(F.when(~key & updated, F.struct((-F.col("edge_ts")).alias("order"), "claim_id")))), lambda x: x["claim_id"])
+    return ranked.groupBy("session_id").agg(facts.alias("facts"), updates.alias("updates"), F.sum(F.when(key | updated, 0).otherwise(1)).alias("remaining"))
+
+
+def forward(edges: DataFrame, checkpoint=lambda df: df) -> DataFrame:
+    """claim_id, head, steps: the claim that each replaced one leads to in the end, by the latest edge out of each."""
+    turned = edges.select(F.col("new_claim_id").alias("old_claim_id"), F.col("old_claim_id").alias("new_claim_id"), "created_ts")
+    return lineage(turned, checkpoint).select("claim_id", F.col("origin").alias("head"), F.col("depth").alias("steps"))
+
+
+def same_identity(claims: DataFrame, of: DataFrame) -> DataFrame:
+    """claim_id, earlier: for each of the given claims (claim_id, slot), the newest replaceable claim of its slot but itself."""
+    slot = ["session_id", "subject", "predicate"]
+    held = claims.filter(F.col("status").isin(*model.REPLACEABLE)).select(*slot, F.col("claim_id").alias("other"), F.col("created_ts").alias("ts"))
+    w = Window.partitionBy(*slot).orderBy(F.desc("ts"), "other")
+    newest = held.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")  # the second counts where the first is the claim itself
+    met = of.select("claim_id", *slot).join(newest, slot).filter("other != claim_id")
+    return met.groupBy("claim_id").agg(F.min_by("other", "rn").alias("earlier"))
+
+
+def filtered(claims: DataFrame, matcher: Column) -> DataFrame:
+    """The active claims that a matcher, any condition, takes."""
+    return active(claims).filter(matcher)
+
+
+def turns_at(turns: DataFrame, t: Column) -> DataFrame:
+    """Turns said by then."""
+    return turns.filter(F.col("ts") <= t)
+
+
+def entity_nodes(claims: DataFrame) -> DataFrame:
+    """entity, claims, predicates, first_ts, last_ts of active and superseded claims (claim_id, entity_key, predicate, created_ts, status)."""
+    rows = claims.filter(F.col("status").isin(*model.SERVABLE, "superseded") & (F.coalesce("entity_key", F.lit("")) != ""))
+    return rows.groupBy(F.col("entity_key").alias("entity")).agg(
+        F.count_distinct("claim_id").alias("claims"), F.array_sort(F.collect_set("predicate")).alias("predicates"), F.min("created_ts").alias("first_ts"), F.max("created_ts").alias("last_ts")
+    )
+
+
+def status_counts(turns: DataFrame, claims: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of counts, as the status commands give: turns, sessions, claims, those with facts, active ones, edges."""
+    t = turns.agg(F.count("*").alias("turns"), F.count_distinct("session_id").alias("sessions"))
+    c = claims.agg(F.count("*").alias("claims"), F.count_distinct("session_id").alias("sessions_with_claims"), F.count_if(F.col("status").isin(*model.SERVABLE)).alias("active"), F.count_if(F.col("status") == "superseded").alias("superseded"))
+    return t.crossJoin(c).crossJoin(edges.agg(F.count("*").alias("edges")))  # three rows of one
+
+
+def trace_text(traced: DataFrame) -> DataFrame:
+    """A line for each step of a chain, newest first: its place, value, status, who said it and the words it was read from."""
+    mark = F.when(F.col("place") == 1, "* ").otherwise("  ")
+    said = F.coalesce(F.concat(F.lit(" <- "), "speaker", F.lit(': "'), "quote", F.lit('"')), F.lit(""))
+    return traced.select("origin", "place", F.concat(mark, "value", F.lit(" ["), "status", F.lit("]"), said).alias("line"))
 
 
 PROFILE = "subject string, tier int, text string, claim_ids array<string>, cost int, used int"

@@ -506,14 +506,19 @@ def j7_query_routing(spark, sf):
     return src.table(spark, sf, "benchmark").select("item_id", tx.query_depth(t).cast("long").alias("depth"), tx.query_type(t).alias("kind"), tx.history_intent(t).alias("history"))
 
 
-RAW = "[" + ", ".join(f"'{x}'" for x in sorted(set(ASK.split()))) + "]"
-EPISODES = f"""{T}, {bm25_sql('turns', 'turn_id', 'session_id')},
-sc AS (SELECT turns.*, bm25, list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), {RAW})::INT AS entity FROM turns JOIN bm ON bm.id = turn_id),
+def episodes_sql(ask: str) -> str:
+    """Turns' ranks for a query: its words as written, and as the tokeniser cuts them."""
+    words = "[" + ", ".join(f"'{x}'" for x in sorted({*ask.lower().split(), *rank.query_tokens(ask)})) + "]"
+    return f"""{T}, {bm25_sql('turns', 'turn_id', 'session_id', ask)},
+sc AS (SELECT turns.*, bm25, list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), {words})::INT AS entity FROM turns JOIN bm ON bm.id = turn_id),
 ep AS (SELECT *, round(0.25 / (60.0 + row_number() OVER (PARTITION BY session_id ORDER BY bm25 DESC, ts, turn_id))
   + 0.15 / (60.0 + row_number() OVER (PARTITION BY session_id ORDER BY entity DESC, ts, turn_id))
   + 0.1 / (60.0 + row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, turn_id)), 12) AS score FROM sc)"""
 
 
+EPISODES = episodes_sql(ASK)
+
+
 @query(f"WITH {EPISODES} SELECT session_id, turn_id, round(score, 6) AS score, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn_id) AS rn FROM ep) WHERE rn <= 3")
 def j12_episodes(spark, sf):
     rows = rank.episodes(src.turns(spark, sf), ASK)
@@ -710,13 +715,6 @@ def n9_working_context(spark, sf):
     return rows.select("session_id", "query", F.array_join("entities", ",").alias("entities"), "used", F.array_join("ids", ",").alias("ids"))
 
 
-@query()
-def n10_query_door(spark, sf):
-    claims = src.claims(spark, sf).withColumn("status", F.lit("active")).withColumn("session_id", F.replace("session_id", F.lit("s"), F.lit("")))
-    found = context.answer(claims, src.turns(spark, sf), "how many times did u12 login", NOW).hits
-    return found.select("session_id", "kind", "id", F.round("score", 6).alias("score"), "quarantined", "durability")
-
-
 @query(f"""WITH {V}, t AS (SELECT 'tu_' || event_id AS turn_id, 'Said ' || event_type || ' ' || CAST(floor(value) AS BIGINT) AS text FROM events)
 SELECT claim_id, CASE WHEN strpos(t.text, v.value) > 0 THEN v.value END AS quote, superseded_by AS replaced_by FROM validity v JOIN t ON t.turn_id = v.source_turn_id""")
 def n14_explain(spark, sf):
@@ -749,13 +747,6 @@ def n24_conditioning(spark, sf):
     return context.conditioning_terms(p.select(((F.col("p_partkey") % 97) / 97.0).alias("importance"), F.concat_ws(" ", "p_name", "p_type").alias("text")))
 
 
-@query()
-def n25_discover_tools(spark, sf):
-    c = src.table(spark, sf, "customer")
-    facts_known = c.select(F.lit(0.5).alias("importance"), F.col("c_mktsegment").alias("text"))
-    return context.discover_tools(registry(spark, sf), TOOL_ASK, facts_known).select("id", F.round("score", 6).alias("score"))
-
-
 @query()
 def j15_expanded(spark, sf):
     claims = src.claims(spark, sf).withColumn("status", F.lit("active"))

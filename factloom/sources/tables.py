@@ -223,6 +223,53 @@ def backfill(rows: DataFrame, vectors: DataFrame, embed, version: str, id_col: s
     return have.unionByName(lack.join(fresh, "key").select(id_col, "embedding", F.lit(version).alias("model_version")))
 
 
+def load_tools(registry: DataFrame, source: str | None = None, dataset: str | None = None) -> DataFrame:
+    """Tools of a source and a dataset, of all without one, by id."""
+    for name, value in (("source", source), ("dataset", dataset)):
+        registry = registry if value is None else registry.filter(F.col(name) == value)
+    return registry.orderBy("id")
+
+
+def tool_counts(registry: DataFrame) -> DataFrame:
+    return registry.groupBy("source", "dataset").agg(F.count("*").alias("tools"))
+
+
+def retimed(rows: DataFrame, times: DataFrame, key: str, columns: tuple[str, ...], ordinal: str) -> DataFrame:
+    """Rows with their times set to those of their source (key, ts), a second later for each place in it."""
+    at = F.col("__ts") + F.col(ordinal).cast("long") * 1_000_000_000
+    met = rows.join(times.select(key, F.col("ts").alias("__ts")), key, "left")
+    return met.withColumns({c: F.coalesce(at, F.col(c)) for c in columns}).drop("__ts")
+
+
+def monotone(rows: DataFrame, part: str, ts: str = "ts", order: tuple[str, ...] = ()) -> DataFrame:
+    """Times made strictly increasing in the order of time and then of columns: one that isn't later than the one before is a nanosecond after it."""
+    w = Window.partitionBy(part).orderBy(ts, *order)
+    place = F.row_number().over(w)
+    lead = F.max(F.col(ts) - F.col("__place")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__place", place).withColumn("__lead", lead).withColumn(ts, F.col("__lead") + F.col("__place")).drop("__place", "__lead")
+
+
+def read_packs(spark: SparkSession, path: str) -> dict[str, dict]:
+    """Predicate packs of JSON files (id, families, single_valued, sub_slots), by id. Vocabularies are small."""
+    schema = "pack_id string, id string, predicate_families array<string>, families array<string>, single_valued array<string>, sub_slots map<string, array<string>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).collect()
+    return {
+        (r.pack_id or r.id): {"families": tuple(r.predicate_families or r.families or ()), "single_valued": tuple(r.single_valued or ()), "sub_slots": {k: tuple(v) for k, v in (r.sub_slots or {}).items()}}
+        for r in rows
+    }
+
+
+def merged_pack(packs: dict[str, dict], names: list[str]) -> dict:
+    """Packs as one: families and single-valued predicates united in order, of sub-slots the later pack's; an unknown name is an error."""
+    lacking = [x for x in names if x not in packs]
+    if lacking:
+        raise KeyError(f"no such packs: {', '.join(lacking)}")
+    chosen = [packs[x] for x in names]
+    out = {k: tuple(dict.fromkeys(v for p in chosen for v in p.get(k, ()))) for k in ("families", "single_valued")}
+    slots = {k: v for p in chosen for k, v in p.get("sub_slots", {}).items()}
+    return {"id": names[0] if len(names) == 1 else "merged:" + "+".join(names), **out, "sub_slots": slots}
+
+
 def validated_append(existing: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """New rows with a key of their own, and those that are refused: their key is taken, missing, or another row of the batch has it too."""
     taken = existing.select(F.col(key).alias("__key")).union(new.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)).distinct()

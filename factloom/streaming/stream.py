@@ -44,3 +44,50 @@ def current_edges(spark: SparkSession, edges_path: str) -> DataFrame:
     rows = spark.read.parquet(edges_path)
     last = rows.groupBy(*facts.SLOT).agg(F.max("batch").alias("batch"))
     return rows.join(last, [*facts.SLOT, "batch"]).filter("old_claim_id is not null").drop("batch")
+
+
+EDGE = "session_id string, subject string, predicate string, old_claim_id string, new_claim_id string, edge_type string, created_ts long"
+
+
+def stateful_resolution(claims: DataFrame, single_valued: tuple[str, ...]) -> DataFrame:
+    """Edges of a stream of claims, by a stateful operator: the state of a slot is what it holds, so a batch reads no log.
+
+    A batch's claims of a slot are taken in the order of time; one that comes in a later batch than a newer claim is decided against what is
+    held then. run_resolution() decides those as if they had come in time, at the price of the log.
+    """
+    columns = ["claim_id", "value", "source_turn_id", "speaker", "source_trust", "created_ts"]
+
+    def step(key, batches, state):
+        import json
+
+        import pandas as pd
+
+        held = json.loads(state.get[0]) if state.exists else []
+        new = pd.concat(list(batches)).sort_values(["created_ts", "claim_id"])
+        rows = []
+        for claim in new[columns].to_dict("records"):
+            found = facts.decide(claim, held, key[2] in single_valued)
+            if found:
+                rows.append((*key, found["old_claim_id"], found["new_claim_id"], found["edge_type"], int(found["created_ts"])))
+        state.update((json.dumps([{c: x[c] for c in columns} for x in held], default=int),))
+        yield pd.DataFrame(rows, columns=[*facts.SLOT, "old_claim_id", "new_claim_id", "edge_type", "created_ts"])
+
+    triples = claims.filter("subject is not null and predicate is not null and value is not null").select(*facts.SLOT, *columns)
+    return triples.groupBy(*facts.SLOT).applyInPandasWithState(step, EDGE, "held string", "append", "NoTimeout")
+
+
+def publish(feed: DataFrame, listeners: dict[str, list], checkpoint: str):
+    """Hands each micro-batch of a change feed (kind, ...) to the listeners of its kinds as a DataFrame. One that fails doesn't stop the others."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        for kind, callables in listeners.items():
+            own = batch.filter(F.col("kind") == kind)
+            for f in callables:
+                try:
+                    f(own, number)
+                except Exception as error:  # noqa: BLE001 -- a listener is any callable
+                    failed.append((kind, number, error))
+
+    failed: list = []
+    query = feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return query, failed

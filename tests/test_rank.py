@@ -17,7 +17,7 @@ def test_bm25(spark, query, want):
 
 def test_ranks_are_ordinal(spark):
     df = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.9, 3)], "id string, s double, ts long")
-    got = {r.id: r.score for r in rank.fused(df, {"s": 1.0}, None, ["ts"]).collect()}
+    got = {r.id: r.score for r in rank.fused(df.withColumn("p", F.lit(0)), {"s": 1.0}, "p", ["ts"]).collect()}
     assert got == pytest.approx({"c": 1 / 61, "a": 1 / 62, "b": 1 / 63})
 
 
