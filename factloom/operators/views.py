@@ -226,6 +226,11 @@ def turns_at(turns: DataFrame, t: Column) -> DataFrame:
     return turns.filter(F.col("ts") <= t)
 
 
+def by_predicate(claims: DataFrame) -> DataFrame:
+    """Active claims, those of a predicate together and in order: a sort by ranges, so no predicate is gathered in one place."""
+    return active(claims).orderBy("predicate", "created_ts", "claim_id")
+
+
 def entity_nodes(claims: DataFrame) -> DataFrame:
     """entity, claims, predicates, first_ts, last_ts of active and superseded claims (claim_id, entity_key, predicate, created_ts, status)."""
     rows = claims.filter(F.col("status").isin(*model.SERVABLE, "superseded") & (F.coalesce("entity_key", F.lit("")) != ""))

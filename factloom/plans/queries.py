@@ -146,14 +146,16 @@ def b12_quarantine(spark, sf):
     return src.claims(spark, sf).select("claim_id", "source_trust", (F.col("source_trust") < model.QUARANTINE).alias("quarantined"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, (CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END + CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END)::BIGINT AS n_failures
-FROM lineitem WHERE l_quantity > 45 OR l_discount >= 0.09""")
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_linenumber <> 7 AND l_quantity > 45 THEN 'triple' END, CASE WHEN l_linenumber = 7 THEN 'text' END,
+  CASE WHEN l_discount >= 0.09 THEN 'confidence' END, CASE WHEN l_tax >= 0.07 OR l_tax = 0 THEN 'span' END) AS failures FROM lineitem) FROM f WHERE failures <> ''""")
 def c1_rejected_facts(spark, sf):
+    """Each rule is broken by some lines: a blank value, no triple and no text, too much confidence, a span that ends before it starts or has no end."""
+    plain = F.col("l_linenumber") == 7
     rows = src.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.lit("user").alias("subject"), F.lit("bought").alias("predicate"), F.when(F.col("l_quantity") > 45, "").otherwise("x").alias("value"), F.lit("t").alias("text"),
-        F.when(F.col("l_discount") >= 0.09, 1.5).otherwise(0.5).alias("confidence"), F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"), F.lit(9).alias("turn_length"),
+        "l_orderkey", "l_linenumber", F.when(~plain, "user").alias("subject"), F.when(~plain, "bought").alias("predicate"), F.when(~plain, F.when(F.col("l_quantity") > 45, " ").otherwise("x")).alias("value"), F.when(~plain, "t").otherwise("").alias("text"),
+        F.when(F.col("l_discount") >= 0.09, 1.5).otherwise(0.5).alias("confidence"), F.when(F.col("l_tax") >= 0.07, 5).when(F.col("l_tax") == 0, 1).alias("char_start"), F.when(F.col("l_tax") >= 0.07, 2).alias("char_end"), F.lit(9).alias("turn_length"),
     )
-    return facts.validate(rows)[1].select("l_orderkey", "l_linenumber", F.size("failures").cast("long").alias("n_failures"))
+    return facts.validate(rows)[1].select("l_orderkey", "l_linenumber", F.array_join("failures", ",").alias("failures"))
 
 
 @query("SELECT c_custkey, regexp_replace(regexp_replace(lower('  ' || c_name || '  X '), '^\\s+|\\s+$', '', 'g'), '\\s+', '_', 'g') AS subject FROM customer")
@@ -263,6 +265,36 @@ def d1_supersession(spark, sf):
     return folded(spark, sf)
 
 
+def listed(words) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in words) + "]"
+
+
+# The rules of slots with many values: attributes, quantities and shared words; what each claim answers, and how.
+SLOT_OF = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(padded, ' {x} ')" for x in triggers) + f" THEN '{k}'" for k, triggers in tx.ATTRIBUTES.items()) + " END"
+TEXT_FOLD = f"""{src.NOTES_SQL}, w AS (SELECT *, regexp_extract_all(lower(value), '[a-z0-9]+') AS tk, list_distinct(list_filter(regexp_split_to_array(lower(trim(value)), '[\\s,;/]+'), lambda x: x <> '')) AS parts FROM notes),
+x AS (SELECT *, ' ' || array_to_string(tk, ' ') || ' ' AS padded, list_distinct(list_filter(tk, lambda t: NOT list_contains({listed(tx.NOISE)}, t))) AS content FROM w),
+laid AS (SELECT *, {SLOT_OF} AS slot, regexp_matches(value, '{tx.CLOSED_WINDOW}') AS closed, list_sort(list_filter(content, lambda t: NOT list_contains({listed(tx.QUANTITIES)}, t) AND NOT regexp_full_match(t, '[0-9]+'))) AS plain,
+  row_number() OVER (PARTITION BY session_id ORDER BY created_ts, claim_id) AS rn FROM x),
+me AS (SELECT *, {{'id': claim_id, 'value': lower(trim(value)), 'turn': source_turn_id, 'speaker': speaker, 'trust': source_trust, 'slot': slot, 'closed': closed, 'content': content, 'plain': plain, 'parts': parts}} AS own FROM laid),
+fold AS (
+  SELECT session_id, rn, created_ts, claim_id AS new_claim_id, NULL::VARCHAR AS old_claim_id, NULL::VARCHAR AS edge_type, [own] AS held FROM me WHERE rn = 1
+  UNION ALL
+  SELECT session_id, rn, created_ts, claim_id, old.id, kind, list_prepend(own, CASE WHEN kind IN ('refines', 'user_correction', 'assistant_confirm') THEN list_filter(held, lambda h: h.id <> old.id) ELSE held END)
+  FROM (SELECT *, CASE WHEN old IS NULL THEN NULL WHEN edge IN ('user_correction', 'contradicts') AND own.trust + 0.2::DOUBLE < old.trust THEN 'blocked' ELSE edge END AS kind
+    FROM (SELECT *, CASE WHEN len(own.parts) > 0 AND len(own.parts) < len(old.parts) AND list_has_all(old.parts, own.parts) THEN 'refines' WHEN own.speaker = 'assistant' THEN 'assistant_confirm' WHEN old.speaker = 'user' THEN 'user_correction' ELSE 'contradicts' END AS edge
+      FROM (SELECT *, coalesce(CASE WHEN own.slot IS NOT NULL AND NOT own.closed THEN list_filter(others, lambda h: h.slot = own.slot AND NOT h.closed)[1] END,
+          list_filter(others, lambda h: len(own.plain) > 0 AND h.plain = own.plain AND NOT (len(h.content) = len(own.content) AND list_has_all(h.content, own.content)))[1],
+          list_filter(others, lambda h: len(list_intersect(h.content, own.content)) >= 2 AND len(list_intersect(h.content, own.content)) / len(list_distinct(h.content || own.content))::DOUBLE >= 0.3
+            AND len(list_intersect(h.content, own.content)) / len(list_distinct(h.content || own.content))::DOUBLE = list_max(list_transform(others, lambda o: CASE WHEN len(list_intersect(o.content, own.content)) >= 2 THEN len(list_intersect(o.content, own.content)) / len(list_distinct(o.content || own.content))::DOUBLE ELSE 0 END)))[1]) AS old
+        FROM (SELECT n.session_id, n.rn, n.created_ts, n.claim_id, n.own, f.held, list_filter(f.held, lambda h: h.turn <> n.own.turn AND h.value <> n.own.value) AS others FROM fold f JOIN me n ON n.session_id = f.session_id AND n.rn = f.rn + 1)))))"""
+
+
+@query(f"WITH RECURSIVE {TEXT_FOLD} SELECT session_id, old_claim_id, new_claim_id, edge_type, created_ts FROM fold WHERE old_claim_id IS NOT NULL")
+def d5_text_supersession(spark, sf):
+    """Slots of many values: the rules of attributes, closed windows, quantities, shared words, refinement and trust."""
+    return facts.supersede(src.notes(spark, sf)).select("session_id", "old_claim_id", "new_claim_id", "edge_type", "created_ts")
+
+
 @query(f"WITH RECURSIVE {FOLD} SELECT edge_type, count(*) AS n FROM made GROUP BY edge_type")
 def d7_trust_guard(spark, sf):
     return folded(spark, sf).groupBy("edge_type").agg(F.count("*").alias("n"))
@@ -687,10 +719,9 @@ def n23_tools(spark, sf):
     return rows.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")).cast("long").alias("place"))
 
 
-@query(f"WITH {T} SELECT session_id, count(*) AS n FROM turns GROUP BY session_id")
+@query(f"WITH {T} SELECT session_id, to_json(list({{'ts': ts, 'id': turn_id, 'text': text}} ORDER BY ts, turn_id))::VARCHAR AS items FROM turns GROUP BY session_id")
 def n26_reader_items(spark, sf):
-    rows = memory.reader_items(src.turns(spark, sf).withColumn("id", F.col("turn_id")))
-    return rows.select("session_id", F.json_array_length("items").cast("long").alias("n"))
+    return memory.reader_items(src.turns(spark, sf).withColumn("id", F.col("turn_id")))
 
 
 @query(f"WITH {C} SELECT claim_id, len(list_intersect(['purchase','u12','nothing'], regexp_extract_all(lower(text), '[a-z0-9]+'))) / 3.0 AS overlap FROM claims ORDER BY overlap DESC, created_ts DESC, claim_id LIMIT 5")
@@ -763,10 +794,9 @@ def j17_fallback(spark, sf):
     return found.select("session_id", "kind", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {V} SELECT predicate, count(*) AS n, string_agg(claim_id, ',' ORDER BY created_ts, claim_id) AS ids FROM validity WHERE status = 'active' GROUP BY predicate")
+@query(f"WITH {V} SELECT predicate, claim_id, created_ts FROM validity WHERE status = 'active'")
 def c17_by_predicate(spark, sf):
-    rows = views.active(validity(spark, sf)[0]).groupBy("predicate").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("created_ts", "claim_id"))).alias("m"))
-    return rows.select("predicate", "n", F.array_join(F.transform("m", lambda x: x["claim_id"]), ",").alias("ids"))
+    return views.by_predicate(validity(spark, sf)[0]).select("predicate", "claim_id", "created_ts")
 
 
 @query(f"WITH {C} SELECT claim_id FROM claims WHERE predicate IN ('click', 'view')")

@@ -125,6 +125,38 @@ STORIES_SQL = "stories AS (SELECT 's' || o_custkey AS session_id, 'tu_' || o_ord
     '{n}', CAST(o_orderkey % 50 + 10 AS VARCHAR)), '{k}', o_orderpriority) AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'topic' || (o_orderkey % 11) ELSE 'user' END AS entity, (o_orderkey % 10 + 1) / 10.0 AS confidence FROM orders)"""
 
 
+#: What an order notes of its customer, by its number: facts that the rules of slots with many values meet. {c}: a city, {n}: a number word.
+NOTES = (
+    "lives in {c}", "moved to {c} last year", "works at {c} Bank", "has {n} small cats", "has small cats", "favourite colour of the house is {n}", "worked at {c} Bank from 2010 to 2015",
+    "enjoys long evening walks near {c}", "long evening walks", "resides in {c}", "has 3 small cats", "enjoys long morning walks near {c}",
+)
+CITIES, NUMBERS = ("Oslo", "Rome", "Bern"), ("two", "three", "four")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as claims of one slot of many values for each customer; neighbouring orders share a turn."""
+    o, ts = table(spark, sf_dir, "orders"), micros(F.col("o_orderdate")) * 1000
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (n + 1).cast("int"))
+    k = F.col("o_orderkey")
+    value = F.replace(F.replace(pick(NOTES, k % len(NOTES)), F.lit("{c}"), pick(CITIES, F.col("o_custkey") % 2 + F.floor(k / 7) % 2)), F.lit("{n}"), pick(NUMBERS, F.floor(k / 5) % 3))
+    speaker = F.when(k % 4 == 0, "assistant").otherwise("user")
+    kind = F.when(k % 5 == 0, "browser").otherwise("conversation")
+    return o.select(
+        F.concat(F.lit("s"), "o_custkey").alias("session_id"), F.lit("user").alias("subject"), F.lit("noted").alias("predicate"), F.concat(F.lit("cl_"), k).alias("claim_id"), value.alias("value"),
+        F.concat(F.lit("tu_"), F.floor(k / 3)).alias("source_turn_id"), speaker.alias("speaker"), tx.source_trust(kind, speaker).alias("source_trust"), ts.alias("created_ts"),
+    )
+
+
+def _picked(values: tuple[str, ...], n: str) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + f"][{n} + 1]"
+
+
+NOTES_SQL = f"""notes AS (SELECT 's' || o_custkey AS session_id, 'cl_' || o_orderkey AS claim_id,
+  replace(replace({_picked(NOTES, f"o_orderkey % {len(NOTES)}")}, '{{c}}', {_picked(CITIES, "o_custkey % 2 + (o_orderkey // 7) % 2")}), '{{n}}', {_picked(NUMBERS, "(o_orderkey // 5) % 3")}) AS value,
+  'tu_' || (o_orderkey // 3) AS source_turn_id, CASE WHEN o_orderkey % 4 = 0 THEN 'assistant' ELSE 'user' END AS speaker,
+  (CASE WHEN o_orderkey % 5 = 0 THEN 0.35 WHEN o_orderkey % 4 = 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS source_trust, epoch_us(o_orderdate) * 1000 AS created_ts FROM orders)"""
+
+
 def document_turns(docs: DataFrame) -> DataFrame:
     """Benchmark documents (id, user_id, timestamp, context, messages, content) as turns: the messages, or else the content, each after the context."""
     said = F.when(F.size("messages") > 0, F.col("messages")).otherwise(F.array(F.struct(F.lit("user").alias("role"), F.col("content").alias("content"))))

@@ -7,7 +7,10 @@ import random
 from collections import defaultdict
 
 from factloom.operators import context, rank, views
-from factloom.plans.queries import QUERIES, TOOL_ASK, registry
+from factloom.plans import more, queries
+from factloom.plans.queries import TOOL_ASK, registry
+
+QUERIES = queries.QUERIES | more.QUERIES
 
 
 def saved(spark, tmp_path, name, rows, schema):
