@@ -778,7 +778,23 @@ def n24_conditioning(spark, sf):
     return context.conditioning_terms(p.select(((F.col("p_partkey") % 97) / 97.0).alias("importance"), F.concat_ws(" ", "p_name", "p_type").alias("text")))
 
 
-@query()
+def runs_sql() -> str:
+    """The query's best facts; then the query with each of their first three subjects, ranked like it."""
+    words = ", ".join(f"'{x}'" for x in sorted(set(CLAIM_ASK.split())))
+    channels = (("entity", "0.2"), ("valid_from_ts", "(0.1 * 3)"), ("bm25", "0.2"), ("confidence", "0.1"), ("frequency", "0.1"), ("source_trust", "0.12"))
+    total = " + ".join(f"{w} / (60.0 + row_number() OVER (PARTITION BY run, session_id ORDER BY {c} DESC, created_ts, claim_id))" for c, w in channels)
+    return f"""{HYBRID}, one AS (SELECT claim_id, subject, score FROM hy ORDER BY hy.score DESC, claim_id LIMIT 10),
+names AS (SELECT DISTINCT subject AS run FROM one WHERE subject IS NOT NULL ORDER BY run LIMIT 3),
+rq AS (SELECT run, token, count(*) AS qc FROM (SELECT run, unnest(regexp_extract_all(lower('{CLAIM_ASK} ' || run), '[a-z0-9]+')) AS token FROM names) GROUP BY ALL),
+rpost AS (SELECT run, id, part, len(tk) AS dl, token, qc, len(list_filter(tk, lambda x: x = token))::DOUBLE AS tf FROM tok_h, rq),
+rdf AS (SELECT run, part, token, count(*) FILTER (tf > 0) AS df FROM rpost GROUP BY ALL),
+rbm AS (SELECT run, id, round(sum(CASE WHEN tf > 0 THEN qc * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END), 12) AS bm25 FROM rpost JOIN rdf USING (run, part, token) JOIN corpus_h USING (part) GROUP BY ALL),
+rsc AS (SELECT claims.*, run, bm25, (list_contains([{words}], subject) OR subject = run)::INT AS entity, count(*) OVER (PARTITION BY run, session_id, subject, predicate) AS frequency FROM claims JOIN rbm ON rbm.id = claim_id),
+rhy AS (SELECT run, claim_id, round({total}, 12) AS score FROM rsc),
+rtop AS (SELECT claim_id, score FROM rhy QUALIFY row_number() OVER (PARTITION BY run ORDER BY score DESC, claim_id) <= 10)"""
+
+
+@query(f"""WITH {runs_sql()} SELECT claim_id, round(max(u.score), 6) AS score FROM (SELECT claim_id, score FROM one UNION ALL FROM rtop) u GROUP BY claim_id ORDER BY max(u.score) DESC, claim_id LIMIT 20""")
 def j15_expanded(spark, sf):
     claims = src.claims(spark, sf).withColumn("status", F.lit("active"))
     return context.expanded(claims, CLAIM_ASK).select("claim_id", F.round("score", 6).alias("score"))
