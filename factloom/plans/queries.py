@@ -628,11 +628,33 @@ def n1_digest(spark, sf):
     return rows.select("session_id", F.array_join(F.transform("facts", lambda x: x["claim_id"]), ",").alias("facts"), F.col("remaining").cast("long").alias("remaining"))
 
 
-@query()
+# A subject's lines by tier, told one after another under the budget.
+PROFILE = f"""{V}, live AS (SELECT * FROM validity WHERE status = 'active'), {BURSTS.replace("FROM claims)", "FROM live)")},
+ch AS (SELECT subject, predicate, count(*) AS n FROM (SELECT old_claim_id AS claim_id FROM edges UNION ALL SELECT new_claim_id FROM edges) JOIN validity USING (claim_id) GROUP BY ALL),
+b4 AS (SELECT e.new_claim_id AS claim_id, o.value AS was FROM edges e JOIN validity o ON o.claim_id = e.old_claim_id),
+own AS (SELECT l.subject, l.claim_id, l.created_ts, l.confidence::DOUBLE AS weight, '[' || l.predicate || '] ' || l.value AS plain, was, coalesce(n, 0) AS n FROM live l LEFT JOIN ch USING (subject, predicate) LEFT JOIN b4 USING (claim_id)),
+kinds AS (SELECT subject, start, predicate, min(i) AS i FROM inside GROUP BY ALL),
+total AS (SELECT subject, count(DISTINCT predicate) AS k FROM p GROUP BY 1),
+told AS (SELECT subject, start, string_agg(k.predicate || ' -> ' || live.value, ', ' ORDER BY k.predicate, live.value) AS changed, count(*) AS c FROM kinds k JOIN p USING (subject, i) JOIN live USING (subject, claim_id) GROUP BY ALL),
+ids AS (SELECT subject, start, list(claim_id ORDER BY i) AS ids, min(created_ts) AS ts FROM inside GROUP BY ALL),
+lines AS (
+  SELECT subject, 1 AS tier, plain AS text, weight, created_ts AS ts, claim_id, [claim_id] AS ids FROM own WHERE n = 0 AND weight >= 0.8
+  UNION ALL SELECT subject, 2, plain || coalesce(' (previously: ' || was || ')', ''), weight, created_ts, claim_id, [claim_id] FROM own WHERE n BETWEEN 1 AND 2
+  UNION ALL SELECT subject, 4, '[life_event] Changes on ' || strftime(make_timestamp(ts // 1000), '%Y-%m-%d') || ': ' || changed, round(least(1.0, c / k::DOUBLE), 4), ts, '', ids FROM told JOIN ids USING (subject, start) JOIN total USING (subject)
+  UNION ALL SELECT subject, 5, plain || ' (changed ' || n || ' times)', weight, created_ts, claim_id, [claim_id] FROM own WHERE n > 2),
+laid AS (SELECT *, 4 * len(regexp_extract_all(text, '\\S+')) AS cost, row_number() OVER (PARTITION BY subject ORDER BY tier, weight DESC, ts, claim_id) AS rn FROM lines),
+say AS (
+  SELECT DISTINCT subject, 0::BIGINT AS rn, 0 AS tier, NULL::VARCHAR AS text, NULL::VARCHAR[] AS ids, 0::BIGINT AS used, []::VARCHAR[] AS said, 0 AS ended, false AS kept FROM laid
+  UNION ALL SELECT l.subject, l.rn, l.tier, l.text, l.ids, CASE WHEN turn AND used + cost <= 60 THEN used + cost ELSE used END, CASE WHEN turn AND used + cost <= 60 THEN said || l.ids ELSE said END,
+    CASE WHEN turn AND used + cost > 60 THEN l.tier ELSE ended END, turn AND used + cost <= 60
+  FROM (SELECT s.used, s.said, s.ended, l.tier <> s.ended AND (l.tier = 4 OR NOT list_contains(s.said, l.ids[1])) AS turn, l.* FROM say s JOIN laid l ON l.subject = s.subject AND l.rn = s.rn + 1) l)"""
+
+
+@query(f"WITH RECURSIVE {PROFILE} SELECT subject, tier::BIGINT AS tier, text, array_to_string(ids, ',') AS claim_ids, used FROM say WHERE kept")
 def n2_profile(spark, sf):
     rows, edges = validity(spark, sf)
     lines = views.profile(rows.withColumn("importance", F.col("confidence")), edges, memory.bursts(views.active(rows)), 60)
-    return lines.select("subject", "tier", "text", F.array_join("claim_ids", ",").alias("claim_ids"), "used")
+    return lines.select("subject", F.col("tier").cast("long").alias("tier"), "text", F.array_join("claim_ids", ",").alias("claim_ids"), F.col("used").cast("long").alias("used"))
 
 
 EVENT_KIND = "CASE " + " ".join(f"WHEN n{i} > 0 AND n{i} = greatest({', '.join(f'n{j}' for j in range(6))}) THEN '{k}'" for i, k in enumerate(tx.EVENT_SIGNALS)) + " END"

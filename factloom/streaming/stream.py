@@ -9,6 +9,10 @@ from factloom.functions import text as tx
 from factloom.operators import facts
 
 
+#: Folders that a log of claims is dealt into.
+BUCKETS = 256
+
+
 def event_windows(events: DataFrame, watermark: str = "1 day", size: str = "6 hours") -> DataFrame:
     """Counts and sums by event type and window of event time; rows later than the watermark are left out."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark)
@@ -24,13 +28,16 @@ def run_resolution(claims: DataFrame, log_path: str, edges_path: str, checkpoint
     """Appends each micro-batch to the log and writes anew the edges of the slots that it touched.
 
     A slot's edges are folded from its whole log in time order, so a late row changes what it would have changed in time.
-    The result for a slot is that of its last batch. Batches may be repeated: a batch writes under its number.
+    The log lies in BUCKETS folders by the slots' hash, and a batch reads those of its own slots only. The result for a slot
+    is that of its last batch. Batches may be repeated: a batch writes under its number.
     """
+    bucket = F.pmod(F.xxhash64(*facts.SLOT), F.lit(BUCKETS)).cast("int")
 
     def step(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        whole = spark.read.parquet(log_path)
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch={number}")
+        mine = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most BUCKETS numbers
+        whole = spark.read.parquet(log_path).filter(F.col("bucket").isin(mine)).drop("bucket", "batch")
         touched = batch.select(*facts.SLOT).distinct()
         edges = facts.supersede(whole.join(touched, list(facts.SLOT), "left_semi"), single_valued)
         marks = touched.withColumns({c: F.lit(None).cast(t) for c, t in (("old_claim_id", "string"), ("new_claim_id", "string"), ("edge_type", "string"), ("created_ts", "long"))})
