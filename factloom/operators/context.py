@@ -165,10 +165,28 @@ def conditioning_terms(facts: DataFrame, limit: int = 24) -> DataFrame:
     return words.groupBy("term").agg(F.max("importance").alias("importance")).orderBy(F.desc("importance"), "term").limit(limit)
 
 
-def discover_tools(registry: DataFrame, query: str, facts: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """Tools for a query, conditioned on remembered facts if there are any."""
-    memory = "" if facts is None else " ".join(x.term for x in conditioning_terms(facts).collect())
-    return rank.tools(registry, query, memory, k)
+def instruction(claims: DataFrame, most: int = 600) -> DataFrame:
+    """session_id, instruction: what a session's active claims say of the user, preferences first, then by importance, each value once, cut at so many characters."""
+    value = F.trim(F.coalesce(F.nullif(F.col("value"), F.lit("")), F.col("text"), F.lit("")))
+    rows = views.active(claims).select("session_id", value.alias("value"), F.coalesce(F.col("predicate").contains("preference"), F.lit(False)).alias("first"), F.coalesce("importance", F.lit(0.5)).alias("importance"), "created_ts", "claim_id").filter("value != ''")
+    order = [F.desc("first"), F.desc("importance"), "created_ts", "claim_id"]
+    once = rows.withColumn("rn", F.row_number().over(Window.partitionBy("session_id", F.lower("value")).orderBy(*order))).filter("rn = 1")
+    placed = rank.top(once.drop("rn"), most, order, "session_id")  # no more values than characters
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]), "; ")
+    return placed.groupBy("session_id").agg(F.substring(F.concat(F.lit("User context: "), said, F.lit(".")), 1, most).alias("instruction"))
+
+
+def discover_tools(registry: DataFrame, query: str, facts: DataFrame | None = None, k: int = 10, mode: str = "text", vectors: dict[str, list[float]] | None = None) -> DataFrame:
+    """Tools for a query, conditioned on remembered facts if there are any.
+
+    text: the facts' words are further channels. instruction: facts are one session's claims, and what they say is put before the query.
+    """
+    if facts is None:
+        return rank.tools(registry, query, "", k, vectors=vectors)
+    if mode == "instruction":
+        told = instruction(facts).first()
+        return rank.tools(registry, f"{told.instruction} {query}" if told else query, "", k, vectors=vectors)
+    return rank.tools(registry, query, " ".join(x.term for x in conditioning_terms(facts).collect()), k, vectors=vectors)
 
 
 def skipped_hook(tool: Column, command: Column) -> Column:

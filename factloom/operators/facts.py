@@ -190,6 +190,11 @@ def with_status(claims: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("by").isNull(), "active").otherwise("superseded")).withColumn("valid_until_ts", F.col("by.created_ts")).withColumn("superseded_by", F.col("by.new_claim_id")).drop("by")
 
 
+def drift_audit(edges: DataFrame) -> DataFrame:
+    """Audit rows of replacements that the trust guard refused: the claim that stays, and the one that would have retired it."""
+    return edges.filter("edge_type = 'blocked'").select("session_id", F.lit("drift_blocked").alias("kind"), F.col("old_claim_id").alias("target_id"), F.col("new_claim_id").alias("detail"), F.col("created_ts").alias("ts"))
+
+
 def semantic_supersede(rows: DataFrame, threshold: float = 0.88) -> DataFrame:
     """Second pass within a group (session and predicate): each row retires the nearest earlier one still held if their cosine reaches the threshold.
 

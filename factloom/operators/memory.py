@@ -132,6 +132,17 @@ def resolved_principals(tokens: DataFrame, principals: DataFrame) -> DataFrame:
     return tokens.withColumn("token_hash", F.sha2("token", 256)).join(principals, "token_hash", "left").drop("token")
 
 
+def registered_principals(principals: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """Principals (token_hash, principal, namespace, can_write, created_ts) with new ones (token, principal, namespace, can_write) added, or put in the place of one with their token. Tokens aren't kept."""
+    fresh = new.select(F.sha2("token", 256).alias("token_hash"), "principal", "namespace", "can_write", F.lit(now).cast("long").alias("created_ts"))
+    return principals.join(fresh.select("token_hash"), "token_hash", "left_anti").unionByName(fresh)
+
+
+def anomaly_audit(found: DataFrame, now: int) -> DataFrame:
+    """Audit rows of vectors that anomalies() flags; nothing is blocked."""
+    return found.filter("anomalous").select(F.col("group").cast("string").alias("session_id"), F.lit("anomaly_flagged").alias("kind"), F.col("id").cast("string").alias("target_id"), F.lit(now).cast("long").alias("ts"))
+
+
 def sentences_of(sentences: DataFrame) -> DataFrame:
     """claim_id, sentence_id for each citation."""
     return sentences.select(F.explode("source_claim_ids").alias("claim_id"), "sentence_id", "ordinal")

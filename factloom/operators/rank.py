@@ -161,9 +161,13 @@ def episodes(turns: DataFrame, query: str, semantic: str | None = None) -> DataF
     return fused(rows, weights, "session_id", ["ts", "turn_id"])
 
 
-def facts(claims: DataFrame, query: str, include_superseded: bool = False, scope: tuple[int, int] | None = None, families: tuple[str, ...] = (), semantic: str | None = None, part: str = "session_id", weights_of: dict[str, float] = model.WEIGHTS, explain: str | None = None) -> DataFrame:
+def facts(claims: DataFrame, query: str, include_superseded: bool = False, scope: tuple[int, int] | None = None, families: tuple[str, ...] = (), semantic: str | None = None, part: str = "session_id", weights_of: dict[str, float] = model.WEIGHTS, explain: str | None = None,
+          entities: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """Claims of each session by eleven channels; ranks are taken over all candidates, demoted ones are dropped after.
 
+    entities (claim_id, entity_text) match claims that name a word or an entity of the query; near (claim_id), claims of the neighbours of
+    its entities as `memory.neighbour_claims` gives them, count 0.6.
+
     Channels without a signal for this query are left out of the plan, so they cost no sort.
     """
     rows = claims if include_superseded else claims.filter(F.col("status").isin(*model.SERVABLE))
@@ -171,6 +175,12 @@ def facts(claims: DataFrame, query: str, include_superseded: bool = False, scope
     rows = bm25(rows, query, part)
     subject = F.split(F.coalesce(F.col("subject"), F.lit("")), "_")
     rows = rows.withColumn("entity", F.forall(subject, lambda x: x.isin(*words)).cast("double"))
+    if entities is not None:
+        named = entities.filter(F.lower("entity_text").isin(*{*words, *query_names(query)})).select("claim_id").distinct().withColumn("__named", F.lit(1.0))
+        rows = rows.join(named, "claim_id", "left").withColumn("entity", F.greatest("entity", F.coalesce("__named", F.lit(0.0)))).drop("__named")
+    if near is not None:
+        beside = near.select("claim_id").distinct().withColumn("__near", F.lit(0.6))
+        rows = rows.join(beside, "claim_id", "left").withColumn("entity", F.greatest("entity", F.coalesce("__near", F.lit(0.0)))).drop("__near")
     recency = F.coalesce(F.col("event_ts"), F.col("valid_from_ts"), F.col("created_ts")) if "event_ts" in claims.columns else F.coalesce(F.col("valid_from_ts"), F.col("created_ts"))
     rows = rows.withColumn("temporal", recency.cast("double")).withColumn("trust", F.col("source_trust"))
     count = Window.partitionBy(part, F.coalesce(F.col("subject"), F.lit("")), F.coalesce(F.col("predicate"), F.lit("")))
@@ -292,10 +302,34 @@ def tool_document(name: Column, description: Column, server: Column, tags: Colum
     return F.concat_ws("\n", F.concat(F.lit("name: "), name), some(description, "description"), some(tags, "domain"), some(server, "server"))
 
 
-def tools(registry: DataFrame, query: str, memory: str = "", k: int = 10, memory_weight: float = 1.0) -> DataFrame:
-    """Tools by BM25 of the query and, with memory text, of the memory."""
-    rows, weights = bm25(registry, query, None, "document", "query_bm25"), {"query_bm25": 0.5}
-    if memory:
+#: Channels of tool retrieval: of the query and, scaled by its weight, of the memory. Fixed values.
+TOOL_WEIGHTS = {"query_semantic": 0.5, "query_bm25": 0.5, "memory_bm25": 0.3, "memory_semantic": 0.3, "memory_boost": 0.2}
+
+
+def tools(registry: DataFrame, query: str, memory: str = "", k: int = 10, memory_weight: float = 1.0, vectors: dict[str, list[float]] | None = None) -> DataFrame:
+    """Tools (id, document, and embedding if vectors are given) by BM25 and likeness to the query and, with memory text, to the memory.
+
+    vectors: of "query" and "memory". A channel without a signal, all of its scores 0, takes no part.
+    """
+    rows, weights = bm25(registry, query, None, "document", "query_bm25"), {"query_bm25": TOOL_WEIGHTS["query_bm25"]}
+    told = bool(memory) and memory_weight > 0
+    if told:
         rows = bm25(rows, memory, None, "document", "memory_bm25")
-        weights["memory_bm25"] = 0.3 * memory_weight
-    return fused_top(rows, weights, ["id"], k)
+        weights["memory_bm25"] = TOOL_WEIGHTS["memory_bm25"] * memory_weight
+    extra = {}
+    for name, vector in (vectors or {}).items():
+        if name == "query" or told:
+            extra[f"{name}_semantic"] = F.round(tx.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector])), 12)
+    if told:
+        extra["memory_boost"] = F.size(F.array_intersect(tx.tokens(F.col("document")), tx.words_in(sorted(query_tokens(memory))))).cast("double")
+    rows = rows.withColumns(extra)
+    if extra:
+        signal = rows.agg(*[F.max(F.col(c) != 0).alias(c) for c in extra]).first()  # one row
+        weights |= {c: TOOL_WEIGHTS[c] * (1.0 if c.startswith("query") else memory_weight) for c in extra if signal[c]}
+    return fused_top(rows, {c: weights[c] for c in TOOL_WEIGHTS if c in weights}, ["id"], k)
+
+
+def query_names(query: str) -> list[str]:
+    """Names of a query's entities, lower-cased: capitalised words, organisations with their suffix."""
+    found = [m.group() for m in re.finditer(tx.ORGANISATION, query)] + [m[1] for p in (tx.LOCATION, tx.PROPER_NOUN) for m in re.finditer(p, query) if m[1] not in tx.ENTITY_STOPS]
+    return sorted({x.lower() for x in found})

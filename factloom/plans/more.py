@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.functions import text as tx
-from factloom.operators import context, ingest, memory, rank, views
-from factloom.plans.queries import ASK, C, CLAIM_ASK, HYBRID, N6, NOW, TOOL_ASK, T, V, bm25_sql, checkpoint, episodes_sql, hybrid_sql, session_claims, supplier_claims, validity
+from factloom.operators import context, facts, ingest, memory, rank, views
+from factloom.plans.queries import ASK, C, CLAIM_ASK, FOLD, HYBRID, N6, NOW, TOOL_ASK, T, V, bm25_sql, checkpoint, episodes_sql, folded, hybrid_sql, session_claims, supplier_claims, validity
 from factloom.plans.queries import TOOLS as TOOLS_SQL
 from factloom.plans.queries import registry as tool_registry
 from factloom.sources import tables as src
@@ -213,3 +213,22 @@ def n25_discover_tools(spark, sf):
     known = c.select(F.lit(0.5).alias("importance"), F.col("c_mktsegment").alias("text"))
     return context.discover_tools(tool_registry(spark, sf), TOOL_ASK, known).select("id", F.round("score", 6).alias("score"))
 
+
+
+@query(f"""WITH {V}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, value ORDER BY predicate LIKE '%preference%' DESC, confidence DESC, created_ts, claim_id) AS k FROM validity WHERE status = 'active')
+SELECT session_id, substr('User context: ' || string_agg(value, '; ' ORDER BY predicate LIKE '%preference%' DESC, confidence DESC, created_ts, claim_id) || '.', 1, 600) AS instruction FROM r WHERE k = 1 GROUP BY session_id""")
+def n24_instruction(spark, sf):
+    return context.instruction(validity(spark, sf)[0].withColumn("importance", F.col("confidence")))
+
+
+@query("""SELECT sha256('t' || c_custkey) AS token_hash, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS principal, 'ns' || c_nationkey AS namespace, c_custkey % 3 = 0 AS can_write, CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 1 END::BIGINT AS created_ts FROM customer""")
+def n18_registered(spark, sf):
+    c = src.table(spark, sf, "customer").withColumns({"token": F.concat(F.lit("t"), "c_custkey"), "namespace": F.concat(F.lit("ns"), "c_nationkey"), "can_write": F.col("c_custkey") % 3 == 0})
+    none = spark.createDataFrame([], "token_hash string, principal string, namespace string, can_write boolean, created_ts long")
+    old = memory.registered_principals(none, c.withColumn("principal", F.lit("old")), 1)
+    return memory.registered_principals(old, c.filter("c_custkey % 2 = 0").withColumn("principal", F.lit("new")), 7)
+
+
+@query(f"WITH RECURSIVE {FOLD} SELECT session_id, 'drift_blocked' AS kind, old_claim_id AS target_id, new_claim_id AS detail, created_ts AS ts FROM made WHERE edge_type = 'blocked'")
+def n19_drift_audit(spark, sf):
+    return facts.drift_audit(folded(spark, sf))

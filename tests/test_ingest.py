@@ -141,3 +141,27 @@ def test_briefing(spark):
     assert context.reader_hint("what did you recommend") == context.HINTS["assistant_recall"] and context.reader_hint("x") == context.HINTS["fact_recall"]
     assert {r.denied for r in ingest.namespace_of(store["turns"], store["turns"], "other").collect()} == {"namespace"}
     assert views.forward(store["edges"], checkpoint).count() == 1
+
+
+def test_tools_by_vectors_and_memory(spark):
+    rows = [("a", "send an email", [1.0, 0.0]), ("b", "weather report", [0.0, 1.0]), ("c", "calendar of meetings", [0.7, 0.7])]
+    registry = spark.createDataFrame(rows, "id string, document string, embedding array<double>")
+    assert rank.tools(registry, "nothing known", vectors={"query": [0.0, 1.0]}).first().id == "b"
+    got = rank.tools(registry, "send", "meetings calendar", vectors={"query": [1.0, 0.0], "memory": [0.0, 1.0]}).collect()
+    place = {"query_semantic": "acb", "query_bm25": "abc", "memory_bm25": "cab", "memory_semantic": "bca", "memory_boost": "cab"}
+    want = {i: round(sum(w / (61 + place[c].index(i)) for c, w in rank.TOOL_WEIGHTS.items()), 12) for i in "abc"}
+    assert {r.id: r.score for r in got} == pytest.approx(want)
+    claims = spark.createDataFrame([("1", "s", "likes", "tea", None, 0.2, 1, "active"), ("2", "s", "user_preference", "email", None, 0.1, 2, "active"), ("3", "s", "likes", "TEA", None, 0.9, 3, "active")], "claim_id string, session_id string, predicate string, value string, text string, importance double, created_ts long, status string")
+    assert context.instruction(claims).first().instruction == "User context: email; TEA."
+    assert context.instruction(claims, 20).first().instruction == "User context: email;"
+    assert context.discover_tools(registry, "zzz", claims, mode="instruction").first().id == "a"
+
+
+def test_entities_and_neighbours_lift_claims(spark):
+    schema = "claim_id string, session_id string, subject string, predicate string, text string, status string, confidence double, source_trust double, valid_from_ts long, created_ts long"
+    claims = spark.createDataFrame([(c, "s", x, "p", "word", "active", 0.5, 1.0, 1, 1) for c, x in (("a", "x"), ("b", "y"), ("c", "z"))], schema)
+    names = spark.createDataFrame([("b", "alice")], "claim_id string, entity_text string")
+    near = spark.createDataFrame([("c",)], "claim_id string")
+    assert {"acme inc", "alice"} <= set(rank.query_names("Where does Alice work, at Acme Inc"))
+    got = {r.claim_id: r.entity for r in rank.facts(claims, "where is Alice", entities=names, near=near).collect()}
+    assert got == {"a": 0.0, "b": 1.0, "c": 0.6}
