@@ -71,12 +71,12 @@ def superseded_by(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("old_claim_id").alias("claim_id")).agg(F.max_by("new_claim_id", F.struct("created_ts", "new_claim_id")).alias("superseded_by"))
 
 
-def lineage(edges: DataFrame, checkpoint=lambda df: df) -> DataFrame:
+def lineage(edges: DataFrame, checkpoint) -> DataFrame:
     """claim_id, origin, depth: the oldest claim that each one goes back to and how many steps away it is.
 
     Pointer doubling: a round doubles the steps that each pointer spans, so chains of n claims take log2 n rounds. Edges that
     lead in a circle have no oldest claim: a circle is cut before its least claim, which is then the origin of all its claims and of
-    the chains that hang on it.
+    the chains that hang on it. checkpoint(df) gives df cut from its plan; without that the plan would double each round.
     """
     w = Window.partitionBy("new_claim_id").orderBy(F.desc("created_ts"), F.desc("old_claim_id"))
     parent = edges.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(F.col("new_claim_id").alias("claim_id"), F.col("old_claim_id").alias("up"), F.lit(1).cast("long").alias("steps"))
@@ -88,12 +88,14 @@ def lineage(edges: DataFrame, checkpoint=lambda df: df) -> DataFrame:
         grown = checkpoint(at.join(above, "up", "left").select("claim_id", F.coalesce("further", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")))
         if grown.filter("moved").isEmpty():
             return at.select("claim_id", F.col("up").alias("origin"), F.col("steps").alias("depth"))
-        at, span = grown.drop("moved"), 2 * span
-        if span > most:
+        if span >= most:  # each pointer had already spanned more steps than any chain has, so those that move go round in circles
             break
-    # pointers that still move after that many steps go round in circles: cut each circle at its least claim and walk again
+        at, span = grown.drop("moved"), 2 * span
+    # cut each circle at its least claim and walk again
     circle = grown.filter("moved").select(F.col("up").alias("claim_id")).distinct()
-    ring = first.join(circle, "claim_id", "left_semi")
+    ring = checkpoint(first.join(circle, "claim_id", "left_semi"))
+    if ring.isEmpty():
+        raise AssertionError("pointers move without a circle")
     names = checkpoint(_least_around(ring, checkpoint))
     cut = names.filter("claim_id = least").select("claim_id")
     return lineage(first.join(cut, "claim_id", "left_anti").select(F.col("up").alias("old_claim_id"), F.col("claim_id").alias("new_claim_id"), F.lit(0).cast("long").alias("created_ts")), checkpoint)
@@ -110,7 +112,7 @@ def _least_around(ring: DataFrame, checkpoint) -> DataFrame:
     return at.select("claim_id", "least")
 
 
-def trace(claims: DataFrame, edges: DataFrame, checkpoint=lambda df: df) -> DataFrame:
+def trace(claims: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
     """Claims with their lineage and, by chain, the place from the newest."""
     rows = claims.join(lineage(edges, checkpoint), "claim_id", "left").withColumn("origin", F.coalesce("origin", "claim_id")).withColumn("depth", F.coalesce("depth", F.lit(0)))
     w = Window.partitionBy("origin").orderBy(F.desc("depth"), "claim_id")
@@ -200,7 +202,7 @@ def digest(claims: DataFrame, edges: DataFrame | None = None, top: int = 3) -> D
     return ranked.groupBy("session_id").agg(facts.alias("facts"), updates.alias("updates"), F.sum(F.when(key | updated, 0).otherwise(1)).alias("remaining"))
 
 
-def forward(edges: DataFrame, checkpoint=lambda df: df) -> DataFrame:
+def forward(edges: DataFrame, checkpoint) -> DataFrame:
     """claim_id, head, steps: the claim that each replaced one leads to in the end, by the latest edge out of each."""
     turned = edges.select(F.col("new_claim_id").alias("old_claim_id"), F.col("old_claim_id").alias("new_claim_id"), "created_ts")
     return lineage(turned, checkpoint).select("claim_id", F.col("origin").alias("head"), F.col("depth").alias("steps"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import signal
 import sys
 
 import pytest
@@ -25,3 +26,21 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+#: Seconds that one test may take.
+MOST_SECONDS = 600
+
+
+@pytest.fixture(autouse=True)
+def time_limit():
+    """A test that never ends fails, and those after it run."""
+
+    def stop(*_):
+        raise TimeoutError(f"a test took over {MOST_SECONDS} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(MOST_SECONDS)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)

@@ -79,10 +79,25 @@ def test_cardinality_form_equals_fold_without_repeats(spark):
 
 def test_lineage(spark):
     edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}", i) for i in range(9)] + [("x", "y", 1)], "old_claim_id string, new_claim_id string, created_ts long")
-    got = {r.claim_id: (r.origin, r.depth) for r in views.lineage(edges).collect()}
+    got = {r.claim_id: (r.origin, r.depth) for r in views.lineage(edges, checkpoint).collect()}
     assert got == {**{f"c{i}": ("c0", i) for i in range(1, 10)}, "y": ("x", 1)}
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 33, 40])
+def test_lineage_of_one_chain(spark, most):
+    """A chain alone: the number of edges is the length of the longest chain."""
+    edges = spark.createDataFrame([(f"{i:02}", f"{i + 1:02}", i) for i in range(most)], "old_claim_id string, new_claim_id string, created_ts long")
+    assert {r.claim_id: (r.origin, r.depth) for r in views.lineage(edges, checkpoint).collect()} == {f"{i:02}": ("00", i) for i in range(1, most + 1)}
+
+
+def test_lineage_of_chains_of_every_length(spark):
+    """Chains of 1 to 40 edges beside each other and beside a circle."""
+    rows = [(f"{n:02}-{i:02}", f"{n:02}-{i + 1:02}", i) for n in range(1, 41) for i in range(n)] + [("p", "q", 1), ("q", "r", 2), ("r", "p", 3)]
+    edges = spark.createDataFrame(rows, "old_claim_id string, new_claim_id string, created_ts long")
+    want = {f"{n:02}-{i:02}": (f"{n:02}-00", i) for n in range(1, 41) for i in range(1, n + 1)} | {"q": ("p", 1), "r": ("p", 2)}
+    assert {r.claim_id: (r.origin, r.depth) for r in views.lineage(edges, checkpoint).collect()} == want
+
+
 @pytest.mark.parametrize("loop", [["a", "b"], list("bcdea")])
 def test_lineage_cuts_circles(spark, loop):
     ring = [(x, y, 1) for x, y in zip(loop, [*loop[1:], loop[0]], strict=True)]
