@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, media, packing, secrets, simhash, tokenfiles, toxicity, warc
+from . import bestfit, bpe, fingerprints, langid, media, packing, periodic, secrets, simhash, tokenfiles, toxicity, trie, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": langid.query,
     "op9_media": media.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_best_fit": bestfit.query,
+    "op12_prefix_trie": trie.query,
+    "op13_periodic_runs": periodic.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.oracle_sql(), "op3_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.oracle_sql(), "op3_warc": warc.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_periodic_runs": periodic.ORACLE}
