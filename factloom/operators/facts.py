@@ -195,35 +195,6 @@ def drift_audit(edges: DataFrame) -> DataFrame:
     return edges.filter("edge_type = 'blocked'").select("session_id", F.lit("drift_blocked").alias("kind"), F.col("old_claim_id").alias("target_id"), F.col("new_claim_id").alias("detail"), F.col("created_ts").alias("ts"))
 
 
-def semantic_supersede(rows: DataFrame, threshold: float = 0.88) -> DataFrame:
-    """Second pass within a group (session and predicate): each row retires the nearest earlier one still held if their cosine reaches the threshold.
-
-    rows: group string, id long, ts long, turn string, embedding. A group is folded in one task.
-    """
-
-    def fold(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["ts", "id"])
-        vectors = np.array(pdf["embedding"].tolist(), np.float64)
-        norms = np.sqrt((vectors**2).sum(axis=1))
-        unit = vectors / np.where(norms > 0, norms, 1)[:, None]
-        ids, turns, held, out = pdf["id"].tolist(), pdf["turn"].tolist(), [], []
-        for i in range(len(ids)):
-            near = [j for j in held if turns[j] != turns[i]]
-            if near:
-                score = unit[near] @ unit[i]
-                k = int(score.argmax())
-                if score[k] >= threshold:
-                    out.append((key[0], ids[near[k]], ids[i], round(float(score[k]), 6)))
-                    held.remove(near[k])
-            held.insert(0, i)
-        return pd.DataFrame(out, columns=["group", "old_id", "new_id", "score"])
-
-    return rows.groupBy("group").applyInPandas(fold, "group string, old_id long, new_id long, score double")
-
-
 def corrected(claims: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Claims after user corrections (claim_id, value, ts): the old ones superseded, new ones with full confidence; and the edges."""
     old = claims.join(corrections.select("claim_id", F.col("value").alias("new_value"), "ts"), "claim_id")

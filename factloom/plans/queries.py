@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.functions import text as tx
-from factloom.operators import context, facts, frames, memory, rank, views
+from factloom.operators import context, facts, frames, memory, rank, semantic, views
 from factloom.sources import tables as src
 from factloom.streaming import stream
 
@@ -309,7 +309,7 @@ SELECT grp AS "group", old_id, new_id, score FROM f WHERE old_id IS NOT NULL""")
 def d9_semantic_supersession(spark, sf):
     v = src.table(spark, sf, "embeddings")
     rows = v.select(F.col("label").cast("string").alias("group"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ts"), F.col("vec_id").cast("string").alias("turn"), "embedding")
-    return facts.semantic_supersede(rows, 0.45)
+    return semantic.within_groups(rows, checkpoint, 0.45)
 
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"

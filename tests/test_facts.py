@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, frames, memory, views
+from factloom.operators import facts, frames, memory, semantic, views
 from factloom.plans.queries import checkpoint
 from factloom.sources import tables
 
@@ -202,7 +202,7 @@ def test_event_frames(spark):
 def test_semantic_supersession(spark):
     v = {0: [1.0, 0.0], 1: [0.9, 0.1], 2: [0.0, 1.0], 3: [0.95, 0.05]}
     df = spark.createDataFrame([("g", k, k, f"t{k}", x) for k, x in v.items()], "group string, id long, ts long, turn string, embedding array<double>")
-    assert [(r.old_id, r.new_id) for r in facts.semantic_supersede(df, 0.88).collect()] == [(0, 1), (1, 3)]
+    assert sorted((r.old_id, r.new_id) for r in semantic.within_groups(df, checkpoint).collect()) == [(0, 1), (1, 3)]
 
 
 def test_hops(spark):
