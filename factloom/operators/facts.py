@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.functions import text as tx
+from factloom.operators import slots
 
 
 def failures() -> Column:
@@ -77,79 +76,6 @@ def edges_of(validity: DataFrame) -> DataFrame:
     return validity.filter("superseded_by is not null").select("session_id", "subject", "predicate", F.col("claim_id").alias("old_claim_id"), F.col("superseded_by").alias("new_claim_id"), F.col("valid_until_ts").alias("created_ts"))
 
 
-def words(value: str) -> list[str]:
-    return re.findall("[a-z0-9]+", value.lower())
-
-
-def attribute(value: str) -> str | None:
-    padded = f" {' '.join(words(value))} "
-    return next((k for k, triggers in tx.ATTRIBUTES.items() if any(f" {x} " in padded for x in triggers)), None)
-
-
-NOISE, QUANTITY = frozenset(tx.NOISE), frozenset(tx.QUANTITIES)
-CLOSED = re.compile(tx.CLOSED_WINDOW.removeprefix("(?is)"), re.I | re.S)
-
-
-def edge_type(new: dict, old: dict) -> str:
-    fresh, before = ({x for x in re.split(r"[\s,;/]+", r["value"].strip().lower()) if x} for r in (new, old))
-    if fresh and fresh < before:
-        return "refines"
-    if new["speaker"] == "assistant":
-        return "assistant_confirm"
-    return "user_correction" if old["speaker"] == "user" else "contradicts"
-
-
-def match(new: dict, held: list[dict], single: bool) -> dict | None:
-    """The earlier claim that a new one answers. held: newest first."""
-    norm, turn = new["value"].strip().lower(), new["source_turn_id"]
-    others = (x for x in held if x["source_turn_id"] != turn and x["value"].strip().lower() != norm)
-    if single:
-        return next(others, None)
-    others = list(others)
-    slot = attribute(new["value"]) if others else None
-    if slot and not CLOSED.search(new["value"]):
-        for x in others:
-            if attribute(x["value"]) == slot and not CLOSED.search(x["value"]):
-                return x
-    content = set(words(new["value"])) - NOISE
-    plain = {x for x in content if x not in QUANTITY and not x.isdigit()}
-    best, most = None, 0.0
-    for x in others:
-        if "content" not in x:
-            x["content"] = set(words(x["value"])) - NOISE
-            x["plain"] = {y for y in x["content"] if y not in QUANTITY and not y.isdigit()}
-        before = x["content"]
-        if not content or not before:
-            continue
-        if plain and plain == x["plain"] and content != before:
-            return x
-        shared = len(content & before)
-        score = shared / len(content | before)
-        if shared >= 2 and score >= 0.3 and score > most:
-            best, most = x, score
-    return best
-
-
-def decide(new: dict, held: list[dict], single: bool) -> dict | None:
-    """The decision on a slot's next claim; held, newest first, becomes what is held after it."""
-    old, out = match(new, held, single), None
-    if old is not None:
-        kind = edge_type(new, old)
-        blocked = kind in ("user_correction", "contradicts") and new["source_trust"] + model.TRUST_MARGIN < old["source_trust"]
-        out = {"old_claim_id": old["claim_id"], "new_claim_id": new["claim_id"], "edge_type": "blocked" if blocked else kind, "created_ts": new["created_ts"]}
-        if not blocked and kind != "contradicts":
-            held.remove(old)
-    held.insert(0, new)
-    return out
-
-
-def fold_slot(rows: list[dict], single: bool) -> tuple[list[dict], list[dict]]:
-    """What a slot holds after its claims in order, and a decision for each claim that answers an earlier one."""
-    held: list[dict] = []
-    out = [x for x in (decide(new, held, single) for new in rows) if x]
-    return held, out
-
-
 DECIDED = "session_id string, subject string, predicate string, old_claim_id string, new_claim_id string, edge_type string, created_ts long"
 
 
@@ -157,7 +83,7 @@ def supersede(claims: DataFrame, single_valued: tuple[str, ...] = ()) -> DataFra
     """Edges of all slots (blocked ones are for the audit).
 
     Order decides within a slot. Slots are dealt out by key and sorted, and each task streams through its slots; it holds the
-    claims that the current slot still holds, nothing more.
+    claims that the current slot still holds, indexed so that a claim is not compared with all of them.
     """
     columns = [*SLOT, "claim_id", "value", "source_turn_id", "speaker", "source_trust", "created_ts"]
     triples = claims.filter(F.col("subject").isNotNull() & F.col("predicate").isNotNull() & F.col("value").isNotNull()).select(*columns)
@@ -166,15 +92,15 @@ def supersede(claims: DataFrame, single_valued: tuple[str, ...] = ()) -> DataFra
     def run(batches):
         import pyarrow as pa
 
-        key, held = None, []
+        key, held = None, None
         names = [*SLOT, "old_claim_id", "new_claim_id", "edge_type", "created_ts"]
         for batch in batches:
             out: list[dict] = []
             for new in batch.to_pylist():
                 own = tuple(new[c] for c in SLOT)
                 if own != key:
-                    key, held = own, []
-                found = decide(new, held, own[2] in single_valued)
+                    key, held = own, slots.Held(own[2] in single_valued)
+                found = held.decide(new)
                 if found:
                     out.append(dict(zip(SLOT, own, strict=True), **found))
             schema = pa.schema([(c, pa.int64() if c == "created_ts" else pa.string()) for c in names])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import facts
+from factloom.operators import facts, slots
 
 
 #: Folders that a log of claims is dealt into.
@@ -56,31 +56,83 @@ def current_edges(spark: SparkSession, edges_path: str) -> DataFrame:
 EDGE = "session_id string, subject string, predicate string, old_claim_id string, new_claim_id string, edge_type string, created_ts long"
 
 
-def stateful_resolution(claims: DataFrame, single_valued: tuple[str, ...]) -> DataFrame:
-    """Edges of a stream of claims, by a stateful operator: the state of a slot is what it holds, so a batch reads no log.
+#: Where a stream's keyed state must lie: only this store has maps and timers.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+HELD_COLUMNS = {"claim_id": "string", "value": "string", "source_turn_id": "string", "speaker": "string", "source_trust": "double"}
 
-    A batch's claims of a slot are taken in the order of time; one that comes in a later batch than a newer claim is decided against what is
-    held then. run_resolution() decides those as if they had come in time, at the price of the log.
-    """
-    columns = ["claim_id", "value", "source_turn_id", "speaker", "source_trust", "created_ts"]
-
-    def step(key, batches, state):
-        import json
 
-        import pandas as pd
+def stateful_resolution(claims: DataFrame, single_valued: tuple[str, ...], delay: str = "1 hour", forget_ms: int | None = None, tick_ms: int = 1000) -> DataFrame:
+    """Edges of a stream of claims, by keyed state and timers: the state of a slot is what it holds and what waits, so a batch reads no log.
 
-        held = json.loads(state.get[0]) if state.exists else []
-        new = pd.concat(list(batches)).sort_values(["created_ts", "claim_id"])
-        rows = []
-        for claim in new[columns].to_dict("records"):
-            found = facts.decide(claim, held, key[2] in single_valued)
-            if found:
-                rows.append((*key, found["old_claim_id"], found["new_claim_id"], found["edge_type"], int(found["created_ts"])))
-        state.update((json.dumps([{c: x[c] for c in columns} for x in held], default=int),))
-        yield pd.DataFrame(rows, columns=[*facts.SLOT, "old_claim_id", "new_claim_id", "edge_type", "created_ts"])
+    A claim waits until the watermark, so far behind the newest claim, has passed it; a timer then takes the slot's waiting claims up in the order of time. Claims that come in any order within
+    the delay make the same edges as a batch over all of them; later ones are dropped, as by every watermark. Timers stand at whole ticks, so a slot is woken once a tick
+    at most. With forget_ms, a slot of which nothing was said for so long forgets what it holds. Claims without time are left out.
 
-    triples = claims.filter("subject is not null and predicate is not null and value is not null").select(*facts.SLOT, *columns)
-    return triples.groupBy(*facts.SLOT).applyInPandasWithState(step, EDGE, "held string", "append", "NoTimeout")
+    State: a map from numbers to held claims and one from (time, id) to waiting ones; a decision writes what it changes.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    if claims.sparkSession.conf.get(*STATE_STORE) != STATE_STORE[1]:
+        raise ValueError("set {} to {}".format(*STATE_STORE))
+    columns = list(HELD_COLUMNS)
+    value = ", ".join(f"{c} {t}" for c, t in HELD_COLUMNS.items())
+
+    class Resolution(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.held = handle.getMapState("held", "number long", f"created_ts long, {value}")
+            self.waiting = handle.getMapState("waiting", "created_ts long, claim_id string", value)
+            self.last = handle.getValueState("last", "ms long")
+            self.cached = None  # the slot that was woken last, with its index
+
+        def handleInputRows(self, key, rows, timerValues):
+            for pdf in rows:
+                for x in pdf[["created_ts", *columns]].to_dict("records"):
+                    ts = int(x["created_ts"])
+                    self.waiting.updateValue((ts, x["claim_id"]), tuple(x[c] for c in columns))
+                    self.handle.registerTimer((ts // 1_000_000 // tick_ms + 1) * tick_ms)
+            return iter(())
+
+        def slot(self, key):
+            if self.cached is None or self.cached[0] != key:
+                stored = sorted((n[0], dict(zip(["created_ts", *columns], v, strict=True))) for n, v in self.held.iterator())
+                self.cached = (key, slots.Held.of(stored, key[2] in single_valued))
+            return self.cached[1]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            at = expiredTimerInfo.getExpiryTimeInMs()
+            ready = sorted((k, v) for k, v in self.waiting.iterator() if k[0] < at * 1_000_000)
+            if forget_ms is not None and self.last.exists():
+                first = ready[0][0][0] // 1_000_000 if ready else at
+                if first >= self.last.get()[0] + forget_ms:
+                    self.held.clear()
+                    self.last.clear()
+                    self.cached = None
+            rows = []
+            for (ts, _), stored in ready:
+                held = self.slot(key)
+                found = held.decide(dict(zip(columns, stored, strict=True), created_ts=ts))
+                if held.retired is not None:
+                    self.held.removeKey((held.retired,))
+                self.held.updateValue((held.count - 1,), (ts, *stored))
+                self.waiting.removeKey((ts, stored[0]))
+                if found:
+                    rows.append((*key, found["old_claim_id"], found["new_claim_id"], found["edge_type"], found["created_ts"]))
+            if ready and forget_ms is not None:
+                last = ready[-1][0][0] // 1_000_000
+                self.last.update((last,))
+                self.handle.registerTimer(last + forget_ms)
+            if rows:
+                yield pd.DataFrame(rows, columns=[*facts.SLOT, "old_claim_id", "new_claim_id", "edge_type", "created_ts"])
+
+        def close(self):
+            self.cached = None
+
+    triples = claims.filter("subject is not null and predicate is not null and value is not null and created_ts is not null and claim_id is not null").select(*facts.SLOT, "created_ts", *columns)
+    timed = triples.withColumn("at", F.timestamp_micros(F.floor(F.col("created_ts") / 1000).cast("long"))).withWatermark("at", delay)
+    return timed.groupBy(*facts.SLOT).transformWithStateInPandas(Resolution(), EDGE, "Append", "eventTime")
 
 
 def publish(feed: DataFrame, listeners: dict[str, list], checkpoint: str):

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, frames, memory, semantic, views
+from factloom.operators import facts, frames, memory, semantic, slots, views
 from factloom.plans.queries import checkpoint
 from factloom.sources import tables
 
@@ -24,7 +24,7 @@ def rows(*said, predicate="user_fact"):
 
 
 def kinds(said, single=False):
-    return [x["edge_type"] for x in facts.fold_slot(rows(*said), single)[1]]
+    return [x["edge_type"] for x in slots.fold_slot(rows(*said), single)[1]]
 
 
 @pytest.mark.parametrize(
@@ -50,7 +50,7 @@ def test_rules(said, want):
 
 
 def test_restated_values_retire_the_newest_first():
-    found = facts.fold_slot(rows(("A", "user"), ("A", "user"), ("B", "user"), ("B", "user")), True)[1]
+    found = slots.fold_slot(rows(("A", "user"), ("A", "user"), ("B", "user"), ("B", "user")), True)[1]
     assert [(x["new_claim_id"], x["old_claim_id"]) for x in found] == [("c2", "c1"), ("c3", "c0")]
 
 
@@ -59,7 +59,7 @@ def test_fold_in_spark_equals_fold_of_each_slot(spark):
     for s in range(6):
         said = [(rng.choice(["x y z", "x y w", "lives in A", "lives in B", "two cats here", "three cats here", "q"]), rng.choice(["user", "assistant"])) for _ in range(12)]
         own = [dict(r, session_id=f"s{s}", claim_id=f"s{s}{r['claim_id']}", predicate="one" if s % 2 else "many") for r in rows(*said)]
-        want += [(x["old_claim_id"], x["new_claim_id"], x["edge_type"]) for x in facts.fold_slot(own, s % 2 == 1)[1]]
+        want += [(x["old_claim_id"], x["new_claim_id"], x["edge_type"]) for x in slots.fold_slot(own, s % 2 == 1)[1]]
         all_rows += own
     rng.shuffle(all_rows)
     df = spark.createDataFrame(all_rows, SCHEMA)
@@ -74,7 +74,7 @@ def test_cardinality_form_equals_fold_without_repeats(spark):
     said = [(str(v), "user") for v in (1, 2, 3, 1, 4)]
     df = spark.createDataFrame(rows(*said), SCHEMA)
     lead = {(r.old_claim_id, r.new_claim_id) for r in facts.edges_of(facts.cardinality_validity(df)).collect()}
-    assert lead == {(x["old_claim_id"], x["new_claim_id"]) for x in facts.fold_slot(rows(*said), True)[1]}
+    assert lead == {(x["old_claim_id"], x["new_claim_id"]) for x in slots.fold_slot(rows(*said), True)[1]}
 
 
 def test_lineage(spark):

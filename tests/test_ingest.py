@@ -57,18 +57,49 @@ def test_entity_replies(spark):
     assert [[tuple(x) for x in r.e] for r in rows] == [[("Ada", "person")], [("Rome", "unknown")], [("Ada Lovelace", "person"), ("Rome", "location")], [], [], []]
 
 
-def test_stateful_stream_equals_the_fold(spark, tmp_path):
-    schema = "session_id string, subject string, predicate string, claim_id string, value string, source_turn_id string, speaker string, source_trust double, created_ts long"
-    rng = random.Random(3)
-    rows = [(f"s{i % 2}", "u", rng.choice("pq"), f"c{i:02}", rng.choice(["x y z", "x y w", "lives in A", "lives in B", "q"]), f"t{i}", rng.choice(["user", "assistant"]), 1.0, i) for i in range(30)]
-    for k in range(3):
-        spark.createDataFrame(rows[10 * k : 10 * k + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    edges = stream.stateful_resolution(source, ("p",))
-    q = edges.writeStream.format("memory").queryName("edges").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    want = sorted(map(tuple, facts.supersede(spark.createDataFrame(rows, schema), ("p",)).collect()))
-    assert sorted(map(tuple, spark.table("edges").collect())) == want and want
+CLAIM = "session_id string, subject string, predicate string, claim_id string, value string, source_turn_id string, speaker string, source_trust double, created_ts long"
+SECOND = 1_000_000_000
+
+
+def streamed(spark, tmp_path, batches, **options):
+    """Edges of a stream that gets these batches one after another, then a late sign that time has gone on."""
+    spark.conf.set(*stream.STATE_STORE)
+    path = str(tmp_path / "in")
+    name = f"edges_{random.randrange(10**9)}"
+    for rows in [*batches, [("end", "u", "p", "end", "v", "tend", "user", 1.0, 10**9 * SECOND)], [("end", "u", "p", "end2", "v", "tend", "user", 1.0, 10**9 * SECOND + 1)]]:
+        spark.createDataFrame(rows, CLAIM).coalesce(1).write.mode("append").parquet(path)
+        source = spark.readStream.schema(CLAIM).parquet(path)
+        q = stream.stateful_resolution(source, ("p",), **options).writeStream.format("parquet").option("path", str(tmp_path / name)).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+    return sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect()))
+
+
+def timed_claims(n, seed=3):
+    rng = random.Random(seed)
+    return [(f"s{i % 2}", "u", rng.choice("pq"), f"c{i:02}", rng.choice(["x y z", "x y w", "lives in A", "lives in B", "q"]), f"t{i}", rng.choice(["user", "assistant"]), rng.choice([0.35, 1.0]), (i + 1) * SECOND + i) for i in range(n)]
+
+
+def test_stateful_stream_equals_the_fold_in_any_order(spark, tmp_path):
+    """Rows within the delay may come in any order, over batches too."""
+    rows = timed_claims(45)
+    late = random.Random(7).sample(rows, 45)
+    got = streamed(spark, tmp_path, [late[:15], late[15:30], late[30:]], delay="100 seconds")
+    want = sorted(map(tuple, facts.supersede(spark.createDataFrame(rows, CLAIM), ("p",)).collect()))
+    assert got == want and len(want) > 10
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    rows = timed_claims(20)
+    batches = [rows[:2] + rows[12:], [("s0", "u", "p", "m", "w", "tm", "user", 1.0, 90 * SECOND)], rows[2:5]]  # the last is far behind
+    got = streamed(spark, tmp_path, batches, delay="5 seconds")
+    seen = spark.createDataFrame(batches[0] + batches[1], CLAIM)
+    assert got == sorted(map(tuple, facts.supersede(seen, ("p",)).collect()))
+
+
+def test_idle_slots_are_forgotten(spark, tmp_path):
+    rows = [("s", "u", "p", f"c{i}", f"v{i}", f"t{i}", "user", 1.0, ts * SECOND) for i, ts in enumerate((1, 2, 50, 51))]
+    got = streamed(spark, tmp_path, [rows], delay="1 second", forget_ms=20_000)
+    assert [x[3:5] for x in got] == [("c0", "c1"), ("c2", "c3")]
 
 
 def test_listeners(spark, tmp_path):

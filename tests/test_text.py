@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import context, facts
+from factloom.operators import context, slots
 
 
 def one(spark, expr, *values):
@@ -29,11 +29,11 @@ def test_durability(spark, text, kind):
 
 @pytest.mark.parametrize(("value", "slot"), [("lives in Toronto", "residence"), ("olives in oil", None), ("frameworks at work", None), ("works at Acme", "employer")])
 def test_attribute(value, slot):
-    assert facts.attribute(value) == slot
+    assert slots.attribute(value) == slot
 
 
 def test_closed_window():
-    assert facts.CLOSED.search("lived in NYC from 2010 to 2015") and not facts.CLOSED.search("lives in Boston")
+    assert slots.CLOSED.search("lived in NYC from 2010 to 2015") and not slots.CLOSED.search("lives in Boston")
 
 
 def test_entities_first_type_holds(spark):
