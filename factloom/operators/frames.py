@@ -1,15 +1,16 @@
 """Event frames: what several turns say about one event, with its place, time, amount and item.
 
 A plan over whole tables, in five steps: each turn's type; pairs of turns that speak of one thing, met at equal places; what the pairs
-connect, by session; turns that only give a place, drawn to the nearest typed turn; and the slots of each group, by expressions.
+connect; turns that only give a place, drawn to the nearest typed turn; and the slots of each group, by expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
+from factloom.operators import graph
 
 # Words, names and patterns of the slots.
 STOPS = ("a", "an", "the", "i", "my", "for", "on", "at", "in", "to", "of", "and", "was", "is")
@@ -113,40 +114,32 @@ def coreferent(claims: DataFrame) -> DataFrame:
     return met(entities, "entity", []).select("session_id", "a", "b").unionByName(two.select("session_id", "a", "b")).distinct()
 
 
-def connected(pairs: DataFrame) -> DataFrame:
-    """session_id, turn_index, home: the least place that pairs lead to, for places in any pair. A session's pairs, two numbers each, are held at once."""
+def connected(pairs: DataFrame, checkpoint) -> DataFrame:
+    """session_id, turn_index, home: the least place that pairs lead to, for places in any pair. A session is no unit of work: its pairs are links among all others."""
+    at = lambda c: F.struct(F.col("session_id").alias("s"), F.col(c).cast("long").alias("i"))
+    found = graph.components(pairs.select(at("a").alias("a"), at("b").alias("b")), checkpoint)
+    return found.select(F.col("node.s").alias("session_id"), F.col("node.i").alias("turn_index"), F.col("root.i").alias("home"))
 
-    def join_up(key, pdf):
-        import pandas as pd
 
-        up: dict[int, int] = {}
-
-        def top(x):
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-            low, high = sorted((top(a), top(b)))
-            up[high] = low
-        return pd.DataFrame({"session_id": key[0], "turn_index": list(up), "home": [top(x) for x in up]})
-
-    return pairs.groupBy("session_id").applyInPandas(join_up, "session_id string, turn_index long, home long")
-
-
-def event_frames(claims: DataFrame) -> DataFrame:
-    """Frames of claims (session_id, turn_id, turn_index, claim_id, value, entity, confidence): the event's type, its turns and claims in order,
-    slots, least confidence, participants and the names of missing slots. Groups without a type are none."""
-    own = claims.select("session_id", "turn_id", F.col("turn_index").cast("long").alias("turn_index"), "claim_id", "value", "entity", F.col("confidence").cast("double").alias("confidence"))
+def grouped_turns(own: DataFrame, checkpoint) -> DataFrame:
+    """session_id, turn_index, home: each turn of claims (as for event_frames) with the first turn of its event."""
     said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "value"))), lambda x: x["value"]), " ")
     turns = own.groupBy("session_id", "turn_index").agg(tx.event_type(said).alias("kind"))
-    placed = turns.join(connected(coreferent(own)), ["session_id", "turn_index"], "left").withColumn("home", F.coalesce("home", "turn_index"))
-    placed = placed.withColumn("members", F.count("*").over(Window.partitionBy("session_id", "home")))
+    placed = turns.join(connected(coreferent(own), checkpoint), ["session_id", "turn_index"], "left").withColumn("home", F.coalesce("home", "turn_index"))
+    members = placed.groupBy("session_id", "home").agg(F.count("*").alias("members"))
+    placed = checkpoint(placed.join(members, ["session_id", "home"]).select("session_id", "turn_index", "kind", "home", "members"))  # read three times
     # a turn that only gives a place goes to the nearest turn of another type; of two as near, to the earlier
     lone = placed.filter((F.col("kind") == PROVIDER) & (F.col("members") == 1)).select("session_id", F.col("turn_index").alias("from"), F.explode(F.sequence(F.col("turn_index") - NEAR, F.col("turn_index") + NEAR)).alias("turn_index"))
     drawn = lone.join(placed.filter(F.col("kind").isNotNull() & (F.col("kind") != PROVIDER)), ["session_id", "turn_index"])
     drawn = drawn.groupBy("session_id", F.col("from").alias("turn_index")).agg(F.min_by("home", F.struct(F.abs(F.col("turn_index") - F.col("from")), "turn_index")).alias("drawn"))
-    homes = placed.join(drawn, ["session_id", "turn_index"], "left").select("session_id", "turn_index", F.coalesce("drawn", "home").alias("home"))
+    return placed.join(drawn, ["session_id", "turn_index"], "left").select("session_id", "turn_index", F.coalesce("drawn", "home").alias("home"))
+
+
+def event_frames(claims: DataFrame, checkpoint) -> DataFrame:
+    """Frames of claims (session_id, turn_id, turn_index, claim_id, value, entity, confidence): the event's type, its turns and claims in order,
+    slots, least confidence, participants and the names of missing slots. Groups without a type are none."""
+    own = claims.select("session_id", "turn_id", F.col("turn_index").cast("long").alias("turn_index"), "claim_id", "value", "entity", F.col("confidence").cast("double").alias("confidence"))
+    homes = grouped_turns(own, checkpoint)
     row = F.struct("turn_index", "claim_id", "turn_id", "value")
     groups = own.join(homes, ["session_id", "turn_index"]).groupBy("session_id", "home").agg(
         F.sort_array(F.collect_list(row)).alias("rows"), F.min("confidence").alias("confidence"), F.array_sort(F.collect_set(F.coalesce("entity", F.lit("")))).alias("participants")

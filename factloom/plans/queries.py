@@ -33,14 +33,19 @@ def query(sql: str | None = None):
     return register
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage by the checkpoint folder that driver and executors share; a local master may use a temporary one."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local master may use a temporary one."""
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not found and not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
+    return found or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage by the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -669,7 +674,7 @@ def n3_event_types(spark, sf):
 @query()
 def n5_event_frames(spark, sf):
     """Held against a plain loop over sessions in tests/test_frames.py: the groups are connected components."""
-    rows = frames.event_frames(src.stories(spark, sf))
+    rows = frames.event_frames(src.stories(spark, sf), checkpoint)
     return rows.select("session_id", "event_type", F.array_join("turn_ids", ",").alias("turn_ids"), "location", "time_expr", "amount", "item", "confidence", F.array_join("participants", ",").alias("participants"), F.array_join("missing", ",").alias("missing"))
 
 

@@ -193,7 +193,7 @@ def test_forget_leaves_nothing(spark):
 def test_event_frames(spark):
     said = ["bought a Sony camera from Walmart", "the Sony camera cost $500", "nothing at all", "studied physics at Harvard in 3 weeks"]
     df = spark.createDataFrame([("s", f"t{i}", i, f"c{i}", v, "user", 0.5 + i / 10) for i, v in enumerate(said)], "session_id string, turn_id string, turn_index long, claim_id string, value string, entity string, confidence double")
-    got = {r.event_type: r for r in frames.event_frames(df).collect()}
+    got = {r.event_type: r for r in frames.event_frames(df, checkpoint).collect()}
     buy = got["purchase_redemption"]
     assert buy.claim_ids == ["c0", "c1"] and buy.item == "a Sony camera" and buy.amount == "$500" and buy.location == "Walmart" and buy.confidence == 0.5
     assert got["education_milestone"].item == "physics" and got["education_milestone"].time_expr == "3 week"

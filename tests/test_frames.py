@@ -7,7 +7,7 @@ import re
 
 from factloom.functions import text as tx
 from factloom.operators import frames
-from factloom.plans.queries import QUERIES
+from factloom.plans.queries import QUERIES, checkpoint
 from factloom.sources import tables
 
 SCHEMA = "session_id string, turn_id string, turn_index long, claim_id string, value string, entity string, confidence double"
@@ -55,7 +55,7 @@ def plain(rows):
 
 
 def got(df):
-    return sorted((r.session_id, r.event_type, tuple(r.claim_ids), r.confidence, tuple(r.participants)) for r in frames.event_frames(df).collect())
+    return sorted((r.session_id, r.event_type, tuple(r.claim_ids), r.confidence, tuple(r.participants)) for r in frames.event_frames(df, checkpoint).collect())
 
 
 def test_groups_of_random_sessions(spark):
@@ -87,7 +87,7 @@ def test_slots(spark):
         "scheduled a meeting with Bob in April": ("Bob", "apr", None, None),
     }
     rows = [(f"s{i}", f"t{i}", 0, f"c{i}", v, "user", 0.5) for i, v in enumerate(said)]
-    found = {r.session_id: r for r in frames.event_frames(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = {r.session_id: r for r in frames.event_frames(spark.createDataFrame(rows, SCHEMA), checkpoint).collect()}
     for i, (v, (place, time, money, thing)) in enumerate(said.items()):
         r = found[f"s{i}"]
         assert (r.location, (r.time_expr or "").lower() or None, r.amount, r.item) == (place, time, money, thing), v
