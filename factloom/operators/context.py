@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.functions import text as tx
-from factloom.operators import memory, rank, views
+from factloom.operators import bursts, memory, rank, views
 
 # Word lists of tool hooks and of query expansion.
 SKIPPED_TOOLS = ("Read", "Glob", "Grep", "LS", "LSP", "TaskCreate", "TaskGet", "TaskList", "TaskUpdate", "TaskStop", "TaskOutput", "Monitor", "AskUserQuestion", "WebSearch", "WebFetch")
@@ -109,7 +109,7 @@ def reader_hint(query: str) -> str:
     return HINTS[kinds[-1] if kinds else "fact_recall"]
 
 
-def briefing(store: dict[str, DataFrame], session: str, now: int, query: str = "", vocabulary: tuple[str, ...] = (), k: int = 10) -> dict[str, DataFrame]:
+def briefing(store: dict[str, DataFrame], session: str, now: int, checkpoint, query: str = "", vocabulary: tuple[str, ...] = (), k: int = 10) -> dict[str, DataFrame]:
     """What a client needs when a session starts, as DataFrames of that session: world state, digest, entity links, bursts, contradictions,
     and, with a query, hits with their trust and why they hold.
 
@@ -118,7 +118,7 @@ def briefing(store: dict[str, DataFrame], session: str, now: int, query: str = "
     turns, claims = (store[x].filter(F.col("session_id") == session) for x in ("turns", "claims"))
     edges = store["edges"].join(claims.select(F.col("claim_id").alias("new_claim_id")), "new_claim_id", "left_semi")
     out = {
-        "world_state": views.world_state(claims, vocabulary), "digest": views.digest(claims, edges), "life_events": served_events(memory.bursts(views.active(claims))),
+        "world_state": views.world_state(claims, vocabulary), "digest": views.digest(claims, edges), "life_events": served_events(bursts.bursts(views.active(claims), checkpoint)),
         "contradictions": views.contradictions(edges, claims),
     }
     if "metadata" in store:
@@ -179,12 +179,12 @@ def instruction(claims: DataFrame, most: int = 600) -> DataFrame:
 def discover_tools(registry: DataFrame, query: str, facts: DataFrame | None = None, k: int = 10, mode: str = "text", vectors: dict[str, list[float]] | None = None) -> DataFrame:
     """Tools for a query, conditioned on remembered facts if there are any.
 
-    text: the facts' words are further channels. instruction: facts are one session's claims, and what they say is put before the query.
+    text: the facts' words are further channels. instruction: facts are a session's claims (of several, the first session counts), and what they say is put before the query.
     """
     if facts is None:
         return rank.tools(registry, query, "", k, vectors=vectors)
     if mode == "instruction":
-        told = instruction(facts).first()
+        told = instruction(facts).orderBy("session_id").first()
         return rank.tools(registry, f"{told.instruction} {query}" if told else query, "", k, vectors=vectors)
     return rank.tools(registry, query, " ".join(x.term for x in conditioning_terms(facts).collect()), k, vectors=vectors)
 

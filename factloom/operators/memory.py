@@ -4,40 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom import model
 from factloom.functions import text as tx
 
-BURSTS = "subject string, start_ts long, end_ts long, claim_ids array<string>, predicates array<string>, significance double"
-
-
-def bursts(claims: DataFrame, window_ns: int = model.DAY_NS, least: int = 3) -> DataFrame:
-    """Life events: from each claim not yet used, those within the window; with enough predicates they are one event, and the scan goes on after it.
-
-    Which claim starts the next event depends on the last one, so a subject is folded in one task.
-    """
-
-    def fold(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["created_ts", "claim_id"])
-        ts, ids, kinds = pdf["created_ts"].tolist(), pdf["claim_id"].tolist(), pdf["predicate"].tolist()
-        total, out, i = len(set(kinds)), [], 0
-        while i < len(ts):
-            j = i
-            while j < len(ts) and ts[j] <= ts[i] + window_ns:
-                j += 1
-            found = list(dict.fromkeys(kinds[i:j]))
-            if len(found) >= least:
-                out.append((key[0], ts[i], ts[j - 1], ids[i:j], found, round(min(1.0, len(found) / total), 4)))
-                i = j
-            else:
-                i += 1
-        return pd.DataFrame(out, columns=["subject", "start_ts", "end_ts", "claim_ids", "predicates", "significance"])
-
-    return claims.select("subject", "created_ts", "claim_id", "predicate").groupBy("subject").applyInPandas(fold, BURSTS)
-
-
 def burst_candidates(claims: DataFrame, window_ns: int = model.DAY_NS, least: int = 3) -> DataFrame:
     """Claims that could start a burst: a pure window, an upper bound of the fold."""
     w = Window.partitionBy("subject").orderBy("created_ts").rangeBetween(0, window_ns)
@@ -100,11 +71,15 @@ def around(turns: DataFrame, ids: DataFrame, k: int = 2) -> DataFrame:
 
 
 def packed_context(hits: DataFrame, budget: int = 2000) -> DataFrame:
-    """Hits of each session best first, skipping those that don't fit. Skipping depends on what was taken, so it is a fold over the sorted array, in the engine."""
+    """Hits of each session best first, skipping those that don't fit. Skipping depends on what was taken, so it is a fold over a sorted array, in the engine; the array's length is bounded by the budget."""
     cost = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("int")
     kind = [F.col("kind")] if "kind" in hits.columns else []
     item = F.struct((-F.col("score")).alias("order"), *kind, F.col("id").alias("id"), cost.alias("cost"))
-    rows = hits.groupBy("session_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    # room only shrinks: of hits of one cost, those taken are the first, and no more than fill the budget; so few of a session's hits can matter
+    alike = Window.partitionBy("session_id", "__cost").orderBy(F.desc("score"), *kind, "id")
+    likely = hits.withColumn("__cost", cost).withColumn("__rn", F.row_number().over(alike)).filter(F.col("__rn") * F.col("__cost") <= budget)
+    rows = hits.select("session_id").distinct().join(likely.groupBy("session_id").agg(F.sort_array(F.collect_list(item)).alias("items")), "session_id", "left")
+    rows = rows.withColumn("items", F.coalesce("items", F.array().cast(likely.select(F.array(item)).schema[0].dataType)))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("ids"))
 
     def step(s, x):
@@ -182,18 +157,71 @@ def forget(store: dict[str, DataFrame], targets: DataFrame, now: int) -> dict[st
     return out
 
 
+#: Vectors of a group that one task scores.
+SCORED = 1 << 16
+
+
 def anomalies(new: DataFrame, reference: DataFrame, least: float = 0.15, most: int = 100) -> DataFrame:
     """New vectors whose best cosine with the newest references of their group is low; without references nothing can be judged.
 
-    The newest are those of the highest ids. A vector is no reference of itself, so one more than needed is held for each group.
+    The newest are those of the highest ids. A vector is no reference of itself, so one more than needed is held for each group. A group's references come first
+    to each task that has vectors of it, and those are scored as products of matrices; large groups are dealt out over several tasks, each with the references.
+    A vector of another length than a reference, or of length zero, is like it by 0.
     """
     w = Window.partitionBy("group").orderBy(F.desc("id"))
-    held = reference.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most + 1)
-    held = held.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("rn", F.col("id").alias("ref"), "embedding"))).alias("held"))
-    rows = new.join(F.broadcast(held), "group", "left")
-    others = F.slice(F.filter("held", lambda x: x["ref"] != F.col("id")), 1, most)
-    best = F.round(F.array_max(F.transform(others, lambda x: tx.cosine(F.col("embedding"), x["embedding"]))), 6)
-    return rows.select("group", "id", best.alias("best")).withColumn("anomalous", F.coalesce(F.col("best") < least, F.lit(False)))
+    sizes = new.groupBy("group").agg(F.ceil(F.count("*") / SCORED).cast("int").alias("shares"))
+    held = reference.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most + 1).join(sizes, "group")
+    held = held.select("group", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("rn").cast("int").alias("rn"), "id", F.col("embedding").cast("array<double>").alias("embedding"))
+    whole = sizes.withColumnRenamed("group", "__group")
+    rows = new.join(whole, F.col("group").eqNullSafe(F.col("__group"))).select("group", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), F.lit(1 << 30).alias("rn"), "id", F.col("embedding").cast("array<double>").alias("embedding"))
+    dealt = held.unionByName(rows).repartition("group", "share").sortWithinPartitions("group", "share", "rn")
+    schema = T.StructType([new.schema["group"], new.schema["id"], T.StructField("best", T.DoubleType())])
+
+    def unit(rows_of: list):
+        import numpy as np
+
+        out = {}
+        for n in {len(x) for x in rows_of if x is not None}:
+            at = [i for i, x in enumerate(rows_of) if x is not None and len(x) == n]
+            m = np.array([rows_of[i] for i in at], np.float64).reshape(len(at), n)
+            norms = np.linalg.norm(m, axis=1)
+            out[n] = (np.array(at), m / np.where(norms > 0, norms, 1)[:, None])
+        return out
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, ids, vectors = object(), [], []
+        for batch in batches:
+            groups, shares, places, own, given = (c.to_pylist() for c in batch.columns)
+            told = []
+            i = 0
+            while i < len(own):
+                if (groups[i], shares[i]) != key:
+                    key, ids, vectors = (groups[i], shares[i]), [], []
+                if places[i] < 1 << 30:
+                    ids.append(own[i])
+                    vectors.append(given[i])
+                    i += 1
+                    continue
+                j = i
+                while j < len(own) and (groups[j], shares[j]) == key:
+                    j += 1
+                if ids:
+                    scores = np.zeros((j - i, len(ids)))
+                    known, asked = unit(vectors), unit(given[i:j])
+                    for n in known.keys() & asked.keys():
+                        scores[np.ix_(asked[n][0], known[n][0])] = asked[n][1] @ known[n][1].T
+                    for k in range(j - i):
+                        row = [s for s, x in zip(scores[k].tolist(), ids, strict=True) if x != own[i + k]][:most]
+                        told.append((groups[i], own[i + k], round(max(row), 6) if row else None))
+                else:
+                    told += [(groups[i], own[k], None) for k in range(i, j)]
+                i = j
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in told], t) for k, t in enumerate((batch.schema.field(0).type, batch.schema.field(3).type, pa.float64()))], names=schema.names)
+
+    return dealt.mapInArrow(run, schema).withColumn("anomalous", F.coalesce(F.col("best") < least, F.lit(False)))
 
 
 def reader_items(hits: DataFrame) -> DataFrame:

@@ -84,31 +84,56 @@ def fused_top(rows: DataFrame, channels: dict[str, float], order: list[str], k:
     found = rows.join(F.broadcast(ids.distinct()), order)  # at most n rows a channel
     held = [r.asDict() for r in found.select(*order, *channels).collect()]
 
-    def before(c: str, row: dict):
-        """Whether a row of the table comes before this one in a channel."""
-        ahead = F.col(c) > F.lit(row[c])
-        same = F.col(c) == F.lit(row[c])
-        for o in order:
-            ahead, same = ahead | (same & (F.col(o) < F.lit(row[o]))), same & (F.col(o) == F.lit(row[o]))
-        return F.count_if(ahead)
-
     places: list[dict] = [{} for _ in held]
     for c in channels:
         ranked = sorted(range(len(held)), key=lambda i: tuple(held[i][o] for o in order))
         ranked.sort(key=lambda i: held[i][c], reverse=True)
         for place, i in enumerate(ranked[:n], 1):
             places[i][c] = place
-    asked = [(i, c) for i in range(len(held)) for c in channels if c not in places[i]]
-    if asked:
-        counts = rows.agg(*[before(c, held[i]).alias(f"n{x}") for x, (i, c) in enumerate(asked)]).first()
-        for x, (i, c) in enumerate(asked):
-            places[i][c] = counts[x] + 1
+    for c, counts in _ahead(rows, held, list(channels), order).items():
+        for i, n_ahead in enumerate(counts):
+            places[i].setdefault(c, n_ahead + 1)
     scores = [round(sum(w / (float(fuse) + places[i][c]) for c, w in channels.items()), 12) for i in range(len(held))]
     best = sorted(range(len(held)), key=lambda i: (-scores[i], *(held[i][o] for o in order)))[:k]
     kept = rows.sparkSession.createDataFrame([(*(held[i][o] for o in order), float(scores[i])) for i in best], ", ".join(f"`{o}` {rows.schema[o].dataType.simpleString()}" for o in order) + f", `{name}` double")
     return rows.join(F.broadcast(kept), order).orderBy(F.desc(name), *order)
 
 
+def _ahead(rows: DataFrame, held: list[dict], channels: list[str], order: list[str]) -> dict[str, list[int]]:
+    """For each channel, how many rows of the table come before each held row: every row looks up its place among the held ones, and only counts leave a task."""
+    from bisect import bisect_right
+
+    key = lambda c, r: (-r[c], *(r[o] for o in order))
+    ranked = {c: sorted(range(len(held)), key=lambda i, c=c: key(c, held[i])) for c in channels}
+    keys = {c: [key(c, held[i]) for i in own] for c, own in ranked.items()}
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = {c: [0] * (len(own) + 1) for c, own in keys.items()}
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            ties = list(zip(*(columns[o] for o in order), strict=True))
+            for c, own in keys.items():
+                found = counts[c]
+                for value, tie in zip(columns[c], ties, strict=True):
+                    found[bisect_right(own, (-value, *tie))] += 1
+        flat = [(c, i, n) for c, own in counts.items() for i, n in enumerate(own) if n]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.int64())], names=["channel", "place", "n"])
+
+    table = rows.select(*order, *[F.col(c).cast("double").alias(c) for c in channels if c not in order])
+    found = table.mapInArrow(run, "channel string, place long, n long").groupBy("channel", "place").agg(F.sum("n").alias("n")).collect()  # at most a number for each held row and channel
+    out = {}
+    for c, own in ranked.items():
+        at = {r.place: r.n for r in found if r.channel == c}
+        total, ahead = 0, [0] * len(held)
+        for place, i in enumerate(own):
+            total += at.get(place, 0)
+            ahead[i] = total
+        out[c] = ahead
+    return out
+
+
 def reranked(hits: DataFrame, query: str, scorer, k: int, text_col: str = "text", order: tuple[str, ...] = ("id",)) -> DataFrame:
     """The first k hits in the order of a scorer, (query, texts) -> scores, the others after them as they were. Where the scorer fails, nothing changes."""
     first = hits.orderBy(F.desc("score"), *order).limit(k).collect()  # k rows
@@ -225,10 +250,9 @@ def asked_episodes(turns: DataFrame, asks: DataFrame) -> DataFrame:
 
 def asked_facts(claims: DataFrame, asks: DataFrame, now: int) -> DataFrame:
     """`facts` with a query for each session, which also tells whether the past counts, its window of time and its predicates."""
-    window = F.udf(lambda q: temporal_scope(q, now), "struct<since:long,until:long>")
     names = F.flatten(F.array(*[F.when(tx.contains_any(F.lower("query"), w), tx.words_in(f)).otherwise(F.array().cast("array<string>")) for w, f, _ in tx.QUERY_FAMILIES]))
     told = asks.select(
-        "session_id", F.split(F.lower("query"), r"\s+").alias("__words"), tx.history_intent(F.col("query")).alias("__past"), window("query").alias("__scope"), names.alias("__names"),
+        "session_id", F.split(F.lower("query"), r"\s+").alias("__words"), tx.history_intent(F.col("query")).alias("__past"), scope_of(F.col("query"), now).alias("__scope"), names.alias("__names"),
         F.when(tx.query_type(F.col("query")).isin("knowledge_update", "temporal"), 3.0).otherwise(1.0).alias("__times"),
     )
     rows = claims.join(told, "session_id").filter(F.col("status").isin(*model.SERVABLE) | F.col("__past"))
@@ -297,6 +321,33 @@ def temporal_scope(query: str, now_ns: int) -> tuple[int, int] | None:
     return None
 
 
+def scope_of(query: Column, now_ns: int) -> Column:
+    """since, until in nanoseconds: `temporal_scope` of a column of queries; null where a query names no time."""
+    from datetime import UTC, datetime
+
+    q, day = F.lower(query), 86_400 * 1_000_000_000
+    now = now_ns // 1000 * 1000
+    lengths = {"day": 1, "week": 7, "month": 30, "year": 365}
+
+    def span(start, end=0) -> Column:
+        return F.struct((F.lit(now) - start).cast("long").alias("since"), (F.lit(now) - end).cast("long").alias("until"))
+
+    def number(pattern: str) -> Column:
+        return F.regexp_extract(q, pattern, 1).try_cast("long")
+
+    cases = []
+    for unit in ("day", "week", "month"):
+        n = number(rf"(?:last|past)\s+(\d+)\s+{unit}s?")
+        cases.append((n.isNotNull(), span(n * (lengths[unit] * day))))
+    cases += [(q.rlike(rf"(?:last|past)\s+{unit}\b"), span(F.lit(lengths[unit] * day))) for unit in ("week", "month", "year")]
+    cases.append((q.rlike(r"\byesterday\b"), span(F.lit(day))))
+    cases.append((q.rlike(r"\bthis\s+week\b"), span(F.lit(datetime.fromtimestamp(now_ns / 1e9, UTC).weekday() * day))))
+    for unit in ("week", "month", "day"):
+        n = number(rf"(\d+)\s+{unit}s?\s+ago")
+        cases.append((n.isNotNull(), span(n * (lengths[unit] * day), F.greatest(n - 1, F.lit(0)) * (lengths[unit] * day))))
+    return F.coalesce(*[F.when(found, scope) for found, scope in cases])
+
+
 def tool_document(name: Column, description: Column, server: Column, tags: Column) -> Column:
     some = lambda c, label: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c))
     return F.concat_ws("\n", F.concat(F.lit("name: "), name), some(description, "description"), some(tags, "domain"), some(server, "server"))

@@ -263,7 +263,7 @@ def profile(claims: DataFrame, edges: DataFrame, events: DataFrame, budget: int
 
     A tier ends at its first line that doesn't fit and the next goes on with what is left; a claim is told once. Both depend on
     the lines before, so a subject's lines are folded in one task. Changes are counted for each subject and predicate, an edge once
-    for either end. events: `memory.bursts`.
+    for either end. events: `bursts.bursts`.
     """
     slots = claims.select("claim_id", "subject", "predicate", "value")
     changes = edges.select(F.explode(F.array("old_claim_id", "new_claim_id")).alias("claim_id")).join(slots, "claim_id").groupBy("subject", "predicate").agg(F.count("*").alias("changes"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.functions import text as tx
-from factloom.operators import context, facts, frames, memory, rank, semantic, views
+from factloom.operators import bursts, context, facts, frames, memory, rank, semantic, views
 from factloom.sources import tables as src
 from factloom.streaming import stream
 
@@ -492,7 +492,7 @@ total AS (SELECT subject, count(DISTINCT predicate) AS n FROM p GROUP BY subject
 SELECT subject, min(created_ts) AS start_ts, max(created_ts) AS end_ts, count(*) AS n_claims, any_value(predicates) AS predicates, round(least(1.0, any_value(k) / any_value(n)::DOUBLE), 4) AS significance
 FROM inside JOIN kinds USING (subject, start) JOIN total USING (subject) GROUP BY subject, start""")
 def g5_bursts(spark, sf):
-    return memory.bursts(src.claims(spark, sf)).select("subject", "start_ts", "end_ts", F.size("claim_ids").cast("long").alias("n_claims"), F.array_join("predicates", ",").alias("predicates"), "significance")
+    return bursts.bursts(src.claims(spark, sf), checkpoint).select("subject", "start_ts", "end_ts", F.size("claim_ids").cast("long").alias("n_claims"), F.array_join("predicates", ",").alias("predicates"), "significance")
 
 
 @query(f"""WITH {C} SELECT a.claim_id, count(DISTINCT b.predicate) AS kinds FROM claims a JOIN claims b ON a.subject = b.subject AND b.created_ts BETWEEN a.created_ts AND a.created_ts + {DAY}
@@ -658,7 +658,7 @@ say AS (
 @query(f"WITH RECURSIVE {PROFILE} SELECT subject, tier::BIGINT AS tier, text, array_to_string(ids, ',') AS claim_ids, used FROM say WHERE kept")
 def n2_profile(spark, sf):
     rows, edges = validity(spark, sf)
-    lines = views.profile(rows.withColumn("importance", F.col("confidence")), edges, memory.bursts(views.active(rows)), 60)
+    lines = views.profile(rows.withColumn("importance", F.col("confidence")), edges, bursts.bursts(views.active(rows), checkpoint), 60)
     return lines.select("subject", F.col("tier").cast("long").alias("tier"), "text", F.array_join("claim_ids", ",").alias("claim_ids"), F.col("used").cast("long").alias("used"))
 
 

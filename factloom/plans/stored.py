@@ -71,8 +71,8 @@ def a15_cached_vectors(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-# What the write path makes of the conversations: claims, and the edges of their slots by the fold of many values.
-WRITTEN = f"""{T}, {EXTRACTED},
+# What the write path makes of what customers say: claims, and the edges of their slots by the fold of many values.
+WRITTEN = f"""{src.SAYINGS_SQL}, {EXTRACTED.replace(T, src.SAYINGS_SQL)},
 made AS (SELECT 'cl_' || left(sha256(concat_ws('|', e.turn_id, e.ordinal::VARCHAR, e.subject, e.predicate, e.value)), 12) AS claim_id, e.session_id AS session, e.turn_id AS source_turn_id,
   regexp_replace(regexp_replace(lower(e.subject), '^\\s+|\\s+$', '', 'g'), '\\s+', '_', 'g') AS subject, e.predicate, e.value, t.speaker, CASE t.speaker WHEN 'user' THEN 1.0 ELSE 0.5 END::DOUBLE AS source_trust, t.ts + e.ordinal AS created_ts
   FROM ex e JOIN turns t ON t.turn_id = e.turn_id WHERE trim(e.value) <> ''),
@@ -82,13 +82,13 @@ WRITE_FOLD = WRITTEN + TEXT_FOLD.removeprefix(src.NOTES_SQL)
 
 @query(f"WITH RECURSIVE {WRITE_FOLD} SELECT old_claim_id, new_claim_id, edge_type, created_ts FROM fold WHERE old_claim_id IS NOT NULL")
 def c24_written_edges(spark, sf):
-    return ingest.write(src.turns(spark, sf))["edges"].select("old_claim_id", "new_claim_id", "edge_type", "created_ts")
+    return ingest.write(src.sayings(spark, sf))["edges"].select("old_claim_id", "new_claim_id", "edge_type", "created_ts")
 
 
 @query(f"""WITH RECURSIVE {WRITE_FOLD}, gone AS (SELECT DISTINCT old_claim_id FROM fold WHERE old_claim_id IS NOT NULL AND edge_type NOT IN ('blocked', 'contradicts'))
 SELECT claim_id, session AS session_id, source_turn_id, subject, predicate, value, created_ts, CASE WHEN claim_id IN (FROM gone) THEN 'superseded' ELSE 'active' END AS status FROM notes""")
 def c24_written_claims(spark, sf):
-    return ingest.write(src.turns(spark, sf))["claims"].select("claim_id", "session_id", "source_turn_id", "subject", "predicate", "value", "created_ts", "status")
+    return ingest.write(src.sayings(spark, sf))["claims"].select("claim_id", "session_id", "source_turn_id", "subject", "predicate", "value", "created_ts", "status")
 
 
 STOP_LIST = "[" + ", ".join(f"'{x}'" for x in frames.STOPS) + "]"

@@ -157,6 +157,25 @@ NOTES_SQL = f"""notes AS (SELECT 's' || o_custkey AS session_id, 'cl_' || o_orde
   (CASE WHEN o_orderkey % 5 = 0 THEN 0.35 WHEN o_orderkey % 4 = 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS source_trust, epoch_us(o_orderdate) * 1000 AS created_ts FROM orders)"""
 
 
+#: What an order's customer says, by its number: sentences that the patterns read. {c}: a city, {n}: a number word.
+SAYINGS = ("I live in {c}", "I prefer green tea", "I have {n} small cats", "I have 3 small cats", "I like long evening walks near {c}", "I like long morning walks near {c}", "My name is {c} Smith", "uh ok", "I lived in {c} from 2010 to 2015", "I prefer black tea.")
+
+
+def sayings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as turns of their customers' sessions."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (n + 1).cast("int"))
+    said = F.replace(F.replace(pick(SAYINGS, k % len(SAYINGS)), F.lit("{c}"), pick(CITIES, F.floor(k / 7) % 2)), F.lit("{n}"), pick(NUMBERS, F.floor(k / 5) % 3))
+    return o.select(
+        F.concat(F.lit("tu_"), k).alias("turn_id"), F.concat(F.lit("s"), "o_custkey").alias("session_id"), F.when(k % 4 == 0, "assistant").otherwise("user").alias("speaker"), said.alias("text"),
+        (micros(F.col("o_orderdate")) * 1000).alias("ts"), F.lit("conversation").alias("source_type"), F.lit("default").alias("namespace"),
+    )
+
+
+SAYINGS_SQL = f"""turns AS (SELECT 'tu_' || o_orderkey AS turn_id, 's' || o_custkey AS session_id, CASE WHEN o_orderkey % 4 = 0 THEN 'assistant' ELSE 'user' END AS speaker,
+  replace(replace({_picked(SAYINGS, f"o_orderkey % {len(SAYINGS)}")}, '{{c}}', {_picked(CITIES, "(o_orderkey // 7) % 2")}), '{{n}}', {_picked(NUMBERS, "(o_orderkey // 5) % 3")}) AS text, epoch_us(o_orderdate) * 1000 AS ts FROM orders)"""
+
+
 def document_turns(docs: DataFrame) -> DataFrame:
     """Benchmark documents (id, user_id, timestamp, context, messages, content) as turns: the messages, or else the content, each after the context."""
     said = F.when(F.size("messages") > 0, F.col("messages")).otherwise(F.array(F.struct(F.lit("user").alias("role"), F.col("content").alias("content"))))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.operators import facts, slots
+from factloom.sources import store as st
 
 
 #: Folders that a log of claims is dealt into.
@@ -24,33 +25,42 @@ def admitted(turns: DataFrame) -> DataFrame:
     return turns.withColumn("reason", tx.admission(F.col("text"))).filter("reason = 'admitted'").withColumn("durability", tx.durability(F.col("text")))
 
 
-def run_resolution(claims: DataFrame, log_path: str, edges_path: str, checkpoint: str, single_valued: tuple[str, ...]):
-    """Appends each micro-batch to the log and writes anew the edges of the slots that it touched.
+def run_resolution(claims: DataFrame, store: st.Store, checkpoint: str, single_valued: tuple[str, ...], every: int = 16):
+    """Appends each micro-batch to a log in a store and puts the edges of the slots that it touched in the place of their old ones.
 
     A slot's edges are folded from its whole log in time order, so a late row changes what it would have changed in time.
-    The log lies in BUCKETS folders by the slots' hash, and a batch reads those of its own slots only. The result for a slot
-    is that of its last batch. Batches may be repeated: a batch writes under its number.
+    The log's files are parted by BUCKETS of the slots' hash, and a batch reads those of its own slots only. Log and edges of a batch become visible in one
+    commit that bears the batch's number, so a batch that comes again is left out. Each so many batches the log's newest folders become one, and those
+    of so many as well, so a stream's life leaves few folders to list; the edges are written anew.
     """
     bucket = F.pmod(F.xxhash64(*facts.SLOT), F.lit(BUCKETS)).cast("int")
+    none = {c: F.lit(None).cast(t) for c, t in (("old_claim_id", "string"), ("new_claim_id", "string"), ("edge_type", "string"), ("created_ts", "long"))}
 
     def step(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch={number}")
-        mine = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most BUCKETS numbers
-        whole = spark.read.parquet(log_path).filter(F.col("bucket").isin(mine)).drop("bucket", "batch")
+        done = store.manifest()
+        if int(done.marks.get("batch", -1)) >= number:
+            return
+        own = batch.withColumn("bucket", bucket)
+        mine = [r.bucket for r in own.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        whole = own
+        if "log" in done.tables:
+            whole = own.unionByName(store.read_at(done, "log").filter(F.col("bucket").isin(mine)))
         touched = batch.select(*facts.SLOT).distinct()
         edges = facts.supersede(whole.join(touched, list(facts.SLOT), "left_semi"), single_valued)
-        marks = touched.withColumns({c: F.lit(None).cast(t) for c, t in (("old_claim_id", "string"), ("new_claim_id", "string"), ("edge_type", "string"), ("created_ts", "long"))})
-        edges.unionByName(marks).write.mode("overwrite").parquet(f"{edges_path}/batch={number}")
+        edges = edges.unionByName(touched.withColumns(none))  # a slot without edges has a row that says so
+        store.commit({"log": st.append(own, by=("bucket",)), "edges": st.replace_groups(edges, *facts.SLOT)}, note=f"batch {number}", marks={"batch": number})
+        for k in (every, every * every):
+            if number % k == k - 1:
+                store.merge("log", every, ("bucket",))
+        if number % every == every - 1:
+            store.compact("edges")
 
     return claims.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_edges(spark: SparkSession, edges_path: str) -> DataFrame:
+def current_edges(store: st.Store) -> DataFrame:
     """The edges of each slot from its last batch."""
-    rows = spark.read.parquet(edges_path)
-    last = rows.groupBy(*facts.SLOT).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [*facts.SLOT, "batch"]).filter("old_claim_id is not null").drop("batch")
+    return store.read("edges").filter("old_claim_id is not null")
 
 
 EDGE = "session_id string, subject string, predicate string, old_claim_id string, new_claim_id string, edge_type string, created_ts long"

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__
 from factloom.operators import facts
+from factloom.sources import store as st
 from factloom.streaming import stream
 
 SF = "/root/testdata/sf0.001"
@@ -39,10 +40,12 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(late[10 * k : 10 * k + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream.run_resolution(source, str(tmp_path / "log"), str(tmp_path / "edges"), str(tmp_path / "ck"), ("p",))
-    q.awaitTermination(120)
+    store = st.Store(spark, str(tmp_path / "store"))
+    q = stream.run_resolution(source, store, str(tmp_path / "ck"), ("p",), every=2)
+    q.awaitTermination(300)
     key = ("old_claim_id", "new_claim_id", "edge_type")
-    got = sorted(map(tuple, stream.current_edges(spark, str(tmp_path / "edges")).select(*key).collect()))
+    got = sorted(map(tuple, stream.current_edges(store).select(*key).collect()))
+    assert store.read("log").count() == 30 and len(store.manifest().tables["log"]) == 2 and store.manifest().marks == {"batch": 2}
     assert got == sorted(map(tuple, facts.supersede(spark.createDataFrame(rows, schema), ("p",)).select(*key).collect()))
 
 

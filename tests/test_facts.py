@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, frames, memory, semantic, slots, views
+from factloom.operators import bursts, facts, frames, memory, semantic, slots, views
 from factloom.plans.queries import checkpoint
 from factloom.sources import tables
 
@@ -168,12 +168,48 @@ def test_bursts(spark):
     rng = random.Random(3)
     items = [(rng.randrange(400), f"c{i:03}", rng.choice("abcd")) for i in range(120)]
     df = spark.createDataFrame([("u", *x) for x in items], "subject string, created_ts long, claim_id string, predicate string")
-    got = [r.claim_ids for r in memory.bursts(df, 9, 3).orderBy("start_ts").collect()]
+    got = [r.claim_ids for r in bursts.bursts(df, checkpoint, 9, 3).orderBy("start_ts").collect()]
     assert got == slow_bursts(items, 9, 3)
     starts = {r.claim_id for r in memory.burst_candidates(df, 9, 3).collect()}
     assert {g[0] for g in got} <= starts
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_bursts_of_busy_and_quiet_subjects(spark, seed):
+    """Ties, a subject that is never quiet, long gaps, windows of several lengths."""
+    rng = random.Random(seed)
+    items = {s: [(rng.randrange(-50, span), f"{s}{i:03}", rng.choice(kinds)) for i in range(n)] for s, span, n, kinds in (("a", 60, 150, "abcd"), ("b", 900, 150, "abc"), ("c", 30, 3, "abc"), ("d", 3, 40, "abcdefg"), ("e", 200, 60, "ab"))}
+    df = spark.createDataFrame([(s, *x) for s, own in items.items() for x in own], "subject string, created_ts long, claim_id string, predicate string").repartition(3)
+    for window, least in ((7, 3), (40, 2)):
+        got = {}
+        for r in bursts.bursts(df, checkpoint, window, least).orderBy("start_ts", F.col("claim_ids")[0]).collect():
+            got.setdefault(r.subject, []).append(r.claim_ids)
+        assert got == {s: x for s, own in items.items() if (x := slow_bursts(own, window, least))}
+
+
+def test_few_hits_of_a_cost_can_be_packed(spark):
+    rng = random.Random(4)
+    hits = [(f"s{i % 3}", f"h{i:03}", round(rng.random(), 2), "x" * rng.randrange(0, 90)) for i in range(400)] + [("big", "b", 1.0, "x" * 999)]
+    df = spark.createDataFrame(hits, "session_id string, id string, score double, text string")
+    want = {}
+    for s, i, score, text in sorted(hits, key=lambda h: (-h[2], h[1])):
+        used, ids = want.setdefault(s, (0, []))
+        cost = max(1, len(text) // 4)
+        if used + cost <= 60:
+            want[s] = (used + cost, [*ids, i])
+    assert {r.session_id: (r.used, r.ids) for r in memory.packed_context(df, 60).collect()} == want
+
+
+def test_anomalies_of_a_group_in_many_tasks(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else f"g{i % 7}", i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(200)] + [("one", 900, [1.0, 0.0, 0.0]), ("odd", 901, [0.0, 0.0, 0.0]), ("odd", 902, [1.0, 1.0]), (None, 903, [1.0, 0.0, 0.0]), ("hot", 904, None)]
+    df = spark.createDataFrame(rows, "group string, id long, embedding array<double>")
+    whole = {r.id: (r.best, r.anomalous) for r in memory.anomalies(df, df, 0.9, 20).collect()}
+    monkeypatch.setattr(memory, "SCORED", 10)
+    assert {r.id: (r.best, r.anomalous) for r in memory.anomalies(df, df, 0.9, 20).collect()} == whole and len(whole) == len(rows)
+    assert whole[900] == (None, False) and whole[901] == (0.0, True) and whole[903] == (None, False) and whole[904] == (0.0, True)
+
+
 def test_forget_leaves_nothing(spark):
     claims = spark.createDataFrame([("a1", "s", "alice", "likes Tea", "t1"), ("a2", "s", "alice", "runs", "t2"), ("b1", "s", "bob", "swims", "t2")], "claim_id string, session_id string, subject string, value string, source_turn_id string")
     store = {

@@ -163,7 +163,7 @@ def test_rerank(spark):
 def test_briefing(spark):
     store = ingest.write(log(spark))
     store["claims"] = store["claims"].withColumn("importance", F.lit(0.5))
-    told = context.briefing(store, "s1", 10**12, "where did I live before", ("user_fact", "user_goal"))
+    told = context.briefing(store, "s1", 10**12, checkpoint, "where did I live before", ("user_fact", "user_goal"))
     assert told["digest"].first().updates == [] and {tuple(r.gaps) for r in told["world_state"].collect()} == {("user_goal",)}
     hits = told["hits"].collect()
     assert max(r.norm for r in hits) == 1.0 and all(r.tokens >= 1 for r in hits) and {r.kind for r in hits} == {"fact", "turn"}

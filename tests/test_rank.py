@@ -92,3 +92,10 @@ def test_document_turns_and_vectors(spark):
     assert got == {"doc:d:0": ("user", "ctx\nhi", "u1"), "doc:d:1": ("assistant", "ctx\nyo", "u1"), "doc:e:0": ("user", "body", "default")}
     v = spark.createDataFrame([([1.0, 2.5],), (None,)], "e array<float>")
     assert [r.x for r in v.select(src.decode_vector(src.encode_vector("e")).alias("x")).collect()] == [[1.0, 2.5], None]
+
+
+def test_time_scopes_of_a_column(spark):
+    now = 1_706_745_600 * 10**9
+    asks = ["what did I say in the last 3 days", "past 2 weeks", "last month", "over the past year", "Yesterday I", "this week", "4 weeks ago", "1 day ago", "0 days ago", "2 months ago", "nothing", "last 99 month", "", "the last  12   days and yesterday"]
+    got = {r.q: (r.s.since, r.s.until) if r.s else None for r in spark.createDataFrame([(x,) for x in asks], "q string").select("q", rank.scope_of(F.col("q"), now).alias("s")).collect()}
+    assert got == {x: rank.temporal_scope(x, now) for x in asks}
