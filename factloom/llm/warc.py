@@ -8,8 +8,11 @@ which the reader recomputes as it goes.
 
 Of records with equal payloads of at least REVISIT bytes the one with the least page id is the response and
 the others are revisits without payload that name it. Equal payloads are found by
-digest: the table of repeated digests comes from a pre-aggregated grouping of narrow rows and is written, so that where
-it is too large to broadcast, a digest of very many payload rows can still be split in the join.
+digest: the table of repeated digests comes from a pre-aggregated grouping of narrow rows and is written. Up to BROADCAST of them, a checked count, are broadcast; of more, payloads
+pass through one shuffle, in which a digest of very many rows can be split. A page's html is one value of the given table and so whole in the engine until it is cut.
+
+A reader recomputes sizes and digests where the chunks lie; only what it found, narrow rows, is brought together by record. Records of several payload
+chunks, whose digest needs them in order, are the ones whose data is shuffled.
 
 Control characters of a url, line breaks among them, are percent-encoded in the header, so that no url can end or
 add a header field; the url is read back in that form.
@@ -33,6 +36,8 @@ from pyspark.sql import types as T
 from . import common
 
 CHUNK = 1 << 18
+#: Repeated digests that may be broadcast.
+BROADCAST = 1 << 18
 REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -78,6 +83,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     repeated = rows.filter(F.col("size") >= REVISIT).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
     repeated = common.written(repeated.filter("n > 1").select("digest", "least"), "warc-repeated")
+    if repeated.count() <= BROADCAST:
+        repeated = F.broadcast(repeated)  # payloads then stay where they are read
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("refers_to")
     return rows.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", "size", refers)
 
@@ -131,50 +138,101 @@ READ_SCHEMA = T.StructType(
 )
 
 
+def number(text: str | None) -> int | None:
+    digits = (text or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(digits) if digits else None
+
+
+def record(fields: dict[str, str], size: int, digest: str) -> tuple:
+    """A row of a record from its header and what its stored payload amounts to, which must agree."""
+    if size != int(fields["Content-Length"]):
+        raise ValueError("damaged record")
+    kind, told = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    if kind == "response" and digest != told:
+        raise ValueError("payload and digest differ")
+    return number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size if kind == "response" else int(fields["WARC-Payload-Length"]), told, kind, number(fields.get("WARC-Refers-To"))
+
+
+ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+NOTED = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("chunk_no", T.LongType()), T.StructField("n_chunks", T.LongType()), T.StructField("header", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("digest", T.StringType())])
+EMPTY = hashlib.sha256().hexdigest()
+
+
+def table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(ARROW)], schema=ARROW)
+
+
+def noted(batches):
+    """What each chunk of a record with at most one payload chunk amounts to: the header's text, or the payload's size and digest."""
+    for batch in batches:
+        out = []
+        for record_id, no, chunks, data, length, so_far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if no + 1 == chunks and not data.endswith(b"\r\n\r\n"):
+                raise ValueError("damaged record")
+            found = hashlib.sha256(memoryview(data)[:length]).hexdigest() if no else EMPTY
+            if found != so_far:
+                raise ValueError("damaged chunk")
+            out.append((record_id, no, chunks, data.removesuffix(b"\r\n\r\n") if not no else None, length, found))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()))], names=NOTED.names)
+
+
+def paired(batches):
+    """Records from such notes, sorted by record and chunk number."""
+    fields, expected, at = {}, 0, None
+    for batch in batches:
+        out = []
+        for record_id, no, chunks, head, size, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if no != expected or (no and record_id != at):
+                raise ValueError(f"chunk {no} where {expected} was due")
+            if no == 0:
+                fields, at = parse_header(head), record_id
+            expected = no + 1
+            if expected == chunks:
+                expected = 0
+                out.append(record(fields, size if no else 0, digest))
+        yield table(out)
+    if expected:
+        raise ValueError("a record's chunk is missing")
+
+
+def streamed(batches):
+    """Records of any number of chunks, sorted by record and chunk number, one chunk at a time."""
+    fields, running, size, expected = {}, hashlib.sha256(), 0, 0
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            _, no, chunks, data, length, so_far = (c[i].as_py() for c in batch.columns)
+            if no != expected:
+                raise ValueError(f"chunk {no} where {expected} was due")
+            if no == 0:
+                fields, running, size = parse_header(data), hashlib.sha256(), 0
+            else:
+                running.update(memoryview(data)[:length])
+                size += length
+            if running.copy().hexdigest() != so_far:
+                raise ValueError("damaged chunk")
+            expected = no + 1
+            if expected < chunks:
+                continue
+            expected = 0
+            if not data.endswith(b"\r\n\r\n"):
+                raise ValueError("damaged record")
+            out.append(record(fields, size, running.hexdigest()))
+        yield table(out)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of an archive. Payload sizes and digests are recomputed from the stored chunks and must agree
     with the header; a revisit has those of its header.
 
-    Records of at most two chunks lie within neighbouring rows of a file, but a file may be split between them, so
-    chunks are dealt by record; one record's chunks pass through a task one by one.
+    A record's chunks may lie in different splits of a file. Of records with at most one payload chunk only notes are dealt by record; of larger
+    ones the chunks are, and pass through a task one by one.
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
-    rows = rows.repartition(common.partitions(rows), "record_id").sortWithinPartitions("record_id", "chunk_no")
-
-    def number(text: str | None) -> int | None:
-        digits = (text or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
-
-    def run(batches):
-        fields, running, size, expected = {}, hashlib.sha256(), 0, 0
-        for batch in batches:
-            out: list[list] = [[] for _ in READ_SCHEMA]
-            for i in range(batch.num_rows):
-                _, no, chunks, data, length, so_far = (c[i].as_py() for c in batch.columns)
-                if no != expected:
-                    raise ValueError(f"chunk {no} where {expected} was due")
-                if no == 0:
-                    fields, running, size = parse_header(data), hashlib.sha256(), 0
-                else:
-                    running.update(memoryview(data)[:length])
-                    size += length
-                if running.copy().hexdigest() != so_far:
-                    raise ValueError("damaged chunk")
-                expected = no + 1
-                if expected < chunks:
-                    continue
-                expected = 0
-                if not data.endswith(b"\r\n\r\n") or size != int(fields["Content-Length"]):
-                    raise ValueError("damaged record")
-                kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                if kind == "response" and running.hexdigest() != digest:
-                    raise ValueError("payload and digest differ")
-                row = (number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size if kind == "response" else int(fields["WARC-Payload-Length"]), digest, kind, number(fields.get("WARC-Refers-To")))
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=READ_SCHEMA.names)
-
-    return rows.mapInArrow(run, READ_SCHEMA)
+    notes = rows.filter("n_chunks <= 2").mapInArrow(noted, NOTED)
+    brief = notes.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(paired, READ_SCHEMA)
+    large = rows.filter("n_chunks > 2")
+    return brief.unionByName(large.repartition(common.partitions(rows), "record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(streamed, READ_SCHEMA))
 
 
 def archive_bytes(spark: SparkSession, path: str):

@@ -80,3 +80,22 @@ def test_repeated_rows_and_empty(spark, tmp_path):
     assert got == [("1", "response", None), ("1", "response", None), ("None", "revisit", 1)]
     warc.write(df.limit(0), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize(("chunk", "lost"), [(1 << 18, 0), (1 << 18, 1), (50, 1), (50, 2)])
+def test_a_lost_chunk_is_found(spark, tmp_path, chunk, lost):
+    path = str(tmp_path / "w")
+    warc.write(pages(spark), path, chunk)
+    rows = spark.read.parquet(path)
+    one = rows.filter("payload_in_chunk > 0").orderBy("n_chunks", ascending=False).first().record_id
+    rows.filter(~((rows.record_id == one) & (rows.chunk_no == lost))).write.parquet(str(tmp_path / "less"))
+    with pytest.raises(Exception, match="was due|is missing"):
+        warc.read(spark, str(tmp_path / "less")).collect()
+
+
+def test_payloads_stay_in_place(spark, tmp_path):
+    """What is dealt by record are notes; no exchange carries the data of small records."""
+    path = str(tmp_path / "w")
+    warc.write(pages(spark), path)
+    plan = warc.read(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(record_id" in plan and plan.count("MapInArrow noted") == 1
