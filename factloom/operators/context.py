@@ -165,6 +165,41 @@ def conditioning_terms(facts: DataFrame, limit: int = 24) -> DataFrame:
     return words.groupBy("term").agg(F.max("importance").alias("importance")).orderBy(F.desc("importance"), "term").limit(limit)
 
 
+# Words that tell nothing of what someone works on, and how many terms condition a search.
+TERM_NOISE = (
+    "a an and the of to for in on at by with from is are was were be been being "
+    "i you he she it we they me my your our their this that these those as or if "
+    "then than so do does did done have has had will would can could should may "
+    "might must not no yes about into over under out up down off again earlier "
+    "task worked working work used use using need needs want wants get got make "
+    "please now today yesterday some any all more most"
+).split()
+MOST_TERMS = 24
+
+
+def structured_terms(claims: DataFrame, entities: DataFrame | None = None, most: int = MOST_TERMS) -> DataFrame:
+    """session_id, terms: the words of what a session's active claims say and name, each with its most important claim's weight, the weightiest first.
+
+    claims: with importance (missing: 0.5); entities (claim_id, entity_text) add the names that claims were read with. A query plays no part. The words of a
+    session are counted before they are ranked, so a rank sees each word once.
+    """
+    held = views.active(claims).select("session_id", "claim_id", F.coalesce("importance", F.lit(0.5)).alias("weight"), F.coalesce("value", F.lit("")).alias("said"))
+    told = held.select("session_id", "weight", "said")
+    if entities is not None:
+        told = told.unionByName(held.select("session_id", "claim_id", "weight").join(entities.select("claim_id", F.col("entity_text").alias("said")), "claim_id").select("session_id", "weight", "said"))
+    words = told.select("session_id", "weight", F.explode(F.array_distinct(tx.tokens(F.col("said")))).alias("term")).filter((F.length("term") > 1) & ~F.col("term").isin(*TERM_NOISE))
+    best = rank.top(words.groupBy("session_id", "term").agg(F.max("weight").alias("weight")), most, [F.desc("weight"), "term"], "session_id")
+    return best.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda x: x["term"]).alias("terms"))
+
+
+def retrieved_terms(hits: DataFrame, most: int = MOST_TERMS) -> list[str]:
+    """Words of retrieved facts and turns (kind, id, score, text: some few rows), best hit first, in the order they are met."""
+    out: dict[str, None] = {}
+    for row in hits.orderBy(F.desc("score"), "kind", "id").select(tx.tokens(F.coalesce("text", F.lit(""))).alias("words")).collect():
+        out.update((w, None) for w in row.words if len(w) > 1 and w not in TERM_NOISE)
+    return list(out)[:most]
+
+
 def instruction(claims: DataFrame, most: int = 600) -> DataFrame:
     """session_id, instruction: what a session's active claims say of the user, preferences first, then by importance, each value once, cut at so many characters."""
     value = F.trim(F.coalesce(F.nullif(F.col("value"), F.lit("")), F.col("text"), F.lit("")))
@@ -176,17 +211,22 @@ def instruction(claims: DataFrame, most: int = 600) -> DataFrame:
     return placed.groupBy("session_id").agg(F.substring(F.concat(F.lit("User context: "), said, F.lit(".")), 1, most).alias("instruction"))
 
 
-def discover_tools(registry: DataFrame, query: str, facts: DataFrame | None = None, k: int = 10, mode: str = "text", vectors: dict[str, list[float]] | None = None) -> DataFrame:
+def discover_tools(registry: DataFrame, query: str, facts: DataFrame | None = None, k: int = 10, mode: str = "text", vectors: dict[str, list[float]] | None = None, entities: DataFrame | None = None) -> DataFrame:
     """Tools for a query, conditioned on remembered facts if there are any.
 
-    text: the facts' words are further channels. instruction: facts are a session's claims (of several, the first session counts), and what they say is put before the query.
+    text: the facts' words are further channels. instruction: facts are a session's claims (of several, the first session counts), and what they say is put before the query. structured: of such claims, the weightiest words are further channels.
+    retrieved: facts are hits for the query, and their words are.
     """
     if facts is None:
         return rank.tools(registry, query, "", k, vectors=vectors)
     if mode == "instruction":
         told = instruction(facts).orderBy("session_id").first()
         return rank.tools(registry, f"{told.instruction} {query}" if told else query, "", k, vectors=vectors)
-    return rank.tools(registry, query, " ".join(x.term for x in conditioning_terms(facts).collect()), k, vectors=vectors)
+    if mode == "structured":
+        told = structured_terms(facts, entities).orderBy("session_id").first()
+        return rank.tools(registry, query, " ".join(told.terms) if told else "", k, vectors=vectors)
+    terms = retrieved_terms(facts) if mode == "retrieved" else [x.term for x in conditioning_terms(facts).collect()]
+    return rank.tools(registry, query, " ".join(terms), k, vectors=vectors)
 
 
 def skipped_hook(tool: Column, command: Column) -> Column:

@@ -208,6 +208,24 @@ def forward(edges: DataFrame, checkpoint) -> DataFrame:
     return lineage(turned, checkpoint).select("claim_id", F.col("origin").alias("head"), F.col("depth").alias("steps"))
 
 
+def chains_by_head(claims: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
+    """head, step and the claims' columns: every claim under the newest claim of its chain, so many steps from it. A claim that two replaced stands under the one that did so last."""
+    taken = edges.groupBy("old_claim_id").agg(F.max_by("new_claim_id", F.struct("created_ts", "new_claim_id")).alias("new_claim_id"), F.max("created_ts").alias("created_ts"))
+    led = forward(taken, checkpoint).select("claim_id", "head", "steps")
+    return claims.join(led, "claim_id", "left").select(F.coalesce("head", "claim_id").alias("head"), F.coalesce("steps", F.lit(0)).alias("step"), *claims.columns)
+
+
+def head_of(claims: DataFrame, edges: DataFrame, checkpoint, claim_id: str | None = None, slot: tuple[str, str] | None = None) -> DataFrame:
+    """The chain (head, step, the claims' columns, oldest last) that a claim is in, or that the newest servable claim of a slot (subject, predicate) heads; nothing for what is unknown."""
+    if claim_id is None:
+        newest = latest_per_slot(active(claims).filter((F.col("subject") == slot[0]) & (F.col("predicate") == slot[1]))).select("claim_id")
+    else:
+        newest = claims.filter(F.col("claim_id") == claim_id).select("claim_id")
+    rows = chains_by_head(claims, edges, checkpoint)
+    heads = rows.join(newest, "claim_id", "left_semi").select("head").distinct()
+    return rows.join(heads, "head", "left_semi").orderBy("step")
+
+
 def same_identity(claims: DataFrame, of: DataFrame) -> DataFrame:
     """claim_id, earlier: for each of the given claims (claim_id, slot), the newest replaceable claim of its slot but itself."""
     slot = ["session_id", "subject", "predicate"]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, frames, ingest
+from factloom.operators import context, facts, frames, ingest, views
 from factloom.plans.queries import C, EVENT_COUNTS, EVENT_KIND, T, TEXT_FOLD, checkpoint, extracted_sql, shared_dir
 from factloom.sources import cache, store as st, tables as src, work
 
@@ -118,3 +118,30 @@ def n5_frame_groups(spark, sf):
     """The events of the stories: which turns speak of one, who takes part, and its type."""
     rows = frames.event_frames(src.stories(spark, sf), checkpoint)
     return rows.select("session_id", F.array_join("turn_ids", ",").alias("turn_ids"), "confidence", F.array_join("participants", ",").alias("participants"), "event_type")
+
+
+NOISE_LIST = "[" + ", ".join(f"'{x}'" for x in context.TERM_NOISE) + "]"
+
+
+@query(f"""WITH {src.NOTES_SQL}, w AS (SELECT session_id, (CAST(replace(claim_id, 'cl_', '') AS BIGINT) % 10) / 10.0 AS weight, unnest(list_distinct(regexp_extract_all(lower(value), '[a-z0-9]+'))) AS term FROM notes),
+b AS (SELECT session_id, term, max(weight) AS weight FROM w WHERE length(term) > 1 AND NOT list_contains({NOISE_LIST}, term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY weight DESC, term) AS rn FROM b)
+SELECT session_id, string_agg(term, ' ' ORDER BY rn) AS terms FROM r WHERE rn <= {context.MOST_TERMS} GROUP BY session_id""")
+def n24_structured_terms(spark, sf):
+    """What each customer's notes say of them, as words that condition a search for tools."""
+    claims = src.notes(spark, sf).withColumns({"status": F.lit("active"), "importance": F.replace("claim_id", F.lit("cl_"), F.lit("")).cast("long") % 10 / 10.0})
+    return context.structured_terms(claims).select("session_id", F.array_join("terms", " ").alias("terms"))
+
+
+# Chains of the notes' claims, one after another from the newest, by the fold of their slots: a small store within a large one is every customer.
+CHAINS = f"""{TEXT_FOLD},
+up AS (SELECT new_claim_id, arg_max(old_claim_id, (created_ts, old_claim_id)) AS old_claim_id FROM fold WHERE old_claim_id IS NOT NULL AND edge_type NOT IN ('blocked', 'contradicts') GROUP BY 1),
+chain AS (SELECT claim_id AS head, claim_id, 0::BIGINT AS step FROM notes WHERE claim_id NOT IN (SELECT old_claim_id FROM up) UNION ALL SELECT c.head, u.old_claim_id, c.step + 1 FROM chain c JOIN up u ON u.new_claim_id = c.claim_id)"""
+
+
+@query(f"WITH RECURSIVE {CHAINS} SELECT c.head, c.step, c.claim_id, n.value FROM chain c JOIN notes n USING (claim_id)")
+def d17_chains_by_head(spark, sf):
+    """Each claim that nothing replaced, with what it replaced, step by step."""
+    claims = src.notes(spark, sf)
+    edges = facts.supersede(claims).filter(~F.col("edge_type").isin("blocked", "contradicts"))
+    return views.chains_by_head(claims.select("claim_id", "value"), edges, checkpoint).select("head", F.col("step").cast("long").alias("step"), "claim_id", "value")

@@ -90,3 +90,18 @@ def test_expanded_and_fallback(spark):
 
     got = context.with_fallback(rank.facts(claims, "tea"), rank.episodes(turns, "tea"))
     assert {(r.kind, r.id) for r in got.collect()} == {("fact", "c2"), ("fact", "c3"), ("turn", "t1")}
+
+
+def test_modes_of_tool_conditioning(spark):
+    tools = spark.createDataFrame([(1, "name: oak shelf"), (2, "name: tax report"), (3, "name: sail boat"), (4, "name: plain thing")], "id long, document string")
+    claims = spark.createDataFrame([("s2", "c9", "sail", "active", 0.9, 1), ("s1", "c1", "files tax reports", "active", None, 1), ("s1", "c2", "oak", "superseded", 0.9, 2)], "session_id string, claim_id string, value string, status string, importance double, created_ts long")
+    entities = spark.createDataFrame([("c1", "report")], "claim_id string, entity_text string")
+    terms = {r.session_id: r.terms for r in context.structured_terms(claims, entities).collect()}
+    assert terms == {"s1": ["files", "report", "reports", "tax"], "s2": ["sail"]}
+    assert context.discover_tools(tools, "thing", claims, 2, "structured", entities=entities).first().id in (2, 4)
+    first = [r.id for r in context.discover_tools(tools, "thing", claims, 4, "structured", entities=entities).collect()]
+    assert set(first[:2]) == {2, 4}
+    hits = spark.createDataFrame([("fact", "a", 0.5, "the sail of my boat"), ("turn", "b", 0.9, "a boat and it")], "kind string, id string, score double, text string")
+    assert context.retrieved_terms(hits) == ["boat", "sail"]
+    assert set([r.id for r in context.discover_tools(tools, "thing", hits, 4, "retrieved").collect()][:2]) == {3, 4}
+    assert [r.id for r in context.discover_tools(tools, "thing", claims.limit(0), 1, "structured").collect()] == [4]

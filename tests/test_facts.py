@@ -174,6 +174,16 @@ def test_bursts(spark):
     assert {g[0] for g in got} <= starts
 
 
+def test_head_by_claim_or_slot(spark):
+    claims = spark.createDataFrame([("a", "u", "p", "superseded", 1), ("b", "u", "p", "superseded", 2), ("c", "u", "p", "active", 3), ("x", "u", "q", "active", 1), ("y", "u", "p", "superseded", 1)], "claim_id string, subject string, predicate string, status string, created_ts long")
+    edges = spark.createDataFrame([("a", "b", 2), ("b", "c", 3), ("y", "b", 2)], "old_claim_id string, new_claim_id string, created_ts long")
+    for given in ({"claim_id": "a"}, {"claim_id": "c"}, {"slot": ("u", "p")}):
+        got = [(r.head, r.step, r.claim_id) for r in views.head_of(claims, edges, checkpoint, **given).collect()]
+        assert got[:2] == [("c", 0, "c"), ("c", 1, "b")] and sorted(got[2:]) == [("c", 2, "a"), ("c", 2, "y")]
+    assert [r.claim_id for r in views.head_of(claims, edges, checkpoint, slot=("u", "q")).collect()] == ["x"]
+    assert views.head_of(claims, edges, checkpoint, claim_id="none").count() == 0
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_bursts_of_busy_and_quiet_subjects(spark, seed):
     """Ties, a subject that is never quiet, long gaps, windows of several lengths."""
