@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import context, memory, views
+from factloom.operators import context, rank, memory, views
 
 CLAIMS = "claim_id string, session_id string, subject string, predicate string, value string, text string, source_turn_id string, status string, confidence double, source_trust double, valid_from_ts long, valid_until_ts long, created_ts long"
 
