@@ -322,30 +322,20 @@ def temporal_scope(query: str, now_ns: int) -> tuple[int, int] | None:
 
 
 def scope_of(query: Column, now_ns: int) -> Column:
-    """since, until in nanoseconds: `temporal_scope` of a column of queries; null where a query names no time."""
-    from datetime import UTC, datetime
+    """since, until in nanoseconds: `temporal_scope` of a column of queries, batch by batch; null where a query names no time.
 
-    q, day = F.lower(query), 86_400 * 1_000_000_000
-    now = now_ns // 1000 * 1000
-    lengths = {"day": 1, "week": 7, "month": 30, "year": 365}
+    As expressions the patterns would be put into every use of the result, above joins too, and be matched again for each row.
+    """
 
-    def span(start, end=0) -> Column:
-        return F.struct((F.lit(now) - start).cast("long").alias("since"), (F.lit(now) - end).cast("long").alias("until"))
+    @F.pandas_udf("struct<since:long,until:long>")
+    def windows(asked):
+        import pandas as pd
 
-    def number(pattern: str) -> Column:
-        return F.regexp_extract(q, pattern, 1).try_cast("long")
+        found = [temporal_scope(x or "", now_ns) or (None, None) for x in asked]
+        return pd.DataFrame({"since": pd.array([x[0] for x in found], "Int64"), "until": pd.array([x[1] for x in found], "Int64")})
 
-    cases = []
-    for unit in ("day", "week", "month"):
-        n = number(rf"(?:last|past)\s+(\d+)\s+{unit}s?")
-        cases.append((n.isNotNull(), span(n * (lengths[unit] * day))))
-    cases += [(q.rlike(rf"(?:last|past)\s+{unit}\b"), span(F.lit(lengths[unit] * day))) for unit in ("week", "month", "year")]
-    cases.append((q.rlike(r"\byesterday\b"), span(F.lit(day))))
-    cases.append((q.rlike(r"\bthis\s+week\b"), span(F.lit(datetime.fromtimestamp(now_ns / 1e9, UTC).weekday() * day))))
-    for unit in ("week", "month", "day"):
-        n = number(rf"(\d+)\s+{unit}s?\s+ago")
-        cases.append((n.isNotNull(), span(n * (lengths[unit] * day), F.greatest(n - 1, F.lit(0)) * (lengths[unit] * day))))
-    return F.coalesce(*[F.when(found, scope) for found, scope in cases])
+    scope = windows(query)
+    return F.when(scope["since"].isNotNull(), scope)
 
 
 def tool_document(name: Column, description: Column, server: Column, tags: Column) -> Column:
