@@ -150,21 +150,26 @@ def staleness(claims: DataFrame, edges: DataFrame, now: Column, windows: tuple[i
     return rows.withColumn("stale", (now - F.col("created_ts")) > days * model.DAY_NS)
 
 
+def importance_score(peers: Column, role: Column, confidence: Column, age_ns: Column, sessions: Column) -> Column:
+    """Weighted signals of uniqueness, role in edges, confidence (none counts as 0), recency, stability and spread over sessions."""
+    days = F.greatest(age_ns / float(model.DAY_NS), F.lit(0.0))
+    score = (
+        0.25 / F.greatest(F.coalesce(peers, F.lit(0)), F.lit(1)) + 0.20 * role + 0.15 * F.coalesce(confidence, F.lit(0.0)) + 0.15 * F.exp(-days / 30.0)
+        + 0.15 * F.least(F.lit(1.0), days / 180.0) + 0.10 * F.least(F.lit(1.0), F.coalesce(sessions, F.lit(0)) / 5.0)
+    )
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
+
+
 def importance(claims: DataFrame, edges: DataFrame, now: Column) -> DataFrame:
-    """Weighted signals of uniqueness, role in edges, confidence, recency, stability and spread over sessions; one job for all claims."""
+    """importance_score of all active claims in one job; a subject's sessions are those with active claims."""
     live = active(claims)
     slot = live.groupBy("subject", "predicate").agg(F.count("*").alias("peers"))
-    spread = claims.groupBy("subject").agg(F.count_distinct("session_id").alias("sessions"))
+    spread = live.groupBy("subject").agg(F.count_distinct("session_id").alias("sessions"))
     new = edges.select(F.col("new_claim_id").alias("claim_id"), F.lit(True).alias("is_new")).distinct()
     old = edges.select(F.col("old_claim_id").alias("claim_id"), F.lit(True).alias("is_old")).distinct()
     rows = live.join(slot, ["subject", "predicate"], "left").join(spread, "subject", "left").join(new, "claim_id", "left").join(old, "claim_id", "left")
-    days = F.greatest((now - F.col("created_ts")) / float(model.DAY_NS), F.lit(0.0))
     role = F.when(F.col("is_new"), 1.0).when(F.col("is_old"), 0.0).otherwise(0.5)
-    score = (
-        0.25 / F.greatest(F.coalesce("peers", F.lit(0)), F.lit(1)) + 0.20 * role + 0.15 * F.col("confidence") + 0.15 * F.exp(-days / 30.0)
-        + 0.15 * F.least(F.lit(1.0), days / 180.0) + 0.10 * F.least(F.lit(1.0), F.coalesce("sessions", F.lit(0)) / 5.0)
-    )
-    return rows.withColumn("importance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+    return rows.withColumn("importance", importance_score(F.col("peers"), role, F.col("confidence"), now - F.col("created_ts"), F.col("sessions")))
 
 
 def utility(importance: Column, access: Column, age_days: Column, confidence: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Queries through a store with commits: replacement by key, leased extraction, vectors by content, the write path's rows, frames' groups."""
+"""Queries through a store with commits: replacement by key, leased extraction, vectors by content, the write path's rows, frames' groups, signals kept up from changes."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import context, facts, frames, ingest, views
-from factloom.plans.queries import C, EVENT_COUNTS, EVENT_KIND, T, TEXT_FOLD, checkpoint, extracted_sql, shared_dir
+from factloom.operators import context, facts, frames, ingest, signals, views
+from factloom.plans.queries import C, DAY, EVENT_COUNTS, EVENT_KIND, NOW, O, ORACLE as STATED, T, TEXT_FOLD, V, checkpoint, extracted_sql, shared_dir, validity
 from factloom.sources import cache, store as st, tables as src, work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,54 @@ def d17_chains_by_head(spark, sf):
     claims = src.notes(spark, sf)
     edges = facts.supersede(claims).filter(~F.col("edge_type").isin("blocked", "contradicts"))
     return views.chains_by_head(claims.select("claim_id", "value"), edges, checkpoint).select("head", F.col("step").cast("long").alias("step"), "claim_id", "value")
+
+
+def fed(spark: SparkSession, claims: DataFrame, edges: DataFrame, parts: int = 3) -> st.Store:
+    """A store whose signals followed the log in so many stretches of time, each delivered twice."""
+    edges = checkpoint(edges)
+    store, changes = new_store(spark), checkpoint(signals.feed_of(claims, edges))
+    first, last = changes.agg(F.min("seq"), F.max("seq")).first()
+    stretch = lambda c: F.least(F.floor((F.col(c) - (first or 0)) / max(1, ((last or 0) - (first or 0)) // parts)), F.lit(parts - 1))
+    for k in range(parts):
+        for _ in range(2):
+            signals.feed_claims(store, k, changes.filter(stretch("seq") == k))
+            signals.feed_edges(store, k, edges.filter(stretch("created_ts") == k))
+        signals.write_back(store, NOW)
+    return store
+
+
+@query(STATED["f8_importance"])
+def f9_kept_importance(spark, sf):
+    """Importance of all claims as written back while the log came in, stretch by stretch; nothing is computed anew from the whole."""
+    return signals.metadata(fed(spark, *validity(spark, sf))).select("claim_id", F.round("importance", 6).alias("importance"))
+
+
+@query(f"""WITH scores AS ({STATED["f8_importance"].replace("round(0.25", "(0.25").replace("5.0), 6) AS importance", "5.0)) AS importance, confidence, created_ts")}),
+used AS (SELECT *, CASE WHEN k % 10 = 0 THEN 2 WHEN k % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS access_count, CASE WHEN k % 5 = 0 THEN {NOW - 20 * DAY} ELSE 0 END AS seen FROM (SELECT *, CAST(substr(claim_id, 4) AS BIGINT) AS k FROM scores)),
+u AS (SELECT *, round(0.4 * importance + 0.3 * access_count / (access_count + 3.0) + 0.2 / (1.0 + greatest(0.0, ({NOW} - greatest(created_ts, seen)) / {float(DAY)}) / 90.0) + 0.1 * confidence, 4) AS utility FROM used)
+SELECT claim_id, access_count, utility, utility < 0.45 AND created_ts < {NOW - 10 * DAY} AND k % 4 <> 0 AS demoted FROM u""")
+def f11_demoted(spark, sf):
+    """Claims that are served, demoted by their utility, and partly brought back, in the store of signals."""
+    claims, edges = validity(spark, sf)
+    store = fed(spark, claims, edges)
+    k = F.substring("claim_id", 4, 20).cast("long")
+    served = claims.select("claim_id", F.lit(NOW - 20 * DAY).alias("ts")).filter(k % 5 == 0)
+    signals.feed_access(store, 0, served)
+    signals.feed_access(store, 1, served.filter(k % 10 == 0))
+    signals.feed_access(store, 1, served)  # a batch that comes again, whatever it holds now
+    signals.demote(store, NOW, 0.45, 10.0)
+    signals.restore(store, claims.filter(k % 4 == 0))
+    return signals.utility(signals.metadata(store), NOW).select("claim_id", "access_count", "utility", "demoted")
+
+
+@query(f"""WITH {O}, narrowed AS (SELECT * REPLACE (subject || value AS subject) FROM order_claims),
+slots AS (SELECT subject, predicate FROM narrowed GROUP BY ALL HAVING count(DISTINCT value) = 1),
+g AS (SELECT subject, predicate, value, min(ROW(created_ts, claim_id))[2] AS canonical FROM narrowed JOIN slots USING (subject, predicate) GROUP BY ALL HAVING count(DISTINCT session_id) >= 3 AND count(*) >= 2)
+SELECT claim_id, canonical AS consolidated_into, CASE WHEN claim_id = canonical THEN 0.9 ELSE 0.5 END::DOUBLE AS importance, coalesce(claim_id <> canonical, false) AS demoted FROM narrowed LEFT JOIN g USING (subject, predicate, value)""")
+def n7_consolidated(spark, sf):
+    """Values held in three sessions or more, written back: the first claim is raised, the others are demoted and name it."""
+    rows = src.order_claims(spark, sf).withColumns({"subject": F.concat("subject", "value"), "confidence": F.lit(1.0), "status": F.lit("active"), "was": F.lit(None).cast("string"), "seq": F.col("created_ts")})
+    store = new_store(spark)
+    signals.feed_claims(store, 0, rows.select(*signals.CLAIM, "was", "seq"))
+    signals.consolidate(store)
+    return signals.metadata(store).select("claim_id", "consolidated_into", "importance", "demoted")
