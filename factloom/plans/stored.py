@@ -196,3 +196,31 @@ def n7_consolidated(spark, sf):
     signals.feed_claims(store, 0, rows.select(*signals.CLAIM, "was", "seq"))
     signals.consolidate(store)
     return signals.metadata(store).select("claim_id", "consolidated_into", "importance", "demoted")
+
+
+ENDS = r"^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '{ENDS}', '', 'g') AS body FROM documents),
+lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d WHERE doc_id % 5 <> 4 AND body <> ''),
+said AS (SELECT *, regexp_replace(line, '{ENDS}', '', 'g') AS said FROM lines),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, CASE WHEN doc_id % 5 = 3 THEN 'user' WHEN i % 3 = 1 THEN 'assistant' WHEN i % 3 = 2 THEN 'system' ELSE 'user' END AS speaker FROM said WHERE said <> ''),
+told AS (SELECT doc_id, source, place, speaker, CASE WHEN i = 0 AND source IS NOT NULL AND source <> '' THEN 'Document context: ' || source || chr(10) ELSE '' END || upper(speaker[1]) || speaker[2:] || ' turn: ' || said AS text FROM kept
+  UNION ALL SELECT doc_id, source, 0, 'user', CASE WHEN source IS NOT NULL AND source <> '' THEN 'Document context: ' || source || chr(10) ELSE '' END || 'Document turn: ' || body FROM d WHERE doc_id % 5 = 4 OR body = '')
+SELECT 'doc:' || doc_id || ':' || place AS turn_id, speaker, text, (1704067200 + doc_id + place) * 1000000000 AS ts, coalesce(source, 'default') AS namespace FROM told""")
+def a10_document_turns(spark, sf):
+    """Documents as sessions in each of the shapes: their lines as a list of messages, as JSON of three forms, or the text as it is."""
+    d = src.table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    shape = F.when(src.bare(F.col("text")) == "", 4).otherwise(F.pmod("doc_id", F.lit(5)))
+    role = lambda i: F.when(i % 3 == 1, " AI").when(i % 3 == 2, "developer").otherwise("user")
+    lines = lambda f: F.transform(F.split("text", "\n"), f)
+    content = (
+        F.when(shape == 1, F.to_json(lines(lambda x, i: F.struct(role(i).alias("speaker"), F.array(F.struct(x.alias("text"))).alias("content")))))
+        .when(shape == 2, F.to_json(F.struct(lines(lambda x, i: F.struct(role(i).alias("role"), F.lit(" ").alias("content"), x.alias("utterance"))).alias("turns"))))
+        .when(shape == 3, F.to_json(F.struct(lines(lambda x, i: x).alias("conversation")))).when(shape == 4, F.col("text"))
+    )
+    docs = d.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("user_id"), (F.col("doc_id") + 1704067200).cast("string").alias("timestamp"), F.col("source").alias("context"), content.alias("content"),
+        F.when(shape == 0, lines(lambda x, i: F.struct(role(i).alias("role"), x.alias("content")))).alias("messages"),
+    )
+    return src.document_turns(docs).select("turn_id", "speaker", "text", "ts", "namespace")

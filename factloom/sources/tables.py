@@ -176,15 +176,83 @@ SAYINGS_SQL = f"""turns AS (SELECT 'tu_' || o_orderkey AS turn_id, 's' || o_cust
   replace(replace({_picked(SAYINGS, f"o_orderkey % {len(SAYINGS)}")}, '{{c}}', {_picked(CITIES, "(o_orderkey // 7) % 2")}), '{{n}}', {_picked(NUMBERS, "(o_orderkey // 5) % 3")}) AS text, epoch_us(o_orderdate) * 1000 AS ts FROM orders)"""
 
 
+#: What a session's messages may be called, where a message may keep its words, and who speaks under other names. Fixed values.
+SESSION_KEYS = ("messages", "turns", "conversation")
+MESSAGE_KEYS = ("content", "text", "message", "value", "utterance")
+SPOKEN_BY = {"assistant": ("assistant", "ai", "bot", "model"), "system": ("system", "developer", "tool")}
+
+
+def bare(text: Column) -> Column:
+    """Without white space of any script at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def variant_kind(v: Column) -> Column:
+    """STRING, ARRAY, OBJECT or another word; null for nothing."""
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+
+
+def variant_text(v: Column) -> Column:
+    """A string as it is, anything else as compact JSON with its keys in order, nothing as the empty text."""
+    return F.coalesce(F.when(variant_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(variant_kind(v).isNotNull(), F.to_json(v)), F.lit(""))
+
+
+def variant_list(v: Column) -> Column:
+    return F.when(variant_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+
+
+def field_of(v: Column, name: str) -> Column:
+    return F.when(variant_kind(v) == "OBJECT", F.try_variant_get(v, f"$.{name}", "variant"))
+
+
+def message_text(m: Column) -> Column:
+    """A message's words: itself, or the first of its fields that is a list of parts or a text that is not blank; failing these, all of it as JSON."""
+
+    def part(x: Column) -> Column:
+        said = variant_text(field_of(x, "text"))
+        return F.when(variant_kind(x) == "OBJECT", F.when(said != "", said).otherwise(variant_text(field_of(x, "content")))).otherwise(variant_text(x))
+
+    words = []
+    for key in MESSAGE_KEYS:
+        held = field_of(m, key)
+        said = variant_text(held)
+        parts = F.filter(F.transform(variant_list(held), part), lambda x: bare(x) != "")
+        words.append(F.when((variant_kind(held) == "STRING") & (bare(said) != ""), said).when(variant_kind(held) == "ARRAY", F.array_join(parts, "\n")))
+    return F.coalesce(*words, variant_text(m))
+
+
+def speaker_of(role: Column) -> Column:
+    said = F.lower(bare(role))
+    return F.when(said.isin(*SPOKEN_BY["assistant"]), "assistant").when(said.isin(*SPOKEN_BY["system"]), "system").otherwise("user")
+
+
 def document_turns(docs: DataFrame) -> DataFrame:
-    """Benchmark documents (id, user_id, timestamp, context, messages, content) as turns: the messages, or else the content, each after the context."""
-    said = F.when(F.size("messages") > 0, F.col("messages")).otherwise(F.array(F.struct(F.lit("user").alias("role"), F.col("content").alias("content"))))
-    rows = docs.select("id", "user_id", "timestamp", "context", F.posexplode(said).alias("i", "m"))
-    speaker = F.when(F.lower("m.role").isin("assistant", "system"), F.lower("m.role")).otherwise("user")
+    """Benchmark documents (id, user_id, timestamp, context, content, messages) as turns.
+
+    messages is a list of records, or JSON text; without it, content may be JSON that is a list or has one under messages, turns or conversation. Blank
+    messages are left out; the first one carries the context. A document without messages is one turn of its content. Nulls are empty texts; a null
+    user_id is the default namespace; a timestamp that can't be read leaves ts null. Everything is an expression of the document's own row.
+    """
+    v = F.when(F.col("content").isNotNull(), F.try_parse_json("content"))
+    listed = [variant_list(v), *[variant_list(field_of(v, k)) for k in SESSION_KEYS]]
+    if "messages" in docs.columns:
+        given = F.col("messages") if isinstance(docs.schema["messages"].dataType, T.StringType) else F.to_json("messages")
+        listed.insert(0, variant_list(F.try_parse_json(given)))
+    context, content = bare(F.coalesce("context", F.lit(""))), F.coalesce("content", F.lit(""))
+
+    def read(m: Column, i: Column) -> Column:
+        role, other = variant_text(field_of(m, "role")), variant_text(field_of(m, "speaker"))
+        return F.struct(speaker_of(F.when(role != "", role).otherwise(other)).alias("speaker"), bare(message_text(m)).alias("said"), (i == 0).alias("first"))
+
+    whole = F.array(F.struct(F.lit("user").alias("speaker"), bare(content).alias("said"), F.lit(True).alias("first")))
+    rows = docs.select("id", "user_id", "timestamp", context.alias("__context"), whole.alias("__whole"), F.filter(F.transform(F.coalesce(*listed), read), lambda m: m["said"] != "").alias("__read"))
+    empty = F.coalesce(F.size("__read") < 1, F.lit(True))
+    rows = rows.select("id", "user_id", "timestamp", "__context", empty.alias("__empty"), F.posexplode(F.when(empty, F.col("__whole")).otherwise(F.col("__read"))).alias("i", "m"))
+    head = F.when(F.col("m.first") & (F.col("__context") != ""), F.concat(F.lit("Document context: "), "__context", F.lit("\n"))).otherwise("")
     return rows.select(
-        F.concat(F.lit("doc:"), F.col("id"), F.lit(":"), F.col("i")).alias("turn_id"), F.col("id").alias("session_id"), speaker.alias("speaker"),
-        F.concat_ws("\n", F.nullif(F.col("context"), F.lit("")), F.col("m.content")).alias("text"), (parse_timestamp(F.col("timestamp")) + F.col("i") * 1_000_000_000).alias("ts"),
-        F.lit("conversation").alias("source_type"), F.coalesce("user_id", F.lit("default")).alias("namespace"),
+        F.concat(F.lit("doc:"), F.col("id"), F.lit(":"), F.col("i")).alias("turn_id"), F.col("id").alias("session_id"), F.col("m.speaker").alias("speaker"),
+        F.concat(head, F.when(F.col("__empty"), "Document").otherwise(F.initcap("m.speaker")), F.lit(" turn: "), F.col("m.said")).alias("text"),
+        (parse_timestamp(F.col("timestamp")) + F.col("i").cast("long") * 1_000_000_000).alias("ts"), F.lit("conversation").alias("source_type"), F.coalesce("user_id", F.lit("default")).alias("namespace"),
     )
 
 

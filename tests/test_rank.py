@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,11 +91,47 @@ def test_timestamps(spark, text, ns):
 def test_document_turns_and_vectors(spark):
     docs = spark.createDataFrame([("d", "u1", "2024-01-02", "ctx", [("user", "hi"), ("assistant", "yo")], None), ("e", None, "2024-01-02", None, [], "body")], "id string, user_id string, timestamp string, context string, messages array<struct<role:string,content:string>>, content string")
     got = {r.turn_id: (r.speaker, r.text, r.namespace) for r in src.document_turns(docs).collect()}
-    assert got == {"doc:d:0": ("user", "ctx\nhi", "u1"), "doc:d:1": ("assistant", "ctx\nyo", "u1"), "doc:e:0": ("user", "body", "default")}
+    assert got == {"doc:d:0": ("user", "Document context: ctx\nUser turn: hi", "u1"), "doc:d:1": ("assistant", "Assistant turn: yo", "u1"), "doc:e:0": ("user", "Document turn: body", "default")}
     v = spark.createDataFrame([([1.0, 2.5],), (None,)], "e array<float>")
     assert [r.x for r in v.select(src.decode_vector(src.encode_vector("e")).alias("x")).collect()] == [[1.0, 2.5], None]
 
 
+SHAPES = {
+    "[]": ["user|Document turn: []"],
+    "[1, 2]": ["user|User turn: 1", "user|User turn: 2"],
+    '{"turns": "no list"}': ['user|Document turn: {"turns": "no list"}'],
+    '{"turns": {"a": 1}, "conversation": ["hi", null, " ", "yo"]}': ["user|User turn: hi", "user|User turn: yo"],
+    '{"messages": [], "turns": ["unread"]}': ['user|Document turn: {"messages": [], "turns": ["unread"]}'],
+    '{"messages": [{"speaker": " Bot ", "text": "a"}, {"role": "TOOL", "content": "b"}, {"role": "", "speaker": "model", "value": "c"}, {"role": "guest", "message": "d"}, {"role": 7, "utterance": "e"}]}':
+        ["assistant|Assistant turn: a", "system|System turn: b", "assistant|Assistant turn: c", "user|User turn: d", "user|User turn: e"],
+    '[{"content": [{"text": "x"}, {"text": "", "content": "y"}, {"image": 1}, "z", "  "]}, {"content": 5, "text": "t"}, {"b": 1, "a": "q"}]':
+        ["user|User turn: x\ny\nz", "user|User turn: t", 'user|User turn: {"a":"q","b":1}'],
+    '["", "later"]': ["user|User turn: later"],
+    "not [json": ["user|Document turn: not [json"],
+    " \u00a0 padded \u2003 ": ["user|Document turn: padded"],
+    "": ["user|Document turn: "],
+}
+
+
+def test_session_shapes(spark):
+    rows = [(str(i), None, None, None, x, "other") for i, x in enumerate(SHAPES)] + [("none", None, "never", None, None, None)]
+    schema = "id string, user_id string, timestamp string, context string, content string, turn_id string"
+    got = {}
+    for r in src.document_turns(spark.createDataFrame(rows, schema)).collect():
+        got.setdefault(r.session_id, []).append((int(r.turn_id.split(":")[2]), f"{r.speaker}|{r.text}"))
+    assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == {str(i): x for i, x in enumerate(SHAPES.values())} | {"none": ["user|Document turn: "]}
+
+
+def test_messages_before_content_and_times(spark):
+    long = [{"role": "user", "content": f"m{i}"} for i in range(2000)]
+    rows = [("a", "u", "1704067200", "  about \n", '["unread"]', json.dumps(long)), ("b", "u", "x", "about", '["read"]', "no list"), ("c", "u", "1704067200", "about", "the text", "[]"), ("d", "u", "1704067200", "about", None, '[" ", "second"]')]
+    got = {r.turn_id: r for r in src.document_turns(spark.createDataFrame(rows, "id string, user_id string, timestamp string, context string, content string, messages string")).collect()}
+    assert len(got) == 2003 and got["doc:a:0"].text == "Document context: about\nUser turn: m0" and got["doc:a:1999"].text == "User turn: m1999"
+    assert got["doc:a:1999"].ts == (1704067200 + 1999) * 10**9 and got["doc:b:0"].ts is None and got["doc:b:0"].text == "Document context: about\nUser turn: read"
+    assert got["doc:c:0"].text == "Document context: about\nDocument turn: the text" and got["doc:d:0"].text == "User turn: second"  # the context goes with the first message, blank or not
+    assert src.document_turns(spark.createDataFrame([], "id string, user_id string, timestamp string, context string, content string, messages array<string>")).count() == 0
+
+
 def test_time_scopes_of_a_column(spark):
     now = 1_706_745_600 * 10**9
     asks = ["what did I say in the last 3 days", "past 2 weeks", "last month", "over the past year", "Yesterday I", "this week", "4 weeks ago", "1 day ago", "0 days ago", "2 months ago", "nothing", "last 99 month", "", "the last  12   days and yesterday"]
