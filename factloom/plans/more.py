@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import model
@@ -232,3 +232,32 @@ def n18_registered(spark, sf):
 @query(f"WITH RECURSIVE {FOLD} SELECT session_id, 'drift_blocked' AS kind, old_claim_id AS target_id, new_claim_id AS detail, created_ts AS ts FROM made WHERE edge_type = 'blocked'")
 def n19_drift_audit(spark, sf):
     return facts.drift_audit(folded(spark, sf))
+
+
+#: The channels of facts under SQL: name, weight for a query that counts recency three times, and what is ranked.
+CHANNELS = (
+    ("entity", model.WEIGHTS["entity"], "greatest(CASE WHEN list_contains(words, subject) THEN 1.0 ELSE 0 END, CASE WHEN k % 9 = 0 THEN 1.0 ELSE 0 END, CASE WHEN k % 11 = 0 THEN 0.6 ELSE 0 END)"),
+    ("temporal", model.WEIGHTS["temporal"] * 3, "recency"), ("bm25", model.WEIGHTS["bm25"], "bm25"), ("confidence", model.WEIGHTS["confidence"], "confidence"), ("frequency", model.WEIGHTS["frequency"], "frequency"),
+    ("importance", model.WEIGHTS["importance"], "k % 10"), ("usage", model.WEIGHTS["usage"], "k % 7"), ("trust", model.WEIGHTS["trust"], "source_trust"), ("scope", model.WEIGHTS["scope"], f"CASE WHEN recency BETWEEN {NOW - 20 * model.DAY_NS} AND {NOW - 10 * model.DAY_NS} THEN 1 ELSE 0 END"),
+    ("predicate_match", model.WEIGHTS["predicate"], "CASE WHEN predicate IN ('login', 'click') THEN 1 ELSE 0 END"), ("semantic", model.WEIGHTS["semantic"], "coalesce(CASE WHEN k % 5 <> 0 THEN (k % 17) / 17.0 END, 0)"),
+)
+SHARES = ", ".join(f"{w} / (60.0 + row_number() OVER (PARTITION BY session_id ORDER BY {c} DESC, created_ts, claim_id)) AS {n}" for n, w, c in CHANNELS)
+
+
+@query(f"""WITH {C}, served AS (SELECT *, CAST(substr(claim_id, 4) AS BIGINT) AS k FROM claims WHERE CAST(substr(claim_id, 4) AS BIGINT) % 19 <> 0), {bm25_sql('served', 'claim_id', 'session_id', CLAIM_ASK)},
+sch AS (SELECT served.*, bm25, {sorted(set(CLAIM_ASK.split()))} AS words, CASE WHEN k % 3 = 0 THEN created_ts - {5 * model.DAY_NS} ELSE valid_from_ts END AS recency, count(*) OVER (PARTITION BY session_id, subject, predicate) AS frequency FROM served JOIN bm ON bm.id = claim_id),
+shares AS (SELECT session_id, claim_id, k, {SHARES} FROM sch),
+placed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round({" + ".join(n for n, _, _ in CHANNELS)}, 12) DESC, claim_id) AS place FROM shares WHERE k % 13 <> 0)
+SELECT session_id, claim_id, place, channel, round(share, 9) AS share FROM (UNPIVOT (SELECT * EXCLUDE (k) FROM placed) ON {", ".join(n for n, _, _ in CHANNELS)} INTO NAME channel VALUE share)""")
+def j11_all_channels(spark, sf):
+    """Every claim of each session by all eleven channels, with what each channel adds: superseded ones are no candidates, demoted ones are ranked and then left out."""
+    k = F.substring("claim_id", 4, 20).cast("long")
+    claims = src.claims(spark, sf).withColumns({
+        "status": F.when(k % 19 == 0, "superseded").otherwise("confirmed"), "demoted": k % 13 == 0, "importance": k % 10 / 10.0, "usage": (k % 7).cast("double"), "similarity": F.when(k % 5 != 0, k % 17 / 17.0),
+        "event_ts": F.when(k % 3 == 0, F.col("created_ts") - 5 * model.DAY_NS),
+    })
+    named = claims.select("claim_id", F.when(k % 9 == 0, "Login").otherwise("elsewhere").alias("entity_text"))
+    scope = (NOW - 20 * model.DAY_NS, NOW - 10 * model.DAY_NS)
+    ranked = rank.facts(claims, CLAIM_ASK, scope=scope, families=("login", "click"), semantic="similarity", explain="shares", entities=named, near=claims.filter(k % 11 == 0))
+    placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), "claim_id")).cast("long"))
+    return placed.select("session_id", "claim_id", "place", F.explode("shares").alias("channel", "share")).withColumn("share", F.round("share", 9))
