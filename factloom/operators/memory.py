@@ -146,7 +146,7 @@ def forget(store: dict[str, DataFrame], targets: DataFrame, now: int) -> dict[st
         rest = store["turns"].join(orphans, "turn_id", "left_anti").join(touched, "turn_id", "left")
         # longer values first, so that none is left in part where another is within it
         longest = F.reverse(F.transform(F.array_sort(F.transform("__values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))), lambda x: x["v"]))
-        hide = F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), F.col("text"), lambda t, v: F.when(v == "", t).otherwise(F.regexp_replace(t, F.concat(F.lit("(?i)\\Q"), v, F.lit("\\E")), F.lit("[redacted]"))))
+        hide = F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), F.col("text"), lambda t, v: F.when(v == "", t).otherwise(F.regexp_replace(t, F.concat(F.lit("(?iu)\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit("[redacted]"))))
         out["turns"] = rest.withColumn("text", hide).drop("__values")
     for name, column in (("sentences", "source_claim_ids"), ("digests", "claim_ids"), ("life_events", "claim_ids"), ("frames", "claim_ids")):
         if name in store:

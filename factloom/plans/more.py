@@ -261,3 +261,15 @@ def j11_all_channels(spark, sf):
     ranked = rank.facts(claims, CLAIM_ASK, scope=scope, families=("login", "click"), semantic="similarity", explain="shares", entities=named, near=claims.filter(k % 11 == 0))
     placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), "claim_id")).cast("long"))
     return placed.select("session_id", "claim_id", "place", F.explode("shares").alias("channel", "share")).withColumn("share", F.round("share", 9))
+
+
+@query(f"""WITH {src.NOTES_SQL}, n AS (SELECT *, CAST(replace(claim_id, 'cl_', '') AS BIGINT) AS k FROM notes), said AS (SELECT source_turn_id AS turn_id, string_agg(upper(value), '. ' ORDER BY k) AS text FROM n GROUP BY 1),
+gone AS (SELECT source_turn_id AS turn_id, list(DISTINCT value ORDER BY length(value) DESC, value DESC) AS v FROM n WHERE k % 4 = 1 OR source_turn_id LIKE '%7' GROUP BY 1),
+stays AS (SELECT s.turn_id, text, v FROM said s LEFT JOIN gone g USING (turn_id) WHERE s.turn_id IN (SELECT source_turn_id FROM n WHERE NOT (k % 4 = 1 OR source_turn_id LIKE '%7')))
+SELECT turn_id, CASE WHEN v IS NULL THEN text ELSE regexp_replace(regexp_replace(regexp_replace(text, v[1], '[redacted]', 'gi'), coalesce(v[2], v[1]), '[redacted]', 'gi'), coalesce(v[3], v[1]), '[redacted]', 'gi') END AS text FROM stays""")
+def n15_masked_turns(spark, sf):
+    """Turns after some of their notes are forgotten: what those said is masked in any case of letters, longer notes first, and turns without notes go."""
+    claims, k = src.notes(spark, sf), F.replace("claim_id", F.lit("cl_"), F.lit("")).cast("long")
+    turns = claims.groupBy(F.col("source_turn_id").alias("turn_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.upper("value").alias("v")))), lambda x: x["v"]), ". ").alias("text"))  # at most three notes a turn
+    targets = claims.filter((k % 4 == 1) | F.col("source_turn_id").endswith("7")).select("claim_id")
+    return memory.forget({"claims": claims, "turns": turns}, targets, NOW)["turns"].select("turn_id", "text")

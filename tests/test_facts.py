@@ -255,3 +255,11 @@ def test_hops(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "c")], "entity string, neighbour string")
     got = {r.entity: r.hop for r in memory.within_hops(e, spark.createDataFrame([("a",)], "entity string"), 2).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
+
+
+def test_forgotten_values_of_any_characters(spark):
+    values = ["été", r"a\Eb.c", "x.*", "$1", "\\"]
+    claims = spark.createDataFrame([(f"c{i}", "s", "t1", v, i) for i, v in enumerate(values)] + [("k", "s", "t1", "stays", 9)], "claim_id string, session_id string, source_turn_id string, value string, created_ts long")
+    turns = spark.createDataFrame([("t1", "s", "ÉTÉ | A\\eB.c | a\\Ebxc | x.* | xyz | $1 | stays")], "turn_id string, session_id string, text string")
+    out = memory.forget({"claims": claims, "turns": turns}, claims.filter("claim_id != 'k'").select("claim_id"), 5)
+    assert [r.text for r in out["turns"].collect()] == ["[redacted] | [redacted] | a[redacted]Ebxc | [redacted] | xyz | [redacted] | stays"]
