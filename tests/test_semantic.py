@@ -155,3 +155,21 @@ def test_equal_statements_meet_one_member(spark):
     none = spark.createDataFrame([], "old_claim_id string, new_claim_id string, edge_type string, created_ts long")
     got = semantic.second_pass(rows, none, None, checkpoint).collect()
     assert sorted((r.old_claim_id, r.new_claim_id) for r in got) == [(f"c{i:05}", f"c{i + 1:05}") for i in range(2999)]
+
+
+@pytest.mark.parametrize("block", [7, 40, 8192])
+def test_blocks_give_what_all_pairs_give(spark, monkeypatch, block):
+    """Blocks of cells, split cells and cells packed together: components and nearest rows are those of all pairs."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(i, f"g{rng.randrange(3)}", v) for i, v in enumerate(points(rng, 150))]
+    index = vectors.build(spark.createDataFrame(rows, "id long, g string, embedding array<double>").repartition(4), checkpoint, 5)
+    pairs, links = vectors.similar(index, 0.88, ["g"]).select("a", "b"), checkpoint(vectors.tied(index, 0.88, ["g"]))
+    parts = lambda df: {(r.node, r.root) for r in graph.components(df, checkpoint).collect()}
+    assert parts(links) == parts(pairs)
+    assert links.count() <= pairs.count()
+    got = defaultdict(list)
+    for r in vectors.nearest(spark.createDataFrame(rows[::10], "query long, g string, embedding array<double>"), index, 6, checkpoint).orderBy("query", "rank").collect():
+        got[r["query"]].append((r.id, r.score))
+    good = [(i, v) for i, _, v in rows if v and any(v) and len(v) == 8]
+    assert got == {q: [(i, s) for s, i in sorted(((cosine(v, w), i) for i, w in good if i != q), key=lambda x: (-x[0], x[1]))[:6]] for q, v in good if q % 10 == 0}
