@@ -173,3 +173,15 @@ def test_blocks_give_what_all_pairs_give(spark, monkeypatch, block):
         got[r["query"]].append((r.id, r.score))
     good = [(i, v) for i, _, v in rows if v and any(v) and len(v) == 8]
     assert got == {q: [(i, s) for s, i in sorted(((cosine(v, w), i) for i, w in good if i != q), key=lambda x: (-x[0], x[1]))[:6]] for q, v in good if q % 10 == 0}
+
+
+def test_dense_pairs_are_not_written_out(spark):
+    """Nearly all of two million pairs reach the threshold: links and blocks stay as many as rows."""
+    rng = random.Random(1)
+    rows = [("s", "p", f"c{i:05}", f"t{i}", i, True, [1.0 + rng.random() for _ in range(6)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "session_id string, space string, claim_id string, source_turn_id string, created_ts long, seeks boolean, embedding array<double>")
+    index = vectors.build(df.withColumnRenamed("claim_id", "id"), checkpoint)
+    assert vectors.tied(index, 0.45, ["session_id", "space"]).count() < 2 * len(rows)
+    none = spark.createDataFrame([], "old_claim_id string, new_claim_id string, edge_type string, created_ts long")
+    got = sorted((r.old_claim_id, r.new_claim_id) for r in semantic.second_pass(df, none, None, checkpoint, 0.45).collect())
+    assert got == [(f"c{i:05}", f"c{i + 1:05}") for i in range(1999)]
