@@ -1,11 +1,13 @@
 """Event frames: what several turns say about one event, with its place, time, amount and item.
 
-A plan over whole tables, in five steps: each turn's type; pairs of turns that speak of one thing, met at equal places; what the pairs
+A plan over whole tables, in five steps: each turn's type; turns that speak of one thing, looked at in chunks of a session; what they
 connect; turns that only give a place, drawn to the nearest typed turn; and the slots of each group, by expressions.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ TITLED = r"(?i)(?:named|called|titled)\s+(.+?)(?:\s+(?:by|from|on)\b|$)"
 PROVIDER = "location_linked_action"
 #: Turns apart that may speak of one event, and that a place may be drawn over. Fixed values.
 REACH, NEAR = 5, 3
+#: Places of a session that a task looks at together.
+CHUNK = 1000
 
 
 def some(value: Column) -> Column:
@@ -95,41 +99,98 @@ def item(values: Column, kind: Column) -> Column:
     return F.when(kind == "named_artifact", artifact).otherwise(found)
 
 
-def coreferent(claims: DataFrame) -> DataFrame:
-    """session_id, a, b (places, a < b): turns at most REACH apart that name one entity or share two content words of a claim.
-
-    Places are cut into stretches of REACH; a row is kept under its stretch and, as the earlier one of a pair, under the next,
-    so that rows meet by equality of session, stretch and word, however long a session is.
+def coreferent(batches):
+    """Rows (session, place, home, members, said, link) of a stream of (session_id, chunk, turn_index, own, entity, value, words) in order: each own place of a chunk with what is said there, the
+    least place of the chunk that it is tied to and how many are, and a link for each place of the chunk before that one of its own is tied to. What is held are the values of a chunk and
+    the words of the last REACH places."""
+    key, up, near, said = None, {}, [], {}  # near: (place, own, entities, sets of words), oldest first
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def turn_done():
+        """The last place against those before it."""
+        place, own, entities, claims = near[-1]
+        for other, other_own, others, before in near[:-1] if own else []:
+            if place - other <= REACH and (entities & others or any(len(x & y) >= 2 for x in claims for y in before)):
+                if not other_own:
+                    yield key[0], place, None, None, None, other
+                elif (a := top(other)) != (b := top(place)):
+                    up[max(a, b)] = min(a, b)
+
+    def chunk_done():
+        if near:
+            yield from turn_done()
+        sizes = Counter(map(top, up))
+        for place in up:
+            yield key[0], place, top(place), sizes[top(place)], " ".join(said[place]), None
+
+    for batch in batches:
+        for session, chunk, place, own, entity, value, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (session, chunk) != key:
+                yield from chunk_done()
+                key, up, near, said = (session, chunk), {}, [], {}
+            if not near or near[-1][0] != place:
+                if near:
+                    yield from turn_done()
+                near = [x for x in near if place - x[0] <= REACH]
+                near.append((place, own, set(), set()))
+                if own:
+                    up[place], said[place] = place, []
+            if own and value is not None:
+                said[place].append(value)
+            if entity is not None:
+                near[-1][2].add(entity)
+            if words and len(words) > 1:
+                near[-1][3].add(frozenset(words))
+    yield from chunk_done()
+
+
+def connected(claims: DataFrame, checkpoint) -> DataFrame:
+    """session_id, turn_index, kind, home, alone: each turn's type, the least place that it is connected with, by turns at most REACH apart that name one entity or share two content words of a
+    claim, and whether it is connected with none.
+
+    A session is no unit of work: it is cut into chunks of CHUNK places, each row is dealt out once (the last REACH places also to the next chunk), and what is
+    left of the whole are links between neighbouring chunks' groups.
     """
-    stretch = F.floor(F.col("turn_index") / REACH)
-
-    def met(rows: DataFrame, word: str, keep: list[str]) -> DataFrame:
-        a = rows.select("session_id", word, F.explode(F.array(stretch, stretch + 1)).alias("s"), F.col("turn_index").alias("a"), *[F.col(c).alias(f"{c}_a") for c in keep])
-        b = rows.select("session_id", word, stretch.alias("s"), F.col("turn_index").alias("b"), *[F.col(c).alias(f"{c}_b") for c in keep])
-        return a.join(b, ["session_id", word, "s"]).filter((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= REACH))
-
-    entities = claims.filter(~F.coalesce("entity", F.lit("")).isin(*TRIVIAL)).select("session_id", "turn_index", "entity").distinct()
-    words = claims.select("session_id", "turn_index", "claim_id", F.explode(content(F.col("value"))).alias("word"))
-    two = met(words, "word", ["claim_id"]).groupBy("session_id", "a", "b", "claim_id_a", "claim_id_b").agg(F.count("*").alias("n")).filter("n >= 2")
-    return met(entities, "entity", []).select("session_id", "a", "b").unionByName(two.select("session_id", "a", "b")).distinct()
-
-
-def connected(pairs: DataFrame, checkpoint) -> DataFrame:
-    """session_id, turn_index, home: the least place that pairs lead to, for places in any pair. A session is no unit of work: its pairs are links among all others."""
-    at = lambda c: F.struct(F.col("session_id").alias("s"), F.col(c).cast("long").alias("i"))
-    found = graph.components(pairs.select(at("a").alias("a"), at("b").alias("b")), checkpoint)
-    return found.select(F.col("node.s").alias("session_id"), F.col("node.i").alias("turn_index"), F.col("root.i").alias("home"))
+    place = F.col("turn_index")
+    chunk = F.floor(place / CHUNK).cast("long")
+    spread = F.when(F.pmod(place, F.lit(CHUNK)) >= CHUNK - REACH, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    entity = F.when(~F.coalesce("entity", F.lit("")).isin(*TRIVIAL), F.col("entity"))
+    rows = claims.filter("session_id is not null and turn_index is not null").select("session_id", "turn_index", "claim_id", entity.alias("entity"), "value", F.explode(spread).alias("shift"))
+    dealt = rows.select("session_id", (chunk + F.col("shift")).alias("chunk"), "turn_index", (F.col("shift") == 0).alias("own"), "entity", "value", "claim_id").repartition("session_id", "chunk").sortWithinPartitions("session_id", "chunk", "turn_index", "claim_id", "value").drop("claim_id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        made = coreferent(batches)
+        while out := [x for _, x in zip(range(10_000), made, strict=False)]:
+            session, place, home, members, said, link = map(list, zip(*out, strict=True))
+            numbers = {n: pa.array(c, pa.int64()) for n, c in (("turn_index", place), ("home", home), ("members", members))}
+            yield pa.RecordBatch.from_pydict({"session_id": pa.array(session, pa.string()), **numbers, "said": pa.array(said, pa.string()), "link": pa.array(link, pa.int64())})
+
+    found = dealt.withColumn("words", content(F.col("value"))).mapInArrow(run, "session_id string, turn_index long, home long, members long, said string, link long")
+    found = checkpoint(found.select("session_id", "turn_index", "home", "members", tx.event_type(F.col("said")).alias("kind"), "link"))
+    homes = found.filter("link is null").select("session_id", "turn_index", "kind", "home", (F.col("members") == 1).alias("alone"))
+    links = found.filter("link is not null").select("session_id", "turn_index", "link")
+    if links.isEmpty():  # no session goes beyond a chunk's end
+        return homes
+    own = homes.select("session_id", "turn_index", "home")
+    at = lambda c: F.struct(F.col("session_id").alias("s"), F.col(c).alias("i"))
+    links = links.join(own, ["session_id", "turn_index"]).select("session_id", F.col("home").alias("b"), F.col("link").alias("turn_index"))
+    links = links.join(own, ["session_id", "turn_index"]).select(at("home").alias("a"), at("b").alias("b")).distinct()
+    far = graph.components(links, checkpoint).select(F.col("node.s").alias("session_id"), F.col("node.i").alias("home"), F.col("root.i").alias("first"))
+    both = homes.join(far, ["session_id", "home"], "left")
+    return checkpoint(both.select("session_id", "turn_index", "kind", F.coalesce("first", "home").alias("home"), (F.col("alone") & F.col("first").isNull()).alias("alone")))
 
 
 def grouped_turns(own: DataFrame, checkpoint) -> DataFrame:
     """session_id, turn_index, home: each turn of claims (as for event_frames) with the first turn of its event."""
-    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "value"))), lambda x: x["value"]), " ")
-    turns = own.groupBy("session_id", "turn_index").agg(tx.event_type(said).alias("kind"))
-    placed = turns.join(connected(coreferent(own), checkpoint), ["session_id", "turn_index"], "left").withColumn("home", F.coalesce("home", "turn_index"))
-    members = placed.groupBy("session_id", "home").agg(F.count("*").alias("members"))
-    placed = checkpoint(placed.join(members, ["session_id", "home"]).select("session_id", "turn_index", "kind", "home", "members"))  # read three times
+    placed = connected(own, checkpoint)
     # a turn that only gives a place goes to the nearest turn of another type; of two as near, to the earlier
-    lone = placed.filter((F.col("kind") == PROVIDER) & (F.col("members") == 1)).select("session_id", F.col("turn_index").alias("from"), F.explode(F.sequence(F.col("turn_index") - NEAR, F.col("turn_index") + NEAR)).alias("turn_index"))
+    lone = placed.filter((F.col("kind") == PROVIDER) & F.col("alone")).select("session_id", F.col("turn_index").alias("from"), F.explode(F.sequence(F.col("turn_index") - NEAR, F.col("turn_index") + NEAR)).alias("turn_index"))
     drawn = lone.join(placed.filter(F.col("kind").isNotNull() & (F.col("kind") != PROVIDER)), ["session_id", "turn_index"])
     drawn = drawn.groupBy("session_id", F.col("from").alias("turn_index")).agg(F.min_by("home", F.struct(F.abs(F.col("turn_index") - F.col("from")), "turn_index")).alias("drawn"))
     return placed.join(drawn, ["session_id", "turn_index"], "left").select("session_id", "turn_index", F.coalesce("drawn", "home").alias("home"))

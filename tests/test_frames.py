@@ -92,3 +92,18 @@ def test_slots(spark):
         r = found[f"s{i}"]
         assert (r.location, (r.time_expr or "").lower() or None, r.amount, r.item) == (place, time, money, thing), v
         assert r.missing == [n for n, x in zip(("location", "time", "amount", "item"), (place, time, money, thing), strict=True) if x is None]
+
+
+def test_sessions_longer_than_a_chunk(spark, monkeypatch):
+    """Chains that go over the chunks' ends, and places that no claim has, give the groups of whole sessions; no pair of turns is written."""
+    monkeypatch.setattr(frames, "CHUNK", 6)
+    rng = random.Random(8)
+    said = ["bought a walnut desk from Target", "the walnut desk cost 5 dollars", "went to Walmart near Boston", "nothing of note", "studied physics at Harvard", "studied physics again"]
+    rows = [
+        {"session_id": f"s{s}", "turn_id": f"t{s}_{i}", "turn_index": i, "claim_id": f"c{s}_{i:03}_{k}", "value": rng.choice(said), "entity": rng.choice(["user", "user", "ann", ""]), "confidence": rng.randint(1, 9) / 10}
+        for s in range(3) for i in range(90) if rng.random() < 0.6 for k in range(rng.randint(1, 2))
+    ]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    assert got(df) == plain(rows)
+    groups = frames.connected(df, checkpoint).groupBy("session_id", "home").agg({"turn_index": "max"}).collect()
+    assert any(r[2] - r.home > 12 for r in groups)
