@@ -6,11 +6,11 @@ A shingle's base is a polynomial hash of its bytes modulo 2**64; permutation k t
 half of a_k * base + b_k. Likeness of two fingerprints is the share of equal minima, an
 unbiased estimate of the Jaccard index of the shingle sets; two texts without words are alike.
 
-near_links() joins bands of the signatures in Spark: texts that share a band meet the band's head, the one of least
-hash, and the Jaccard index of their sets of shingles is verified. Texts that are near no head also meet the text of the greatest hash of each of their bands. So the work is linear in the texts, however large a group of
-near copies is; the price is that two texts may not be linked if neither is the first or the last of a band they
-share (measured in the README). Exact copies are one text. A head that very many texts meet is dealt to as many tasks as SHARE asks.
-The query's columns near_doc and near_jaccard come from it.
+near_rows() joins bands of the signatures in Spark: texts that share a band meet the band's head, the one of least
+hash, and the Jaccard index of their sets of shingles is verified. So a large group of near copies is one class after work that is linear
+in the texts. Bands miss some pairs, so the prefixes of the sets (overlaps) then give all pairs of texts that are not in one class yet and may
+be near, and these are verified too: any two texts that are near are in one class, and a text that is near any has a near one told. Exact copies are one text. A head that very many texts meet is dealt to as many tasks as SHARE asks.
+The query's columns near_doc, near_jaccard (of the near texts that were looked at, the one of least id) and near_class (the least id that links lead to) come from it.
 
 A text's name is its XXH64; two of a billion texts share one with a probability of some 3 in 100, and then take each other's links.
 
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from . import common
+from . import common, components, overlaps
 
 PERMUTATIONS = 64
 #: Bands of ROWS permutations each: a pair at the threshold shares none about once in 120.
 BANDS, ROWS = 12, 5
 #: Texts that meet one head in a task, and rows of a table that may be broadcast.
 SHARE, BROADCAST = 1000, 1 << 20
+#: Candidates of a text that are looked at first, and texts of a block where very many are left.
+QUOTA, BLOCK = 30, 500
 SHINGLE = 5
 THRESHOLD = 0.8
 SEED = 20240131
@@ -118,22 +120,38 @@ def parts(text: str):
         yield carried
 
 
-def signatures(texts: list[str], shingler: Shingler, hashes: Family) -> np.ndarray:
-    """Minima of each text's shingles under each permutation. Short texts are handled together, long ones part by part."""
-    out = np.full((len(texts), len(hashes.a)), 0xFFFFFFFF, np.uint32)
+def hashed(texts: list[str], shingler: Shingler):
+    """Owners, base hashes and first positions. Short texts are handled together, long ones part by part."""
     long = [i for i, x in enumerate(texts) if len(x) > PART]
     short = [i for i, x in enumerate(texts) if len(x) <= PART]
     for owners, words in chain([(short, [x.lower().split() for x in map(texts.__getitem__, short)])], (([i], [w]) for i in long for w in parts(texts[i]))):
-        base, firsts = shingler(words)
+        yield np.array(owners, np.int64), *shingler(words)
+
+
+def minima(pieces, n: int, hashes: Family) -> np.ndarray:
+    out = np.full((n, len(hashes.a)), 0xFFFFFFFF, np.uint32)
+    for owners, base, firsts in pieces:
         rows = np.flatnonzero(np.diff(firsts))
         if len(rows):
-            own, at = np.array(owners)[rows], firsts[rows]
+            own, at = owners[rows], firsts[rows]
             with np.errstate(over="ignore"):
                 for k, (a, b) in enumerate(zip(*hashes, strict=True)):
                     out[own, k] = np.minimum(out[own, k], np.minimum.reduceat(((base * a + b) >> np.uint64(32)).astype(np.uint32), at))
     return out
 
 
+def signatures(texts: list[str], shingler: Shingler, hashes: Family) -> np.ndarray:
+    """Minima of each text's shingles under each permutation."""
+    return minima(hashed(texts, shingler), len(texts), hashes)
+
+
+def shingle_numbers(pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of all texts: distinct upper halves of base hashes, and the text each is of, ascending by both."""
+    found = [np.unique(np.repeat(owners, np.diff(firsts)).astype(np.uint64) << np.uint64(32) | base >> np.uint64(32)) for owners, base, firsts in pieces]
+    whole = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+    return (whole & overlaps.LOW).astype(np.uint32), (whole >> np.uint64(32)).astype(np.int64)
+
+
 def as_text(signature: np.ndarray) -> list[str]:
     return [x.tobytes().hex() for x in signature.astype(">u4")]
 
@@ -145,7 +163,7 @@ def edited(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame, notes: DataFrame) -> DataFrame:
-    """doc_id, text, role, bucket, note, key, near_doc, near_jaccard: rows dealt into id ranges and sorted by falling id, so that a row's next document
+    """doc_id, text, role, bucket, note, key, near_doc, near_jaccard, near_class: rows dealt into id ranges and sorted by falling id, so that a row's next document
     follows it. The first row of the range below comes along as role 1, closing the ring at the lowest range. The notes on a
     document's texts travel in the same shuffle and come before it (note 0; documents: 1).
 
@@ -181,20 +199,20 @@ def with_next(docs: DataFrame, notes: DataFrame) -> DataFrame:
         return pd.Series([[b, reader[b]] if (pd.isna(x) and tops[b] is None) or x == tops[b] else [b] for b, x in zip(first, ids, strict=True)])
 
     # the smallest text among rows of equal id comes first, so more than one of them does no harm
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("key", "long"), ("near_doc", "long"), ("near_jaccard", "double"))]
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("key", "long"), ("near_doc", "long"), ("near_jaccard", "double"), ("near_class", "long"))]
     own = docs.select("doc_id", "text", F.posexplode(ranges_of("doc_id")).alias("role", "bucket"), F.lit(1).alias("note"), *empty)
-    said = notes.select("doc_id", F.lit("").alias("text"), F.lit(0).alias("role"), range_of("doc_id").alias("bucket"), F.lit(0).alias("note"), "key", "near_doc", "near_jaccard")
+    said = notes.select("doc_id", F.lit("").alias("text"), F.lit(0).alias("role"), range_of("doc_id").alias("bucket"), F.lit(0).alias("note"), "key", "near_doc", "near_jaccard", "near_class")
     return own.unionByName(said).repartition(common.partitions(docs), "bucket").sortWithinPartitions("bucket", "role", F.desc_nulls_last("doc_id"), "note", "text")
 
 
 QUERY_SCHEMA = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()), T.StructField("near_doc", T.LongType()), T.StructField("near_jaccard", T.DoubleType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()), T.StructField("near_doc", T.LongType()), T.StructField("near_jaccard", T.DoubleType()), T.StructField("near_class", T.LongType())]
 )
 
 
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text, of its edited text, how alike they and the next document's are, and the near document of near_links()."""
-    source = with_next(named(docs, id_col, text_col).drop("key"), near_links(docs, THRESHOLD, id_col, text_col))
+    """Fingerprints of every text, of its edited text, how alike they and the next document's are, and the near document and class of near_rows()."""
+    source = with_next(named(docs, id_col, text_col).drop("key"), near_rows(docs, THRESHOLD, id_col, text_col))
 
     def run(batches):
         shingler, hashes = Shingler(), family()
@@ -206,15 +224,15 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             other = signatures(new, shingler, hashes)
             columns = (
                 [x[0] for x in rows[:-1]], [len(x[1]) for x in rows[:-1]], [hashlib.sha256(x.encode()).hexdigest() for x in new], as_text(own[:-1]), as_text(other),
-                (own[:-1] == other).mean(axis=1), (own[:-1] == own[1:]).mean(axis=1), [x[2] for x in rows[:-1]], [x[3] for x in rows[:-1]],
+                (own[:-1] == other).mean(axis=1), (own[:-1] == own[1:]).mean(axis=1), *([x[k] for x in rows[:-1]] for k in (2, 3, 4)),
             )
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("near_doc", pa.int64()), ("near_jaccard", pa.float64())])
+        arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("near_doc", pa.int64()), ("near_jaccard", pa.float64()), ("near_class", pa.int64())])
         held, closed, at, used, notes, noted = [], True, None, 0, {}, None
         for batch in batches:
             for part in common.slices(batch, "text"):
-                for doc, text, role, bucket, note, key, near, jaccard in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for doc, text, role, bucket, note, key, near, jaccard, least in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if bucket != at:
                         held, closed, at, used, notes, noted = [], False, bucket, 0, {}, None
                     if closed:
@@ -222,10 +240,10 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     if note == 0:
                         if noted != (doc,):
                             notes, noted = {}, (doc,)
-                        notes[key % (1 << 64)] = (near, jaccard)
+                        notes[key % (1 << 64)] = (near, jaccard, least)
                         continue
                     found = notes.get(xxh64_intdigest(text.encode(), 42)) if noted == (doc,) and role == 0 else None
-                    held.append((doc, text, *(found or (None, None))))
+                    held.append((doc, text, *(found or (None, None, doc))))
                     used += len(text)
                     closed = role == 1
                     if closed or len(held) > common.SLICE_ROWS or used > common.SLICE_BYTES:
@@ -236,9 +254,9 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(run, QUERY_SCHEMA)
 
 
-def banded(texts: list[str], shingler: Shingler, hashes: Family) -> np.ndarray:
-    s = signatures(texts, shingler, hashes)[:, : BANDS * ROWS].reshape(len(texts), BANDS, ROWS).astype(np.uint64)
-    bands = np.zeros((len(texts), BANDS), np.uint64)
+def banded(signature: np.ndarray) -> np.ndarray:
+    s = signature[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    bands = np.zeros((len(s), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(ROWS):
             bands = (bands ^ s[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -263,41 +281,98 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
-def near_links(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, near_doc, near_jaccard for documents whose text is near a head: of the heads' least ids the least, and its Jaccard index."""
+def near_rows(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, near_doc, near_jaccard, near_class for documents whose text is near another or in several documents."""
     source = named(docs, id_col, text_col)
 
     def make():
         shingler, hashes = Shingler(), family()
 
         def compute(texts):
-            bands = banded(texts, shingler, hashes).view(np.int64)
+            pieces = list(hashed(texts, shingler))
+            bands = banded(minima(pieces, len(texts), hashes)).view(np.int64)
             has = np.array([bool(x.strip()) for x in texts], bool)
-            return [pa.array([list(b) if h else [] for b, h in zip(bands, has, strict=True)], pa.list_(pa.int64()))]
+            numbers, owner = shingle_numbers(pieces)
+            firsts = dict(zip(reversed(texts), range(len(texts) - 1, -1, -1), strict=True))
+            shared = overlaps.common_numbers(numbers[np.isin(owner, list(firsts.values()))])
+            return [
+                pa.array([list(b) if h else [] for b, h in zip(bands, has, strict=True)], pa.list_(pa.int64())), pa.array(np.bincount(owner, minlength=len(texts)), pa.int64()),
+                pa.array([shared] + [[]] * (len(texts) - 1), pa.list_(pa.int64())),
+            ]
 
         return compute
 
-    keyed = common.written(common.map_texts(source, "text", make, [T.StructField("bands", T.ArrayType(T.LongType()))], ["doc_id", "key"]), "minhash")
+    longs = T.ArrayType(T.LongType())
+    keyed = common.map_texts(source, "text", make, [T.StructField("bands", longs), T.StructField("size", T.LongType()), T.StructField("common", longs)], ["doc_id", "key"])
+    keyed = common.written(keyed, "minhash")
     rows = keyed.select("doc_id", "key", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last")).filter("head != last")
-    heads = small(common.written(shared, "minhash-heads"))
+    heads = rows.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last")).filter("head != last").select("band", "head")
+    heads = small(common.written(heads, "minhash-heads"))
+    met = rows.join(heads, "band").filter("key != head").groupBy("key", "head").agg(F.min("doc_id").alias("doc_id"))
+    links = verified(source, keyed, common.written(met, "minhash-met"), threshold)
+
+    known = common.written(components.labels(links.select(F.col("key").alias("a"), F.col("head").alias("b")), "minhash-known"), "minhash-labels")
+    texts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.count("*").alias("n"))
+    texts = common.written(texts.withColumn("short", F.col("key").bitwiseAND(0xFFFFFFFF)), "minhash-texts")
+    pages = prefixes(source.join(small(known), F.col("key") == F.col("node"), "left").select("key", "text", "root"), overlaps.heaviest(keyed), threshold)
+    found = common.written(overlaps.pairs(pages, common.partitions(source)), "minhash-pairs")
+    left = common.written(overlaps.near_enough(small(found), texts.filter("size > 0").select("key", "short", "size"), threshold), "minhash-candidates")
+    first_id = texts.select("key", F.col("first").alias("doc_id"))
+    met = common.written(overlaps.first_met(left, QUOTA).join(first_id, "key"), "minhash-further")
+    links = common.written(links.unionByName(verified(source, keyed, met, threshold)), "minhash-all-links")
+
+    def classes():
+        return common.written(components.labels(links.select(F.col("key").alias("a"), F.col("head").alias("b")), "minhash-classes"), "minhash-roots")
+
+    # what is in one class by now need not be looked at; texts with very many candidates are left
+    roots = classes()
+    left = common.written(overlaps.still_apart(left, met, roots), "minhash-apart")
+    if n := left.count():
+        ends = common.written(left.select(F.explode(F.array("key", "other")).alias("key")).distinct().join(first_id, "key"), "minhash-ends")
+        held = ends.count()
+        blocks = -(-held // BLOCK)
+        if blocks * held < n:
+            further = verified_in_blocks(source, ends, left, blocks, threshold)
+        else:
+            further = verified(source, keyed, common.written(left.select("key", F.col("other").alias("head")).join(first_id, "key"), "minhash-rest"), threshold)
+        links = common.written(links.unionByName(further), "minhash-whole-links")
+        roots = classes()
+
+    member = roots.join(texts, F.col("key") == F.col("node")).select("key", "root", "first")
+    least = member.join(member.groupBy("root").agg(F.min("first").alias("near_class")), "root").select("key", "near_class")
+    both = links.select("key", "near_doc", "near_jaccard").unionByName(links.select(F.col("head").alias("key"), F.col("doc_id").alias("near_doc"), "near_jaccard"))
+    best = both.groupBy("key").agg(F.min(F.struct(F.col("near_doc").isNull(), "near_doc", (-F.col("near_jaccard")).alias("less"))).alias("x"))
+    best = best.select("key", F.col("x.near_doc").alias("near_doc"), (-F.col("x.less")).alias("near_jaccard")).join(least, "key", "left")
+    told = texts.join(best, "key", "left").filter("n > 1 or near_jaccard is not null").select("key", "near_doc", "near_jaccard", F.coalesce("near_class", "first").alias("near_class"))
+    return keyed.select("doc_id", "key").join(small(common.written(told, "minhash-best")), "key").select("doc_id", "key", "near_doc", "near_jaccard", "near_class").distinct()
+
+
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, near_doc, near_jaccard, near_class for documents whose text is near another."""
+    return near_rows(docs, threshold, id_col, text_col).filter("near_jaccard is not null")
 
-    def meeting(those: DataFrame, head: str) -> DataFrame:
-        met = those.join(heads, "band").filter(F.col("key") != F.col(head)).groupBy("key", F.col(head).alias("head")).agg(F.min("doc_id").alias("doc_id"))
-        return common.written(met, "minhash-met")
 
-    met = meeting(rows, "head")
-    links = verified(source, keyed, met, threshold)
-    # texts that no head was near to meet the band's other end
-    lone = common.written(met.select("key").distinct().join(links.select("key"), "key", "left_anti"), "minhash-lone")
-    links = links.unionByName(verified(source, keyed, meeting(rows.join(small(lone), "key", "left_semi"), "last"), threshold))
-    best = links.groupBy("key").agg(F.min(F.struct("near_doc", (-F.col("near_jaccard")).alias("less"))).alias("x"))
-    best = common.written(best.select("key", F.col("x.near_doc").alias("near_doc"), (-F.col("x.less")).alias("near_jaccard")), "minhash-best")
-    return keyed.select("doc_id", "key").join(small(best), "key").select("doc_id", "key", "near_doc", "near_jaccard").distinct()
+def prefixes(texts: DataFrame, heavy: np.ndarray, threshold: float) -> DataFrame:
+    """Pages of the texts' prefixes. texts: key, text, root (of the class that the text is in already, or null)."""
+
+    def run(batches):
+        shingler, of, dealer = Shingler(), overlaps.Prefixes(heavy, threshold), overlaps.Dealer()
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                numbers, owner = shingle_numbers(list(hashed(common.texts_of(part, "text"), shingler)))
+                first = of(numbers, owner)
+                keys = part.column(0).to_numpy().astype(np.uint64) & overlaps.LOW
+                roots = part.column(2).fill_null(0).to_numpy()
+                dealer.add(numbers[first], keys[owner[first]], roots[owner[first]])
+                if dealer.count >= overlaps.HELD:
+                    yield from dealer.dealt()
+        yield from dealer.dealt()
+
+    return texts.mapInArrow(run, overlaps.PAGES)
 
 
 def verified(source: DataFrame, keyed: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
-    """key, near_doc, near_jaccard, written: of texts that meet heads (key, head, doc_id of one document with the text), those near them."""
+    """key, doc_id, head, near_doc, near_jaccard, written: of texts that meet heads (key, head, doc_id of one document with the text), those near them; near_doc has the head's text."""
     shares = met.groupBy("head").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     ids = keyed.join(small(common.written(shares, "minhash-shares")), F.col("key") == F.col("head")).groupBy("key", "shares").agg(F.min("doc_id").alias("doc_id"))
     first = common.written(ids, "minhash-first")
@@ -329,11 +404,50 @@ def verified(source: DataFrame, keyed: DataFrame, met: DataFrame, threshold: flo
                 shared = len(np.intersect1d(own, other, assume_unique=True))
                 jaccard = shared / (len(own) + len(other) - shared)
                 if at == (head, share) and jaccard >= threshold:
-                    out.append((key, head_id, jaccard))
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["key", "near_doc", "near_jaccard"])
+                    out.append((key, doc, head, head_id, jaccard))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = [pa.int64()] * 4 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "doc_id", "head", "near_doc", "near_jaccard"])
+
+    return common.written(dealt.mapInArrow(verify, "key long, doc_id long, head long, near_doc long, near_jaccard double"), "minhash-links")
+
 
-    return common.written(dealt.mapInArrow(verify, "key long, near_doc long, near_jaccard double"), "minhash-links")
+def verified_in_blocks(source: DataFrame, ends: DataFrame, met: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    """`verified` for dense candidates (key, other) of texts (key, doc_id): each text's set goes to its block's cells with all blocks, not to each pair."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks).cast("long")).cast("int")
+    found = source.alias("s").join(small(ends).alias("w"), (F.col("s.key") == F.col("w.key")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))).select("s.key", "s.doc_id", "s.text")
+
+    def sets():
+        shingler = Shingler()
+        return lambda texts: [pa.array([shingle_set(x, shingler).tobytes() for x in texts], pa.binary())]
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
+    rows = common.map_texts(found, "text", sets, [T.StructField("shingles", T.BinaryType())], ["key", "doc_id"]).select("key", "doc_id", "shingles", block("key").alias("a"), other)
+    low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+    rows = rows.select(low, high, F.lit(0).alias("role"), "key", "doc_id", F.lit(None).cast("long").alias("other"), "shingles")
+    asked = met.select("key", "other", block("key").alias("a"), block("other").alias("b"))
+    asked = asked.select(low, high, F.lit(1).alias("role"), "key", F.lit(None).cast("long").alias("doc_id"), "other", F.lit(None).cast("binary").alias("shingles"))
+    dealt = rows.unionByName(asked).repartition(common.partitions(source), "low", "high").sortWithinPartitions("low", "high", "role")
+
+    def verify(batches):
+        at, held = None, {}
+        for batch in batches:
+            out: list[tuple] = []
+            for low, high, role, key, doc, other, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (low, high):
+                    at, held = (low, high), {}
+                if role == 0:
+                    held[key] = (doc, np.frombuffer(raw, np.uint32))
+                    continue
+                (doc, own), (near, its) = held[key], held[other]
+                shared = len(np.intersect1d(own, its, assume_unique=True))
+                if (jaccard := shared / (len(own) + len(its) - shared)) >= threshold:
+                    out.append((key, doc, other, near, jaccard))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = [pa.int64()] * 4 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "doc_id", "head", "near_doc", "near_jaccard"])
+
+    return common.written(dealt.mapInArrow(verify, "key long, doc_id long, head long, near_doc long, near_jaccard double"), "minhash-block-links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,3 +148,55 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024, len(s
 """
     grown, powers = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
     assert grown < 400 and powers <= 1 << 23, (grown, powers)
+
+
+def test_no_link_is_lost_and_classes_are_whole(spark, monkeypatch):
+    """Without a band in common only the prefixes find the pairs; with bands, no class may fall apart. Pairs are made in small parts."""
+    monkeypatch.setattr(fp.overlaps, "PAIRS", 5)
+    monkeypatch.setattr(fp, "QUOTA", 1)
+    own = family_of_texts() + texts()
+    line = "this very line stands in each of them over and over"
+    rng = np.random.default_rng(9)
+    own += [f"{line} {' '.join(rng.choice([f'v{i}' for i in range(400)], 30))}" for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(own)] + [(1000 + i, t) for i, t in enumerate(own[::9])] + [(2000, None), (None, own[0] + " z")]
+    whole = sorted({t or "" for _, t in rows})
+    sets = [shingles(t) for t in whole]
+    near = {(a, b) for a in range(len(whole)) for b in range(a) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    root = list(range(len(whole)))
+    for _ in whole:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            k = root[whole.index(t or "")]
+            least[k] = min(least.get(k, i), i)
+    linked = {whole[k] for pair in near for k in pair}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = fp.banded
+    for bands in (plain, lambda s: np.arange(fp.BANDS * len(s), dtype=np.uint64).reshape(len(s), -1) + np.uint64(hash(s.tobytes()) % (1 << 62))):
+        monkeypatch.setattr(fp, "banded", bands)
+        monkeypatch.setattr(fp, "BLOCK", 10 if bands is plain else 10**6)
+        got = fp.edit_probe(df).collect()
+        assert len(got) == len(rows)
+        text = dict(rows)
+        for r in got:
+            t = text[r.doc_id] or ""
+            assert (r.near_jaccard is not None) == (t in linked)
+            assert r.near_class == least[root[whole.index(t)]]
+    assert len(near) > 60
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_prefixes_share_what_near_sets_must(threshold):
+    rng = np.random.default_rng(3)
+    of = fp.overlaps.Prefixes(rng.choice(300, 40, False).astype(np.uint32), threshold)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        a = set(rng.choice(300, n, False).tolist())
+        b = set(list(a)[int(rng.integers(0, 1 + n // 4)) :]) | set(rng.choice(300, int(rng.integers(0, 1 + n // 6)), False).tolist())
+        if b and len(a & b) >= threshold * len(a | b):
+            x, y = (np.array(sorted(s), np.uint32) for s in (a, b))
+            first = of(np.concatenate((x, y)), np.repeat([0, 1], [len(x), len(y)]))
+            p, q = set(x[first[first < len(x)]].tolist()), set(y[first[first >= len(x)] - len(x)].tolist())
+            assert len(p & q) >= 1 + min(len(a), len(b)) // fp.overlaps.WANTED
