@@ -8,8 +8,8 @@ unbiased estimate of the Jaccard index of the shingle sets; two texts without wo
 
 near_rows() joins bands of the signatures in Spark: texts that share a band meet the band's head, the one of least
 hash, and the Jaccard index of their sets of shingles is verified. So a large group of near copies is one class after work that is linear
-in the texts. Bands miss some pairs, so the prefixes of the sets (overlaps) then give all pairs of texts that are not in one class yet and may
-be near, and these are verified too: any two texts that are near are in one class, and a text that is near any has a near one told. Exact copies are one text. A head that very many texts meet is dealt to as many tasks as SHARE asks.
+in the texts. Bands miss some pairs, so the prefixes of the sets (overlaps) then bring all texts that are not in one class yet and may
+be near together in cells, where they are compared by matrix products: any two texts that are near are in one class, and a text that is near any has a near one told. Exact copies are one text. A head that very many texts meet is dealt to as many tasks as SHARE asks.
 The query's columns near_doc, near_jaccard (of the near texts that were looked at, the one of least id) and near_class (the least id that links lead to) come from it.
 
 A text's name is its XXH64; two of a billion texts share one with a probability of some 3 in 100, and then take each other's links.
@@ -39,8 +39,8 @@ PERMUTATIONS = 64
 BANDS, ROWS = 12, 5
 #: Texts that meet one head in a task, and rows of a table that may be broadcast.
 SHARE, BROADCAST = 1000, 1 << 20
-#: Candidates of a text that are looked at first, and texts of a block where very many are left.
-QUOTA, BLOCK = 30, 500
+#: Near texts of least id that a text tells of each cell, and texts of a block.
+QUOTA, BLOCK = 1, 500
 SHINGLE = 5
 THRESHOLD = 0.8
 SEED = 20240131
@@ -313,32 +313,15 @@ def near_rows(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
 
     known = common.written(components.labels(links.select(F.col("key").alias("a"), F.col("head").alias("b")), "minhash-known"), "minhash-labels")
     texts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.count("*").alias("n"))
-    texts = common.written(texts.withColumn("short", F.col("key").bitwiseAND(0xFFFFFFFF)), "minhash-texts")
+    texts = texts.join(small(known), F.col("key") == F.col("node"), "left").withColumns({"short": F.col("key").bitwiseAND(0xFFFFFFFF), "root": F.coalesce("root", "key")}).drop("node")
+    texts = common.written(texts, "minhash-texts")
     pages = prefixes(source.join(small(known), F.col("key") == F.col("node"), "left").select("key", "text", "root"), overlaps.heaviest(keyed), threshold)
-    found = common.written(overlaps.pairs(pages, common.partitions(source)), "minhash-pairs")
-    left = common.written(overlaps.near_enough(small(found), texts.filter("size > 0").select("key", "short", "size"), threshold), "minhash-candidates")
-    first_id = texts.select("key", F.col("first").alias("doc_id"))
-    met = common.written(overlaps.first_met(left, QUOTA).join(first_id, "key"), "minhash-further")
-    links = common.written(links.unionByName(verified(source, keyed, met, threshold)), "minhash-all-links")
-
-    def classes():
-        return common.written(components.labels(links.select(F.col("key").alias("a"), F.col("head").alias("b")), "minhash-classes"), "minhash-roots")
-
-    # what is in one class by now need not be looked at; texts with very many candidates are left
-    roots = classes()
-    left = common.written(overlaps.still_apart(left, met, roots), "minhash-apart")
-    if n := left.count():
-        ends = common.written(left.select(F.explode(F.array("key", "other")).alias("key")).distinct().join(first_id, "key"), "minhash-ends")
-        held = ends.count()
-        blocks = -(-held // BLOCK)
-        if blocks * held < n:
-            further = verified_in_blocks(source, ends, left, blocks, threshold)
-        else:
-            further = verified(source, keyed, common.written(left.select("key", F.col("other").alias("head")).join(first_id, "key"), "minhash-rest"), threshold)
-        links = common.written(links.unionByName(further), "minhash-whole-links")
-        roots = classes()
-
-    member = roots.join(texts, F.col("key") == F.col("node")).select("key", "root", "first")
+    found = common.written(overlaps.lists(pages, common.partitions(source)), "minhash-lists")
+    members = common.written(overlaps.narrowed(found, texts.filter("size > 0").select("key", "short", "size", "root"), threshold), "minhash-members")
+    links = common.written(links.unionByName(verified_in_cells(source, members, texts.select("key", F.col("first").alias("doc_id"), "root"), threshold)), "minhash-all-links")
+    roots = common.written(components.labels(links.select(F.col("key").alias("a"), F.col("head").alias("b")), "minhash-classes"), "minhash-roots")
+
+    member = roots.join(texts.drop("root"), F.col("key") == F.col("node")).select("key", "root", "first")
     least = member.join(member.groupBy("root").agg(F.min("first").alias("near_class")), "root").select("key", "near_class")
     both = links.select("key", "near_doc", "near_jaccard").unionByName(links.select(F.col("head").alias("key"), F.col("doc_id").alias("near_doc"), "near_jaccard"))
     best = both.groupBy("key").agg(F.min(F.struct(F.col("near_doc").isNull(), "near_doc", (-F.col("near_jaccard")).alias("less"))).alias("x"))
@@ -412,42 +395,49 @@ def verified(source: DataFrame, keyed: DataFrame, met: DataFrame, threshold: flo
     return common.written(dealt.mapInArrow(verify, "key long, doc_id long, head long, near_doc long, near_jaccard double"), "minhash-links")
 
 
-def verified_in_blocks(source: DataFrame, ends: DataFrame, met: DataFrame, blocks: int, threshold: float) -> DataFrame:
-    """`verified` for dense candidates (key, other) of texts (key, doc_id): each text's set goes to its block's cells with all blocks, not to each pair."""
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks).cast("long")).cast("int")
-    found = source.alias("s").join(small(ends).alias("w"), (F.col("s.key") == F.col("w.key")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))).select("s.key", "s.doc_id", "s.text")
+def verified_in_cells(source: DataFrame, members: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """Links as of `verified` between texts that are on a list (members: number, key, n) together and not in one class. names: key, doc_id, root of every text.
+
+    A list is cut into blocks of about BLOCK texts, and each two of them meet in a cell: a text goes n / BLOCK times to a list of n. Pairs exist only inside
+    a cell's matrix, and what it gives is linear in its texts.
+    """
+    ends = common.written(members.select("key").distinct().join(names, "key"), "minhash-ends")
+    found = source.alias("s").join(small(ends).alias("w"), (F.col("s.key") == F.col("w.key")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))).select("s.key", "s.doc_id", "w.root", "s.text")
 
     def sets():
         shingler = Shingler()
         return lambda texts: [pa.array([shingle_set(x, shingler).tobytes() for x in texts], pa.binary())]
 
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
-    rows = common.map_texts(found, "text", sets, [T.StructField("shingles", T.BinaryType())], ["key", "doc_id"]).select("key", "doc_id", "shingles", block("key").alias("a"), other)
-    low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
-    rows = rows.select(low, high, F.lit(0).alias("role"), "key", "doc_id", F.lit(None).cast("long").alias("other"), "shingles")
-    asked = met.select("key", "other", block("key").alias("a"), block("other").alias("b"))
-    asked = asked.select(low, high, F.lit(1).alias("role"), "key", F.lit(None).cast("long").alias("doc_id"), "other", F.lit(None).cast("binary").alias("shingles"))
-    dealt = rows.unionByName(asked).repartition(common.partitions(source), "low", "high").sortWithinPartitions("low", "high", "role")
+    held = common.written(common.map_texts(found, "text", sets, [T.StructField("shingles", T.BinaryType())], ["key", "doc_id", "root"]).dropDuplicates(["key"]), "minhash-sets")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = members.select("number", "key", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    rows = rows.select("number", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key").join(held, "key")
+    rows = rows.select("number", "low", "high", "own", "key", "doc_id", "root", "shingles")
+    dealt = rows.repartition(common.partitions(source), "number", "low", "high").sortWithinPartitions("number", "low", "high", "key")
 
     def verify(batches):
-        at, held = None, {}
-        for batch in batches:
-            out: list[tuple] = []
-            for low, high, role, key, doc, other, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (low, high):
-                    at, held = (low, high), {}
-                if role == 0:
-                    held[key] = (doc, np.frombuffer(raw, np.uint32))
-                    continue
-                (doc, own), (near, its) = held[key], held[other]
-                shared = len(np.intersect1d(own, its, assume_unique=True))
-                if (jaccard := shared / (len(own) + len(its) - shared)) >= threshold:
-                    out.append((key, doc, other, near, jaccard))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
+        def close(of: list):
+            """One cell's links."""
+            own, keys, docs, roots, raw = zip(*of, strict=True)
+            ranks = np.empty(len(of), np.int64)
+            ranks[sorted(range(len(of)), key=lambda i: (docs[i] is None, docs[i] or 0))] = np.arange(len(of))
+            found = overlaps.cell_links([np.frombuffer(x, np.uint32) for x in raw], np.array(own), np.array(roots), ranks, threshold, QUOTA)
+            columns = list(zip(*((keys[i], docs[i], keys[j], docs[j], x) for i, j, x in found), strict=True)) or [[]] * 5
             types = [pa.int64()] * 4 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "doc_id", "head", "near_doc", "near_jaccard"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "doc_id", "head", "near_doc", "near_jaccard"])
 
-    return common.written(dealt.mapInArrow(verify, "key long, doc_id long, head long, near_doc long, near_jaccard double"), "minhash-block-links")
+        at, of = None, []
+        for batch in batches:
+            for number, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (number, low, high) != at:
+                    if len(of) > 1:
+                        yield close(of)
+                    at, of = (number, low, high), []
+                of.append(row)
+        if len(of) > 1:
+            yield close(of)
+
+    return common.written(dealt.mapInArrow(verify, "key long, doc_id long, head long, near_doc long, near_jaccard double").distinct(), "minhash-cell-links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ with an index of at least t share ceil(t n) numbers or more, n being either size
 their prefixes; pairs that share fewer are none. Any order is right. Numbers that slices of texts have in common come last, the commonest
 at the very end, so that prefixes hold rare numbers (HEAVY numbers at most are known by that, the rest stand in the order of a hash).
 
-Tasks deal their prefixes by a number's upper byte (pages), packed as bytes. In a page, owners of one number form a pair if they don't
-have the same label: what is linked already needs no further link. Pairs are given in parts, so that no page
-holds all of them. A set's owner is told by 32 bits of its key; keys that share these are told apart when pairs are joined with the keys, and are pairs themselves.
+Tasks deal their prefixes by a number's upper byte (pages), packed as bytes. A page gives the lists of its numbers: the owners, if they don't
+all have the same label (what is linked already needs no further link). Pairs are never rows. narrowed() drops sets that are on fewer lists than
+a near one would share with them, orders the lists by length and takes each set from as many of the longest as it can do without: the first list that two near sets share
+stays, so they meet there. Lists of the same sets are one. A set's owner is told by 32 bits of its key; keys that share these are told apart when lists are joined with
+the keys, and form a list themselves.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Numbers whose place at the end of the order is known.
 HEAVY = 1 << 16
 #: A prefix is longer by one for so many numbers of a set.
 WANTED = 40
-#: Numbers that a task holds before it deals them, and pairs made at once.
+#: Numbers that a task holds before it deals them, and cells of a matrix that are filled at once.
 HELD, PAIRS = 1 << 20, 1 << 21
 MIX = np.uint32(0x9E3779B1)
 LOW = np.uint64(0xFFFFFFFF)
@@ -98,42 +102,25 @@ class Dealer:
             yield whole.slice(at, 32)
 
 
-def page_pairs(numbers: np.ndarray, owners: np.ndarray, named: np.ndarray, labels: np.ndarray):
-    """Arrays a, b, n: owners a < b with unlike labels and how many of the numbers they share; a pair may come in several parts."""
+def page_lists(numbers: np.ndarray, owners: np.ndarray, named: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and their owners, of numbers whose owners have unlike labels."""
     both = np.unique(numbers.astype(np.uint64) << np.uint64(32) | owners)
-    number, owner = both >> np.uint64(32), (both & LOW).astype(np.int64)
-    new = np.concatenate(([True], number[1:] != number[:-1]))
-    run = np.cumsum(new) - 1
-    shared = np.bincount(run)[run] > 1
-    run, owner = run[shared], owner[shared]
-    if not len(run):
-        return
+    number, owner = (both >> np.uint64(32)).astype(np.int64), (both & LOW).astype(np.int64)
+    if not len(number):
+        return number, owner
     named, once = np.unique(named, return_index=True)
     label = owner.copy()
     if len(named):
         at = np.minimum(np.searchsorted(named, owner), len(named) - 1)
         label = np.where(named[at] == owner, labels[once][at], label)
-    by = np.lexsort((label, run))
-    run, owner, label = run[by], owner[by], label[by]
-    n = len(run)
-    ends = np.searchsorted(run, run, "right")
-    block = np.cumsum(np.concatenate(([True], (run[1:] != run[:-1]) | (label[1:] != label[:-1])))) - 1
-    starts = np.searchsorted(block, block, "right")  # where the next label of the run begins
-    ahead = np.cumsum(ends - starts)
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(ahead, (ahead[at - 1] if at else 0) + PAIRS, "right")))
-        count = (ends - starts)[at:to]
-        if total := int(count.sum()):
-            left = np.repeat(owner[at:to], count)
-            right = owner[np.repeat(starts[at:to] - (np.cumsum(count) - count), count) + np.arange(total)]
-            pairs, times = np.unique(np.minimum(left, right).astype(np.uint64) << np.uint64(32) | np.maximum(left, right).astype(np.uint64), return_counts=True)
-            yield (pairs >> np.uint64(32)).astype(np.int64), (pairs & LOW).astype(np.int64), times
-        at = to
-
-
-def pairs(pages: DataFrame, partitions: int) -> DataFrame:
-    """a, b, n of dealt pages: short keys that share n numbers of their prefixes."""
+    new = np.concatenate(([True], number[1:] != number[:-1]))
+    starts = np.flatnonzero(new)
+    kept = (np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts))[np.cumsum(new) - 1]
+    return number[kept], owner[kept]
+
+
+def lists(pages: DataFrame, partitions: int) -> DataFrame:
+    """number, short of dealt pages: who is on the list of each number."""
 
     def run(batches):
         at, held = None, []
@@ -142,9 +129,9 @@ def pairs(pages: DataFrame, partitions: int) -> DataFrame:
             parts = [[np.frombuffer(x[k], t) for x in held] for k, t in ((1, "<u4"), (2, "<u4"), (3, "<i8"))]
             planes = [np.frombuffer(x[0], np.uint8).reshape(3, -1).astype(np.uint32) for x in held]
             numbers = np.concatenate([p[0] | p[1] << np.uint32(8) | p[2] << np.uint32(16) for p in planes])
-            for found in page_pairs(numbers, *map(np.concatenate, parts)):
-                for k in range(0, len(found[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)], pa.int64()) for c in found], names=["a", "b", "n"])
+            number, owner = page_lists(numbers, *map(np.concatenate, parts))
+            for k in range(0, len(number), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(number[k : k + (1 << 16)] | at << 24, pa.int64()), pa.array(owner[k : k + (1 << 16)], pa.int64())], names=["number", "short"])
 
         for batch in batches:
             for page, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -156,34 +143,67 @@ def pairs(pages: DataFrame, partitions: int) -> DataFrame:
         if held:
             yield from close()
 
-    found = pages.repartition(partitions, "page").sortWithinPartitions("page").mapInArrow(run, "a long, b long, n long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def near_enough(found: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
-    """key, other, n of candidates. names: key, short, size of every set."""
-    one = names.select(F.col("key").alias("other"), F.col("short").alias("a"), F.col("size").alias("size_a"))
-    two = names.select("key", F.col("short").alias("b"), F.col("size").alias("size_b"))
-    sizes = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
-    wanted = 1 + F.floor(F.least("size_a", "size_b") / WANTED)
-    met = found.join(one, "a").join(two, "b").filter(sizes & (F.col("n") >= wanted)).select("key", "other", "n")
-    alike = names.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("short").alias("b"))
-    same = two.join(alike, "b").join(one, F.col("a") == F.col("b")).filter("key > other").select("key", "other", F.lit(0).cast("long").alias("n"))
-    return met.unionByName(same)
-
-
-def first_met(found: DataFrame, quota: int) -> DataFrame:
-    """key, head of the candidates (key, other, n) that are looked at first: with each set so many that it shares most with."""
-    both = found.unionByName(found.select(F.col("other").alias("key"), F.col("key").alias("other"), "n"))
-    w = Window.partitionBy("key").orderBy(F.desc("n"), "other")
-    chosen = both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= quota)
-    return chosen.select(F.greatest("key", "other").alias("key"), F.least("key", "other").alias("head")).distinct()
-
-
-def still_apart(found: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """The candidates that were not looked at and whose ends are not in one class (node, root) yet."""
-    seen = met.select(F.greatest("key", "head").alias("key"), F.least("key", "head").alias("other")).distinct()
-    rows = found.select(F.greatest("key", "other").alias("key"), F.least("key", "other").alias("other"), "n").join(seen, ["key", "other"], "left_anti")
-    for c in ("key", "other"):
-        rows = rows.join(labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    return rows.filter(~F.coalesce(F.col("root_key") == F.col("root_other"), F.lit(False))).select("key", "other", "n")
+    return pages.repartition(partitions, "page").sortWithinPartitions("page").mapInArrow(run, "number long, short long")
+
+
+def narrowed(found: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """number, key, n: lists where all near sets with unlike roots meet, and how many are on each. found: `lists`; names: key, short, size, root of every set."""
+    wanted = (1 + F.floor(F.ceil(threshold * F.col("size") - 1e-9) / WANTED)).alias("wanted")
+    rows = found.join(names, "short").select("number", "key", "root", wanted)
+    own = Window.partitionBy("key")  # no more rows than a prefix has numbers
+
+    def unlike(x: DataFrame) -> DataFrame:
+        counts = x.groupBy("number").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("two"))
+        return counts.filter("low < high").select("number", "n", "one", "two")
+
+    rows = common.written(rows.withColumn("k", F.count("*").over(own)).filter("k >= wanted").drop("k"), "overlaps-lists")
+    rows = rows.join(unlike(rows).select("number", "n"), "number")
+    rows = rows.withColumns({"k": F.count("*").over(own), "place": F.row_number().over(own.orderBy("n", "number"))})
+    rows = rows.filter("k >= wanted and place <= k - wanted + 1").select("number", "key", "root")
+    alike = names.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short")
+    same = names.join(alike, "short").select((-1 - F.col("short")).alias("number"), "key", "root")
+    rows = common.written(rows.unionByName(same), "overlaps-kept")
+    once = unlike(rows).groupBy("n", "one", "two").agg(F.min("number").alias("number")).select("number", "n")
+    return rows.join(once, "number").select("number", "key", "n")
+
+
+def cell_links(sets: list[np.ndarray], sides: np.ndarray, roots: np.ndarray, ranks: np.ndarray, threshold: float, quota: int) -> list[tuple[int, int, float]]:
+    """Links (i, j, index) between near sets with unlike roots, and unlike sides if there are two, by a matrix product: all that hold them together,
+    and with each set so many of its near ones, of least rank."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column, row = (np.cumsum(count > 1) - 1)[at], np.repeat(np.arange(m), sizes)
+    shared = count[at] > 1
+    column, row = column[shared], row[shared]
+    by = np.argsort(column, kind="stable")
+    column, row = column[by], row[by]
+    step = max(1, PAIRS // m)
+    met = np.zeros((m, m), np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, (first, first + step))
+        held = np.zeros((m, min(step, int(column[-1]) + 1 - first)), np.float32)
+        held[row[a:b], column[a:b] - first] = 1
+        met += held @ held.T  # counts below 2**24 are exact
+    index = met / (sizes[:, None] + sizes[None, :] - met)
+    near = (index >= threshold) & (roots[:, None] != roots[None, :])
+    if sides.min() != sides.max():
+        near &= sides[:, None] != sides[None, :]
+    out, seen = [], np.zeros(m, bool)
+    some = np.flatnonzero(near.any(axis=1))
+    for start in some.tolist():
+        todo = [] if seen[start] else [start]
+        seen[start] = True
+        while todo:
+            x = todo.pop()
+            further = np.flatnonzero(near[x] & ~seen).tolist()
+            seen[further] = True
+            out += [(x, y) for y in further]
+            todo += further
+    left = np.where(near[some], ranks[None, :], m)
+    for _ in range(quota):
+        least = left.argmin(axis=1)
+        there = np.flatnonzero(left[np.arange(len(some)), least] < m)
+        out += zip(some[there].tolist(), least[there].tolist(), strict=True)
+        left[there, least[there]] = m
+    return [(i, j, float(index[i, j])) for i, j in {(max(x), min(x)) for x in out}]

@@ -200,3 +200,30 @@ def test_prefixes_share_what_near_sets_must(threshold):
             first = of(np.concatenate((x, y)), np.repeat([0, 1], [len(x), len(y)]))
             p, q = set(x[first[first < len(x)]].tolist()), set(y[first[first >= len(x)] - len(x)].tolist())
             assert len(p & q) >= 1 + min(len(a), len(b)) // fp.overlaps.WANTED
+
+
+def test_a_dense_group_makes_no_rows_for_pairs(spark, monkeypatch):
+    """Texts of which most pairs share a prefix and few are near: what is dealt and linked grows with the texts, not with their pairs."""
+    from factloom.llm import common
+
+    monkeypatch.setattr(fp, "banded", lambda s: np.arange(fp.BANDS * len(s), dtype=np.uint64).reshape(len(s), -1) + np.uint64(hash(s.tobytes()) % (1 << 62)))
+    rng = np.random.default_rng(2)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(150):
+        body = list(base)
+        for at in rng.integers(0, 60, 1 + i % 3):
+            body[at] = f"n{i}"
+        rows.append((i, " ".join(body)))
+    sizes, plain = {}, common.written
+
+    def written(df, name):
+        out = plain(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    got = {r.doc_id: r for r in fp.near_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    near = {(a, b) for a in range(150) for b in range(150) if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {a for a, _ in near} == {i for i, r in got.items() if r.near_jaccard is not None} and len(near) > 30
+    assert max(n for k, n in sizes.items() if not k.startswith("minhash-c")) < 150 * 20
