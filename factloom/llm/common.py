@@ -83,13 +83,13 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def slices(batch: pa.RecordBatch, text_col: str):
-    """Consecutive parts of a batch with at most SLICE_ROWS rows and, but for one row, SLICE_BYTES bytes of text."""
+def slices(batch: pa.RecordBatch, text_col: str, times: int = 1):
+    """Consecutive parts of a batch with at most SLICE_ROWS rows and, but for one row, SLICE_BYTES bytes of text, or so many times that."""
     column = batch.column(batch.schema.get_field_index(text_col))
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = used = 0
     for i, size in enumerate(sizes):
-        if i > start and (i - start >= SLICE_ROWS or used + size > SLICE_BYTES):
+        if i > start and (i - start >= times * SLICE_ROWS or used + size > times * SLICE_BYTES):
             yield batch.slice(start, i - start)
             start, used = i, 0
         used += size

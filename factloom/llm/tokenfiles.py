@@ -38,10 +38,13 @@ FILE_SCHEMA = T.StructType(
 )
 
 
-def id_array(encoded: list[bytes]) -> pa.Array:
-    """Bytes of 32-bit ids as a list array, without a copy for each id."""
-    ends = np.cumsum([0] + [len(x) // 4 for x in encoded], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+#: Slices of texts encoded at once: the more words there are, the fewer kinds for each.
+SLICES = 4
+
+
+def id_array(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """32-bit ids as a list array, without a copy for each id."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids.view("<i4")))
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> None:
@@ -55,12 +58,11 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         encoder, start = tokens.encoder(vocabulary), 0
         for batch in batches:
-            for part in common.slices(batch, "text"):
-                encoded = [x + END for x in encoder.encode(common.texts_of(part, "text"))]
-                sizes = np.array([len(x) // 4 for x in encoded], np.int64)
+            for part in common.slices(batch, "text", SLICES):
+                ids, sizes = encoder.arrays(common.texts_of(part, "text"), END)
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(starts), pa.array(sizes), id_array(encoded)], names=FILE_SCHEMA.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(starts), pa.array(sizes), id_array(ids, sizes)], names=FILE_SCHEMA.names)
 
     source.mapInArrow(run, FILE_SCHEMA).write.options(**OPTIONS).orc(path)
 

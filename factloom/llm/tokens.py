@@ -16,14 +16,16 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Entries of a memory; a full one becomes the old generation and a new one starts. About 200 MB.
 MEMORY = 500_000
 #: Longer words are not remembered.
 WORD_CHARS = 40
-#: Words encoded as one text.
-JOINED = 1000
+#: Words encoded as one text, and words of letters merged as one.
+JOINED, TOGETHER = 1000, 32
 
 #: Characters after a word's letters; none is a letter or a digit.
 MARKS = ".,;:!?|%*&$#@()[]\"'-\n"
@@ -67,7 +69,7 @@ def words_of(text: str) -> list[str] | None:
 
 
 class Encoder:
-    """encode(texts) -> for each text its ids as little-endian unsigned 32-bit bytes."""
+    """encode(texts) -> for each text its ids as little-endian unsigned 32-bit bytes; arrays(texts) -> all of them and their counts."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,25 +80,40 @@ class Encoder:
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[v for k, v in vocabulary.items() if k[0] == "Ġ"]] = True
+        crossing = any("Ġ" in k.lstrip("Ġ") and "Âł" not in k for k in vocabulary)  # Âł: the no-break space, no letter
+        self.together = 1 if crossing or getattr(self.library.model, "ignore_merges", False) else TOGETHER
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def letters(self, word: str) -> bytes:
-        """Ids of a space and letters, one match of the split pattern: the library's model is asked directly."""
-        mapped = "Ġ" + word[1:] if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
-        return array("I", [x.id for x in self.tokenize(mapped)]).tobytes()
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of a space and letters, each one match of the split pattern: the library's model is asked directly, for many words at once.
+        Merges don't cross into the next word's space where no entry of the vocabulary does (but for blanks)."""
+        mapped = ["Ġ" + x[1:] if x.isascii() else x.encode().decode("latin-1").translate(BYTES) for x in words]
+        found: list[int] = []
+        for at in range(0, len(mapped), self.together):
+            found += [x.id for x in self.tokenize("".join(mapped[at : at + self.together]))]
+        return self.at_spaces(np.array(found, "<u4"), len(words))
+
+    def at_spaces(self, ids: np.ndarray, n: int) -> list[bytes]:
+        """The ids of n words that start with a space each."""
+        if not n:
+            return []
+        raw, starts = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
+        if len(starts) != n:
+            raise AssertionError("a word has no token of its own that begins with a space")
+        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
 
     def fresh(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words as words_of() cuts them. Letters and the marks after them are different matches."""
-        known, out, cut, rest = self.words, {}, [], []
+        known, out, cut, rest, whole = self.words, {}, [], [], []
         for word in words:
             head = word.rstrip(MARKS)
             if not head[1:].isalpha() or head[0] != " ":
                 rest.append(word)
             elif head == word:
-                out[word] = self.letters(word)
+                whole.append(word)
             else:
                 cut.append((word, head, word[len(head) :]))
         tails = {x[2] for x in cut}
@@ -107,29 +124,63 @@ class Encoder:
         for at in range(0, len(joined), JOINED):
             part = joined[at : at + JOINED]
             ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            raw, starts = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
-            out.update(zip(part, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
+            out.update(zip(part, self.at_spaces(ids, len(part)), strict=True))
+        whole += {x[1] for x in cut if x[1] not in words and known[x[1]] is None}
+        out.update(zip(whole, self.letters(whole), strict=True))
         for word, head, tail in cut:
-            first = out.get(head) or known[head]
-            if first is None:
-                first = out[head] = self.letters(head)
-            out[word] = first + (out.get(tail) or known[tail])
+            out[word] = (out.get(head) or known[head]) + (out.get(tail) or known[tail])
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [words_of(x) for x in texts]
+    def arrays(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end after each, and how many each has. Arrow cuts the texts and finds the kinds of words, so that
+        Python's memory is asked once for each kind; the ids of words are gathered by numpy."""
         known = self.words
         known.trim()
-        fresh = self.fresh(known.lacking(set().union(*filter(None, cuts))))
-        long = [x for x in fresh if len(x) > WORD_CHARS]
+        n = len(texts)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds, pieces = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        kind, starts = pieces.indices.to_numpy(), bounds[:-1]
+        follows = np.ones(len(kind), bool)
+        follows[starts] = False
+        first = pieces.dictionary.take(pa.array(kind[starts])).to_numpy(zero_copy_only=False).tolist()
+        used = np.zeros(len(pieces.dictionary), bool)
+        used[kind[follows]] = True
+        after = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pieces.dictionary.filter(pa.array(used)), pa.scalar(" ", pa.large_string())).to_numpy(zero_copy_only=False).tolist()
+        # a blank before, between or after these: the text may have a run of blanks
+        blank = np.zeros(len(used), bool)
+        blank[np.flatnonzero(used)[[i for i, x in enumerate(after) if len(x) == 1 or x[1].isspace()]]] = True
+        doubtful = np.unique(np.searchsorted(bounds, np.flatnonzero(blank[kind] & follows), "right") - 1).tolist()
+        whole = [i for i in doubtful if RUN.search(texts[i])]
+        fresh = self.fresh(known.lacking({*first, *after}))
         known.update(fresh)
-        whole = [i for i, x in enumerate(cuts) if x is None]
-        rest = dict(zip(whole, self.plain([texts[i] for i in whole]), strict=True))
-        get = known.__getitem__
-        out = [rest[i] if x is None else b"".join(map(get, x)) for i, x in enumerate(cuts)]
-        for x in long:
-            del known[x]
-        return out
+        units = [*map(known.__getitem__, first), *map(known.__getitem__, after), *self.plain([texts[i] for i in whole]), end]
+        for x in fresh:
+            if len(x) > WORD_CHARS:
+                del known[x]
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        at, store = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(units), "<u4")
+        unit = (n - 1 + np.cumsum(used))[kind]
+        unit[starts] = np.arange(n)
+        owner = np.repeat(np.arange(n), np.diff(bounds))
+        if whole:
+            instead = np.full(n, -1)
+            instead[whole] = n + len(after) + np.arange(len(whole))
+            unit[starts] = np.where(instead >= 0, instead, unit[starts])
+            kept = ~follows | (instead[owner] < 0)
+            unit, owner = unit[kept], owner[kept]
+        if end:
+            ends = np.searchsorted(owner, np.arange(n), "right")
+            unit, owner = np.insert(unit, ends, len(units) - 1), np.insert(owner, ends, np.arange(n))
+        size = sizes[unit]
+        ids = store[np.repeat(at[unit] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        return ids, np.bincount(owner, size, n).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, sizes = self.arrays(texts)
+        raw, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -202,3 +202,19 @@ def test_packed(spark):
             at += r.length
         assert at <= 1024
     assert packing.packed(df.filter(F.lit(False))).count() == 0
+
+
+def test_memory_is_asked_once_for_each_kind_of_word():
+    class Asked(tokens.Memory):
+        asked = 0
+
+        def __getitem__(self, key):
+            type(self).asked += 1
+            return super().__getitem__(key)
+
+    own, texts = tokens.Encoder(), ["ab cd ab cd " * 2000 + "ab", "", " x  y", "é\x1c \n", "a\0b c"]
+    own.words = Asked()
+    ids, sizes = own.arrays(texts, b"\0\0\0\0")
+    assert Asked.asked < 100
+    ends = np.cumsum(sizes)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [[*ids_of(x), 0] for x in texts]
