@@ -317,8 +317,9 @@ def near_rows(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
     texts = common.written(texts, "minhash-texts")
     pages = prefixes(source.join(small(known), F.col("key") == F.col("node"), "left").select("key", "text", "root"), overlaps.heaviest(keyed), threshold)
     found = common.written(overlaps.lists(pages, common.partitions(source)), "minhash-lists")
-    members = common.written(overlaps.narrowed(found, texts.filter("size > 0").select("key", "short", "size", "root"), threshold), "minhash-members")
-    links = common.written(links.unionByName(verified_in_cells(source, members, texts.select("key", F.col("first").alias("doc_id"), "root"), threshold)), "minhash-all-links")
+    members, told = overlaps.narrowed(found, texts.filter("size > 0").select("key", "short", "size", "root"), threshold)
+    cells = common.written(overlaps.candidates(overlaps.in_cells(members, BLOCK), told, common.partitions(source), threshold), "minhash-cells")
+    links = common.written(links.unionByName(verified_in_cells(source, cells, texts.select("key", F.col("first").alias("doc_id"), "root"), threshold)), "minhash-all-links")
     roots = common.written(components.labels(links.select(F.col("key").alias("a"), F.col("head").alias("b")), "minhash-classes"), "minhash-roots")
 
     member = roots.join(texts.drop("root"), F.col("key") == F.col("node")).select("key", "root", "first")
@@ -395,47 +396,31 @@ def verified(source: DataFrame, keyed: DataFrame, met: DataFrame, threshold: flo
     return common.written(dealt.mapInArrow(verify, "key long, doc_id long, head long, near_doc long, near_jaccard double"), "minhash-links")
 
 
-def verified_in_cells(source: DataFrame, members: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
-    """Links as of `verified` between texts that are on a list (members: number, key, n) together and not in one class. names: key, doc_id, root of every text.
+def verified_in_cells(source: DataFrame, cells: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """Links as of `verified` between texts that are in a cell (cells: number, low, high, own, key) together and not in one class. names: key, doc_id, root of every text.
 
-    A list is cut into blocks of about BLOCK texts, and each two of them meet in a cell: a text goes n / BLOCK times to a list of n. Pairs exist only inside
-    a cell's matrix, and what it gives is linear in its texts.
+    Pairs exist only inside a cell's matrix, and what it gives is linear in its texts.
     """
-    ends = common.written(members.select("key").distinct().join(names, "key"), "minhash-ends")
+    ends = common.written(cells.select("key").distinct().join(names, "key"), "minhash-ends")
     found = source.alias("s").join(small(ends).alias("w"), (F.col("s.key") == F.col("w.key")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))).select("s.key", "s.doc_id", "w.root", "s.text")
 
     def sets():
         shingler = Shingler()
         return lambda texts: [pa.array([shingle_set(x, shingler).tobytes() for x in texts], pa.binary())]
 
-    held = common.written(common.map_texts(found, "text", sets, [T.StructField("shingles", T.BinaryType())], ["key", "doc_id", "root"]).dropDuplicates(["key"]), "minhash-sets")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = members.select("number", "key", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    rows = rows.select("number", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key").join(held, "key")
-    rows = rows.select("number", "low", "high", "own", "key", "doc_id", "root", "shingles")
-    dealt = rows.repartition(common.partitions(source), "number", "low", "high").sortWithinPartitions("number", "low", "high", "key")
+    held = common.map_texts(found, "text", sets, [T.StructField("shingles", T.BinaryType())], ["key", "doc_id", "root"]).dropDuplicates(["key"])
+    rows = cells.join(held, "key").select(*overlaps.CELL, "own", "key", "doc_id", "root", "shingles")
+    dealt = rows.repartition(common.partitions(source), *overlaps.CELL).sortWithinPartitions(*overlaps.CELL, "key")
 
     def verify(batches):
-        def close(of: list):
-            """One cell's links."""
+        for _, of in overlaps.by_cell(batches):
             own, keys, docs, roots, raw = zip(*of, strict=True)
             ranks = np.empty(len(of), np.int64)
             ranks[sorted(range(len(of)), key=lambda i: (docs[i] is None, docs[i] or 0))] = np.arange(len(of))
             found = overlaps.cell_links([np.frombuffer(x, np.uint32) for x in raw], np.array(own), np.array(roots), ranks, threshold, QUOTA)
             columns = list(zip(*((keys[i], docs[i], keys[j], docs[j], x) for i, j, x in found), strict=True)) or [[]] * 5
             types = [pa.int64()] * 4 + [pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "doc_id", "head", "near_doc", "near_jaccard"])
-
-        at, of = None, []
-        for batch in batches:
-            for number, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (number, low, high) != at:
-                    if len(of) > 1:
-                        yield close(of)
-                    at, of = (number, low, high), []
-                of.append(row)
-        if len(of) > 1:
-            yield close(of)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "doc_id", "head", "near_doc", "near_jaccard"])
 
     return common.written(dealt.mapInArrow(verify, "key long, doc_id long, head long, near_doc long, near_jaccard double").distinct(), "minhash-cell-links")
 

@@ -8,7 +8,8 @@ at the very end, so that prefixes hold rare numbers (HEAVY numbers at most are k
 Tasks deal their prefixes by a number's upper byte (pages), packed as bytes. A page gives the lists of its numbers: the owners, if they don't
 all have the same label (what is linked already needs no further link). Pairs are never rows. narrowed() drops sets that are on fewer lists than
 a near one would share with them, orders the lists by length and takes each set from as many of the longest as it can do without: the first list that two near sets share
-stays, so they meet there. Lists of the same sets are one. A set's owner is told by 32 bits of its key; keys that share these are told apart when lists are joined with
+stays, so they meet there. Lists of the same sets are one. Where sets meet they are told by the numbers of their lists first (candidates()): pairs that share too few, or are met on
+another list, need not be looked at, and only sets with such a partner come with all their numbers. A set's owner is told by 32 bits of its key; keys that share these are told apart when lists are joined with
 the keys, and form a list themselves.
 """
 
@@ -146,10 +147,11 @@ def lists(pages: DataFrame, partitions: int) -> DataFrame:
     return pages.repartition(partitions, "page").sortWithinPartitions("page").mapInArrow(run, "number long, short long")
 
 
-def narrowed(found: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
-    """number, key, n: lists where all near sets with unlike roots meet, and how many are on each. found: `lists`; names: key, short, size, root of every set."""
+def narrowed(found: DataFrame, names: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """number, key, n: lists where all near sets with unlike roots meet, and how many are on each; and key, root, size, all, kept: of every set on them the numbers
+    of all its lists and of those where it meets others. found: `lists`; names: key, short, size, root of every set."""
     wanted = (1 + F.floor(F.ceil(threshold * F.col("size") - 1e-9) / WANTED)).alias("wanted")
-    rows = found.join(names, "short").select("number", "key", "root", wanted)
+    rows = found.join(names, "short").select("number", "key", "root", "size", wanted)
     own = Window.partitionBy("key")  # no more rows than a prefix has numbers
 
     def unlike(x: DataFrame) -> DataFrame:
@@ -157,25 +159,60 @@ def narrowed(found: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
         return counts.filter("low < high").select("number", "n", "one", "two")
 
     rows = common.written(rows.withColumn("k", F.count("*").over(own)).filter("k >= wanted").drop("k"), "overlaps-lists")
-    rows = rows.join(unlike(rows).select("number", "n"), "number")
-    rows = rows.withColumns({"k": F.count("*").over(own), "place": F.row_number().over(own.orderBy("n", "number"))})
-    rows = rows.filter("k >= wanted and place <= k - wanted + 1").select("number", "key", "root")
+    whole = rows.join(unlike(rows).select("number", "n"), "number")
+    rows = whole.withColumns({"k": F.count("*").over(own), "place": F.row_number().over(own.orderBy("n", "number"))})
+    rows = rows.filter("k >= wanted").withColumn("meets", F.expr("place <= k - wanted + 1"))
+    rows = rows.select("number", "key", "root", "size", "meets")
     alike = names.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short")
-    same = names.join(alike, "short").select((-1 - F.col("short")).alias("number"), "key", "root")
+    same = names.join(alike, "short").select((-1 - F.col("short")).alias("number"), "key", "root", "size", F.lit(True).alias("meets"))
     rows = common.written(rows.unionByName(same), "overlaps-kept")
-    once = unlike(rows).groupBy("n", "one", "two").agg(F.min("number").alias("number")).select("number", "n")
-    return rows.join(once, "number").select("number", "key", "n")
+    once = unlike(rows.filter("meets")).groupBy("n", "one", "two").agg(F.min("number").alias("number")).select("number", "n")
+    members = common.written(rows.filter("meets").join(once, "number").select("number", "key", "n"), "overlaps-members")
+    numbers = F.when(F.col("number") >= 0, (F.col("number") - (1 << 31)).cast("int"))
+    told = rows.groupBy("key").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.collect_list(numbers).alias("all"))
+    meets = members.groupBy("key").agg(F.collect_list(numbers).alias("kept"))
+    return members, told.join(meets, "key")
 
 
-def cell_links(sets: list[np.ndarray], sides: np.ndarray, roots: np.ndarray, ranks: np.ndarray, threshold: float, quota: int) -> list[tuple[int, int, float]]:
-    """Links (i, j, index) between near sets with unlike roots, and unlike sides if there are two, by a matrix product: all that hold them together,
-    and with each set so many of its near ones, of least rank."""
+def in_cells(members: DataFrame, block: int) -> DataFrame:
+    """number, low, high, own, key: members dealt to cells. A list is cut into blocks of about so many sets, and each two of them meet in a cell: a set goes n / block times to a list of n."""
+    blocks = F.ceil(F.col("n") / block)
+    rows = members.select("number", "key", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    return rows.select("number", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key")
+
+
+CELL = ["number", "low", "high"]
+
+
+def values(column: pa.Array) -> list:
+    """A column's values; lists as arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, at = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy()).tolist()
+    return [flat[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)] if at else []
+
+
+def by_cell(batches):
+    """(cell, rows) of a stream sorted by CELL, the first columns; the rows are without them."""
+    at, of = None, []
+    for batch in batches:
+        for number, low, high, *row in zip(*map(values, batch.columns), strict=True):
+            if (number, low, high) != at:
+                if len(of) > 1:
+                    yield at, of
+                at, of = (number, low, high), []
+            of.append(row)
+    if len(of) > 1:
+        yield at, of
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two sets have in common, by matrix products."""
     m = len(sets)
-    sizes = np.array([len(x) for x in sets], np.int64)
     _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column, row = (np.cumsum(count > 1) - 1)[at], np.repeat(np.arange(m), sizes)
-    shared = count[at] > 1
-    column, row = column[shared], row[shared]
+    column, row = (np.cumsum(count > 1) - 1)[at], np.repeat(np.arange(m), [len(x) for x in sets])
+    several = count[at] > 1
+    column, row = column[several], row[several]
     by = np.argsort(column, kind="stable")
     column, row = column[by], row[by]
     step = max(1, PAIRS // m)
@@ -185,6 +222,43 @@ def cell_links(sets: list[np.ndarray], sides: np.ndarray, roots: np.ndarray, ran
         held = np.zeros((m, min(step, int(column[-1]) + 1 - first)), np.float32)
         held[row[a:b], column[a:b] - first] = 1
         met += held @ held.T  # counts below 2**24 are exact
+    return met
+
+
+def met_here(number: int, sides: np.ndarray, roots: np.ndarray, sizes: np.ndarray, lists_of: list[np.ndarray], kept: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets of a cell have a partner that they may be near to and meet on no list of a lesser number. Sets of one short key meet on their own list (of a number below 0)."""
+    less = np.minimum(sizes[:, None], sizes[None, :])
+    maybe = (roots[:, None] != roots[None, :]) & (less >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6)
+    if sides.min() != sides.max():
+        maybe &= sides[:, None] != sides[None, :]
+    if number >= 0 and maybe.any():
+        maybe &= shared([x[x < number] for x in kept]) == 0
+        if maybe.any():
+            maybe &= shared(lists_of) >= 1 + less // WANTED
+    return maybe.any(axis=1)
+
+
+def candidates(cells: DataFrame, told: DataFrame, partitions: int, threshold: float) -> DataFrame:
+    """The rows of in_cells() whose sets have a partner to be looked at in that cell. told: of `narrowed`."""
+
+    def run(batches):
+        for cell, of in by_cell(batches):
+            own, keys, roots, sizes, lists_of, kept = zip(*of, strict=True)
+            numbers = [[x.view(np.uint32) ^ np.uint32(1 << 31) for x in c] for c in (lists_of, kept)]
+            met = np.flatnonzero(met_here(cell[0], *(np.array(c) for c in (own, roots, sizes)), *numbers, threshold))
+            columns = [[x] * len(met) for x in cell] + [[own[i] for i in met], [keys[i] for i in met]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*CELL, "own", "key"])
+
+    dealt = cells.join(told, "key").select(*CELL, "own", "key", "root", "size", "all", "kept").repartition(partitions, *CELL).sortWithinPartitions(*CELL, "key")
+    return dealt.mapInArrow(run, "number long, low long, high long, own long, key long")
+
+
+def cell_links(sets: list[np.ndarray], sides: np.ndarray, roots: np.ndarray, ranks: np.ndarray, threshold: float, quota: int) -> list[tuple[int, int, float]]:
+    """Links (i, j, index) between near sets with unlike roots, and unlike sides if there are two, by a matrix product: all that hold them together,
+    and with each set so many of its near ones, of least rank."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    met = shared(sets)
     index = met / (sizes[:, None] + sizes[None, :] - met)
     near = (index >= threshold) & (roots[:, None] != roots[None, :])
     if sides.min() != sides.max():

@@ -227,3 +227,32 @@ def test_a_dense_group_makes_no_rows_for_pairs(spark, monkeypatch):
     near = {(a, b) for a in range(150) for b in range(150) if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert {a for a, _ in near} == {i for i, r in got.items() if r.near_jaccard is not None} and len(near) > 30
     assert max(n for k, n in sizes.items() if not k.startswith("minhash-c")) < 150 * 20
+
+
+def test_only_texts_that_may_be_near_come_with_their_sets_and_pairs_meet_once(spark, monkeypatch):
+    """Texts with rare lines in common stand on many lists together; those too far apart are told by the lists, and two that are near meet in one cell."""
+    from factloom.llm import common
+
+    monkeypatch.setattr(fp, "banded", lambda s: np.arange(fp.BANDS * len(s), dtype=np.uint64).reshape(len(s), -1) + np.uint64(hash(s.tobytes()) % (1 << 62)))
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for _ in range(12):
+        line = words(60)  # a fifth of each text
+        rows += [" ".join(line + words(240)) for _ in range(6)]
+    base = [words(300) for _ in range(5)]
+    rows += [" ".join(b[: 290 + 5 * k] + words(3)) for b in base for k in range(2)]
+    dealt, plain = {}, common.written
+
+    def written(df, name):
+        out = plain(df, name)
+        if name == "minhash-cells":
+            dealt[name] = [r.key for r in out.select("key").collect()]
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id for r in fp.near_rows(df).filter("near_jaccard is not null").collect()}
+    keys = {i: r.key for i, r in enumerate(fp.named(df, "doc_id", "text").orderBy("doc_id").collect())}
+    assert got == set(range(72, 82))
+    assert sorted(dealt["minhash-cells"]) == sorted(keys[i] for i in got)
