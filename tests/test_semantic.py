@@ -185,3 +185,34 @@ def test_dense_pairs_are_not_written_out(spark):
     none = spark.createDataFrame([], "old_claim_id string, new_claim_id string, edge_type string, created_ts long")
     got = sorted((r.old_claim_id, r.new_claim_id) for r in semantic.second_pass(df, none, None, checkpoint, 0.45).collect())
     assert got == [(f"c{i:05}", f"c{i + 1:05}") for i in range(1999)]
+
+
+@pytest.mark.parametrize("small", [0, 40, 512])
+def test_sessions_held_whole_and_families_give_the_same(spark, monkeypatch, small):
+    """Sessions on either side of SMALL; vectors of length zero, missing and of another width; a claim id that comes twice in a session."""
+    monkeypatch.setattr(semantic, "SMALL", small)
+    monkeypatch.setattr(semantic, "KINDS", 4 if small == 40 else 1024)
+    rng = random.Random(5)
+    claims, odd = [], [None, [0.0, 0.0, 0.0], [1.0, 0.0]]
+    for i in range(200):
+        session = "hot" if rng.random() < 0.4 else f"s{rng.randrange(8)}"
+        vector = [float(rng.randrange(-2, 3)) for _ in range(3)]
+        spaces = {"text": (vector, rng.random() < 0.3)} | ({f"p:{rng.randrange(2)}": (vector[::-1], True)} if rng.random() < 0.7 else {})
+        claims.append((session, f"c{i:03}", f"t{rng.randrange(120)}", rng.randrange(90), {k: v for k, v in spaces.items() if any(v[0])}))
+    order = sorted(claims, key=lambda c: (c[3], c[1]))
+    edges = [(a[1], b[1], kind, b[3]) for a, b, kind in zip(order[::17], order[9::17], ["user_correction", "blocked", "refines"] * 4, strict=False) if a[3] < b[3]]
+    rows = [(s, space, c, t, ts, seeks, v) for s, c, t, ts, spaces in claims for space, (v, seeks) in spaces.items()]
+    rows += [("hot", "text", f"x{i}", f"tx{i}", 10 * i, True, v) for i, v in enumerate(odd * 3)]
+    df = spark.createDataFrame(rows, "session_id string, space string, claim_id string, source_turn_id string, created_ts long, seeks boolean, embedding array<double>").repartition(5)
+    given = spark.createDataFrame(edges, "old_claim_id string, new_claim_id string, edge_type string, created_ts long")
+    got = semantic.second_pass(df, given, None, checkpoint, 0.88, cells=7)
+    assert sorted((r.session_id, r.old_claim_id, r.new_claim_id, r.identity_score) for r in got.collect()) == plain_pass([c for c in claims if c[4]], [e[:3] for e in edges], 0.88)
+
+
+def test_small_sessions_need_no_index(spark, monkeypatch):
+    """Many sessions of few claims are dealt once: no index is built and no links are followed."""
+    monkeypatch.setattr(semantic, "families", None)
+    rows = spark.range(0, 3000).select(F.format_string("s%d", F.col("id") % 200).alias("session_id"), F.lit("p").alias("space"), F.format_string("c%05d", "id").alias("claim_id"), F.col("id").cast("string").alias("source_turn_id"), F.col("id").alias("created_ts"), F.lit(True).alias("seeks"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    none = spark.createDataFrame([], "old_claim_id string, new_claim_id string, edge_type string, created_ts long")
+    got = semantic.second_pass(rows, none, None, checkpoint).collect()
+    assert sorted((r.old_claim_id, r.new_claim_id) for r in got) == [(f"c{i:05}", f"c{i + 200:05}") for i in range(2800)]
